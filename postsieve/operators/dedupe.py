@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from postsieve.functions import text as T
+from postsieve.functions.settle import settle
 
 
 def collapse_exact(posts: DataFrame, strip_retweets: bool = True, order: str = "seq",
@@ -20,7 +21,7 @@ def collapse_exact(posts: DataFrame, strip_retweets: bool = True, order: str = "
     columns = [c for c in posts.columns if c != "duplicate_count"]
     key = T.copy_key(F.col("text"), strip_retweets)
     return (
-        posts.withColumn("_key", key).where("_key <> ''")
+        posts.withColumn("_key", settle(key)).where("_key <> ''")
         .groupBy(*within, F.sha2("_key", 256).alias("_digest"))
         .agg(F.min_by(F.struct(*columns), order).alias("r"), F.sum(count.cast("long")).alias("duplicate_count"))
         .select("r.*", "duplicate_count")

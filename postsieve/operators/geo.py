@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postsieve import schema as S, values as V
+from postsieve.functions.settle import settle
 from postsieve.sources.gazetteer import Places, alias_table, fits_inline
 
 _ENTRY = ("struct<name:string,kind:string,lat:double,lon:double,admin:string,country:string,population:bigint,"
@@ -260,7 +261,8 @@ def geoparse(posts: DataFrame, gazetteer: Places | DataFrame | None = None, coun
     df = posts.withColumn("_search", F.when(ignore, "").otherwise(F.coalesce(searched, F.lit(""))))
     df = _resolve(find_aliases(df, gazetteer, F.col("_search"), countries), "_hits", "_found")
     point = provided_place(F.col("lat"), F.col("lon"), small, F.col("place") if has_place else None, method)
-    return df.withColumn("places", F.when(given, F.array(point)).otherwise(F.col("_found"))).drop("_search", "_hits", "_found")
+    places = F.when(given, F.array(point)).otherwise(F.col("_found"))
+    return df.withColumn("places", settle(places)).drop("_search", "_hits", "_found")
 
 
 def community_rollup(records: DataFrame) -> DataFrame:

@@ -63,8 +63,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spreads a small input that sits in fewer partitions than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def posts(spark: SparkSession, sf_dir: str, single_hazard: bool = False) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts").selectExpr("*", _K)
+    events = widen(table(spark, sf_dir, "events").select("event_id", "user_id", "ts")).selectExpr("*", _K)
     if single_hazard:
         events = events.where(f"(k * 7) % 16 NOT IN {OTHER_HAZARD_TEMPLATES}")
     return events.selectExpr(*_split(_columns("STRING", "date_format(ts, 'yyyy-MM-dd HH:mm:ss')")))
