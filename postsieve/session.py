@@ -35,3 +35,10 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return os.path.join(shared_folder(spark), f"{name}-{os.urandom(8).hex()}")
+
+
+def materialize(df, name: str = "step"):
+    """Writes a DataFrame to the shared folder and reads it back: computed once, lineage cut, survives executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

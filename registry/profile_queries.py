@@ -4,6 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from postsieve import values as V
 from postsieve.operators import dedupe, profile
+from postsieve.session import materialize
 from postsieve.sources.gazetteer import Places
 from registry import views
 from registry.core import query
@@ -17,9 +18,13 @@ def kept(spark, sf, **kw):
     return dedupe.collapse_exact(views.posts(spark, sf, **kw))
 
 
-def profile_of(spark, sf):
+def kept_table(spark, sf):
+    """Deduplicated posts written once, because the profile passes over them several times."""
+    return materialize(kept(spark, sf), "kept")
+
+
+def profile_of(posts):
     """The profile every scoring query uses: detected, then focused when mixed."""
-    posts = kept(spark, sf)
     return profile.focus(profile.detect(posts), posts)
 
 
@@ -57,22 +62,22 @@ def profile_ctes(source="kept", text_posts="posts"):
 
 @query("p1_sample", with_sql("SELECT seq, id FROM sample", **profile_ctes()))
 def p1(spark, sf):
-    return profile.sample_posts(kept(spark, sf))[0].select("seq", "id")
+    return profile.sample_posts(kept_table(spark, sf))[0].select("seq", "id")
 
 
 @query("p2_hazard_counts", with_sql("SELECT * FROM hcounts", **profile_ctes()))
 def p2(spark, sf):
-    return profile.hazard_profile(profile.sample_posts(kept(spark, sf))[0]).select("n", *V.HAZARDS)
+    return profile.hazard_profile(profile.sample_posts(kept_table(spark, sf))[0]).select("n", *V.HAZARDS)
 
 
 @query("p3_hazard_verdict", with_sql("SELECT hazard FROM verdict", **profile_ctes()))
 def p3(spark, sf):
-    return profile.hazard_profile(profile.sample_posts(kept(spark, sf))[0]).select("hazard")
+    return profile.hazard_profile(profile.sample_posts(kept_table(spark, sf))[0]).select("hazard")
 
 
 @query("p4_hazard_shares", with_sql("SELECT " + ", ".join(f"{h} / (flood + fire + quake + storm) AS {h}_share" for h in V.HAZARDS) + " FROM hcounts", **profile_ctes()))
 def p4(spark, sf):
-    return profile.hazard_profile(profile.sample_posts(kept(spark, sf))[0]).select(*[f"{h}_share" for h in V.HAZARDS])
+    return profile.hazard_profile(profile.sample_posts(kept_table(spark, sf))[0]).select(*[f"{h}_share" for h in V.HAZARDS])
 
 
 _SPLIT = "SELECT * FROM kept WHERE (k * 7) % 16 IN (2, 9, 10, 11)"  # one flood template and the three others
@@ -86,7 +91,7 @@ def p5(spark, sf):
 
 @query("p6_terms", with_sql("SELECT row_number() OVER (ORDER BY n DESC, first) AS rank, term, n FROM terms", **profile_ctes()))
 def p6(spark, sf):
-    top = profile.term_counts(*profile.sample_posts(kept(spark, sf)))
+    top = profile.term_counts(*profile.sample_posts(kept_table(spark, sf)))
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "first"))  # 40 rows at most
     return top.select(rank.cast("long").alias("rank"), "term", "n")
 
@@ -98,7 +103,7 @@ def _ranked_places(df):
 
 @query("p7_places", with_sql("SELECT row_number() OVER (ORDER BY n DESC, rank) AS place_rank, alias, n FROM pplaces", **profile_ctes()))
 def p7(spark, sf):
-    sample, _ = profile.sample_posts(kept(spark, sf))
+    sample, _ = profile.sample_posts(kept_table(spark, sf))
     return _ranked_places(profile.place_counts(sample, Places.of()))
 
 
@@ -106,20 +111,20 @@ def p7(spark, sf):
     "SELECT row_number() OVER (ORDER BY n DESC, rank) AS place_rank, alias, n FROM pplaces",
     **{**profile_ctes(), "sample": sample_sql(f"(SELECT * FROM kept WHERE {hz('flood')})")}))
 def p8(spark, sf):
-    return _ranked_places(profile.target_places(kept(spark, sf)))
+    return _ranked_places(profile.target_places(kept_table(spark, sf)))
 
 
 @query("p10_place_names", with_sql(
     "SELECT DISTINCT last_name AS name FROM pplaces JOIN (SELECT alias, max_by(name, ord) AS last_name FROM gaz GROUP BY alias) USING (alias)",
     **profile_ctes(), gaz=gazetteer_sql()))
 def p10(spark, sf):
-    names = Places.of().display_names(list(profile_of(spark, sf).places))
+    names = Places.of().display_names(list(profile_of(kept_table(spark, sf)).places))
     return spark.createDataFrame([(n,) for n in names], "name string")
 
 
 @query("g5_countries", with_sql("SELECT DISTINCT country FROM pplaces JOIN gaz USING (alias)", **profile_ctes(), gaz=gazetteer_sql()))
 def g5(spark, sf):
-    return spark.createDataFrame([(c,) for c in Places.of().countries_of(list(profile_of(spark, sf).places))], "country string")
+    return spark.createDataFrame([(c,) for c in Places.of().countries_of(list(profile_of(kept_table(spark, sf)).places))], "country string")
 
 
 @query("a14_disclosed_shares", with_sql(

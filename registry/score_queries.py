@@ -8,7 +8,7 @@ from postsieve import values as V
 from postsieve.operators import profile, score
 from registry import views
 from registry.core import query
-from registry.profile_queries import hz, kept, profile_ctes, profile_of
+from registry.profile_queries import hz, kept_table, profile_ctes, profile_of
 from registry.text_queries import q, tokens_sql
 from registry.views import posts_sql, with_sql
 
@@ -42,8 +42,11 @@ REASONS = """array_to_string(list_filter([CASE WHEN spam THEN 'matches spam patt
   CASE WHEN shared > 0 THEN shared || ' shared corpus terms' END], lambda x: x IS NOT NULL), '; ')"""
 
 
-def scored(spark, sf, prof=None):
-    return score.prefilter(score.score_relevance(kept(spark, sf), prof or profile_of(spark, sf)))
+def scored(spark, sf, change=lambda p: p):
+    """Posts scored with the corpus profile, possibly changed, and that profile."""
+    posts = kept_table(spark, sf)
+    prof = change(profile_of(posts))
+    return score.prefilter(score.score_relevance(posts, prof)), prof
 
 
 @query("f1_hazard_lexicons", "SELECT seq, flood, fire, quake, storm, false AS other FROM (" + with_sql(
@@ -70,7 +73,7 @@ def f3(spark, sf):
 
 @query("f4_threshold_split", with_sql("SELECT is_candidate, spam, count(*) AS n FROM filtered GROUP BY 1, 2", **scored_ctes()))
 def f4(spark, sf):
-    s = scored(spark, sf)
+    s, _ = scored(spark, sf)
     return s.groupBy("is_candidate", F.col("prefilter.likely_spam").alias("spam")).agg(F.count("*").alias("n"))
 
 
@@ -84,25 +87,25 @@ def r1_rows(s):
 
 @query("r1_score", with_sql(R1_SQL, **scored_ctes()))
 def r1(spark, sf):
-    return r1_rows(scored(spark, sf))
+    return r1_rows(scored(spark, sf)[0])
 
 
 @query("r1_score_storm_guess", with_sql(R1_SQL, **scored_ctes("'storm'")))
 def r1_storm(spark, sf):
     """A wrong guess of the hazard: other hazards earn the smaller credit."""
-    return r1_rows(scored(spark, sf, replace(profile_of(spark, sf), hazard="storm")))
+    return r1_rows(scored(spark, sf, lambda p: replace(p, hazard="storm"))[0])
 
 
 @query("p9_pinned_hazard", with_sql(R1_SQL, **scored_ctes("'flood'", "true")))
 def p9(spark, sf):
     """The user pins the hazard: off-hazard vocabulary earns nothing."""
-    return r1_rows(scored(spark, sf, profile_of(spark, sf).pinned("flood")))
+    return r1_rows(scored(spark, sf, lambda p: p.pinned("flood"))[0])
 
 
 @query("r2_ranking", with_sql("SELECT seq, CAST(round(score, 6) AS DOUBLE) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, seq) - 1 AS position FROM filtered WHERE is_candidate", **scored_ctes()))
 def r2(spark, sf):
     from postsieve.operators.position import with_position
-    c = scored(spark, sf).where("is_candidate").select("seq", F.round("prefilter.score", 9).alias("s"))
+    c = scored(spark, sf)[0].where("is_candidate").select("seq", F.round("prefilter.score", 9).alias("s"))
     return with_position(c, rank="s").select("seq", F.round("s", 6).alias("score"), "position")
 
 
@@ -111,8 +114,8 @@ def r2(spark, sf):
         CASE WHEN own THEN (SELECT h FROM target) ELSE 'other' END AS hazard, spam AS is_spam,
         CAST(CASE WHEN spam THEN 0.6 ELSE 0.3 END AS DOUBLE) AS spam_confidence FROM filtered WHERE is_candidate""", **scored_ctes()))
 def r3(spark, sf):
-    p = profile_of(spark, sf)
-    s = scored(spark, sf, p).where("is_candidate").select("seq", score.heuristic_labels(F.col("text"), p).alias("l"))
+    s, p = scored(spark, sf)
+    s = s.where("is_candidate").select("seq", score.heuristic_labels(F.col("text"), p).alias("l"))
     return s.select("seq", F.col("l.relevant.value").alias("relevant"), F.col("l.relevant.confidence").alias("relevant_confidence"),
                     F.col("l.hazard.value").alias("hazard"), F.col("l.is_spam.value").alias("is_spam"),
                     F.col("l.is_spam.confidence").alias("spam_confidence"))
@@ -121,7 +124,7 @@ def r3(spark, sf):
 @query("r4_dropped_labels", with_sql(
     """SELECT seq, false AS relevant, CAST(0.4 AS DOUBLE) AS confidence, spam AS is_spam FROM filtered WHERE NOT is_candidate""", **scored_ctes()))
 def r4(spark, sf):
-    s = scored(spark, sf).where("NOT is_candidate").select("seq", score.dropped_labels().alias("l"))
+    s = scored(spark, sf)[0].where("NOT is_candidate").select("seq", score.dropped_labels().alias("l"))
     return s.select("seq", F.col("l.relevant.value").alias("relevant"), F.col("l.relevant.confidence").alias("confidence"),
                     F.col("l.is_spam.value").alias("is_spam"))
 

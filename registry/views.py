@@ -154,7 +154,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second)
 
 
-REVIEWS_SQL = """SELECT 'e' || doc_id AS id, CASE WHEN quality = 1 THEN 'confirmed' ELSE 'rejected' END AS action, doc_id AS at
+REVIEWS_SQL = """SELECT 'e' || doc_id AS id, CASE WHEN quality = 1 THEN 'confirmed' ELSE 'rejected' END AS action, doc_id AS "at"
 FROM labels UNION ALL SELECT 'e' || doc_id, CASE WHEN toxic = 1 THEN 'confirmed' ELSE 'rejected' END, doc_id + 1000000000
 FROM labels WHERE doc_id % 4 = 0"""
 
@@ -221,3 +221,36 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUESTIONS_SQL = f"""SELECT item_id AS qid, replace({_pick(QUESTION_FORMS, 'item_id % 3')}, '{{p}}', {_pick(PLACES, 'item_id % 12')}) AS question FROM benchmark
 UNION ALL SELECT item_id + 1000000, text FROM benchmark"""
+
+_LEDGER = """event_id AS pos,
+  CASE WHEN event_id BETWEEN 6000 AND 6034 THEN 429 WHEN event_id % 17 = 3 THEN 429 WHEN event_id = 9000 THEN 402 ELSE 200 END AS status,
+  CAST(0.00004 AS DOUBLE) AS cost, event_id % 50 = 7 AS own_key, ts"""
+LEDGER_SQL = f"SELECT {_LEDGER} FROM events"
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model calls in candidate order, with scattered failures, one long run of them, and a refusal."""
+    return table(spark, sf_dir, "events").selectExpr(*_split(_LEDGER))
+
+
+_IMAGE_META = """'e' || CAST(event_id AS {string}) AS id,
+  CASE WHEN event_id % 4 = 0 THEN CAST(0 AS DOUBLE) ELSE 50 + CAST(event_id % 100 AS DOUBLE) / 100 END AS lat,
+  CASE WHEN event_id % 4 = 0 THEN CAST(0 AS DOUBLE) ELSE -113 + CAST(event_id % 60 AS DOUBLE) / 100 END AS lon,
+  'meta ' || CAST(event_id AS {string}) AS ts"""
+IMAGE_META_SQL = f"SELECT {_IMAGE_META.format(string='VARCHAR')} FROM events WHERE event_id % 3 <> 0"
+
+
+def image_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_id % 3 <> 0").selectExpr(*_split(_IMAGE_META.format(string="STRING")))
+
+
+def image_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth event as a photo without text."""
+    e = widen(table(spark, sf_dir, "events").where("event_id % 5 IN (2, 3)").select("event_id", "event_type"))
+    return e.selectExpr(*_split(_IMAGE_POSTS.format(string="STRING")))
+
+
+_IMAGE_POSTS = """event_id AS seq, 'e' || CAST(event_id AS {string}) AS id, '' AS text,
+  'img/' || CAST(event_id AS {string}) || '.jpg' AS image_ref,
+  CASE WHEN event_type = 'view' THEN 'own time' END AS ts"""
+IMAGE_POSTS_SQL = f"SELECT {_IMAGE_POSTS.format(string='VARCHAR')} FROM events WHERE event_id % 5 IN (2, 3)"
