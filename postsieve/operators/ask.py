@@ -56,6 +56,11 @@ def _spaced(text: Column) -> Column:
     return T.collapse(F.regexp_replace(F.lower(text), java(r"([^a-z0-9\s])"), " $1 "))
 
 
+def _grams_of(n: int) -> Column:
+    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: i + n <= F.size("w"))
+    return F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, n), " "))
+
+
 def term_matches(terms: DataFrame, posts: DataFrame) -> DataFrame:
     """(label, phrases, seq): each post that mentions a distinct term, once."""
     distinct = terms.select("label", "phrases").distinct()
@@ -67,9 +72,7 @@ def term_matches(terms: DataFrame, posts: DataFrame) -> DataFrame:
     if not kinds:
         return distinct.withColumn("seq", F.lit(0).cast("long")).limit(0)
     words = posts.select("seq", settle(F.split(_spaced(F.col("text")), " ")).alias("w"))
-    grams = F.flatten(F.array(*[
-        F.transform(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i, n=n: i + n <= F.size("w")),
-                    lambda i, n=n: F.array_join(F.slice("w", i + 1, n), " ")) for n in sorted({k["n"] for k in kinds})]))
+    grams = F.flatten(F.array(*[_grams_of(n) for n in sorted({k["n"] for k in kinds})]))
     seen = words.select("seq", settle(F.array_distinct(grams)).alias("g")).select("seq", F.explode("g").alias("gram"))
     found = seen.join(phrases.select("label", "phrases", "gram", "doubtful"), "gram")
     sure = found.where("NOT doubtful").select("label", "phrases", "seq")
