@@ -147,7 +147,7 @@ ASKED = {
     "covered": "SELECT qid, list_distinct(flatten(list_transform(flatten(list(phrases)), lambda p: string_split(p, ' ')))) AS words FROM place_terms GROUP BY qid",
     "extra": r"""SELECT qid, unnest(e) AS e, generate_subscripts(e, 1) AS i FROM (SELECT qid, list_concat(
         list_transform(regexp_extract_all(question, '["“]([^"”]{2,40})["”]', 1), lambda s: trim(s)),
-        list_filter(list_slice(list_filter(regexp_split_to_array(regexp_replace(question, '[^A-Za-z0-9''\s-]', ' ', 'g'), '\s+'), lambda w: w <> ''), 2, NULL),
+        list_filter(list_slice(list_filter(regexp_split_to_array(regexp_replace(question, '[^A-Za-z0-9''\s-]', ' ', 'g'), '\s+'), lambda w: w <> ''), 2, 1000000),
           lambda w: regexp_matches(w, '^[A-Z][a-z]{2,}'))) AS e FROM questions)""",
     "extra_terms": f"""SELECT qid, min(i) AS i, arg_min(e, i) AS e FROM extra LEFT JOIN covered USING (qid)
         WHERE NOT list_contains({QUESTION_STOP}, lower(e)) AND NOT coalesce(list_contains(words, lower(e)), false) GROUP BY qid, lower(e)""",
