@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("text_queries", "dedupe_queries", "geo_queries", "profile_queries", "score_queries", "decide_queries", "spatial_queries", "theme_queries", "fact_queries", "source_queries", "export_queries")
+MODULES = ("text_queries", "dedupe_queries", "geo_queries", "profile_queries", "score_queries", "decide_queries", "spatial_queries", "theme_queries", "fact_queries", "source_queries", "export_queries", "pipeline_queries")
 
 
 def all_queries() -> dict:

@@ -72,12 +72,12 @@ def place_ctes(source: str, skip: str = "false", countries: str | None = None) -
         "cand": f"""SELECT n.id, n.mi, g.*, count(*) OVER (PARTITION BY n.id, n.mi) AS namesakes
                     FROM named n JOIN gaz g USING (alias) WHERE true {scope}""",
         "votes": "SELECT id, list(admin) AS admins, list(country) AS nations FROM cand WHERE namesakes = 1 GROUP BY id",
-        "scored": """SELECT c.*, (CASE WHEN list_contains(v.admins, c.admin) THEN 3 ELSE 0 END)
+        "rated": """SELECT c.*, (CASE WHEN list_contains(v.admins, c.admin) THEN 3 ELSE 0 END)
                        + (CASE WHEN list_contains(v.nations, c.country) THEN 1 ELSE 0 END)
                        + coalesce(least(1.0, c.population / 2000000.0), 0) AS score
                      FROM cand c LEFT JOIN votes v USING (id)""",
         "ranked": """SELECT *, row_number() OVER w AS rn, score - lead(score) OVER w AS margin
-                     FROM scored WINDOW w AS (PARTITION BY id, mi ORDER BY score DESC, ord)""",
+                     FROM rated WINDOW w AS (PARTITION BY id, mi ORDER BY score DESC, ord)""",
         "chosen": """SELECT *, CASE WHEN kind = 'region' THEN least(sure, 0.4) ELSE sure END AS confidence FROM (
                        SELECT *, CASE WHEN namesakes = 1 THEN 0.85 WHEN margin >= 3 THEN 0.8 WHEN margin >= 1 THEN 0.55 ELSE 0.35 END AS sure,
                        row_number() OVER (PARTITION BY id, name ORDER BY mi) AS again FROM ranked WHERE rn = 1) WHERE again = 1""",

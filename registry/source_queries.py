@@ -19,10 +19,10 @@ from registry.views import posts_sql, with_sql
 _BLANK = "CASE WHEN seq % 100 = 7 THEN '  ' ELSE text END"
 
 
-def _upload(spark, sf, sep=",", name="Tweet Text"):
+def _upload(spark, sf, sep=",", name="Tweet Text", time="Posted At"):
     """Posts as an upload in several parts, with an awkward header, blank texts and quoted separators."""
     path = scratch_path(spark, "upload")
-    p = views.posts(spark, sf).selectExpr("seq AS `Post No`", f"{_BLANK} AS `{name}`", "lat AS `Lat`", "lon AS `Geo-Lon`", "author AS `User Name`", "ts AS `Posted At`")
+    p = views.posts(spark, sf).selectExpr("seq AS `Nr`", f"{_BLANK} AS `{name}`", "lat AS `Lat`", "lon AS `Geo-Lon`", "author AS `User Name`", f"ts AS `{time}`")
     p.write.option("header", True).option("sep", sep).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
@@ -45,7 +45,7 @@ def s1_semi(spark, sf):
 
 @query("s3_infer_text_column", with_sql("SELECT count(*) AS n, 'Notes' AS chosen FROM up WHERE t <> ''", **UP))
 def s3(spark, sf):
-    posts, _, report = csv_posts.read_parts(spark, _upload(spark, sf, name="Notes"))
+    posts, _, report = csv_posts.read_parts(spark, _upload(spark, sf, name="Notes", time="Date"))
     return posts.agg(F.count("*").alias("n")).withColumn("chosen", F.lit(report.chosen_column))
 
 
@@ -133,7 +133,7 @@ def s13_pages(spark, sf):
 
 def unescape_sql(x):
     for n, c in V.NAMED_ENTITIES[1:] + V.NAMED_ENTITIES[:1]:
-        x = f"replace({x}, '&{n};', '{c}')"
+        x = "replace({}, '&{};', '{}')".format(x, n, c.replace("'", "''"))
     return x
 
 
