@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from postsieve import values as V
 from postsieve.functions.regex import java
@@ -90,7 +91,7 @@ def short_text(col: Column, limit: int) -> Column:
         F.concat(truncate_words(col, max(0, limit - 3)), F.lit("...")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 

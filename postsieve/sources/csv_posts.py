@@ -20,6 +20,7 @@ from postsieve.functions.settle import settle
 from postsieve.operators.geo import accepted_coordinates
 
 _HEAD_LINES = 50
+csv.field_size_limit(2**31 - 1)  # a cell of the first lines may be long
 
 
 @dataclass
@@ -127,8 +128,10 @@ def read_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[
     else:
         raw = (spark.read.options(**options).option("header", True).option("multiLine", True).option("enforceSchema", True)
                .option("encoding", encoding).schema(schema).csv(path))
-        parsed = _numbered(raw.select(*names, "_bad", "_metadata"))
-        fields, bad, shift = [F.col(n) for n in names], F.col("_bad"), 2
+        # kept together, so that no plan reads the malformed-row column without the fields that decide it
+        whole = raw.select(settle(F.struct(*names, "_bad")).alias("p"), "_metadata")
+        parsed = _numbered(whole)
+        fields, bad, shift = [F.col(f"p.{n}") for n in names], F.col("p._bad"), 2
     rows = parsed.select(
         F.array(*fields).alias("f"), F.when(bad.isNotNull(), _field_count(bad, delimiter)).alias("parsed"),
         "part", (F.col("line") + shift).alias("row"), "before")
