@@ -9,7 +9,7 @@ from postsieve.plans import export
 from postsieve.session import materialize, scratch_path
 from registry import views
 from registry.core import query
-from registry.records import LABELS_SQL, labels, record_ctes, records
+from registry.records import LABELS_SQL, labels, record_ctes, records, records_table
 from registry.text_queries import cell_sql, q, redact_sql, short_sql
 from registry.theme_queries import LABEL, SIZES, SPOTS, briefs_sql
 from registry.views import answers_sql, posts_sql, with_sql
@@ -79,7 +79,7 @@ def brief_sql():
 @query("x4_situation_brief", with_sql(brief_sql(), **R, sizes=SIZES, spots=SPOTS, **briefs_sql("SELECT '' AS scope, id FROM rec", "")))
 def x4(spark, sf):
     """The lines of the brief that carry figures."""
-    r = materialize(records(spark, sf), "records")
+    r = records_table(spark, sf)
     text = export.brief_markdown(r, EventProfile(hazard="flood"), today="2024-01-01")
     lines = text.split("\n")
     keep = [x for x in lines if x.startswith("- ") and not any(x.startswith(p) for p in (
@@ -97,7 +97,7 @@ SMS_HEAD = "'Flood update, ' || (SELECT count(*) FROM rec WHERE relevant) || ' a
 
 @query("x5_sms_digest", with_sql(f"SELECT {SMS_HEAD} || (SELECT string_agg(' | ' || line, '' ORDER BY rank) FROM sms WHERE used + length({SMS_HEAD}) <= 480) AS digest", **R, sms=SMS))
 def x5(spark, sf):
-    return export.sms_digest(records(spark, sf))
+    return export.sms_digest(records_table(spark, sf))
 
 
 @query("o5_sms_packing", with_sql(f"SELECT CAST(rank AS BIGINT) AS rank, line, CAST(used AS BIGINT) AS used FROM sms WHERE rank <= 160", **R, sms=SMS))

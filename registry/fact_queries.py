@@ -9,7 +9,7 @@ from postsieve.sources.gazetteer import starter_rows
 from registry import views
 from registry.core import query
 from registry.geo_sql import _s
-from registry.records import record_ctes, records
+from registry.records import record_ctes, records, records_table
 from registry.text_queries import q, snippet_sql, tokens_sql
 from registry.theme_queries import REPS, SIZES
 from registry.views import posts_sql, with_sql
@@ -46,7 +46,7 @@ def a11(spark, sf):
     "SELECT " + ", ".join(f"{c} + (SELECT {c} FROM fun WHERE part = 1) AS {c}" for c in facts.FUNNEL) + " FROM fun WHERE part = 0", **R,
     fun=FUNNEL_SQL.replace("SELECT CAST", "SELECT seq % 2 AS part, CAST") + " GROUP BY 1"))
 def a12(spark, sf):
-    r = records(spark, sf)
+    r = records_table(spark, sf)
     half = lambda p: facts.funnel(r.where(F.col("seq") % 2 == p), prefiltered=F.lit(True))
     return facts.add_funnels(half(0), half(1))
 
@@ -98,7 +98,7 @@ def f6(spark, sf):
 
 @query("j2_theme_members", with_sql("SELECT id FROM rec WHERE relevant AND category = (SELECT category FROM sizes WHERE theme_id = 'c_1')", **R, sizes=SIZES))
 def j2(spark, sf):
-    r = records(spark, sf)
+    r = records_table(spark, sf)
     return facts.explore(r, theme_members=themes.members(r, themes.theme_sizes(r), "c_1")).select("id")
 
 
@@ -183,7 +183,7 @@ def a19(spark, sf):
 
 @query("a18_exact_counts", with_sql("SELECT qid, CAST(rank AS BIGINT) AS rank, label, count_all, count_relevant FROM facts_q", **FACTS_Q))
 def a18(spark, sf):
-    f = ask.exact_facts(ask.extract_terms(views.questions(spark, sf)), records(spark, sf))
+    f = ask.exact_facts(ask.extract_terms(views.questions(spark, sf)), records_table(spark, sf))
     return f.select("qid", F.col("rank").cast("long").alias("rank"), "label", "count_all", "count_relevant")
 
 
@@ -198,8 +198,7 @@ def a18_places(spark, sf):
 
 
 def _evidence(spark, sf):
-    from postsieve.session import materialize
-    r = materialize(records(spark, sf), "records")
+    r = records_table(spark, sf)
     qs = views.questions(spark, sf)
     terms = ask.extract_terms(qs)
     return r, qs, terms, ask.evidence(qs, terms, r)
@@ -272,7 +271,7 @@ def f10(spark, sf):
 
 @query("f8_narrative_inputs", with_sql("SELECT id, text, category FROM rec WHERE NOT coalesce(has_pii, false) AND id IN (SELECT id FROM reps)", **R, reps=REPS))
 def f8(spark, sf):
-    r = records(spark, sf)
+    r = records_table(spark, sf)
     return ask.narrative_inputs(themes.representatives(r, themes.theme_sizes(r)), r).select("id", "text", "category")
 
 
@@ -303,3 +302,10 @@ def a25(spark, sf):
     p = views.table(spark, sf, "events").selectExpr("event_id % 20 AS run", "event_id * 23 + event_id * event_id % 31 AS t", "event_id AS done")
     t = facts.throughput(p)
     return t.select("run", "t", "done", F.round("rate", 6).alias("rate"), F.round("ema", 6).alias("ema"))
+
+
+@query("o4_top_k", with_sql("SELECT id FROM rec WHERE relevant ORDER BY coalesce(severity, 0) DESC, rel_conf DESC, seq LIMIT 100", **R))
+def o4(spark, sf):
+    """The hundred most urgent relevant records."""
+    r = records(spark, sf).where(S.relevant())
+    return r.orderBy(F.desc(F.coalesce("labels.severity.value", F.lit(0.0))), F.desc("labels.relevant.confidence"), "seq").limit(100).select("id")

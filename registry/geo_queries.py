@@ -103,3 +103,26 @@ def g11(spark, sf):
     posts=posts_sql(), **place_ctes("posts")))
 def g12(spark, sf):
     return geo.community_rollup(geo.geoparse(views.posts(spark, sf)))
+
+
+@query("g6_context_votes", with_sql(
+    """SELECT id, array_to_string(list_sort(list_distinct(admins)), ',') AS admins, array_to_string(list_sort(list_distinct(nations)), ',') AS countries FROM votes""",
+    posts=posts_sql(), **place_ctes("posts")))
+def g6(spark, sf):
+    """Provinces and countries that the unambiguous matches of a post vote for."""
+    p = views.posts(spark, sf).where(~geo.accepted_coordinates(F.col("lat"), F.col("lon")))
+    hits = geo.find_aliases(p, None, F.col("text")).select("id", settle(F.filter("_hits", lambda m: F.size(m["entries"]) == 1)).alias("u")).where("size(u) > 0")
+    votes = lambda field: F.array_join(F.array_sort(F.array_distinct(F.transform("u", lambda m: F.get(m["entries"], 0)[field]))), ",")
+    return hits.select("id", votes("admin").alias("admins"), votes("country").alias("countries"))
+
+
+@query("g8_hits", with_sql("SELECT id, name, confidence, community FROM placed WHERE method = 'gazetteer'", posts=posts_sql(), **place_ctes("posts")))
+def g8(spark, sf):
+    """One hit per place and post, regions capped, with the community."""
+    return place_rows(geo.geoparse(views.posts(spark, sf))).where("method = 'gazetteer'").select("id", "name", "confidence", "community")
+
+
+@query("g9_hit_order", with_sql("SELECT id, string_agg(name, ' > ' ORDER BY pos) AS names FROM placed GROUP BY id", posts=posts_sql(), **place_ctes("posts")))
+def g9(spark, sf):
+    r = geo.geoparse(views.posts(spark, sf)).where("size(places) > 0")
+    return r.select("id", F.array_join("places.name", " > ").alias("names"))

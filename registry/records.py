@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from postsieve.functions.settle import settle
 from postsieve.operators import decide, dedupe
+from postsieve.session import materialize
 from registry import views
 from registry.dedupe_queries import kept_sql
 from registry.geo_sql import place_ctes
@@ -29,6 +30,11 @@ def records(spark, sf):
     return decide.finish(df.withColumn("labels", settle(F.col("labels"))), use_place=False)
 
 
+def records_table(spark, sf):
+    """The records written once, for reports that pass over them several times."""
+    return materialize(records(spark, sf), "records")
+
+
 def _pick(question, column, value):
     return f"max({column}) FILTER (question = '{question}') AS {value}"
 

@@ -6,7 +6,7 @@ from postsieve import values as V
 from postsieve.operators import themes
 from registry import views
 from registry.core import query
-from registry.records import record_ctes, records
+from registry.records import record_ctes, records, records_table
 from registry.text_queries import STOP_SQL, tokens_sql
 from registry.views import with_sql
 
@@ -36,7 +36,7 @@ ALL = {**record_ctes(), "toks": TOKS, "sizes": SIZES, "terms": TERMS, "reps": RE
         (SELECT string_agg(id, ', ' ORDER BY rank) FROM reps t WHERE t.category = s.category) AS representative_ids,
         (SELECT string_agg(name || ' (' || count || ')', ', ' ORDER BY rank) FROM spots t WHERE t.category = s.category) AS top_places FROM sizes s""", **ALL))
 def a1(spark, sf):
-    t = themes.themes(records(spark, sf))
+    t = themes.themes(records_table(spark, sf))
     return t.select("theme_id", "category", "label", "size", F.array_join("terms", ", ").alias("terms"),
                     F.array_join("representative_ids", ", ").alias("representative_ids"),
                     F.array_join(F.transform("top_places", lambda p: F.concat(p["name"], F.lit(" ("), p["count"].cast("string"), F.lit(")"))), ", ").alias("top_places"))
@@ -63,7 +63,7 @@ def a2_documents(spark, sf):
 
 @query("a3_representatives", with_sql("SELECT category, CAST(rank AS BIGINT) AS rank, id FROM reps", **ALL))
 def a3(spark, sf):
-    r = records(spark, sf)
+    r = records_table(spark, sf)
     return themes.representatives(r, themes.theme_sizes(r)).select("category", F.col("rank").cast("long").alias("rank"), "id")
 
 
@@ -95,27 +95,27 @@ def briefs_sql(scoped: str, scope: str) -> dict:
 
 @query("a6_brief", with_sql("SELECT brief FROM briefs", **record_ctes(), **briefs_sql("SELECT '' AS scope, id FROM rec", "")))
 def a6(spark, sf):
-    return themes.brief_or_empty(themes.with_scope(records(spark, sf))).select("brief")
+    return themes.brief_or_empty(themes.with_scope(records_table(spark, sf))).select("brief")
 
 
 @query("a7_theme_brief", with_sql("SELECT scope, brief FROM briefs", **record_ctes(), sizes=SIZES, **briefs_sql(
     f"SELECT {LABEL} AS scope, id FROM rec WHERE relevant AND category = (SELECT category FROM sizes WHERE theme_id = 'c_2')", "")))
 def a7_theme(spark, sf):
-    return themes.briefs(themes.with_scope(records(spark, sf), "theme", "c_2"))
+    return themes.briefs(themes.with_scope(records_table(spark, sf), "theme", "c_2"))
 
 
 @query("a7_community_brief", with_sql("SELECT scope, brief FROM briefs", **record_ctes(), **briefs_sql(
     "SELECT DISTINCT 'siksika nation' AS scope, id FROM placed WHERE lower(community) = 'siksika nation'", "")))
 def a7_community(spark, sf):
-    return themes.brief_or_empty(themes.with_scope(records(spark, sf), "community", "siksika nation"), "siksika nation")
+    return themes.brief_or_empty(themes.with_scope(records_table(spark, sf), "community", "siksika nation"), "siksika nation")
 
 
 @query("a7_empty_scope", with_sql("SELECT 'Nowhere Nation' AS scope, CASE WHEN count(*) = 0 THEN 'No records were found for Nowhere Nation.' END AS brief FROM placed WHERE community = 'Nowhere Nation'", **record_ctes()))
 def a7_empty(spark, sf):
-    return themes.brief_or_empty(themes.with_scope(records(spark, sf), "community", "Nowhere Nation"), "Nowhere Nation")
+    return themes.brief_or_empty(themes.with_scope(records_table(spark, sf), "community", "Nowhere Nation"), "Nowhere Nation")
 
 
 @query("a8_community_briefs", with_sql("SELECT scope, brief FROM briefs", **record_ctes(), **briefs_sql(
     "SELECT DISTINCT community AS scope, id FROM placed WHERE community IS NOT NULL", "")))
 def a8(spark, sf):
-    return themes.community_briefs(records(spark, sf))
+    return themes.community_briefs(records_table(spark, sf))
