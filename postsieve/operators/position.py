@@ -18,6 +18,28 @@ def _span(df: DataFrame, seq: str) -> tuple[int, int, int]:
     return row[0], row[1] or 0, row[2] or 0
 
 
+def _split_heavy(marked: DataFrame, seq: str, rows_per_bucket: int) -> tuple[DataFrame, list[str]]:
+    """Cuts buckets that came out far too large (uneven keys) by their own range, again and again if need be.
+
+    Even keys need no extra pass beyond one count per bucket.
+    """
+    keys = ["_rank", "_cut0"]
+    while len(keys) < 12:
+        heavy = (marked.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(seq).alias("_lo"), F.max(seq).alias("_hi"))
+                 .where((F.col("_n") > 4 * rows_per_bucket) & (F.col("_hi") > F.col("_lo"))).collect())  # a few rows per n / rows_per_bucket
+        if not heavy:
+            break
+        level = f"_cut{len(keys) - 1}"
+        table = marked.sparkSession.createDataFrame(
+            [(*[r[k] for k in keys], r["_lo"], max(1, -(-(r["_hi"] - r["_lo"] + 1) // (2 * -(-r["_n"] // rows_per_bucket)))))
+             for r in heavy], "_rank double, " + ", ".join(f"{k} long" for k in keys[1:]) + ", _lo long, _w long")
+        marked = (marked.join(F.broadcast(table), keys, "left")  # at most n / (4 * rows_per_bucket) rows
+                  .withColumn(level, F.coalesce(F.floor((F.col(seq) - F.col("_lo")) / F.col("_w")).cast("long"), F.lit(0).cast("long")))
+                  .drop("_lo", "_w"))
+        keys = [*keys, level]
+    return marked, keys
+
+
 def with_position(df: DataFrame, seq: str = "seq", rank: str | None = None, sums: dict[str, Column] | None = None,
                   rows_per_bucket: int = ROWS_PER_BUCKET, total: tuple[int, int, int] | None = None) -> DataFrame:
     """Adds ``position`` (0-based in ``rank`` desc, ``seq`` order) and the named running sums (inclusive).
@@ -28,23 +50,23 @@ def with_position(df: DataFrame, seq: str = "seq", rank: str | None = None, sums
     n, low, high = total or _span(df, seq)
     buckets = max(1, -(-n // rows_per_bucket))
     width = max(1, -(-(high - low + 1) // buckets))
-    cut = F.floor((F.col(seq) - F.lit(low)) / F.lit(width)).cast("long")
     rank_col = F.col(rank) if rank else F.lit(0.0)
-    marked = df.withColumn("_cut", cut).withColumn("_rank", rank_col.cast("double"))
+    marked = df.withColumn("_rank", rank_col.cast("double")).withColumn(
+        "_cut0", F.floor((F.col(seq) - F.lit(low)) / F.lit(width)).cast("long"))
     for name, value in sums.items():
         marked = marked.withColumn(f"_v_{name}", value)
-    keys = ["_rank", "_cut"]
+    marked, keys = _split_heavy(marked, seq, rows_per_bucket)
     sizes = marked.groupBy(*keys).agg(
         F.count("*").alias("_n"), *[F.sum(f"_v_{s}").alias(f"_t_{s}") for s in sums])
     # one row per bucket: a window over all of them is small
-    before = Window.orderBy(F.col("_rank").desc(), "_cut").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("_rank").desc(), *keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *[F.col(k).alias(f"_o{k}") for k in keys],
+        *keys,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0.0)).alias(f"_b_{s}") for s in sums])
     inside = Window.partitionBy(*keys).orderBy(seq)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    joined = marked.join(offsets, (F.col("_rank") == F.col("_o_rank")) & (F.col("_cut") == F.col("_o_cut")))
+    joined = marked.join(offsets, keys)
     out = joined.select(
         *df.columns,
         (F.row_number().over(inside) - 1 + F.col("_before")).cast("long").alias("position"),
