@@ -56,6 +56,15 @@ def _spaced(text: Column) -> Column:
     return T.collapse(F.regexp_replace(F.lower(text), java(r"([^a-z0-9\s])"), " $1 "))
 
 
+MAX_INLINE_WORDS = 5000
+
+
+def _few(df: DataFrame, column: str) -> list[str] | None:
+    """The distinct values when there are few enough to travel inside a filter, else None."""
+    rows = df.select(column).distinct().limit(MAX_INLINE_WORDS + 1).collect()
+    return [r[0] for r in rows] if len(rows) <= MAX_INLINE_WORDS else None
+
+
 def _grams_of(n: int) -> Column:
     starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: i + n <= F.size("w"))
     return F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, n), " "))
@@ -68,11 +77,16 @@ def term_matches(terms: DataFrame, posts: DataFrame) -> DataFrame:
     phrases = phrases.withColumn("gram", _spaced(F.col("phrase"))).withColumn("n", F.size(F.split("gram", " ")))
     # words alone decide by themselves; a phrase with marks in it is confirmed by the pattern afterwards
     phrases = phrases.withColumn("doubtful", F.col("gram").rlike("[^a-z0-9 ]"))
-    kinds = phrases.select("n", "doubtful").distinct().collect()  # phrases have at most 40 letters
+    # one look at the phrases: all of them when they are few, else only their lengths (at most 40 letters each)
+    some = phrases.select("gram", "n", "doubtful").distinct().limit(MAX_INLINE_WORDS + 1).collect()
+    wanted = sorted({r["gram"] for r in some}) if len(some) <= MAX_INLINE_WORDS else None
+    kinds = some if wanted is not None else phrases.select("n", "doubtful").distinct().collect()
     if not kinds:
         return distinct.withColumn("seq", F.lit(0).cast("long")).limit(0)
     words = posts.select("seq", settle(F.split(_spaced(F.col("text")), " ")).alias("w"))
     grams = F.flatten(F.array(*[_grams_of(n) for n in sorted({k["n"] for k in kinds})]))
+    if wanted is not None:  # only grams that can match leave the row
+        grams = F.filter(grams, lambda g: g.isin(wanted))
     seen = words.select("seq", settle(F.array_distinct(grams)).alias("g")).select("seq", F.explode("g").alias("gram"))
     found = seen.join(phrases.select("label", "phrases", "gram", "doubtful"), "gram")
     sure = found.where("NOT doubtful").select("label", "phrases", "seq")
@@ -113,7 +127,11 @@ def evidence(questions: DataFrame, terms: DataFrame, records: DataFrame, limit:
         "seq", "id", "text", F.coalesce("labels.severity.value", F.lit(0.0)).alias("severity"),
         F.coalesce("labels.relevant.confidence", F.lit(0.0)).alias("confidence"))
     keys = questions.select("qid", F.explode(F.array_distinct(T.tokenize(F.col("question")))).alias("word")).where("length(word) > 3")
-    spoken = rel.select("seq", F.explode(F.split(T.normalize(F.col("text")), " ")).alias("word")).groupBy("seq", "word").agg(F.count("*").alias("n"))
+    spoken = rel.select("seq", F.explode(F.split(T.normalize(F.col("text")), " ")).alias("word"))
+    wanted = _few(keys, "word")
+    if wanted is not None:  # words no question asks for are not shuffled
+        spoken = spoken.where(F.col("word").isin(wanted))
+    spoken = spoken.groupBy("seq", "word").agg(F.count("*").alias("n"))
     by_word = spoken.join(keys, "word").select("qid", "seq", F.col("n").alias("points"), F.lit(False).alias("first_term"))
     named = term_matches(terms, rel.select("seq", "text")).join(terms, ["label", "phrases"])
     by_term = named.select("qid", "seq", F.lit(2).cast("long").alias("points"), (F.col("rank") == 0).alias("first_term"))
