@@ -16,7 +16,8 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from registry import all_queries, all_sql
+    assert set(all_queries()) == set(all_sql())
 
 
 def test_entry(spark):
