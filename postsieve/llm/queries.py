@@ -86,3 +86,21 @@ FROM sd JOIN si USING (k, s) JOIN m USING (item_id) GROUP BY doc_id, item_id HAV
 def decontamination(spark, sf_dir):
     from postsieve.llm.decontaminate import contaminated
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, percent=80)
+
+
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(ws) - 33)) AS u(i)),
+r AS (SELECT doc_id, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r),
+g AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(ws[j], ' ' ORDER BY j) AS kept FROM d, unnest(range(1, len(ws) + 1)) AS u(j) WHERE (doc_id, j) NOT IN (SELECT doc_id, j FROM gone) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op5_repeated_passages", REPEATS_SQL)
+def repeats(spark, sf_dir):
+    from postsieve.llm.substring_dedup import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents"), window=35).drop("spans")
