@@ -104,3 +104,16 @@ FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 def repeats(spark, sf_dir):
     from postsieve.llm.substring_dedup import repeated_passages
     return repeated_passages(table(spark, sf_dir, "documents"), window=35).drop("spans")
+
+
+@query("op9_quality")
+def quality_scores(spark, sf_dir):
+    from postsieve.llm.quality import quality
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_nearest")
+def nearest_vectors(spark, sf_dir):
+    from postsieve.llm.neighbours import nearest
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
