@@ -117,3 +117,28 @@ def nearest_vectors(spark, sf_dir):
     from postsieve.llm.neighbours import nearest
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def url_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")], "host string, path string, verdict string")
+
+
+URL_SQL = r"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
+r(h, start, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, path, max_by(h || start, length(h || start)) AS rule, coalesce(max_by(verdict, length(h || start)), 'allow') AS verdict
+FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY page_id, host, path
+"""
+
+
+@query("op1_url_rules", URL_SQL)
+def url_verdicts(spark, sf_dir):
+    from postsieve.llm.url_filter import judge_urls
+    return judge_urls(table(spark, sf_dir, "pages"), url_rules(spark))
+
+
+@query("op2_role_repair")
+def role_repair(spark, sf_dir):
+    from postsieve.llm.chat_roles import repair
+    return repair(table(spark, sf_dir, "conversations"))
