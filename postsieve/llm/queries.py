@@ -142,3 +142,12 @@ def url_verdicts(spark, sf_dir):
 def role_repair(spark, sf_dir):
     from postsieve.llm.chat_roles import repair
     return repair(table(spark, sf_dir, "conversations"))
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("op4_token_counts")
+def token_counts(spark, sf_dir):
+    from postsieve.llm.token_counts import count_tokens
+    return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, fields=("source", "lang", "text"), rule="start")

@@ -31,12 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(batches, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of record batches in slices of about `limit` bytes of text, one row at least; null texts count as empty."""
+def pieces(batches, *columns: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of record batches in slices of about `limit` bytes of the named columns, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(c))), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
         slot = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
@@ -122,19 +122,3 @@ def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
-
-
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The concatenation of start, start + 1, ... for each pair."""
-    total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(total)
-
-
-def binary_array(parts: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """A binary column whose rows are consecutive cuts of `parts` (any item type); lengths count items."""
-    size = parts.dtype.itemsize
-    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64) * size]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(parts))])
