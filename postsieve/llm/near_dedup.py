@@ -6,10 +6,12 @@ Registers of two sets merge by maximum and agree about as often as the sets over
 the joint likelihood of the registers given both exact set sizes drops hopeless ones, and every remaining pair is confirmed
 on its full shingle sets.
 
-No bucket is expanded into all its pairs. Equal sets are collapsed first; then each member of a bucket is paired with the
-bucket's smallest and largest member only. Buckets whose members are not in one component after that go through an exact
-second step: in blocks of bounded size, members meet those outside the bucket's main component, so every pair of a bucket is
-either confirmed, rejected or already joined. A pair at similarity 0.8 shares none of 32 bands with probability 5e-8.
+No bucket is expanded into all its pairs. Equal sets are collapsed first. Of the documents that share a bucket, the shingles that
+no other of them has are counted: they bound every similarity from above, exactly, and most members of a large group of
+near copies that are too far from the rest fall to that bound. Each other member of a bucket is paired with the bucket's most
+central member, the one with the smallest share of such shingles. Buckets whose members are not in one component after that go
+through an exact second step: in blocks of bounded size, members meet those outside the bucket's main component, so every pair
+of a bucket is confirmed, ruled out or already joined. A pair at similarity 0.8 shares none of 32 bands with probability 5e-8.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postsieve.llm.shared import components, written
-from postsieve.llm.words import Words, binary_array, pieces, shingle_sets
+from postsieve.llm.words import Words, pieces, shingle_sets
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
 BLOCK = 256
@@ -117,8 +119,19 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int, key: str, text: str
     return wanted.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and registers leave the threshold possible, with both sizes."""
+def bounded(na, ua, nb, ub, percent: int):
+    """Whether sizes and numbers of own shingles leave the threshold possible (numpy arrays or columns of whole numbers).
+
+    The intersection holds no own shingle of either set, the union holds them all: so with o the smaller of what else they
+    hold, the similarity is o / (o + ua + ub) at most.
+    """
+    least = F.least if not isinstance(na, np.ndarray) else np.minimum
+    shared = least(na - ua, nb - ub)
+    return 100 * shared >= percent * (shared + ua + ub)
+
+
+def _likely(pairs: DataFrame, reps: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose own shingles and registers leave the threshold possible."""
     @F.pandas_udf("boolean")
     def passes(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         if not len(sa):
@@ -126,54 +139,54 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         as_rows = lambda s: np.frombuffer(b"".join(s), dtype=np.uint16).reshape(len(s), -1)
         return pd.Series(hopeful(as_rows(sa), as_rows(sb), na.to_numpy(float), nb.to_numpy(float), percent))
 
-    left = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").where(passes("sa", "sb", "na", "nb")).select("a", "b", "na", "nb")
+    known = reps.select("rep", "sketch").join(facts, "rep")
+    left = known.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("own").alias("ua"), F.col("sketch").alias("sa"))
+    right = known.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ub"), F.col("sketch").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").where(bounded(F.col("na"), F.col("ua"), F.col("nb"), F.col("ub"), percent))
+    return both.where(passes("sa", "sb", "na", "nb")).select("a", "b")
 
 
-def _confirmed(docs: DataFrame, likely: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
-    nodes = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(full_sets(docs, nodes, width, key, text), "sets")
     both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", "na", "nb", shared.alias("shared")).where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    sizes = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
+    return sizes.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
 def band_keys(sketch: Column, registers: int, band: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(registers // band - 1)), lambda i: F.xxhash64(i, F.substring(sketch, i * (2 * band) + 1, F.lit(2 * band))))
 
 
-def _rest(bands: DataFrame, heads: DataFrame, comp: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs of buckets that span components and that no star pair has tested, for the exact second step."""
-    members = (bands.join(heads.where("members > 3").select("bucket", "members"), "bucket")
-               .join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-               .select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component")))
-    members = written(members, "members")
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
-    open_ = written(members.join(main, "bucket"), "open")
-    if open_.isEmpty():
+def _rest(members: DataFrame, comp: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs across components within the buckets that span several, for the exact second step."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 2")
+    rows = (members.join(sizes, "bucket").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+            .select("bucket", "rep", "n", "own", "members", F.coalesce("component", "rep").alias("component")))
+    rows = written(rows, "members")
+    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
+    spread = written(rows.join(main, "bucket"), "spread")
+    if spread.isEmpty():
         return None
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    inside = open_.select("bucket", F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int").alias("block"), "rep", "component", F.lit(False).alias("outside"))
-    outside = open_.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "rep", "component", F.lit(True).alias("outside"))
+    inside = spread.withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int")).withColumn("outside", F.lit(False))
+    outside = spread.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("outside", F.lit(True))
 
     def meet(table: pa.Table) -> pa.Table:
-        rep, component, out = (table.column(c).to_numpy() for c in ("rep", "component", "outside"))
+        rep, component, out, size, own = (table.column(c).to_numpy() for c in ("rep", "component", "outside", "n", "own"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(len(rep), -1)
-        size, found = table.column("n_shingles").to_numpy().astype(float), []
-        rows = np.flatnonzero(~out)
+        rows, found = np.flatnonzero(~out), []
         for k in np.flatnonzero(out):
             other = rows[component[rows] != component[k]]
+            other = other[bounded(size[other], own[other], np.full(len(other), size[k]), np.full(len(other), own[k]), percent)]
             if len(other):
                 one = np.broadcast_to(sketch[k], (len(other), sketch.shape[1]))
-                other = other[hopeful(sketch[other], one, size[other], np.full(len(other), size[k]), percent)]
+                other = other[hopeful(sketch[other], one, size[other].astype(float), np.full(len(other), float(size[k])), percent)]
                 found.append(np.stack([np.minimum(rep[other], rep[k]), np.maximum(rep[other], rep[k])], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    rows = inside.unionByName(outside).join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    rows = inside.unionByName(outside).join(reps.select("rep", "sketch"), "rep")
     return rows.groupBy("bucket", "block").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -191,19 +204,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, register
     reps = named.join(first, (named.doc_id == first.rep) & (named.digest == first.digest), "left_semi").select("digest", F.col("doc_id").alias("rep"), "n_shingles", "sketch")
     reps = written(reps, "reps")
     bands = reps.select("rep", F.explode(band_keys(F.col("sketch"), registers, band)).alias("bucket"))
-    heads = bands.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    heads = written(heads, "heads")
-    star = bands.join(heads, "bucket").select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("hi").alias("b")))).alias("e"))
-    pairs = written(star.select("e.*").where("a < b").distinct(), "pairs")
-    links = written(_confirmed(docs, written(_likely(pairs, reps, percent), "likely"), width, percent, key, text), "links")
+    shared = bands.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket")
+    members = written(bands.join(shared, "bucket").distinct(), "members")
+    sets = written(full_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), width, key, text), "sets")
+    alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("hi")).where("doc_id = hi")
+    facts = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("n")).join(alone.groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("own")), "rep", "left")
+    own = F.when(F.count("*") > 1, 0).otherwise(F.coalesce(F.max("own"), F.lit(0))).cast("long")  # texts that share a doc_id have no shingles of their own
+    facts = written(facts.groupBy("rep").agg(F.max("n").alias("n"), own.alias("own")).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "facts")
+    members = written(members.join(facts, "rep"), "members")
+    heads = members.groupBy("bucket").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "rep")).alias("h"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("h.rep").alias("head"))
+    star = members.join(heads, "bucket").where("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
+    pairs = written(star.distinct(), "pairs")
+    links = written(_confirmed(written(_likely(pairs, reps, facts, percent), "likely"), sets, percent), "links")
     comp = components(links)
-    more = _rest(bands, heads, comp, reps, percent)
+    more = _rest(members, comp, reps, percent)
     if more is not None:
-        likely = written(_likely(more.join(pairs, ["a", "b"], "left_anti"), reps, percent), "likely")
+        likely = written(more.join(pairs, ["a", "b"], "left_anti"), "likely")
         if not likely.isEmpty():
-            found = written(_confirmed(docs, likely, width, percent, key, text), "links")
-            comp = components(links.unionByName(found))
+            comp = components(links.unionByName(written(_confirmed(likely, sets, percent), "links")))
     joined = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     with_set = sk.where("n_shingles > 0").join(written(joined, "classes"), "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    alone = sk.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return with_set.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    without = sk.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return with_set.unionByName(without).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
