@@ -24,8 +24,8 @@ def is_count_question(question: Column) -> Column:
     return T.matches(question, V.COUNT_QUESTION_PATTERN)
 
 
-def extract_terms(questions: DataFrame, places: Places | None = None, limit: int = V.ASK_TERMS) -> DataFrame:
-    """(qid, rank, label, phrases): places named, then quoted phrases, then capitalised words; at most four."""
+def extract_terms(questions: DataFrame, places: Places | None = None, limit: int | None = None) -> DataFrame:
+    """(qid, rank, label, phrases): places named, then quoted phrases of any length, then capitalised words; all of them unless limited."""
     places = places or Places.of()
     by_alias = {a: [{"ord": r["ord"], "label": r["name"], "phrases": list(r["aliases"])} for r in rows]
                 for a, rows in places.alias_entries().items()}
@@ -34,7 +34,7 @@ def extract_terms(questions: DataFrame, places: Places | None = None, limit: int
     df = questions.select("qid", "question", settle(named_aliases(T.collapse(q), places)).alias("_a"))
     named = F.array_sort(F.array_distinct(F.flatten(F.transform("_a", lambda a: F.element_at(constant, a["alias"])))))
     df = df.withColumn("_named", settle(named))
-    quoted = F.transform(F.regexp_extract_all(q, F.lit('["\u201c]([^"\u201d]{2,40})["\u201d]'), F.lit(1)), T.trim_all)
+    quoted = F.transform(F.regexp_extract_all(q, F.lit('["\u201c]([^"\u201d]+)["\u201d]'), F.lit(1)), T.trim_all)
     words = F.filter(F.split(F.regexp_replace(q, java(r"[^A-Za-z0-9'\s-]"), " "), java(r"\s+")), lambda w: w != "")
     capitals = F.filter(words, lambda w, i: (i > 0) & w.rlike("^[A-Z][a-z]{2,}"))
     df = df.withColumn("_extra", settle(F.concat(quoted, capitals)))
@@ -47,7 +47,7 @@ def extract_terms(questions: DataFrame, places: Places | None = None, limit: int
     term = lambda label, phrases: F.struct(label.alias("label"), phrases.alias("phrases"))
     all_terms = F.concat(F.transform("_named", lambda t: term(t["label"], t["phrases"])),
                          F.transform(once, lambda e: term(e, F.array(e))))
-    return df.select("qid", F.posexplode(settle(F.slice(all_terms, 1, limit))).alias("rank", "t")).select(
+    return df.select("qid", F.posexplode(settle(all_terms if limit is None else F.slice(all_terms, 1, limit))).alias("rank", "t")).select(
         "qid", "rank", "t.label", "t.phrases")
 
 
@@ -77,7 +77,7 @@ def term_matches(terms: DataFrame, posts: DataFrame) -> DataFrame:
     phrases = phrases.withColumn("gram", _spaced(F.col("phrase"))).withColumn("n", F.size(F.split("gram", " ")))
     # words alone decide by themselves; a phrase with marks in it is confirmed by the pattern afterwards
     phrases = phrases.withColumn("doubtful", F.col("gram").rlike("[^a-z0-9 ]"))
-    # one look at the phrases: all of them when they are few, else only their lengths (at most 40 letters each)
+    # one look at the phrases: all of them when they are few, else only their lengths
     some = phrases.select("gram", "n", "doubtful").distinct().limit(MAX_INLINE_WORDS + 1).collect()
     wanted = sorted({r["gram"] for r in some}) if len(some) <= MAX_INLINE_WORDS else None
     kinds = some if wanted is not None else phrases.select("n", "doubtful").distinct().collect()

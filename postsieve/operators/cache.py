@@ -9,14 +9,15 @@ from postsieve.functions import text as T
 from postsieve.functions.settle import settle
 from postsieve.operators import decide, geo
 from postsieve.operators.spatial import kth_smallest
+from postsieve.session import materialize
 from postsieve.sources.gazetteer import Places
 
 CACHE = ("key string, labels " + S.LABELS + ", classifier string, model_version string, redacted_text string, ts long")
 
 
-def question_version(questions: str = "", version: str = V.CACHE_VERSION) -> Column:
+def question_version(questions: Column | str = "", version: str = V.CACHE_VERSION) -> Column:
     """Changes with the wording of the questions, so an edit drops old entries."""
-    return F.concat(F.lit(version + ":"), F.sha2(F.lit(questions), 256))
+    return F.concat(F.lit(version + ":"), F.sha2(F.lit(questions) if isinstance(questions, str) else questions, 256))
 
 
 def cache_key(text: Column, hazard: str, questions: str = "", version: str = V.CACHE_VERSION, ascii_only: bool = False) -> Column:
@@ -65,14 +66,16 @@ def entries(records: DataFrame, now: int) -> DataFrame:
         F.lit(now).cast("long").alias("ts"))
 
 
-def store(cache: DataFrame, fresh: DataFrame, max_entries: int = V.CACHE_MAX_ENTRIES) -> DataFrame:
-    """The cache with the fresh entries, one per key (newest), the oldest beyond the cap taken out.
+def store(cache: DataFrame, fresh: DataFrame, max_entries: int | None = None) -> DataFrame:
+    """The cache with the fresh entries, one per key (newest; of equal times the later model version, then the larger digest of
+    the entry). All are kept unless a number is given; then the oldest beyond it are taken out.
 
-    The result is a new snapshot; write it beside the old one.
+    The result is a new snapshot, written once to the shared folder.
     """
     names = cache.columns
-    newest = (cache.unionByName(fresh).groupBy("key").agg(F.max_by(F.struct(*names), "ts").alias("e")).select("e.*"))
-    return evict_oldest(newest, max_entries)
+    order = F.struct("ts", F.coalesce("model_version", F.lit("")), F.xxhash64(F.to_json(F.struct(*names))))
+    newest = cache.unionByName(fresh).groupBy("key").agg(F.max_by(F.struct(*names), order).alias("e")).select("e.*")
+    return newest if max_entries is None else evict_oldest(materialize(newest, "entries"), max_entries)
 
 
 def evict_oldest(cache: DataFrame, max_entries: int) -> DataFrame:

@@ -141,28 +141,29 @@ def label_posts(posts: DataFrame, labels: DataFrame, classifier: str = V.MODEL_C
 
 # --- images -----------------------------------------------------------------------------------
 
-def _clean_line(c: Column) -> Column:
+def _clean_line(c: Column, limit: int | None = None) -> Column:
     plain = T.collapse(F.regexp_replace(c, java(r"(?i)\b(verified|confirmed)\b"), "reported"))
-    cut = F.rtrim(F.substring(plain, 1, V.IMAGE_TEXT_MAX - 1))
-    return F.when(F.length(plain) > V.IMAGE_TEXT_MAX, F.concat(cut, F.lit("…"))).otherwise(plain)
+    if limit is None:
+        return plain
+    return F.when(F.length(plain) > limit, F.concat(F.rtrim(F.substring(plain, 1, limit - 1)), F.lit("…"))).otherwise(plain)
 
 
 def _one_of(c: Column, allowed, default: str) -> Column:
     return F.when(c.isin(list(allowed)), c).otherwise(F.lit(default))
 
 
-def clean_descriptions(raw: DataFrame) -> DataFrame:
-    """Image descriptions with unknown values coerced; rows without alternative text are void."""
+def clean_descriptions(raw: DataFrame, text_limit: int | None = None) -> DataFrame:
+    """Image descriptions with unknown values coerced; rows without alternative text are void. Texts are whole unless limited."""
     kept = F.filter(F.coalesce("submerged", F.array().cast("array<string>")), lambda s: s.isin(list(V.SUBMERGED)))
     return raw.where(~T.is_blank(F.col("alt_text"))).select(
-        "id", _clean_line(F.col("alt_text")).alias("alt_text"),
+        "id", _clean_line(F.col("alt_text"), text_limit).alias("alt_text"),
         F.coalesce("hazard_visible", F.lit(False)).alias("hazard_visible"),
         _one_of(F.col("hazard"), V.ALL_HAZARDS, "other").alias("hazard"),
         _one_of(F.col("category"), V.CATEGORIES, "sentiment").alias("category"),
         F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("none"))).alias("submerged"),
         _one_of(F.col("water_depth"), V.WATER_DEPTHS, "unclear").alias("water_depth"),
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.0)))).alias("confidence"),
-        _clean_line(F.when(T.is_blank(F.col("caption")), F.col("alt_text")).otherwise(F.col("caption"))).alias("caption"),
+        _clean_line(F.when(T.is_blank(F.col("caption")), F.col("alt_text")).otherwise(F.col("caption")), text_limit).alias("caption"),
         T.trim_all(F.coalesce("ocr_text", F.lit(""))).alias("ocr_text"))
 
 

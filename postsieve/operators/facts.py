@@ -47,9 +47,10 @@ def merge_funnels(reports: DataFrame) -> DataFrame:
     return last.agg(*[F.coalesce(F.sum(f"r.{n}"), F.lit(0)).alias(n) for n in names])
 
 
-def merge_rejects(rejects: DataFrame, limit: int = V.REJECTS_SHOWN) -> DataFrame:
-    """The rejected rows a merged report shows; the ledger itself stays whole."""
-    return rejects.orderBy("batch", "row").limit(limit)
+def merge_rejects(rejects: DataFrame, limit: int | None = None) -> DataFrame:
+    """The rejected rows of a merged report in order: all of them, or the first ones for display."""
+    ordered = rejects.orderBy("batch", "row")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def add_funnels(*funnels: DataFrame) -> DataFrame:

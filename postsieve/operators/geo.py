@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postsieve import schema as S, values as V
 from postsieve.functions.settle import settle
-from postsieve.sources.gazetteer import Places, alias_table, fits_inline
+from postsieve.sources.gazetteer import Places, alias_table, fits_inline, reserves_of
 
 _ENTRY = ("struct<name:string,kind:string,lat:double,lon:double,admin:string,country:string,population:bigint,"
           "community:string>")
@@ -91,6 +91,24 @@ def named_aliases(text: Column, places: Places, min_length: int = 3) -> Column:
     return F.array_distinct(F.filter(found, lambda c: F.length(c["alias"]) >= min_length))
 
 
+def named_aliases_joined(posts: DataFrame, gazetteer: DataFrame, min_length: int = 3) -> DataFrame:
+    """(seq, alias, first) of ``named_aliases`` for a gazetteer of any size.
+
+    Only n-grams that begin with the first word of some alias can match, so first words are met before n-grams are made.
+    """
+    aliases = alias_table(gazetteer).where(F.length("alias") >= min_length).select("alias", "rank.first")
+    words = posts.select("seq", F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", " | "), " ").alias("w"))
+    starts = words.select("seq", "w", F.posexplode("w").alias("pos", "word"))
+    sized = aliases.select("alias", "first", F.split("alias", " ")[0].alias("word"), F.size(F.split("alias", " ")).alias("n"))
+    found = starts.select("seq", "word", F.slice("w", F.col("pos") + 1, F.lit(longest_alias(gazetteer))).alias("rest")).join(sized, "word")
+    return found.where(F.array_join(F.slice("rest", F.lit(1), F.col("n")), " ") == F.col("alias")).select("seq", "alias", "first").distinct()
+
+
+def longest_alias(gazetteer: DataFrame) -> int:
+    """Words of the longest alias."""
+    return gazetteer.select(F.explode("aliases").alias("a")).agg(F.max(F.size(F.split("a", " ")))).first()[0] or 1
+
+
 # --- matching ---------------------------------------------------------------------------------
 
 def _accept(candidates: Column) -> Column:
@@ -246,11 +264,12 @@ def geoparse(posts: DataFrame, gazetteer: Places | DataFrame | None = None, coun
 
     ``skip`` marks posts without coordinates whose text is not searched. ``use_place`` searches the place
     column too and names a given point after it. ``communities`` supplies reserves when the gazetteer itself
-    is a large table.
+    is a large table; without it they are joined from that table.
     """
-    small = gazetteer if isinstance(gazetteer, Places) else communities
-    if small is None:
-        small = Places.of(gazetteer) if isinstance(gazetteer, DataFrame) and fits_inline(gazetteer) else Places.of()
+    if isinstance(gazetteer, DataFrame) and fits_inline(gazetteer):
+        gazetteer = Places.of(gazetteer)
+    large = isinstance(gazetteer, DataFrame)
+    small = communities or (Places(()) if large else gazetteer or Places.of())
     has_place = use_place and "place" in posts.columns
     given = accepted_coordinates(F.col("lat"), F.col("lon"))
     method = F.col("geo_method") if "geo_method" in posts.columns else None
@@ -262,7 +281,37 @@ def geoparse(posts: DataFrame, gazetteer: Places | DataFrame | None = None, coun
     df = _resolve(find_aliases(df, gazetteer, F.col("_search"), countries), "_hits", "_found")
     point = provided_place(F.col("lat"), F.col("lon"), small, F.col("place") if has_place else None, method)
     places = F.when(given, F.array(point)).otherwise(F.col("_found"))
-    return df.withColumn("places", settle(places)).drop("_search", "_hits", "_found")
+    df = df.withColumn("places", settle(places)).drop("_search", "_hits", "_found")
+    return _with_joined_communities(df, gazetteer) if large and communities is None else df
+
+
+def _with_joined_communities(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Communities of given points from a gazetteer that is joined: distinct points meet the reserves of their cells."""
+    given = accepted_coordinates(F.col("lat"), F.col("lon"))
+    near = nearest_community_joined(df.where(given).select("lat", "lon").distinct(), reserves_of(gazetteer))
+    df = df.join(near.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "_near"), (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left")
+    changed = F.transform("places", lambda p: p.withField("community", F.col("_near")))
+    return df.withColumn("places", F.when(given, changed).otherwise(F.col("places"))).drop("_lat", "_lon", "_near")
+
+
+def nearest_community_joined(points: DataFrame, reserves: DataFrame, radius_km: float = V.COMMUNITY_RADIUS_KM) -> DataFrame:
+    """(lat, lon, _near: name and id of the nearest reserve's community) for distinct points and a reserve table of any size.
+
+    An equi-join on quarter-degree cells, then the distance: a reserve is copied into every cell its radius can touch, round
+    the date line too, and a point lies in one, so no pair is tried outside neighbouring cells.
+    """
+    cell, band, around = 0.25, radius_km / 111.0, 1440
+    wide = F.lit(band) / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + band, F.lit(89.9)))), F.lit(0.001))
+    r = reserves.select(
+        F.struct("ord", "community", "name", "lat", "lon").alias("r"), F.least(wide, F.lit(180.0)).alias("_w"),
+        F.explode(F.sequence(F.floor((F.col("lat") - band) / cell), F.floor((F.col("lat") + band) / cell))).alias("_cy"))
+    columns = F.transform(F.sequence(F.floor((F.col("r.lon") - F.col("_w")) / cell), F.floor((F.col("r.lon") + F.col("_w")) / cell)), lambda c: F.pmod(c, F.lit(around)))
+    r = r.select("r", "_cy", F.explode(F.array_distinct(columns)).alias("_cx"))
+    p = points.select("lat", "lon", F.floor(F.col("lat") / cell).alias("_cy"), F.pmod(F.floor(F.col("lon") / cell), F.lit(around)).alias("_cx"))
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("r.lat"), F.col("r.lon"))
+    near = p.join(r, ["_cx", "_cy"]).withColumn("km", km).where(F.col("km") <= radius_km)
+    best = near.groupBy("lat", "lon").agg(F.min(F.struct("km", "r")).alias("b"))
+    return best.select("lat", "lon", F.struct(F.col("b.r.community").alias("name"), F.col("b.r.name").alias("id")).alias("_near"))
 
 
 def community_rollup(records: DataFrame) -> DataFrame:

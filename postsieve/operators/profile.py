@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from postsieve import values as V
 from postsieve.functions import text as T
 from postsieve.functions.settle import settle
-from postsieve.operators.geo import named_aliases
+from postsieve.operators.geo import named_aliases, named_aliases_joined
 from postsieve.operators.position import systematic_sample
-from postsieve.sources.gazetteer import Places
+from postsieve.sources.gazetteer import Places, fits_inline
 
 
 @dataclass(frozen=True)
@@ -44,9 +44,13 @@ def hazard_match(text: Column, hazard: str) -> Column:
     return T.matches(text, V.HAZARD_PATTERNS[hazard]) if hazard in V.HAZARD_PATTERNS else F.lit(False)
 
 
+def with_text(posts: DataFrame) -> DataFrame:
+    return posts.where(F.coalesce(F.col("text") != "", F.lit(False)))
+
+
 def sample_posts(posts: DataFrame, limit: int = V.SAMPLE_SIZE) -> tuple[DataFrame, int]:
     """Posts with text, every n-th of them when there are more than ``limit``."""
-    return systematic_sample(posts.where(F.coalesce(F.col("text") != "", F.lit(False))), limit)
+    return systematic_sample(with_text(posts), limit)
 
 
 def hazard_profile(sample: DataFrame) -> DataFrame:
@@ -70,19 +74,26 @@ def hazard_profile(sample: DataFrame) -> DataFrame:
 
 
 def term_counts(sample: DataFrame, n: int) -> DataFrame:
-    """Words of at least three posts and fewer than 60 % of them, 40 most frequent; ties go to the first seen.
+    """Words of at least three posts and fewer than 60 % of them, 40 most frequent; ties go to the first seen, then by word.
 
-    One row per word of at most ``SAMPLE_SIZE`` posts enters the ranking.
+    Counted before the shuffle, so a word costs one row per input partition. The first place is one number (post, then
+    word up to 2**20), which keeps the aggregation in a hash table.
     """
     words = F.array_distinct(F.split(T.normalize(F.col("text")), " "))
+    first = F.col("seq") * (1 << 20) + F.least(F.col("pos"), F.lit((1 << 20) - 1))
     seen = (sample.select("seq", F.posexplode(words).alias("pos", "term")).where(T.is_token(F.col("term")))
-            .groupBy("term").agg(F.count("*").alias("n"), F.min(F.struct("seq", "pos")).alias("first")))
+            .groupBy("term").agg(F.count("*").alias("n"), F.min(first).alias("first")))
     kept = seen.where((F.col("n") >= V.TERM_MIN_DF) & (F.col("n") < n * V.TERM_MAX_SHARE))
-    return kept.orderBy(F.desc("n"), "first").limit(V.TERM_LIMIT)
+    return kept.orderBy(F.desc("n"), "first", "term").limit(V.TERM_LIMIT)
 
 
-def place_counts(sample: DataFrame, places: Places, limit: int = V.PLACE_LIMIT) -> DataFrame:
-    """Aliases by number of posts that name them; ties go to the longer alias."""
+def place_counts(sample: DataFrame, places: Places | DataFrame, limit: int = V.PLACE_LIMIT) -> DataFrame:
+    """Aliases by number of posts that name them; ties go to the longer alias. A large gazetteer is joined."""
+    if isinstance(places, DataFrame) and fits_inline(places):
+        places = Places.of(places)
+    if isinstance(places, DataFrame):
+        named = named_aliases_joined(sample, places).withColumn("rank", F.struct(-F.length("alias"), "first"))
+        return named.groupBy("alias", "rank").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rank").limit(limit)
     named = sample.select("seq", settle(named_aliases(F.col("text"), places)).alias("a"))
     return (named.select("seq", F.explode("a").alias("a")).groupBy("a.alias", "a.rank").agg(F.count("*").alias("n"))
             .orderBy(F.desc("n"), "rank").limit(limit))
@@ -92,31 +103,32 @@ def _ranked_names(df: DataFrame, name: str, order: list) -> list[str]:
     return [r[0] for r in df.orderBy(*order).select(name).collect()]  # at most 40 or 8 rows
 
 
-def detect(posts: DataFrame, places: Places | None = None, sample_size: int = V.SAMPLE_SIZE) -> EventProfile:
-    """Profile of a corpus. The sample (at most ``sample_size`` posts) is cut from its lineage once."""
+def detect(posts: DataFrame, places: Places | DataFrame | None = None, sample_size: int | None = None) -> EventProfile:
+    """Profile of a corpus, over all its posts unless a sample size is given.
+
+    Three passes of aggregates over narrow columns; pass a written table.
+    """
     places = places or Places.of()
-    sample, n = sample_posts(posts.select("seq", "text"), sample_size)
-    sample = sample.persist()
-    try:
-        h = hazard_profile(sample).first().asDict()
-        terms = _ranked_names(term_counts(sample, n), "term", [F.desc("n"), "first"])
-        named = _ranked_names(place_counts(sample, places), "alias", [F.desc("n"), "rank"])
-    finally:
-        sample.unpersist()
+    texts = _chosen(posts.select("seq", "text"), sample_size)
+    h = hazard_profile(texts).first().asDict()
+    terms = _ranked_names(term_counts(texts, h["n"]), "term", [F.desc("n"), "first", "term"])
+    named = _ranked_names(place_counts(texts, places), "alias", [F.desc("n"), "rank"])
     shares = {k: h[f"{k}_share"] for k in V.HAZARDS if h[f"{k}_share"] is not None}
     return EventProfile(h["hazard"], tuple(named), tuple(terms), h["mixed"], h["hazard"], shares)
 
 
-def target_places(posts: DataFrame, places: Places | None = None, target: str = "flood",
-                  sample_size: int = V.SAMPLE_SIZE) -> DataFrame:
+def _chosen(posts: DataFrame, sample_size: int | None) -> DataFrame:
+    return with_text(posts) if sample_size is None else sample_posts(posts, sample_size)[0]
+
+
+def target_places(posts: DataFrame, places: Places | DataFrame | None = None, target: str = "flood", sample_size: int | None = None) -> DataFrame:
     """Place ranking over the posts that name the target hazard."""
     about = posts.select("seq", "text").where(hazard_match(F.col("text"), target))
-    sample, _ = sample_posts(about, sample_size)
-    return place_counts(sample, places or Places.of())
+    return place_counts(_chosen(about, sample_size), places or Places.of())
 
 
-def focus(profile: EventProfile, posts: DataFrame, places: Places | None = None, target: str = "flood",
-          sample_size: int = V.SAMPLE_SIZE) -> EventProfile:
+def focus(profile: EventProfile, posts: DataFrame, places: Places | DataFrame | None = None, target: str = "flood",
+          sample_size: int | None = None) -> EventProfile:
     """A mixed corpus is looked at for one hazard, with the places of its posts; others are left alone."""
     if not profile.mixed or profile.user_edited:
         return profile

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postsieve import schema as S, values as V
-from postsieve.operators.geo import community_rollup, haversine_km
+from postsieve.operators import geo
+from postsieve.operators.geo import community_rollup
 from postsieve.sources.gazetteer import GAZETTEER_SCHEMA, Places
 
 
@@ -151,21 +152,7 @@ def label_points(reserves: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def nearest_community_joined(pts: DataFrame, reserves: DataFrame, radius_km: float = V.COMMUNITY_RADIUS_KM) -> DataFrame:
-    """Nearest reserve for a reserve table of any size: an equi-join on quarter-degree cells, then the distance.
-
-    A reserve is copied into every cell its radius can touch, a point lies in one, so no pair is tried outside
-    neighbouring cells.
-    """
-    cell, band = 0.25, radius_km / 111.0
-    spread = F.lit(band) / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + band, F.lit(89.9)))), F.lit(0.001))
-    r = reserves.select(
-        F.struct("name", "community", "lat", "lon").alias("r"),
-        F.explode(F.sequence(F.floor((F.col("lat") - band) / cell), F.floor((F.col("lat") + band) / cell))).alias("_cy"),
-        spread.alias("_w"))
-    r = r.select("r", "_cy", F.explode(F.sequence(
-        F.floor((F.col("r.lon") - F.col("_w")) / cell), F.floor((F.col("r.lon") + F.col("_w")) / cell))).alias("_cx"))
-    p = pts.select("id", "lat", "lon", F.floor(F.col("lat") / cell).alias("_cy"), F.floor(F.col("lon") / cell).alias("_cx"))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("r.lat"), F.col("r.lon"))
-    near = p.join(r, ["_cx", "_cy"]).withColumn("km", km).where(F.col("km") <= radius_km)
-    return near.groupBy("id").agg(F.min(F.struct("km", "r")).alias("b")).select(
-        "id", F.col("b.r.community").alias("community"), F.col("b.r.name").alias("community_id"))
+    """(id, community, community_id) for points with a reserve within the radius. Points at one place are measured once."""
+    numbered = reserves if "ord" in reserves.columns else reserves.withColumn("ord", F.lit(0))
+    near = geo.nearest_community_joined(pts.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").distinct(), numbered, radius_km)
+    return pts.select("id", "lat", "lon").join(near, ["lat", "lon"]).select("id", F.col("_near.name").alias("community"), F.col("_near.id").alias("community_id"))

@@ -9,18 +9,23 @@ from postsieve.functions import text as T
 from postsieve.functions.settle import settle
 from postsieve.operators import decide, dedupe, geo, profile as P, score
 from postsieve.session import materialize
-from postsieve.sources.gazetteer import Places
+from postsieve.sources.gazetteer import Places, countries_of
 
 
-def prepare(posts: DataFrame, places: Places | None = None) -> tuple[DataFrame, P.EventProfile]:
+def prepare(posts: DataFrame, places: Places | DataFrame | None = None) -> tuple[DataFrame, P.EventProfile]:
     """Copies collapsed (written once, since profile and scoring pass over them) and the corpus profile."""
     kept = materialize(dedupe.collapse_with_images(posts) if "image_ref" in posts.columns else dedupe.collapse_exact(posts), "kept")
     return kept, P.focus(P.detect(kept, places), kept, places)
 
 
-def scope_of(profile: P.EventProfile, places: Places | None = None) -> list[str] | None:
-    """Countries of a single-region corpus; a mixed one is not limited."""
-    return None if profile.mixed else ((places or Places.of()).countries_of(list(profile.places)) or None)
+def scope_of(profile: P.EventProfile, gazetteer: Places | DataFrame | None = None) -> list[str] | None:
+    """Countries of a single-region corpus, by the gazetteer in use; a mixed one is not limited."""
+    if profile.mixed or not profile.places:
+        return None
+    if isinstance(gazetteer, DataFrame):
+        named = gazetteer.sparkSession.createDataFrame([(p,) for p in profile.places], "alias string")  # 8 at most
+        return sorted(r["country"] for r in countries_of(named, gazetteer).collect() if r["country"]) or None  # the countries of 8 names
+    return (gazetteer or Places.of()).countries_of(list(profile.places)) or None
 
 
 def triage(posts: DataFrame, profile: P.EventProfile, labels: DataFrame | None = None, images: DataFrame | None = None,
@@ -31,7 +36,7 @@ def triage(posts: DataFrame, profile: P.EventProfile, labels: DataFrame | None =
     post below the threshold and one without anything to read are labelled as such. ``labels`` (id, labels) are
     the model's answers, ``images`` the cleaned descriptions; image posts form the second branch.
     """
-    scope = scope_of(profile, gazetteer if isinstance(gazetteer, Places) else None)
+    scope = scope_of(profile, gazetteer)
     blank = T.is_blank(F.col("text"))
     has_image = F.col("image_ref").isNotNull() if "image_ref" in posts.columns else F.lit(False)
     text_posts = posts.where(~blank | ~has_image)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,18 +24,20 @@ def local_session(cpus: str = "8", app: str = "postsieve") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: spark.checkpoint.dir, or a scratch one where that is unset (tests)."""
+    """Folder every executor can reach: spark.checkpoint.dir, or a scratch one where that is unset and all runs in one process (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", scratch)
     return scratch
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{os.urandom(8).hex()}")
+    """A fresh path below the shared folder, in a folder of the application's own that can be removed when it has ended."""
+    return os.path.join(shared_folder(spark), spark.sparkContext.applicationId, f"{name}-{os.urandom(8).hex()}")
 
 
 def materialize(df, name: str = "step"):

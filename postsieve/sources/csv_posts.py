@@ -95,7 +95,7 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 def _field_count(line: Column, delimiter: str) -> Column:
-    bare = F.regexp_replace(line, '"(?:[^"]|"")*"', "")
+    bare = F.regexp_replace(line, '"[^"]*"', "")
     return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
 
 
@@ -140,10 +140,9 @@ def read_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[
 
 
 def infer_text_column(rows: DataFrame, headers: list[str], positions: dict[str, int]) -> str:
-    """The column of the first 200 rows that reads most like prose: long, spaced, not numeric."""
-    first = rows.where((F.col("part") == 0) & (F.col("row") <= V.INFER_ROWS + 1))
+    """The column that reads most like prose over all rows: long, spaced, not numeric. One pass of averages."""
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col("f")[positions[h]].alias("v")) for i, h in enumerate(headers)])
-    long = first.select(F.explode(pairs).alias("x")).select("x.*").where("v <> ''")
+    long = rows.select(F.explode(pairs).alias("x")).select("x.*").where("v <> ''")
     share = lambda c: F.avg(c.cast("double"))
     score = F.avg(F.length("v")) * (1 - share(F.col("v").rlike(r"^[\d.,\s-]+$"))) * (0.5 + share(F.col("v").contains(" ")) / 2)
     best = long.groupBy("i").agg(score.alias("s")).orderBy(F.desc("s"), "i").first()  # one row per column

@@ -1,13 +1,16 @@
-"""Gazetteers: the built-in starter set, reading a full one from a file, and merging new places.
+"""Gazetteers: the built-in one, reading another from a file, and merging new places.
 
-A gazetteer is a DataFrame with GAZETTEER_SCHEMA. Every geo operator takes one as a parameter; a complete
+A gazetteer is a DataFrame with GAZETTEER_SCHEMA. Every geo operator takes one as a parameter; a
 file (JSON object with a ``places`` array, fields name, aliases, lat, lon, kind, admin, country, population,
 isFirstNation, community) is read with ``read_gazetteer``.
 """
 
 from __future__ import annotations
 
+import json
+import os
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,90 +19,28 @@ GAZETTEER_SCHEMA = (
     "country string, population long, is_first_nation boolean, community string"
 )
 
-# --- fixed values: starter places ---------------------------------------------------------------
-# name | aliases | lat | lon | kind | admin | country | population | community (reserves only)
-STARTER_PLACES = """
-Calgary, AB | calgary,yyc,cgy | 51.0447 | -114.0719 | city | AB | CA | 1306784 |
-High River, AB | high river,highriver | 50.5808 | -113.8744 | town | AB | CA | 14324 |
-Canmore, AB | canmore | 51.0884 | -115.3479 | town | AB | CA | 15990 |
-Medicine Hat, AB | medicine hat,medhat,mhflood | 50.0405 | -110.6764 | city | AB | CA | 63271 |
-Bragg Creek, AB | bragg creek,braggcreek | 50.9503 | -114.5697 | hamlet | AB | CA | |
-Okotoks, AB | okotoks | 50.7256 | -113.9749 | town | AB | CA | |
-Banff, AB | banff | 51.1784 | -115.5708 | town | AB | CA | |
-Lethbridge, AB | lethbridge,yql | 49.6956 | -112.8451 | city | AB | CA | |
-Red Deer, AB | red deer | 52.2681 | -113.8112 | city | AB | CA | |
-Edmonton, AB | edmonton,yeg | 53.5461 | -113.4938 | city | AB | CA | 1010899 |
-Siksika Nation 146 | siksika,siksika nation,blackfoot crossing | 50.7667 | -112.8833 | reserve | AB | CA | | Siksika Nation
-Stoney Nakoda (Morley) 142-144 | morley,stoney nakoda,bearspaw | 51.1667 | -114.85 | reserve | AB | CA | | Stoney Nakoda Nation
-Tsuut'ina Nation 145 | tsuutina,tsuu tina,sarcee | 50.9333 | -114.2167 | reserve | AB | CA | | Tsuut'ina Nation
-Eden Valley 216 | eden valley | 50.4167 | -114.4667 | reserve | AB | CA | | Stoney Nakoda Nation
-Mission, Calgary, AB | mission calgary | 51.0325 | -114.0714 | neighbourhood | AB | CA | |
-Glenmore Reservoir, Calgary, AB | glenmore reservoir,glenmore dam,glenmore | 50.9908 | -114.1236 | landmark | AB | CA | |
-Memorial Drive, Calgary, AB | memorial drive,memorial dr | 51.0533 | -114.0631 | road | AB | CA | |
-Bow River, AB | bow river | 51.0361 | -114.0203 | river | AB | CA | |
-Elbow River, AB | elbow river | 51.0369 | -114.0375 | river | AB | CA | |
-Macleod Trail, Calgary, AB | macleod trail | 50.9944 | -114.0714 | road | AB | CA | |
-Highway 22, AB | highway 22,hwy 22 | 50.9 | -114.55 | road | AB | CA | |
-Highway 1 (Trans-Canada), AB | highway 1,hwy 1,trans canada | 51.09 | -114.6 | road | AB | CA | |
-Highway 2 (QEII), AB | highway 2,hwy 2,qeii | 51.5 | -113.95 | road | AB | CA | |
-Millennium Park, Calgary, AB | millennium park | 51.0452 | -114.0913 | landmark | AB | CA | |
-Thunder Bay, ON | thunder bay,yqt,tbay | 48.3809 | -89.2477 | city | ON | CA | 108843 |
-Kashechewan First Nation | kashechewan,kash | 52.2833 | -81.6167 | reserve | ON | CA | | Kashechewan First Nation
-Fort William First Nation | fort william first nation,fwfn | 48.3333 | -89.3333 | reserve | ON | CA | | Fort William First Nation
-Peguis First Nation | peguis | 51.0833 | -97.5 | reserve | MB | CA | | Peguis First Nation
-Winnipeg, MB | winnipeg,ywg | 49.8951 | -97.1384 | city | MB | CA | 749607 |
-Red River, MB | red river | 49.9 | -97.1333 | river | MB | CA | |
-Toronto, ON | toronto,yyz,the 6ix | 43.6532 | -79.3832 | city | ON | CA | 2794356 |
-Victoria, BC | victoria bc | 48.4284 | -123.3656 | city | BC | CA | |
-Alberta | alberta,abflood,abfloods | 53.9333 | -116.5765 | region | AB | CA | |
-Ontario | ontario | 51.2538 | -85.3232 | region | ON | CA | |
-Northwestern Ontario | northwestern ontario,northwest ontario | 50 | -90 | region | ON | CA | |
-Millennium Park, Chicago, IL | millennium park | 41.8826 | -87.6226 | landmark | IL | US | |
-Victoria, Australia | victoria | -37.4713 | 144.7852 | region | VIC | AU | |
-London, UK | london | 51.5072 | -0.1276 | city | ENG | GB | 8982000 |
-London, ON | london | 42.9849 | -81.2453 | city | ON | CA | 422324 |
-Houston, TX | houston | 29.7604 | -95.3698 | city | TX | US | 2304580 |
-Sardinia, Italy | sardinia,sardegna | 40.1209 | 9.0129 | region | SAR | IT | |
-Olbia, Sardinia | olbia | 40.9237 | 9.4963 | city | SAR | IT | |
-Colorado | colorado,coflood,coloradoflood | 39.5501 | -105.7821 | region | CO | US | |
-Boulder, CO | boulder,boulderflood | 40.015 | -105.2705 | city | CO | US | |
-Queensland, Australia | queensland,qldfloods,qld | -20.9176 | 142.7028 | region | QLD | AU | |
-Bundaberg, QLD | bundaberg | -24.8661 | 152.3489 | city | QLD | AU | |
-Australia | australia | -25.2744 | 133.7751 | region | | AU | |
-Philippines | philippines,pilipinas | 12.8797 | 121.774 | region | | PH | |
-Manila, Philippines | manila,metro manila,mmflood | 14.5995 | 120.9842 | city | NCR | PH | |
-New York City, NY | new york city,nyc,new york | 40.7128 | -74.006 | city | NY | US | |
-Boston, MA | boston,bostonmarathon,prayforboston | 42.3601 | -71.0589 | city | MA | US | |
-Moore, OK | moore oklahoma,moore ok | 35.3395 | -97.4867 | city | OK | US | |
-Oklahoma | oklahoma,prayforoklahoma | 35.5 | -97.5 | region | OK | US | |
-India | india | 20.5937 | 78.9629 | region | | IN | |
-Lake St. Martin First Nation | lake st martin,lake saint martin | 51.748 | -98.4357 | reserve | MB | CA | | Lake St. Martin First Nation
-Cumberland House Cree Nation | cumberland house,cumberland house cree nation | 53.9419 | -102.2849 | reserve | SK | CA | | Cumberland House Cree Nation
-Lytton First Nation | lytton first nation | 50.2311 | -121.5814 | reserve | BC | CA | | Lytton First Nation
-Boston Bar First Nation | boston bar first nation | 49.877 | -121.4514 | reserve | BC | CA | | Boston Bar First Nation
-Kahnawake | kahnawake,kahnawake mohawk territory | 45.4167 | -73.6833 | reserve | QC | CA | | Kahnawake
-Tobique First Nation | tobique,neqotkuk | 46.8 | -67.6 | reserve | NB | CA | | Tobique First Nation
-Old Crow (Vuntut Gwitchin First Nation) | old crow,vuntut gwitchin | 67.5686 | -139.8353 | reserve | YT | CA | | Vuntut Gwitchin First Nation
-"""
-
 # Above this many aliases a gazetteer is joined as a table instead of travelling inside the plan.
 MAX_INLINE_ALIASES = 5000
 
 
-def starter_rows() -> list[dict]:
-    rows = []
-    for i, line in enumerate(STARTER_PLACES.strip().splitlines()):
-        f = [x.strip() for x in line.split("|")]
-        rows.append({
-            "ord": i, "name": f[0], "aliases": f[1].split(","), "lat": float(f[2]), "lon": float(f[3]),
-            "kind": f[4], "admin": f[5], "country": f[6], "population": int(f[7]) if f[7] else None,
-            "is_first_nation": bool(f[8]), "community": f[8] or None,
-        })
-    return rows
+@lru_cache(maxsize=1)
+def _default_rows() -> tuple:
+    """The built-in places, a file of fixed values beside this module; a few hundred rows."""
+    with open(os.path.join(os.path.dirname(__file__), "places.json"), encoding="utf-8") as f:
+        places = json.load(f)["places"]
+    return tuple({
+        "ord": i, "name": p["name"], "aliases": [a.lower() for a in p["aliases"]], "lat": float(p["lat"]), "lon": float(p["lon"]),
+        "kind": p["kind"], "admin": p["admin"], "country": p["country"], "population": p.get("population"),
+        "is_first_nation": bool(p.get("isFirstNation", False)), "community": p.get("community"),
+    } for i, p in enumerate(places))
+
 
+def default_rows() -> list[dict]:
+    return [dict(r) for r in _default_rows()]
 
-def starter_gazetteer(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(starter_rows(), GAZETTEER_SCHEMA)
+
+def default_gazetteer(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(default_rows(), GAZETTEER_SCHEMA)
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
@@ -147,7 +88,7 @@ class Places:
     @classmethod
     def of(cls, gazetteer: DataFrame | list[dict] | None = None) -> "Places":
         if gazetteer is None:
-            return cls(tuple(starter_rows()))
+            return cls(tuple(default_rows()))
         if isinstance(gazetteer, DataFrame):
             if not fits_inline(gazetteer):
                 raise ValueError("gazetteer is too large to inline; pass the DataFrame to geoparse")
@@ -197,3 +138,24 @@ def alias_table(gazetteer: DataFrame) -> DataFrame:
                  F.array_sort(F.collect_list(F.struct("ord", "entry"))).alias("e"))
             .select("alias", F.transform("e", lambda x: x["entry"]).alias("entries"),
                     F.struct(-F.length("alias"), "first").alias("rank")))
+
+
+def _by_alias(gazetteer: DataFrame) -> DataFrame:
+    """(alias, ord, name, country): every alias of every place, with the lower-cased name as one of them."""
+    return gazetteer.select("ord", "name", "country", F.explode(F.array_distinct(F.concat(F.array(F.lower("name")), F.transform("aliases", F.lower)))).alias("alias"))
+
+
+def display_names(ranked: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(name) of ranked aliases, each once; the last place of an alias names it."""
+    named = ranked.select("alias").join(_by_alias(gazetteer), "alias").groupBy("alias").agg(F.max_by("name", "ord").alias("name"))
+    return named.select("name").distinct()
+
+
+def countries_of(ranked: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(country) behind ranked aliases, each once."""
+    return ranked.select("alias").join(_by_alias(gazetteer), "alias").select("country").distinct()
+
+
+def reserves_of(gazetteer: DataFrame) -> DataFrame:
+    """(ord, name, community, lat, lon) of the places that name a community."""
+    return gazetteer.where("is_first_nation").select("ord", "name", F.coalesce("community", "name").alias("community"), "lat", "lon")

@@ -63,9 +63,11 @@ def write_changes(stream: DataFrame, path: str, checkpoint: str, mode: str = "up
             .trigger(availableNow=True).start())
 
 
-def latest(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """Newest row per key of a change log (completion order wins); without a key, the newest single row."""
+def latest(spark: SparkSession, path: str, key: str | None = None, order: str | None = None) -> DataFrame:
+    """Newest row per key of a change log; without a key, the newest single row. With an order column (a version or a time) the
+    largest value wins, in whatever batch it came; equal ones, and all without it, go by batch."""
     rows = spark.read.parquet(path).drop("batch")
     columns = [c for c in rows.columns if c != "batch_id"]
     grouped = rows.groupBy(key) if key else rows.groupBy()
-    return grouped.agg(F.max_by(F.struct(*columns), "batch_id").alias("r")).select("r.*")
+    newest = F.struct(order, "batch_id") if order else F.col("batch_id")
+    return grouped.agg(F.max_by(F.struct(*columns), newest).alias("r")).select("r.*")

@@ -79,7 +79,7 @@ def c8(spark, sf):
 
 def _clean_sql(x):
     plain = f"trim(regexp_replace(regexp_replace({x}, {q(r'(?i)\b(verified|confirmed)\b')}, 'reported', 'g'), {q(r'\s+')}, ' ', 'g'))"
-    return f"CASE WHEN length({plain}) > 200 THEN rtrim(substr({plain}, 1, 199)) || '…' ELSE {plain} END"
+    return plain
 
 
 _in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"

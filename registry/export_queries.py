@@ -56,36 +56,59 @@ _CELLS = [("r.id",), ("r.text",), ("category",), (CAT_LBL,), (f"CAST({BAND} AS V
     "SELECT id, pos, " + " || ',' || ".join(cell_sql(f"c{i}") for i in range(len(_CELLS))) + " AS line FROM (SELECT r.id, coalesce(CAST(p.pos AS BIGINT), 0) AS pos, "
     + ", ".join(f"coalesce({c[0]}, '') AS c{i}" for i, c in enumerate(_CELLS)) + " FROM rec r LEFT JOIN placed p USING (id))", **R))
 def x3(spark, sf):
-    r = records(spark, sf)
-    return export.csv_lines(r).join(r.select("seq", "id"), "seq").select("id", F.col("pos").cast("long").alias("pos"), "line")
+    return export.csv_lines(records(spark, sf)).select("id", F.col("pos").cast("long").alias("pos"), "line")
 
 
-@query("x3_csv_file", with_sql("SELECT count(*) AS lines FROM rec LEFT JOIN placed USING (id)", **R))
+CSV_LINES = ("SELECT " + " || ',' || ".join(cell_sql(f"c{i}") for i in range(len(_CELLS))) + " AS line FROM (SELECT "
+             + ", ".join(f"coalesce({c[0]}, '') AS c{i}" for i, c in enumerate(_CELLS)) + " FROM rec r LEFT JOIN placed p USING (id))")
+
+
+@query("x3_csv_file", with_sql(f"SELECT line, count(*) AS n, 'each' AS headers FROM ({CSV_LINES}) GROUP BY line", **R))
 def x3_file(spark, sf):
+    """Lines read back from the written parts; each part has its own header, which is taken off and counted."""
     path = scratch_path(spark, "export")
     export.write_csv(records(spark, sf), path)
-    return spark.read.option("lineSep", "\r\n").text(path).agg(F.count("*").alias("lines"))
+    rows = spark.read.option("lineSep", "\r\n").text(path).select("value", F.input_file_name().alias("file"))
+    head = F.regexp_replace("value", "^\ufeff", "") == export.csv_header()
+    per_file = rows.groupBy("file").agg(F.count_if(head).alias("heads")).agg(F.min("heads").alias("lo"), F.max("heads").alias("hi"))
+    said = per_file.select(F.when((F.col("lo") == 1) & (F.col("hi") == 1), "each").otherwise("wrong").alias("headers"))
+    return rows.where(~head).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n")).crossJoin(said)
 
 
-def brief_sql():
-    return """SELECT line FROM (
-      SELECT '- ' || count(*) || ' record(s) in this export; ' || count(*) FILTER (relevant) || ' classified relevant.' AS line FROM rec
-      UNION ALL SELECT '- ' || count(*) FILTER (relevant AND mapped) || ' of ' || count(*) FILTER (relevant) || ' relevant record(s) resolved to a mappable place; ' || count(*) FILTER (relevant AND NOT mapped) || ' mention no place at all.' FROM rec
-      UNION ALL SELECT '- ' || """ + LABEL + """ || ' (' || size || ')' || coalesce(' -- top places: ' || (SELECT string_agg(name || ' (' || count || ')', ', ' ORDER BY rank) FROM spots p WHERE p.category = s.category), '') FROM sizes s
-      UNION ALL SELECT '- ' || community || ': ' || count(*) || ' record(s).' FROM placed JOIN rec USING (id) WHERE relevant AND community IS NOT NULL GROUP BY community
-      UNION ALL SELECT brief FROM briefs)"""
+@query("x1_geojson_files", with_sql("SELECT count(*) AS features, min(placed.lon) AS west, max(placed.lat) AS north FROM rec JOIN placed USING (id)", **R))
+def x1_files(spark, sf):
+    """Features and bounding box read back from the written collections."""
+    path = scratch_path(spark, "geojson")
+    export.write_geojson(records(spark, sf), path)
+    files = spark.read.schema("type string, bbox array<double>, features array<struct<type: string>>").option("multiLine", True).json(path)
+    return files.where("type = 'FeatureCollection'").agg(F.sum(F.size("features")).alias("features"), F.min(F.col("bbox")[0]).alias("west"), F.max(F.col("bbox")[3]).alias("north"))
 
 
-@query("x4_situation_brief", with_sql(brief_sql(), **R, sizes=SIZES, spots=SPOTS, **briefs_sql("SELECT '' AS scope, id FROM rec", "")))
+def brief_sql():
+    return """SELECT section, CAST(rank AS BIGINT) AS rank, line FROM (
+      SELECT 0 AS section, 0 AS rank, '# flood in public posts, 2024-01-01' AS line
+      UNION ALL SELECT 0, 1, 'Draft. Labels are a program''s estimates for people to check; figures count posts.'
+      UNION ALL SELECT 1, 0, '## Figures'
+      UNION ALL SELECT 1, 1, '* posts: ' || count(*) || ', relevant: ' || count(*) FILTER (relevant) FROM rec
+      UNION ALL SELECT 1, 2, '* relevant with a place: ' || count(*) FILTER (relevant AND mapped) || ', without: ' || count(*) FILTER (relevant AND NOT mapped) FROM rec
+      UNION ALL SELECT 1, 3, '* read by the model: ' || count(*) FILTER (classifier = 'model') || ', by rules: ' || count(*) FILTER (classifier <> 'model') FROM rec
+      UNION ALL SELECT 1, 4, '* model versions: ' || string_agg(DISTINCT model_version, ', ' ORDER BY model_version) FROM rec
+      UNION ALL SELECT DISTINCT 2, 0, '## Communities' FROM seen_names
+      UNION ALL SELECT 2, row_number() OVER (ORDER BY n DESC, seq, pos), '* ' || community || ': ' || n FROM seen_names
+      UNION ALL SELECT DISTINCT 3, 0, '## Themes' FROM sizes
+      UNION ALL SELECT 3, row_number() OVER (ORDER BY size DESC, category), '* ' || """ + LABEL + """ || ': ' || size || coalesce('; ' || (SELECT string_agg(name || ' ' || count, ', ' ORDER BY rank) FROM spots p WHERE p.category = s.category), '') FROM sizes s
+      UNION ALL SELECT 4, 0, '## Summary'
+      UNION ALL SELECT 4, 1, brief FROM briefs)"""
+
+
+NAMED = """SELECT community, count(*) AS n, min(seq) AS seq, min_by(pos, seq * 1000 + pos) AS pos FROM (
+  SELECT community, p.pos, r.seq FROM placed p JOIN rec r USING (id) WHERE relevant AND community IS NOT NULL) GROUP BY community"""
+
+
+@query("x4_situation_brief", with_sql(brief_sql(), **R, sizes=SIZES, spots=SPOTS, seen_names=NAMED, **briefs_sql("SELECT '' AS scope, id FROM rec", "")))
 def x4(spark, sf):
-    """The lines of the brief that carry figures."""
-    r = records_table(spark, sf)
-    text = export.brief_markdown(r, EventProfile(hazard="flood"), today="2024-01-01")
-    lines = text.split("\n")
-    keep = [x for x in lines if x.startswith("- ") and not any(x.startswith(p) for p in (
-        "- Every label", "- This is a", "- Location", "- Counts", "- Classified by", "- Model version"))]
-    keep.append(lines[lines.index("## Situation summary") + 1])
-    return spark.createDataFrame([(x,) for x in keep], "line string")
+    """Every line of the brief."""
+    return export.brief_lines(records_table(spark, sf), EventProfile(hazard="flood"), today="2024-01-01")
 
 
 SMS = f"""SELECT *, sum(length(line) + 3) OVER (ORDER BY s DESC, seq) AS used, row_number() OVER (ORDER BY s DESC, seq) AS rank FROM (
@@ -136,10 +159,11 @@ def k1(spark, sf):
     return _keyed(spark, sf).select("id", "key")
 
 
-@query("k2_question_version", f"SELECT doc_id, {_VERSION} || '|' || sha256(text) AS version FROM documents")
+@query("k2_question_version", f"SELECT doc_id, '{V.CACHE_VERSION}:' || sha256(text) AS version FROM documents")
 def k2(spark, sf):
+    """The version of every text as the wording of questions."""
     d = views.table(spark, sf, "documents").select("doc_id", "text")
-    return d.select("doc_id", F.concat(cache.question_version("q"), F.lit("|"), F.sha2("text", 256)).alias("version"))
+    return d.select("doc_id", cache.question_version(F.col("text")).alias("version"))
 
 
 @query("k3_misses", with_sql("SELECT id FROM keyed WHERE key NOT IN (SELECT key FROM keyed WHERE seq % 3 = 0 AND seq % 30 <> 0)", **CACHED))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from postsieve import schema as S, values as V
 from postsieve.functions import text as T
 from postsieve.operators import ask, facts, themes
-from postsieve.sources.gazetteer import starter_rows
+from postsieve.sources.gazetteer import default_rows
 from registry import views
 from registry.core import query
 from registry.geo_sql import _s
@@ -19,19 +19,6 @@ FUNNEL_SQL = """SELECT CAST(sum(duplicate_count) AS BIGINT) AS raw, count(*) AS
   count(*) FILTER (relevant) AS relevant, count(*) FILTER (relevant AND mapped) AS mappable, count(*) FILTER (relevant AND NOT mapped) AS no_place FROM rec"""
 
 
-@query("a9_funnel", with_sql(FUNNEL_SQL, **R))
-def a9(spark, sf):
-    return facts.funnel(records(spark, sf), prefiltered=F.lit(True))
-
-
-@query("a9_funnel_shares", with_sql(
-    """SELECT CAST(round(mappable * 100.0 / greatest(raw, 1), 6) AS DOUBLE) AS mapped_pct, CAST(round(no_place * 100.0 / greatest(raw, 1), 6) AS DOUBLE) AS unplaced_pct,
-       CAST(round(greatest(0, 100 - (mappable + no_place) * 100.0 / greatest(raw, 1)), 6) AS DOUBLE) AS remainder_pct FROM fun""", **R, fun=FUNNEL_SQL))
-def a9_shares(spark, sf):
-    s = facts.funnel_shares(facts.funnel(records(spark, sf), prefiltered=F.lit(True)))
-    return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
-
-
 _BATCH = "event_id % 6 AS batch, event_id AS tick, event_id % 11 AS prefiltered, event_id % 7 AS relevant, event_id % 5 AS mappable, event_id % 3 AS no_place"
 
 
@@ -104,8 +91,11 @@ def j2(spark, sf):
 
 @query("f9_share_view", with_sql("SELECT count(*) AS n, 0 AS leaked FROM rec", **R))
 def f9(spark, sf):
+    """Shared rows are looked through as they leave."""
     v = facts.share_view(records(spark, sf))
-    return v.agg(F.count("*").alias("n")).withColumn("leaked", F.lit(sum(c in v.columns for c in ("raw_text", "image_ref"))).cast("int"))
+    row = F.to_json(F.struct("*"))
+    leak = F.get_json_object(row, "$.raw_text").isNotNull() | F.get_json_object(row, "$.image_ref").isNotNull()
+    return v.agg(F.count("*").alias("n"), F.count_if(leak).cast("int").alias("leaked"))
 
 
 BAND = "CASE WHEN severity >= 1.5 THEN 2 WHEN severity >= 0.75 THEN 1 ELSE 0 END"
@@ -138,7 +128,7 @@ def phrase_sql(x):
 
 
 _PLACES = "SELECT * FROM (VALUES " + ", ".join(
-    f"({r['ord']}, {_s(r['name'])}, [{', '.join(_s(a) for a in r['aliases'])}])" for r in starter_rows()) + ") p(ord, label, phrases)"
+    f"({r['ord']}, {_s(r['name'])}, [{', '.join(_s(a) for a in r['aliases'])}])" for r in default_rows()) + ") p(ord, label, phrases)"
 QUESTION_STOP = "[" + ", ".join(f"'{w}'" for w in V.QUESTION_STOP_WORDS) + "]"
 ASKED = {
     "questions": views.QUESTIONS_SQL, "place_list": _PLACES,
@@ -146,14 +136,13 @@ ASKED = {
         length(a) > 2 AND contains(lower(q.question), a) AND regexp_matches(lower(q.question), '(^|[^a-z0-9])' || a || '([^a-z0-9]|$)'))) > 0""",
     "covered": "SELECT qid, list_distinct(flatten(list_transform(flatten(list(phrases)), lambda p: string_split(p, ' ')))) AS words FROM place_terms GROUP BY qid",
     "extra": r"""SELECT qid, unnest(e) AS e, generate_subscripts(e, 1) AS i FROM (SELECT qid, list_concat(
-        list_transform(regexp_extract_all(question, '["“]([^"”]{2,40})["”]', 1), lambda s: trim(s)),
+        list_transform(regexp_extract_all(question, '["“]([^"”]+)["”]', 1), lambda s: trim(s)),
         list_filter(list_slice(list_filter(regexp_split_to_array(regexp_replace(question, '[^A-Za-z0-9''\s-]', ' ', 'g'), '\s+'), lambda w: w <> ''), 2, 1000000),
           lambda w: regexp_matches(w, '^[A-Z][a-z]{2,}'))) AS e FROM questions)""",
     "extra_terms": f"""SELECT qid, min(i) AS i, arg_min(e, i) AS e FROM extra LEFT JOIN covered USING (qid)
         WHERE NOT list_contains({QUESTION_STOP}, lower(e)) AND NOT coalesce(list_contains(words, lower(e)), false) GROUP BY qid, lower(e)""",
     "terms_q": """SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY kind, o) - 1 AS rank, label, phrases FROM (
-        SELECT qid, 0 AS kind, ord AS o, label, phrases FROM place_terms UNION ALL SELECT qid, 1, i, e, [e] FROM extra_terms)
-        QUALIFY rank < 4""",
+        SELECT qid, 0 AS kind, ord AS o, label, phrases FROM place_terms UNION ALL SELECT qid, 1, i, e, [e] FROM extra_terms)""",
 }
 FACTS_Q = {**R, **ASKED,
            "patterns": f"SELECT DISTINCT label, phrases, {phrase_sql('phrases')} AS pat FROM terms_q",

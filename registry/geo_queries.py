@@ -69,11 +69,11 @@ def g7(spark, sf):
 @query("g7_geoparse_joined", with_sql(f"SELECT {PLACE_COLUMNS} FROM placed", posts=posts_sql(), **place_ctes("posts")))
 def g7_joined(spark, sf):
     """The same through the alias join that large gazetteers take."""
-    from postsieve.sources.gazetteer import starter_gazetteer
+    from postsieve.sources.gazetteer import default_gazetteer
     posts = views.posts(spark, sf)
     ok = geo.accepted_coordinates(F.col("lat"), F.col("lon"))
     df = posts.withColumn("_s", F.when(ok, "").otherwise(F.col("text")))
-    df = geo._joined_candidates(df, F.col("_s"), starter_gazetteer(spark))
+    df = geo._joined_candidates(df, F.col("_s"), default_gazetteer(spark))
     df = df.withColumn("_hits", geo._accept(F.col("_cands")))
     df = geo._resolve(df, "_hits", "_found")
     point = geo.provided_place(F.col("lat"), F.col("lon"), Places.of())

@@ -1,7 +1,7 @@
 """Geoparsing as SQL over the places the sample posts can name."""
 
 from postsieve import values as V
-from postsieve.sources.gazetteer import Places, starter_rows
+from postsieve.sources.gazetteer import Places, default_rows
 
 # longest first, file order among equals
 NAMED = ["millennium park", "siksika nation", "medicine hat", "high river", "highway 22", "glenmore", "sardinia",
@@ -22,7 +22,7 @@ def _s(v):
 
 def gazetteer_sql() -> str:
     rows = []
-    for r in starter_rows():
+    for r in default_rows():
         for i, a in enumerate(r["aliases"]):
             rows.append("(" + ", ".join(_s(v) for v in (
                 r["ord"], r["name"], a, i, r["lat"], r["lon"], r["kind"], r["admin"], r["country"],

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from postsieve import schema as S, values as V
-from postsieve.operators import decide, dedupe
+from postsieve.operators import decide, dedupe, facts
 from postsieve.plans import triage as plan
 from postsieve.session import materialize, scratch_path
 from postsieve.streaming import triage_stream as st
@@ -73,6 +73,30 @@ def o7(spark, sf):
                     "classifier", F.size("places").cast("long").alias("places"))
 
 
+FUNNEL_SQL = """SELECT CAST(sum(duplicate_count) AS BIGINT) AS raw, count(*) AS deduped, count(*) FILTER (is_candidate) AS prefiltered, count(*) FILTER (relevant) AS relevant,
+  count(*) FILTER (relevant AND mapped) AS mappable, count(*) FILTER (relevant AND NOT mapped) AS no_place
+  FROM (SELECT *, EXISTS (SELECT 1 FROM placed p WHERE p.id = j.id) AS mapped FROM joined j)"""
+
+
+def _funnel(spark, sf):
+    kept = kept_table(spark, sf)
+    return facts.funnel(plan.triage(kept, profile_of(kept), labels(spark, sf)))
+
+
+@query("a9_funnel", with_sql(FUNNEL_SQL, **full_ctes()))
+def a9(spark, sf):
+    """Every stage of the full way, the prefilter with it."""
+    return _funnel(spark, sf)
+
+
+@query("a9_funnel_shares", with_sql(
+    """SELECT CAST(round(mappable * 100.0 / greatest(raw, 1), 6) AS DOUBLE) AS mapped_pct, CAST(round(no_place * 100.0 / greatest(raw, 1), 6) AS DOUBLE) AS unplaced_pct,
+       CAST(round(greatest(0, 100 - (mappable + no_place) * 100.0 / greatest(raw, 1)), 6) AS DOUBLE) AS remainder_pct FROM fun""", **full_ctes(), fun=FUNNEL_SQL))
+def a9_shares(spark, sf):
+    s = facts.funnel_shares(_funnel(spark, sf))
+    return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
+
+
 @query("j1_labels_by_id", with_sql("SELECT id, l.relevant FROM kept LEFT JOIN lab l USING (id)", posts=posts_sql(), kept=kept_sql(), ans=answers_sql(), lab=LABELS_SQL))
 def j1(spark, sf):
     j = decide.label_posts(dedupe.collapse_exact(views.posts(spark, sf)), labels(spark, sf))
@@ -101,10 +125,10 @@ def j4(spark, sf):
 @query("j5_hashtag_prefix", with_sql("SELECT tag, 'yyc' AS alias, count(*) AS posts FROM (SELECT 'yycflood' AS tag FROM posts WHERE contains(text, '#yycflood')) GROUP BY 1", posts=posts_sql()))
 def j5(spark, sf):
     """Hashtags joined with the longest alias they start with."""
-    from postsieve.sources.gazetteer import starter_gazetteer
+    from postsieve.sources.gazetteer import default_gazetteer
     tags = views.posts(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("#([a-z0-9_]+)"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count("*").alias("posts"))
     prefixes = tags.where("length(tag) > 3").select("tag", "posts", F.explode(F.expr("transform(sequence(3, length(tag) - 1), n -> substring(tag, 1, n))")).alias("alias"))
-    aliases = starter_gazetteer(spark).select(F.explode("aliases").alias("alias")).where("alias not like '% %'").distinct()
+    aliases = default_gazetteer(spark).select(F.explode("aliases").alias("alias")).where("alias not like '% %'").distinct()
     return prefixes.join(aliases, "alias").groupBy("tag", "posts").agg(F.max_by("alias", F.length("alias")).alias("alias"))
 
 
@@ -164,14 +188,14 @@ def st2_spend(spark, sf):
     return st.latest(spark, log).select("calls", F.round("spent", 8).alias("spent"))
 
 
-@query("st3_upsert_by_id", with_sql("SELECT id FROM posts", posts=posts_sql()))
+@query("st3_upsert_by_id", with_sql("SELECT id, 'new ' || text AS text FROM posts", posts=posts_sql()))
 def st3(spark, sf):
-    """Records come twice, in any order; the table holds each id once."""
-    p = views.posts(spark, sf).select("id", "text")
-    s = _stream_of(spark, p.unionByName(p.withColumn("text", F.upper("text"))), "twice")
+    """Records come twice, in any order and also within one batch; the table holds the later version of each id."""
+    p = views.posts(spark, sf).select("id", "text", F.lit(1).alias("version"))
+    s = _stream_of(spark, p.unionByName(p.select("id", F.concat(F.lit("new "), "text").alias("text"), F.lit(2).alias("version"))), "twice")
     log = scratch_path(spark, "changes")
     _run(st.write_changes(s, log, scratch_path(spark, "check"), "append"))
-    return st.latest(spark, log, "id").select("id")
+    return st.latest(spark, log, "id", "version").select("id", "text")
 
 
 @query("st5_stream_dedupe", with_sql("SELECT seq, id, text, CAST(duplicate_count AS BIGINT) AS duplicate_count FROM kept", posts=posts_sql(), kept=kept_sql()))
@@ -182,10 +206,10 @@ def st5(spark, sf):
     return st.latest(spark, log, "digest").select("seq", "id", "text", "duplicate_count")
 
 
-@query("st6_fresh_urls", with_sql("SELECT DISTINCT url FROM u", u=views.URLS_SQL))
+@query("st6_fresh_urls", with_sql("SELECT url, 1 AS n FROM u GROUP BY url", u=views.URLS_SQL))
 def st6(spark, sf):
-    """Every link passes at least once; repeats inside the time to live are held back."""
+    """Every link passes exactly once over several batches that lie within the time to live."""
     u = views.urls(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     out = scratch_path(spark, "urls")
-    _run(st.write_append(st.fresh_urls(_stream_of(spark, u, "links", 1)), out, scratch_path(spark, "check")))
-    return spark.read.parquet(out).select("url").distinct()
+    _run(st.write_append(st.fresh_urls(_stream_of(spark, u, "links", 3), ttl="3650 days"), out, scratch_path(spark, "check")))
+    return spark.read.parquet(out).groupBy("url").agg(F.count("*").cast("int").alias("n"))

@@ -8,7 +8,7 @@ from postsieve.functions.regex import re2
 from postsieve.operators import dedupe, geo
 from postsieve.session import scratch_path
 from postsieve.sources import csv_posts, files, links
-from postsieve.sources.gazetteer import GAZETTEER_SCHEMA, merge_gazetteer, starter_gazetteer
+from postsieve.sources.gazetteer import GAZETTEER_SCHEMA, merge_gazetteer, default_gazetteer
 from registry import views
 from registry.core import query
 from registry.dedupe_queries import kept_sql
@@ -143,7 +143,7 @@ def readable_sql():
         c = f"regexp_replace({c}, '(?is)<{t}\\b[^>]*>.*?</{t}>', '', 'g')"
     body = "regexp_replace(" + unescape_sql("regexp_replace(regexp_extract(c, '(?is)<article\\b[^>]*>(.*?)</article>', 1), '<[^>]*>', '', 'g')") + ", '[ \\t]+', ' ', 'g')"
     body = f"regexp_replace(regexp_replace({body}, {q(r'\n\s*\n\s*')}, chr(10) || chr(10), 'g'), {q(r'^\s+|\s+$')}, '', 'g')"
-    return f"SELECT page_id, substr({body}, 1, 4000) AS text FROM (SELECT page_id, {c} AS c FROM pages)"
+    return f"SELECT page_id, {body} AS text FROM (SELECT page_id, {c} AS c FROM pages)"
 
 
 @query("s14_page_text", readable_sql())
@@ -183,7 +183,7 @@ def s18(spark, sf):
     extra = views.table(spark, sf, "events").where("event_id = 0").selectExpr("'Calgary, AB' AS name", "CAST(51 AS DOUBLE) AS lat", "CAST(-114 AS DOUBLE) AS lon", "CAST(-1 AS BIGINT) AS o")
     new = new.unionByName(extra).selectExpr("CAST(o AS INT) AS ord", "name", "array(lower(name)) AS aliases", "lat", "lon", "'town' AS kind", "'' AS admin", "'CA' AS country",
                          "CAST(NULL AS BIGINT) AS population", "false AS is_first_nation", "CAST(NULL AS STRING) AS community")
-    base = starter_gazetteer(spark)
+    base = default_gazetteer(spark)
     merged, refused = merge_gazetteer(base, new)
     added = merged.join(base.select("name"), "name", "left_anti").select(F.lit("added").alias("reason"))
     return refused.select("reason").unionByName(added).groupBy("reason").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postsieve.operators import geo, spatial
-from postsieve.sources.gazetteer import Places, merge_gazetteer, starter_gazetteer
+from postsieve.sources.gazetteer import Places, merge_gazetteer, default_gazetteer
 
 GOLDEN = [
     ("Glenmore bridge is under water", "Glenmore"), ("Anyone know if Highway 22 is open? #yycflood", "Highway 22"),
@@ -70,7 +70,7 @@ def test_longest_first_equals_replacement(spark, path):
     if path == "inline":
         found = geo.find_aliases(df, places, F.col("text"))
     else:
-        found = geo._joined_candidates(df, F.col("text"), starter_gazetteer(spark))
+        found = geo._joined_candidates(df, F.col("text"), default_gazetteer(spark))
         found = found.withColumn("_hits", geo._accept(F.col("_cands")))
     got = {r["seq"]: [h["alias"] for h in r["_hits"]] for r in found.select("seq", "_hits").collect()}
     for i, t in enumerate(texts):
@@ -84,7 +84,7 @@ def test_adjacent_copies_leave_the_second_to_shorter_aliases(spark):
 
 
 def test_merge_is_idempotent(spark):
-    base = starter_gazetteer(spark)
+    base = default_gazetteer(spark)
     new = base.where("ord < 2").withColumn("name", F.when(F.col("ord") == 0, "Newtown").otherwise(F.col("name")))
     once, refused = merge_gazetteer(base, new)
     assert once.count() == base.count() + 1 and [r["reason"] for r in refused.collect()] == ["already present"]
