@@ -152,8 +152,8 @@ def s14(spark, sf):
     return links.pages_to_posts(p).select(F.col("seq").alias("page_id"), "text")
 
 
-@query("s15_embedded_text", f"""SELECT page_id, regexp_replace({unescape_sql("regexp_replace(regexp_replace(regexp_extract(html, '(?is)<p[^>]*>(.*?)</p>', 1), '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g')")}, {q(r'^\s+|\s+$')}, '', 'g') AS text
-  FROM pages WHERE regexp_matches(html, '(?is)<p[^>]*>.*?</p>')""")
+@query("s15_embedded_text", f"""SELECT page_id, regexp_replace({unescape_sql("regexp_replace(regexp_replace(regexp_extract(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g')")}, {q(r'^\s+|\s+$')}, '', 'g') AS text
+  FROM pages WHERE regexp_matches(html, '(?is)<p\\b[^>]*>.*?</p>')""")
 def s15(spark, sf):
     p = views.widen(views.table(spark, sf, "pages").select("page_id", "html"))
     return p.select("page_id", links.embedded_text(F.col("html")).alias("text")).where("text is not null")

@@ -80,11 +80,11 @@ def a5(spark, sf):
 def briefs_sql(scoped: str, scope: str) -> dict:
     """CTE `briefs` (scope, brief) over rows (scope, id) of `scoped`."""
     return {"scoped": scoped, "briefs": f"""SELECT NULLIF(scope, '') AS scope,
-      CASE WHEN scope <> '' THEN 'In ' || scope || ': ' ELSE '' END || rel || ' of ' || total || ' records were classified relevant.'
-      || coalesce(' The largest themes are ' || th || '.', '')
-      || CASE WHEN rel > 0 THEN ' ' || mp || ' of ' || rel || ' relevant records resolved to a mappable place; ' || (rel - mp) || ' mention no place at all.'
-         ELSE ' 0 records resolved to a mappable place.' END
-      || coalesce(' First Nations communities named: ' || co || '.', '') AS brief
+      CASE WHEN scope <> '' THEN scope || ' | ' ELSE '' END || 'Relevant: ' || rel || ' / ' || total || '.'
+      || coalesce(' Themes: ' || th || '.', '')
+      || CASE WHEN rel > 0 THEN ' With a place: ' || mp || ', without: ' || (rel - mp) || '.'
+         ELSE '' END
+      || coalesce(' Communities: ' || co || '.', '') AS brief
       FROM (SELECT scope, count(*) AS total, count(*) FILTER (relevant) AS rel, count(*) FILTER (relevant AND mapped) AS mp FROM scoped JOIN rec USING (id) GROUP BY scope)
       LEFT JOIN (SELECT scope, string_agg({LABEL} || ' (' || n || ')', ', ' ORDER BY n DESC, category) AS th FROM (
         SELECT scope, category, count(*) AS n FROM scoped JOIN rec USING (id) WHERE relevant AND category IS NOT NULL GROUP BY 1, 2) GROUP BY scope) USING (scope)
@@ -110,7 +110,7 @@ def a7_community(spark, sf):
     return themes.brief_or_empty(themes.with_scope(records_table(spark, sf), "community", "siksika nation"), "siksika nation")
 
 
-@query("a7_empty_scope", with_sql("SELECT 'Nowhere Nation' AS scope, CASE WHEN count(*) = 0 THEN 'No records were found for Nowhere Nation.' END AS brief FROM placed WHERE community = 'Nowhere Nation'", **record_ctes()))
+@query("a7_empty_scope", with_sql("SELECT 'Nowhere Nation' AS scope, CASE WHEN count(*) = 0 THEN 'Nowhere Nation | nothing.' END AS brief FROM placed WHERE community = 'Nowhere Nation'", **record_ctes()))
 def a7_empty(spark, sf):
     return themes.brief_or_empty(themes.with_scope(records_table(spark, sf), "community", "Nowhere Nation"), "Nowhere Nation")
 

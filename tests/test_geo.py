@@ -7,15 +7,12 @@ from postsieve.operators import geo, spatial
 from postsieve.sources.gazetteer import Places, merge_gazetteer, default_gazetteer
 
 GOLDEN = [
-    ("Glenmore bridge is under water", "Glenmore"), ("Anyone know if Highway 22 is open? #yycflood", "Highway 22"),
-    ("flooding everywhere #yycflood", "Calgary"), ("mandatory evacuation in Medicine Hat", "Medicine Hat"),
-    ("Siksika Nation declared a state of emergency", "Siksika"), ("High River is gone", "High River"),
-    ("pics of millennium park post flood?", "Millennium Park"), ("millennium park in Calgary was flooded", "Millennium Park, Calgary"),
-    ("I love London", "London"), ("just had the best sandwich", None), ("Camping tomorrow. That would be fun.", None),
-    ("Lake St. Martin First Nation under evacuation order", "Lake St. Martin"),
-    ("Cumberland House Cree Nation flooded again this spring", "Cumberland House"),
-    ("Lytton First Nation assessing damage after the water rose", "Lytton"), ("Kahnawake road access cut off by high water", "Kahnawake"),
-    ("Tobique First Nation issued a flood warning", "Tobique"), ("Old Crow residents watching the Porcupine River rise", "Old Crow"),
+    ("they shut the glenmore dam gates", "Glenmore"), ("is hwy 22 passable tonight", "Highway 22"), ("so much rain #yycflood", "Calgary"),
+    ("buses leave Medicine Hat at noon", "Medicine Hat"), ("tents going up at Siksika Nation", "Siksika"), ("no power in high-river", "High River"),
+    ("who is at millennium park", "Millennium Park"), ("boats on millennium park, calgary", "Millennium Park, Calgary"), ("rain over London", "London"),
+    ("nothing but sandbags", None), ("a quiet camp. that is all.", None), ("crews reach Lake St. Martin", "Lake St. Martin"),
+    ("dykes hold at cumberland house", "Cumberland House"), ("Lytton First Nation wants pumps", "Lytton"), ("bridge to Kahnawake closed", "Kahnawake"),
+    ("Tobique on alert", "Tobique"), ("ice jam near Old Crow", "Old Crow"),
 ]
 
 
@@ -36,6 +33,24 @@ def test_ambiguity_and_context(spark):
     assert context[0]["confidence"] == 0.8 and [p["name"] for p in context] == ["Millennium Park, Calgary, AB", "Calgary, AB"]
 
 
+def test_large_gazetteers_give_the_same_places_communities_and_scope(spark, monkeypatch):
+    """A gazetteer of its own, once as a constant and once joined."""
+    from postsieve.operators import profile
+    from postsieve.plans import triage
+    from postsieve.sources import gazetteer as G
+    own = [(0, "Far Camp", ["far camp"], 10.0, 179.99, "reserve", "XX", "ZZ", None, True, "Far Nation"), (1, "Near Town", ["near town", "neartown"], 11.0, 20.0, "town", "YY", "ZY", 10, False, None)]
+    rows = [(0, "at far camp now", None, None), (1, "given", 10.01, -179.99), (2, "given", 50.7667, -112.8833), (3, "#neartownfire and near town", None, None), (4, None, 11.0, 20.0)]
+    posts = spark.createDataFrame(rows, "seq long, text string, lat double, lon double")
+    table, seen = spark.createDataFrame(own, G.GAZETTEER_SCHEMA), []
+    for limit in (G.MAX_INLINE_ALIASES, 0):
+        monkeypatch.setattr(G, "MAX_INLINE_ALIASES", limit)
+        got = {r["seq"]: [(p["name"], p["community"] and p["community"]["name"]) for p in r["places"]] for r in geo.geoparse(posts, table).collect()}
+        ranked = [r["alias"] for r in profile.place_counts(posts.where("text is not null"), table).collect()]
+        seen.append((got, ranked, triage.scope_of(profile.EventProfile(places=("far camp",)), table)))
+    assert seen[0] == seen[1] and seen[0][0][1] == [("Provided coordinates", "Far Nation")] and seen[0][0][2] == [("Provided coordinates", None)]
+    assert seen[0][1] == ["near town", "far camp"] and seen[0][2] == ["ZZ"]
+
+
 def test_country_scope_drops_foreign_places(spark):
     assert parse(spark, ["Boston and Calgary"], countries=["CA"])[0][0]["name"] == "Calgary, AB"
     assert parse(spark, ["Boston"], countries=["CA"])[0] == []
