@@ -23,7 +23,8 @@ ROLES = ("system", "user", "assistant")
 #: States: nothing yet, last turn by system, user, assistant. Roles are states 1 to 3.
 START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
-COSTS = {"merge": 1.0, "relabel": 2.0, "insert": 3.0}
+#: A relabelled turn puts words into another mouth, so it costs more than a merge and an empty turn together.
+COSTS = {"merge": 1.0, "relabel": 4.0, "insert": 2.0}
 CHUNK = 2048
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 
