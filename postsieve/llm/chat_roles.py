@@ -104,7 +104,7 @@ def repair(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str
 
     action: keep, relabel, merge, merge+relabel or insert (turn null, empty text). piece is the turn's part of the rendering:
     a role line when it opens a turn, its text, an end line when it closes one; merged texts are joined by a line end.
-    Conversations start at pos 0; pos counts rows. Turns are ordered by number, nulls first, then role and text, so ties and
+    pos orders all rows, conversation by conversation. Turns are ordered by number, nulls first, then role and text, so ties and
     repeated rows have a fixed order. A null key is a conversation of its own. Roles compare in lower case without outer blanks;
     a null or unknown role must be relabelled. Null and empty texts are empty turns. Other columns are not read; an empty table
     gives no rows.
@@ -118,12 +118,20 @@ def repair(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str
     rows = rows.repartitionByRange(parts, "conv", "turn", "said", "text").sortWithinPartitions("conv", "turn", "said", "text").withColumn("pos", F.monotonically_increasing_id())
     rows = written(rows.withColumn("chunk", F.shiftright("pos", int(np.log2(CHUNK)))), "turns")
 
+    def sorted_runs(t: pa.Table):
+        """The chunk's rows in order, and where each conversation's run begins and ends in it."""
+        t = t.take(pa.array(np.argsort(t.column("pos").to_numpy())))
+        convs = t.column("conv").to_pylist()
+        cuts = [0, *(i for i in range(1, len(convs)) if convs[i] != convs[i - 1]), len(convs)]
+        return t, list(zip(cuts, cuts[1:]))
+
     def table(t: pa.Table) -> pa.Table:
-        roles = t.column("said").to_numpy()[np.argsort(t.column("pos").to_numpy())]
-        return pa.table({"conv": t.column("conv").slice(0, 1), "chunk": t.column("chunk").slice(0, 1), "costs": pa.array([chunk_table(roles, steps).ravel().tolist()]), "n": pa.array([len(roles)], pa.int64())})
+        t, runs = sorted_runs(t)
+        roles = t.column("said").to_numpy()
+        first = pa.array([a for a, _ in runs], pa.int64())
+        return pa.table({"conv": t.column("conv").take(first), "chunk": t.column("chunk").take(first), "costs": pa.array([chunk_table(roles[a:b], steps).ravel().tolist() for a, b in runs], pa.list_(pa.float64()))})
 
-    groups = rows.groupBy("conv", "chunk")
-    tables = groups.applyInArrow(table, f"conv {kind}, chunk long, costs array<double>, n long")
+    tables = written(rows.groupBy("chunk").applyInArrow(table, f"conv {kind}, chunk long, costs array<double>"), "tables")
 
     def borders(t: pa.Table) -> pa.Table:
         turn_ = np.argsort(t.column("chunk").to_numpy())
@@ -140,33 +148,44 @@ def repair(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str
         return pa.table({"conv": t.column("conv").take(pa.array(turn_)), "chunk": t.column("chunk").take(pa.array(turn_)), "a": pa.array(ends[:-1], pa.int32()), "b": pa.array(ends[1:], pa.int32()),
                          "last": pa.array([i == len(each) - 1 for i in range(len(each))])})
 
-    fixed = tables.groupBy("conv").applyInArrow(borders, f"conv {kind}, chunk long, a int, b int, last boolean")
-    fixed = written(fixed, "borders").withColumnRenamed("conv", "c").withColumnRenamed("chunk", "k")
-
-    def pieces(t: pa.Table) -> pa.Table:
-        turn_ = np.argsort(t.column("pos").to_numpy())
-        t = t.take(pa.array(turn_))
-        roles, texts, last = t.column("said").to_numpy(), t.column("text").to_pylist(), t.column("last")[0].as_py()
-        way = trace(roles, steps, t.column("a")[0].as_py(), t.column("b")[0].as_py())
-        out, first = [], t.column("a")[0].as_py()
+    # only conversations of several chunks need their borders fixed; one row of 16 numbers per 2048 turns meets there
+    several = tables.groupBy("conv").agg(F.count("*").alias("chunks")).where("chunks > 1").select(F.col("conv").alias("c"))
+    several = tables.join(several, tables.conv.eqNullSafe(F.col("c")), "left_semi")
+    fixed = written(several.groupBy("conv").applyInArrow(borders, f"conv {kind}, chunk long, a int, b int, last boolean"), "borders")
+    fixed = fixed.withColumnRenamed("conv", "c").withColumnRenamed("chunk", "k")
+
+    def render(roles: np.ndarray, texts: list[str], pos: np.ndarray, start: int, end: int | None, last: bool) -> list[tuple]:
+        """(place, row, role, action, piece) for one run of a conversation."""
+        if end is None:
+            end = close(chunk_table(roles, steps)[start], costs)
+        out, way = [], trace(roles, steps, start, end)
+        opened = start != START
+        empty = lambda r: (CLOSE if opened else "") + OPEN.format(ROLES[r - 1])
         for i, (before, state, merged) in enumerate(way):
             mid = int(steps[roles[i]][1][before, state])
             for j, r in enumerate(inserted(before, mid) if not merged else []):
-                out.append((i, j - 8, None, r, "insert", OPEN.format(ROLES[r - 1])))
+                out.append((int(pos[i]) * 16 + j, None, r, "insert", empty(r)))
+                opened = True
             action = "+".join(filter(None, ["merge" if merged else "", "relabel" if state != roles[i] else ""])) or "keep"
-            out.append((i, 0, i, state, action, ("" if merged else OPEN.format(ROLES[state - 1])) + texts[i] + "\n"))
+            out.append((int(pos[i]) * 16 + 8, i, state, action, ("" if merged else empty(state)) + texts[i] + "\n"))
+            opened = True
         if last:
-            for j, r in enumerate(inserted(way[-1][1], ASSISTANT)):
-                out.append((len(way), j - 8, None, r, "insert", OPEN.format(ROLES[r - 1])))
-        # a turn ends before the next one opens; what opens a chunk ends the turn before it
-        ends = [(CLOSE if opens else "") for opens in ([o[5].startswith("<|") and o[4] != "merge" and o[4] != "merge+relabel" for o in out])]
-        piece = [(e if i or first != START else "") + o[5] for i, (e, o) in enumerate(zip(ends, out))]
-        if last:
-            piece[-1] += CLOSE
-        pos, numbers = t.column("pos").to_numpy(), t.column("turn")
-        return pa.table({"conv": t.column("conv").take(pa.array(np.zeros(len(out), np.int64))), "at": pa.array([int(pos[min(o[0], len(pos) - 1)]) * 16 + (8 + o[1] if o[0] < len(pos) else 9 + o[1] + 8) for o in out], pa.int64()),
-                         "turn": numbers.take(pa.array([o[2] for o in out], pa.int64())), "role": pa.array([ROLES[o[3] - 1] for o in out]), "action": pa.array([o[4] for o in out]), "piece": pa.array(piece)})
+            for j, r in enumerate(inserted(end, ASSISTANT)):
+                out.append((int(pos[-1]) * 16 + 9 + j, None, r, "insert", empty(r)))
+            out[-1] = (*out[-1][:4], out[-1][4] + CLOSE)
+        return out
 
-    joined = rows.join(fixed, rows.conv.eqNullSafe(fixed.c) & (rows.chunk == fixed.k)).drop("c", "k")
-    done = joined.groupBy("conv", "chunk").applyInArrow(pieces, f"conv {kind}, at long, turn {number}, role string, action string, piece string")
+    def pieces(t: pa.Table) -> pa.Table:
+        t, runs = sorted_runs(t)
+        roles, texts, pos = t.column("said").to_numpy(), t.column("text").to_pylist(), t.column("pos").to_numpy()
+        fixed_a, fixed_b, lasts, out = t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("last").to_pylist(), []
+        for a, b in runs:
+            alone = fixed_a[a] is None
+            rows_ = render(roles[a:b], texts[a:b], pos[a:b], START if alone else fixed_a[a], fixed_b[a], alone or lasts[a])
+            out += [(a, at, None if i is None else a + i, r, action, piece) for at, i, r, action, piece in rows_]
+        return pa.table({"conv": t.column("conv").take(pa.array([o[0] for o in out], pa.int64())), "at": pa.array([o[1] for o in out], pa.int64()), "turn": t.column("turn").take(pa.array([o[2] for o in out], pa.int64())),
+                         "role": pa.array([ROLES[o[3] - 1] for o in out], pa.string()), "action": pa.array([o[4] for o in out], pa.string()), "piece": pa.array([o[5] for o in out], pa.string())})
+
+    joined = rows.join(fixed, rows.conv.eqNullSafe(fixed.c) & (rows.chunk == fixed.k), "left").drop("c", "k")
+    done = joined.groupBy("chunk").applyInArrow(pieces, f"conv {kind}, at long, turn {number}, role string, action string, piece string")
     return done.select(F.col("conv").alias(key), F.col("at").alias("pos"), F.col("turn").alias(turn), "role", "action", "piece")
