@@ -97,8 +97,11 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 
 def canonical(col: Column, ascii_only: bool = False) -> Column:
-    """White space collapsed and Unicode composed. Set ``ascii_only`` to stay out of Python workers."""
-    return collapse(col if ascii_only else _nfc(col))
+    """White space collapsed and Unicode composed. Set ``ascii_only`` to plan no Python at all."""
+    if ascii_only:
+        return collapse(col)
+    # a text of ASCII alone is its own composed form; only the others cross to Python
+    return collapse(F.coalesce(_nfc(F.when(col.rlike(r"[^\x00-\x7F]"), col)), col))
 
 
 def numbers(col: Column) -> Column:

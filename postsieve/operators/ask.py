@@ -70,8 +70,8 @@ def _grams_of(n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, n), " "))
 
 
-def term_matches(terms: DataFrame, posts: DataFrame) -> DataFrame:
-    """(label, phrases, seq): each post that mentions a distinct term, once."""
+def term_matches(terms: DataFrame, posts: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(label, phrases, seq, and columns of the post to carry): each post that mentions a distinct term, once."""
     distinct = terms.select("label", "phrases").distinct()
     phrases = distinct.select("label", "phrases", F.explode("phrases").alias("phrase"))
     phrases = phrases.withColumn("gram", _spaced(F.col("phrase"))).withColumn("n", F.size(F.split("gram", " ")))
@@ -82,25 +82,25 @@ def term_matches(terms: DataFrame, posts: DataFrame) -> DataFrame:
     wanted = sorted({r["gram"] for r in some}) if len(some) <= MAX_INLINE_WORDS else None
     kinds = some if wanted is not None else phrases.select("n", "doubtful").distinct().collect()
     if not kinds:
-        return distinct.withColumn("seq", F.lit(0).cast("long")).limit(0)
-    words = posts.select("seq", settle(F.split(_spaced(F.col("text")), " ")).alias("w"))
+        return distinct.crossJoin(posts.select("seq", *carry).limit(0))
+    words = posts.select("seq", *carry, settle(F.split(_spaced(F.col("text")), " ")).alias("w"))
     grams = F.flatten(F.array(*[_grams_of(n) for n in sorted({k["n"] for k in kinds})]))
     if wanted is not None:  # only grams that can match leave the row
         grams = F.filter(grams, lambda g: g.isin(wanted))
-    seen = words.select("seq", settle(F.array_distinct(grams)).alias("g")).select("seq", F.explode("g").alias("gram"))
+    seen = words.select("seq", *carry, settle(F.array_distinct(grams)).alias("g")).select("seq", *carry, F.explode("g").alias("gram"))
     found = seen.join(phrases.select("label", "phrases", "gram", "doubtful"), "gram")
-    sure = found.where("NOT doubtful").select("label", "phrases", "seq")
+    sure = found.where("NOT doubtful").select("label", "phrases", "seq", *carry)
     if any(k["doubtful"] for k in kinds):
         check = found.where("doubtful").withColumn("pattern", T.mentions_pattern_column(F.col("phrases")))
         check = check.join(posts.select("seq", "text"), "seq").where(F.expr("regexp_like(text, pattern)"))
-        sure = sure.unionByName(check.select("label", "phrases", "seq"))
+        sure = sure.unionByName(check.select("label", "phrases", "seq", *carry))
     return sure.distinct()
 
 
 def exact_facts(terms: DataFrame, records: DataFrame) -> DataFrame:
     """(qid, rank, label, count_all, count_relevant) over every record."""
     flags = records.select("seq", "text", S.relevant().alias("rel"))
-    hits = term_matches(terms, flags.select("seq", "text")).join(flags.select("seq", "rel"), "seq")
+    hits = term_matches(terms, flags, ("rel",))
     counts = hits.groupBy("label", "phrases").agg(F.count("*").alias("count_all"), F.count_if("rel").alias("count_relevant"))
     return (terms.join(counts, ["label", "phrases"], "left").fillna(0, ["count_all", "count_relevant"])
             .select("qid", "rank", "label", "phrases", "count_all", "count_relevant"))

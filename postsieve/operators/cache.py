@@ -31,10 +31,12 @@ def with_key(posts: DataFrame, hazard: str, **kw) -> DataFrame:
 
 
 def lookup(keyed: DataFrame, cache: DataFrame) -> DataFrame:
-    """Every post with its cache entry in ``entry``, null for a miss. One join; hot keys are copies of one text."""
+    """Every post with its cache entry in ``entry``, null for a miss. Blank posts have no key and stay out of the join, so they
+    never meet in one task; a hot key is copies of one text, which Spark can split."""
     paid = cache.where(F.col("classifier") == V.MODEL_CLASSIFIER)
     entry = paid.select(F.col("key"), F.struct("labels", "model_version", "redacted_text").alias("entry"))
-    return keyed.join(entry, "key", "left")
+    blank = keyed.where("key IS NULL").withColumn("entry", F.lit(None).cast(entry.schema["entry"].dataType))
+    return keyed.where("key IS NOT NULL").join(entry, "key", "left").select(*keyed.columns, "entry").unionByName(blank)
 
 
 def hits(found: DataFrame, gazetteer: Places | DataFrame | None = None, countries: list[str] | None = None) -> DataFrame:
@@ -51,7 +53,7 @@ def hits(found: DataFrame, gazetteer: Places | DataFrame | None = None, countrie
 def misses(keyed: DataFrame, cache: DataFrame) -> DataFrame:
     """Posts to send to the model; blank text always is one."""
     paid = cache.where(F.col("classifier") == V.MODEL_CLASSIFIER).select("key")
-    return keyed.join(paid, "key", "left_anti")
+    return keyed.where("key IS NOT NULL").join(paid, "key", "left_anti").select(keyed.columns).unionByName(keyed.where("key IS NULL"))
 
 
 def cacheable(records: DataFrame) -> DataFrame:

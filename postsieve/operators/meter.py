@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from postsieve import values as V
 from postsieve.operators.position import with_position
+from postsieve.session import materialize
 
 
 def meter(ledger: DataFrame, budget: float = V.SESSION_BUDGET, prior_used: float = 0.0, unlimited: bool = False,
@@ -19,16 +20,16 @@ def meter(ledger: DataFrame, budget: float = V.SESSION_BUDGET, prior_used: float
     """
     ok = F.col("status") == 200
     paid = F.when(ok & ~F.col("own_key"), F.col("cost")).otherwise(0.0)
-    run = with_position(ledger, "pos", rows_per_bucket=rows_per_bucket, sums={
-        "running_cost": paid, "_ok": F.when(ok, 1.0).otherwise(0.0), "_bad": F.when(ok, 0.0).otherwise(1.0)})
+    run = materialize(with_position(ledger, "pos", rows_per_bucket=rows_per_bucket, sums={
+        "running_cost": paid, "_ok": F.when(ok, 1.0).otherwise(0.0), "_bad": F.when(ok, 0.0).otherwise(1.0)}), "ledger")
     spent = F.lit(prior_used) + F.col("running_cost")
-    over = run.where(ok & ~F.col("own_key") & (spent >= budget) & F.lit(not unlimited)).agg(F.min("pos").alias("over"))
-    refused = run.where("status = 402").agg(F.min("pos").alias("refused"))
+    over = F.min(F.when(ok & ~F.col("own_key") & (spent >= budget) & F.lit(not unlimited), F.col("pos")))
+    first = run.agg(over.alias("over"), F.min(F.when(F.col("status") == 402, F.col("pos"))).alias("refused")).first()
     failures = run.where(~ok).select("pos", "_ok", "_bad")
     starts = failures.groupBy("_ok").agg((F.min("_bad") + (breaker - 1)).alias("_bad"))
-    tripped = failures.join(starts, ["_ok", "_bad"]).agg(F.min("pos").alias("failing"))
-    stops = {"over_budget": over, "402": refused, "429": tripped}
-    found = [(name, row[0]) for name, df in stops.items() if (row := df.first())[0] is not None]  # three values
+    tripped = failures.join(starts, ["_ok", "_bad"]).agg(F.min("pos").alias("failing")).first()
+    stops = {"over_budget": first["over"], "402": first["refused"], "429": tripped["failing"]}
+    found = [(name, at) for name, at in stops.items() if at is not None]  # three values
     reason, stop = min(found, key=lambda f: f[1]) if found else (None, None)
     by_model = ok & (F.lit(True) if stop is None else F.col("pos") <= stop)
     return run.drop("_ok", "_bad", "position").select(
