@@ -10,8 +10,8 @@ No bucket is expanded into all its pairs. Equal sets are collapsed first. Of the
 no other of them has are counted: they bound every similarity from above, exactly, and most members of a large group of
 near copies that are too far from the rest fall to that bound. Each other member of a bucket is paired with the bucket's most
 central member, the one with the smallest share of such shingles. Buckets whose members are not in one component after that go
-through an exact second step: in blocks of bounded size, members meet those outside the bucket's main component, so every pair
-of a bucket is confirmed, ruled out or already joined. A pair at similarity 0.8 shares none of 32 bands with probability 5e-8.
+through an exact second step: in blocks of bounded size, members meet those outside the bucket's main component with their whole
+sets, so every pair of a bucket is compared or already joined, and only links leave the block. A pair at similarity 0.8 shares none of 32 bands with probability 5e-8.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from postsieve.llm.shared import components, written
 from postsieve.llm.words import Words, pieces, shingle_sets
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
-BLOCK = 256
+BLOCK = 1024
 #: A pair is dropped unread only when its registers speak this strongly (log-likelihood) against the threshold.
 AGAINST = 18.0
 
@@ -107,16 +107,17 @@ def sketches(docs: DataFrame, width: int, registers: int, key: str = "doc_id", t
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """(doc_id, shingles) of the documents named in nodes (doc_id)."""
+    """(doc_id, shingles, halves) of the documents named in nodes (doc_id); halves are the digests' upper halves, sorted."""
     def run(batches):
         for batch in pieces(batches, "text"):
             sets = shingle_sets(Words(batch.column(1), lower=True), width)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             flat = np.concatenate(sets).view(np.int64) if sizes.sum() else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "shingles"])
+            halves = pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, halves], ["doc_id", "shingles", "halves"])
     wanted = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(nodes, "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc_id long, shingles array<long>")
+    return wanted.mapInArrow(run, "doc_id long, shingles array<long>, halves binary")
 
 
 def bounded(na, ua, nb, ub, percent: int):
@@ -157,37 +158,60 @@ def band_keys(sketch: Column, registers: int, band: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(registers // band - 1)), lambda i: F.xxhash64(i, F.substring(sketch, i * (2 * band) + 1, F.lit(2 * band))))
 
 
-def _rest(members: DataFrame, comp: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs across components within the buckets that span several, for the exact second step."""
+def overlaps(rows: np.ndarray, sets: list[np.ndarray]):
+    """A function that gives the size of each listed set's intersection with set k; all sets are numbered once."""
+    at = np.cumsum([0, *(len(x) for x in sets)])
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    mine = np.concatenate([number[at[r]:at[r + 1]] for r in rows])
+    starts = np.cumsum([0, *(len(sets[r]) for r in rows[:-1])])
+    mark = np.zeros(int(number.max()) + 1, dtype=np.int32)
+
+    def shared(k: int) -> np.ndarray:
+        own = number[at[k]:at[k + 1]]
+        mark[own] = 1
+        out = np.add.reduceat(mark[mine], starts)
+        mark[own] = 0
+        return out
+    return shared
+
+
+def _rest(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs across components within the buckets that span several, compared whole; the exact second step.
+
+    Sets travel as halves of their digests here: an intersection can only come out too large by that, so no link is lost, and
+    what is found is confirmed on whole digests afterwards.
+    """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 2")
     rows = (members.join(sizes, "bucket").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("bucket", "rep", "n", "own", "members", F.coalesce("component", "rep").alias("component")))
+            .select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component")))
     rows = written(rows, "members")
     parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
-    spread = written(rows.join(main, "bucket"), "spread")
+    main = parts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    spread = written(rows.join(main.select("bucket", F.col("m.component").alias("main"), F.col("m.c").alias("held")), "bucket"), "spread")
     if spread.isEmpty():
         return None
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    inside = spread.withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int")).withColumn("outside", F.lit(False))
-    outside = spread.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("outside", F.lit(True))
+    pieces_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    blocks, chunks, turn = pieces_of(F.col("members")), pieces_of(F.col("members") - F.col("held")), F.xxhash64("rep", "bucket")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    inside = spread.withColumn("block", F.pmod(turn, blocks).cast("int")).withColumn("chunk", each(chunks)).withColumn("outside", F.lit(False))
+    outside = spread.where("component <> main").withColumn("chunk", F.pmod(turn, chunks).cast("int")).withColumn("block", each(blocks)).withColumn("outside", F.lit(True))
 
     def meet(table: pa.Table) -> pa.Table:
-        rep, component, out, size, own = (table.column(c).to_numpy() for c in ("rep", "component", "outside", "n", "own"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(len(rep), -1)
-        rows, found = np.flatnonzero(~out), []
-        for k in np.flatnonzero(out):
-            other = rows[component[rows] != component[k]]
-            other = other[bounded(size[other], own[other], np.full(len(other), size[k]), np.full(len(other), own[k]), percent)]
-            if len(other):
-                one = np.broadcast_to(sketch[k], (len(other), sketch.shape[1]))
-                other = other[hopeful(sketch[other], one, size[other].astype(float), np.full(len(other), float(size[k])), percent)]
+        rep, component, out = (table.column(c).to_numpy() for c in ("rep", "component", "outside"))
+        held = [np.frombuffer(x, dtype=np.uint32) for x in table.column("halves").to_pylist()]
+        size, rows, found = np.array([len(x) for x in held]), np.flatnonzero(~out), []
+        if len(rows) and out.any():
+            shared = overlaps(rows, held)
+            for k in np.flatnonzero(out):
+                m = shared(k)
+                other = rows[(100 * m >= percent * (size[rows] + size[k] - m)) & (component[rows] != component[k])]
                 found.append(np.stack([np.minimum(rep[other], rep[k]), np.maximum(rep[other], rep[k])], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    rows = inside.unionByName(outside).join(reps.select("rep", "sketch"), "rep")
-    return rows.groupBy("bucket", "block").applyInArrow(meet, "a long, b long").distinct()
+    columns = ["bucket", "rep", "component", "block", "chunk", "outside"]
+    rows = inside.select(columns).unionByName(outside.select(columns)).join(sets.select(F.col("doc_id").alias("rep"), "halves"), "rep")
+    return rows.groupBy("bucket", "block", "chunk").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, registers: int = 128, band: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,9 +241,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, register
     pairs = written(star.distinct(), "pairs")
     links = written(_confirmed(written(_likely(pairs, reps, facts, percent), "likely"), sets, percent), "links")
     comp = components(links)
-    more = _rest(members, comp, reps, percent)
+    more = _rest(members, comp, sets, percent)
     if more is not None:
-        likely = written(more.join(pairs, ["a", "b"], "left_anti"), "likely")
+        likely = written(more, "likely")
         if not likely.isEmpty():
             comp = components(links.unionByName(written(_confirmed(likely, sets, percent), "links")))
     joined = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
