@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from postsieve import schema as S, values as V
 from postsieve.functions import text as T
 from postsieve.functions.settle import settle
-from postsieve.operators import decide, dedupe, geo, profile as P, score
+from postsieve.operators import cache, decide, dedupe, geo, profile as P, score
+from postsieve.operators.meter import meter
+from postsieve.operators.position import with_position
 from postsieve.session import materialize
 from postsieve.sources.gazetteer import Places, countries_of
 
@@ -68,6 +70,29 @@ def triage(posts: DataFrame, profile: P.EventProfile, labels: DataFrame | None =
     return df.unionByName(shown, allowMissingColumns=True)
 
 
+def paid_labels(posts: DataFrame, profile: P.EventProfile, labels: DataFrame, calls: DataFrame, cached: DataFrame | None = None,
+                questions: str = "", budget: float = V.SESSION_BUDGET, threshold: float = V.PREFILTER_THRESHOLD, **limits) -> DataFrame:
+    """(id, labels, cached): the labels that candidates have from the cache or from a call the budget still allowed.
+
+    Candidates without an entry queue by score, best first; ``calls`` (id, status, cost, own_key) is what their calls came to,
+    and the meter ends them at the budget, a refusal or a run of failures. Candidates after the stop have no row here, so
+    ``triage`` labels them by rules. A call without a row in ``calls`` was never answered.
+    """
+    scored = score.prefilter(score.score_relevance(posts, profile), threshold).where("is_candidate")
+    keyed = materialize(cache.with_key(scored.select("seq", "id", "text", F.col("prefilter.score").alias("score")), profile.hazard, questions=questions), "candidates")
+    if cached is None:
+        hit, missed = None, keyed
+    else:
+        hit = cache.lookup(keyed, cached).where("entry IS NOT NULL").select("id", "entry.labels", F.lit(True).alias("cached"))
+        missed = cache.misses(keyed, cached)
+    queue = with_position(missed.select("seq", "id", "score"), "seq", rank="score").select("id", F.col("position").alias("pos"))
+    ledger = queue.join(calls.select("id", "status", "cost", "own_key"), "id", "left")
+    ledger = ledger.select("id", "pos", F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("own_key", F.lit(False)).alias("own_key"))
+    paid = meter(ledger, budget, **limits).where(F.col("classifier") == V.MODEL_CLASSIFIER)
+    fresh = paid.select("id").join(labels.select("id", "labels"), "id").withColumn("cached", F.lit(False))
+    return fresh if hit is None else hit.unionByName(fresh)
+
+
 def unusable_rejects(records: DataFrame) -> DataFrame:
     """Reject entries of records with neither text nor image."""
     none = T.is_blank(F.col("text")) & (F.col("image_ref").isNull() if "image_ref" in records.columns else F.lit(True))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from postsieve import schema as S, values as V
-from postsieve.operators import decide, dedupe, facts
+from postsieve.operators import cache, decide, dedupe, facts
 from postsieve.plans import triage as plan
 from postsieve.session import materialize, scratch_path
 from postsieve.streaming import triage_stream as st
@@ -97,6 +97,22 @@ def a9_shares(spark, sf):
     return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
 
 
+@query("o7_cache_and_budget", with_sql(
+    """SELECT id, is_candidate, CASE WHEN hit OR pos <= 399 THEN 'model' ELSE 'heuristic' END AS classifier, is_candidate AND hit AS cached FROM (
+       SELECT *, CASE WHEN is_candidate AND NOT hit THEN row_number() OVER (PARTITION BY is_candidate, hit ORDER BY score DESC, seq) - 1 END AS pos
+       FROM (SELECT *, is_candidate AND seq % 3 = 0 AS hit FROM filtered))""", **SC))
+def o7_budget(spark, sf):
+    """Hits, misses, and a budget that ends the calls after the four hundredth."""
+    kept = kept_table(spark, sf)
+    profile, lab = profile_of(kept), labels(spark, sf)
+    old = cache.with_key(kept.where("seq % 3 = 0"), profile.hazard).join(lab, "id").select(
+        "key", "labels", F.lit(V.MODEL_CLASSIFIER).alias("classifier"), F.lit("m0").alias("model_version"), F.lit(None).cast("string").alias("redacted_text"), F.lit(1).cast("long").alias("ts"))
+    calls = kept.select("id", F.lit(200).alias("status"), F.lit(0.25).alias("cost"), F.lit(False).alias("own_key"))
+    paid = materialize(plan.paid_labels(kept, profile, lab, calls, old, budget=100.0), "paid")
+    r = plan.triage(kept, profile, paid.select("id", "labels")).join(paid.select("id", "cached"), "id", "left")
+    return r.select("id", "is_candidate", "classifier", F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
 @query("j1_labels_by_id", with_sql("SELECT id, l.relevant FROM kept LEFT JOIN lab l USING (id)", posts=posts_sql(), kept=kept_sql(), ans=answers_sql(), lab=LABELS_SQL))
 def j1(spark, sf):
     j = decide.label_posts(dedupe.collapse_exact(views.posts(spark, sf)), labels(spark, sf))
