@@ -196,9 +196,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     radius, ratio, matrix = float(np.sqrt(max(m, longest[0]))) * (1 + 1e-12), stop_ratio(dims, sure), projection(d, dims)
     usable, asked = usable.where(F.size("v") == d), asked.where(F.size("v") == d)
     share = min(1.0, 1.5 * SAMPLE / n)
-    sample = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(SAMPLE).collect()
-    sample = np.array([r["v"] for r in sample] or np.zeros((0, d))).reshape(-1, d)
-    tree = Tree(lifted(sample, radius) @ matrix, int(max(1, min(n // CELL_ROWS, len(sample) // 8))))
+    chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(SAMPLE)
+
+    def project(batches):
+        for batch in batches:
+            points = lifted(np.array(batch.column(0).flatten(), dtype=np.float64).reshape(-1, d), radius) @ matrix
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in points], pa.binary())], ["p"])
+    sample = np.frombuffer(b"".join(r["p"] for r in chosen.mapInArrow(project, "p binary").collect()), dtype=np.float64).reshape(-1, dims)
+    tree = Tree(sample, int(max(1, min(n // CELL_ROWS, len(sample) // 8))))
     low, high = tree.boxes
 
     def place(batches):
