@@ -224,6 +224,24 @@ def c21(spark, sf):
     return reviewed(spark, sf).groupBy("review").agg(F.count("*").alias("n"))
 
 
+def _word_scorer(texts):
+    """A scorer of a few words, for the seam that runs a model per Arrow batch."""
+    import pandas as pd
+    wet = texts.str.contains("flood|water", regex=True)
+    topic = pd.DataFrame({"i": range(len(texts)), "question": "hazard_topic", "type": "noul", "noul": wet.map({True: 0.9, False: 0.2}), "choice": None, "score": None, "confidence": None})
+    kind = pd.DataFrame({"i": range(len(texts)), "question": "hazard", "type": "choice", "noul": None, "choice": wet.map({True: "flood", False: "other"}), "score": None, "confidence": 0.7})
+    return pd.concat([topic, kind])
+
+
+@query("u1_batch_scorer", with_sql(
+    """SELECT id, wet AS relevant, CAST(round(CASE WHEN wet THEN 0.8 ELSE 0.6 END, 6) AS DOUBLE) AS confidence, CASE WHEN wet THEN 'flood' ELSE 'other' END AS hazard
+       FROM (SELECT id, regexp_matches(text, 'flood|water') AS wet FROM posts)""", posts=posts_sql()))
+def u1_batch(spark, sf):
+    """Answers made by a scorer inside the tasks, through labels."""
+    lab = decide.to_labels(decide.decide(views.posts(spark, sf), _word_scorer))
+    return lab.select("id", F.col("labels.relevant.value").alias("relevant"), F.round("labels.relevant.confidence", 6).alias("confidence"), F.col("labels.hazard.value").alias("hazard"))
+
+
 @query("u1_rule_scorer", with_sql(
     f"""SELECT id, regexp_matches(text, {q(V.RULE_FLOOD_PATTERN)}) AND NOT regexp_matches(text, {q(V.RULE_SPAM_PATTERN)}) AS relevant,
         CASE {' '.join(f"WHEN regexp_matches(text, {q(p)}) THEN '{c}'" for p, c, _ in V.CATEGORY_RULES)} ELSE 'sentiment' END AS category FROM posts""",

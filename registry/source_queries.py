@@ -55,6 +55,19 @@ def s5(spark, sf):
     return rejects.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query("s5_ragged_rows", with_sql("SELECT 'Too many fields: expected 3 fields but parsed 4' AS reason, count(*) AS n FROM posts WHERE seq % 50 = 3 UNION ALL SELECT 'Too few fields: expected 3 fields but parsed 2', count(*) FROM posts WHERE seq % 50 = 4", posts=posts_sql()))
+def s5_ragged(spark, sf):
+    """Rows with a field too many, behind a long quoted cell, and rows with one too few; each part has its header."""
+    path, seq = scratch_path(spark, "ragged"), F.col("seq").cast("string")
+    cell = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = (F.when(F.col("seq") % 50 == 3, F.concat(seq, F.lit(',"'), F.repeat(F.lit('wörd, ""x"" '), 900), F.lit('",y,extra')))
+            .when(F.col("seq") % 50 == 4, F.concat(seq, F.lit(","), cell)).otherwise(F.concat(seq, F.lit(","), cell, F.lit(",y"))))
+    first = F.monotonically_increasing_id() % F.lit(1 << 33) == 0
+    views.posts(spark, sf).select(F.when(first, F.concat(F.lit("Nr,text,c\n"), line)).otherwise(line).alias("value")).write.text(path)
+    _, rejects, _ = csv_posts.read_parts(spark, path)
+    return rejects.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("s6_coordinates", with_sql(f"SELECT seq, {ok_sql()} AS accepted FROM posts", posts=posts_sql()))
 def s6(spark, sf):
     return views.posts(spark, sf).select("seq", geo.accepted_coordinates(F.col("lat"), F.col("lon")).alias("accepted"))
