@@ -77,16 +77,15 @@ def term_matches(terms: DataFrame, posts: DataFrame, carry: tuple[str, ...] = ()
     phrases = phrases.withColumn("gram", _spaced(F.col("phrase"))).withColumn("n", F.size(F.split("gram", " ")))
     # words alone decide by themselves; a phrase with marks in it is confirmed by the pattern afterwards
     phrases = phrases.withColumn("doubtful", F.col("gram").rlike("[^a-z0-9 ]"))
-    # one look at the phrases: all of them when they are few, else only their lengths
-    some = phrases.select("gram", "n", "doubtful").distinct().limit(MAX_INLINE_WORDS + 1).collect()
-    wanted = sorted({r["gram"] for r in some}) if len(some) <= MAX_INLINE_WORDS else None
-    kinds = some if wanted is not None else phrases.select("n", "doubtful").distinct().collect()
-    if not kinds:
+    some = phrases.select("label", "phrases", "gram", "n", "doubtful").distinct().limit(MAX_INLINE_WORDS + 1).collect()
+    if not some:
         return distinct.crossJoin(posts.select("seq", *carry).limit(0))
-    words = posts.select("seq", *carry, settle(F.split(_spaced(F.col("text")), " ")).alias("w"))
+    words = posts.select("seq", "text", *carry, settle(F.split(_spaced(F.col("text")), " ")).alias("w"))
+    if len(some) <= MAX_INLINE_WORDS:
+        return _matched_in_place(some, words, carry)
+    # more phrases than fit a plan: only their lengths are known to it, and n-grams meet them in a join
+    kinds = phrases.select("n", "doubtful").distinct().collect()
     grams = F.flatten(F.array(*[_grams_of(n) for n in sorted({k["n"] for k in kinds})]))
-    if wanted is not None:  # only grams that can match leave the row
-        grams = F.filter(grams, lambda g: g.isin(wanted))
     seen = words.select("seq", *carry, settle(F.array_distinct(grams)).alias("g")).select("seq", *carry, F.explode("g").alias("gram"))
     found = seen.join(phrases.select("label", "phrases", "gram", "doubtful"), "gram")
     sure = found.where("NOT doubtful").select("label", "phrases", "seq", *carry)
@@ -97,6 +96,30 @@ def term_matches(terms: DataFrame, posts: DataFrame, carry: tuple[str, ...] = ()
     return sure.distinct()
 
 
+def _matched_in_place(some: list, words: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """Matches of a bounded number of phrases: each post finds its terms, every one once, before any row leaves it."""
+    terms = sorted({(r["label"], tuple(r["phrases"])) for r in some}, key=str)
+    number = {t: i for i, t in enumerate(terms)}
+    grams = F.flatten(F.array(*[_grams_of(n) for n in sorted({r["n"] for r in some})]))
+
+    def found(doubtful: bool) -> Column:
+        of: dict[str, list[int]] = {}
+        for r in some:
+            if r["doubtful"] == doubtful:
+                of.setdefault(r["gram"], []).append(number[r["label"], tuple(r["phrases"])])
+        table = F.from_json(F.lit(json.dumps(of)), "map<string,array<int>>")
+        return F.array_distinct(F.flatten(F.transform(F.filter(grams, lambda g: g.isin(list(of))), lambda g: F.element_at(table, g))))
+
+    rows = words.select("seq", "text", *carry, settle(found(False)).alias("sure"), settle(found(True)).alias("doubt"))
+    each = F.concat(F.transform("sure", lambda i: F.struct(i.alias("i"), F.lit(True).alias("sure"))),
+                    F.transform(F.array_except("doubt", "sure"), lambda i: F.struct(i.alias("i"), F.lit(False).alias("sure"))))
+    rows = rows.select("seq", "text", *carry, F.explode(each).alias("m")).select("seq", "text", *carry, "m.*")
+    table = words.sparkSession.createDataFrame([(i, label, list(phrases)) for (label, phrases), i in number.items()], "i int, label string, phrases array<string>")
+    table = F.broadcast(table.withColumn("pattern", T.mentions_pattern_column(F.col("phrases"))))  # at most MAX_INLINE_WORDS rows
+    hits = rows.join(table, "i").where(F.col("sure") | F.expr("regexp_like(text, pattern)"))
+    return hits.select("label", "phrases", "seq", *carry)
+
+
 def exact_facts(terms: DataFrame, records: DataFrame) -> DataFrame:
     """(qid, rank, label, count_all, count_relevant) over every record."""
     flags = records.select("seq", "text", S.relevant().alias("rel"))

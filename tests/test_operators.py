@@ -237,3 +237,15 @@ def test_no_row_is_lost(spark, sf):
     p = _posts_and_images(spark, sf)
     r = triage.triage(p, EventProfile("flood"), None, decide.clean_descriptions(views.image_descriptions(spark, sf)))
     assert r.count() == p.count() and r.where("labels.relevant is null").count() == 0
+
+
+def test_phrases_match_alike_in_place_and_joined(spark, monkeypatch):
+    from postsieve.operators import ask
+    p = posts(spark, ["a dam, at high-river", "high river and High River", "st. john's docks", "st john s", "nothing", "dam dam"]).withColumn("rel", F.col("seq") % 2 == 0)
+    terms = spark.createDataFrame([("High River", ["high river", "highriver"]), ("St. John's", ["st. john's"]), ("dam", ["dam"]), ("dam", ["dam"])], "label string, phrases array<string>")
+    got = []
+    for limit in (ask.MAX_INLINE_WORDS, 0):
+        monkeypatch.setattr(ask, "MAX_INLINE_WORDS", limit)
+        got.append(sorted((r["label"], r["seq"], r["rel"]) for r in ask.term_matches(terms, p, ("rel",)).collect()))
+    assert got[0] == got[1] and len(got[0]) == len(set(got[0])) and ("dam", 5, False) in got[0]
+    assert ask.term_matches(terms.limit(0), p, ("rel",)).count() == 0
