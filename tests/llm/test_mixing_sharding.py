@@ -98,6 +98,23 @@ def test_equal_texts_stay_together_below_half_a_shard(spark):
     assert len({r["shard"] for r in out if r["doc_id"] >= 1000}) == 1
 
 
+def test_large_texts_of_few_rows_are_booked_whole(spark):
+    rows = [(i, f"some words of document {i} and a few more of them", "s") for i in range(1200)]
+    mean = sum(len(t) + 16 for _, t, _ in rows) / 8 * 1.6
+    rows += [(9000 + i, f"long{i} " * int(0.8 * mean / 6), "s") for i in range(5)]
+    rows += [(9100, "again " * int(0.1 * mean / 6), "s")] * 12
+    out = sharding.assign_shards(frame(spark, rows), shards=8).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(r[0] for r in rows)
+    size, slots = defaultdict(int), defaultdict(list)
+    for r in out:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size.values()) < 1.35 * sum(size.values()) / 8
+    assert len({r["shard"] for r in out if r["doc_id"] == 9100}) > 1  # copies of one row part too
+    assert len({r["shard"] for r in out if 9000 <= r["doc_id"] < 9005}) == 5
+
+
 def test_packing_takes_the_shard_with_the_highest_dot_product():
     items = np.array([[8., 0, 1], [0, 8, 1], [4, 4, 1], [4, 4, 1]])
     got = sharding.pack(items, 2)
