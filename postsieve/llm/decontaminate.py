@@ -1,10 +1,12 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search.
-
-Items are partitioned by their number of distinct shingles. For a set of n shingles of which at least `percent` in a
-hundred must be in a document, any document that qualifies holds one of the item's n - ceil(n * percent / 100) + 1 smallest
-hash values: so many can't all be missing. Each partition keeps just that many minima, whatever the document's length, so
-short items are found inside long documents and none is lost. Documents are scanned once, without a shuffle; candidates are
-confirmed in the same task on exact shingles, word by word.
+"""Benchmark decontamination by a prefix filter over hashed shingles.
+
+For an item of n distinct shingles of which at least `percent` in a hundred must be in a document, any document that qualifies
+holds one of the item's n - ceil(n * percent / 100) + 1 smallest hash values: so many can't all be missing. The index keeps
+just that many minima per item, whatever the document's length, so short items are found inside long documents and none is
+lost. Minima are keyed by the width of their shingles (less than `width` for items of fewer words) and not by the size of
+their item: each item's own size sets how many it keeps. Documents have no minima; all their shingles probe the index. They
+are scanned once per block of items, without a shuffle; candidates are confirmed in the same task on exact shingles, word by
+word.
 """
 
 from __future__ import annotations
@@ -15,14 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from postsieve.llm.shared import written
 from postsieve.llm.words import Words, mix, pieces
 
 #: Bytes of item texts that one pass over the documents carries to the tasks. More items take more passes, not more memory.
 MAX_ITEM_BYTES = 16 << 20
+PAIRS = "doc_id long, item_id long, item_shingles long, shared long"
 
 
 class ItemIndex:
-    """Minima of a bounded block of items, by the number of their shingles."""
+    """Minima of a bounded block of items, by the width of their shingles."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, percent: int):
         self.width, self.percent = width, percent
@@ -78,14 +82,27 @@ def item_blocks(items: DataFrame, item_key: str, text: str, limit: int) -> Itera
     block, size = [], 0
     for item_id, t in items.select(F.col(item_key).cast("long"), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator():
         if block and size + 4 * len(t) > limit:
-            yield block
-            block, size = [], 0
+            full, block, size = [block], [], 0
+            yield full.pop()
         block.append((item_id, t))
         size += 4 * len(t)
     if block:
         yield block
 
 
+def _holding(rows: DataFrame, block: list[tuple[int, str]], width: int, percent: int) -> DataFrame:
+    """The pairs of documents (doc_id, text) and the items of one block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ItemIndex(block, width, percent)
+        for batch in pieces(batches, "text"):
+            words = Words(batch.column(1), lower=True)
+            found = list(index.matches(words, words.hashes()))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array([t for t, _, _ in found], pa.int64())), pa.array([index.ids[k] for _, k, _ in found], pa.int64()),
+                pa.array([index.total[k] for _, k, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int64())], ["doc_id", "item_id", "item_shingles", "shared"])
+    return rows.mapInArrow(run, PAIRS)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """Pairs (doc_id, item_id, item_shingles, shared) where 100 * shared >= percent * item_shingles.
 
@@ -93,22 +110,16 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int
     sequence, found anywhere in a document. Items without words are found nowhere; null and empty documents hold nothing.
     Repeated documents or items give a row each; a null doc_id or item_id is carried as null. Only the named columns are
     read. An empty table on either side gives no rows. Items are the stated query set: they go to the tasks in blocks of
-    bounded size, each block over all documents.
+    bounded size, each block over all documents. A block's pairs are written to the shared folder before the next block is
+    taken, so the driver holds the texts of one block.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for block in item_blocks(items, item_key, item_text, max_item_bytes):
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(block, width, percent)
-            for batch in pieces(batches, "text"):
-                words = Words(batch.column(1), lower=True)
-                found = list(index.matches(words, words.hashes()))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array([t for t, _, _ in found], pa.int64())), pa.array([index.ids[k] for _, k, _ in found], pa.int64()),
-                    pa.array([index.total[k] for _, k, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int64())], ["doc_id", "item_id", "item_shingles", "shared"])
-        part = rows.mapInArrow(run, "doc_id long, item_id long, item_shingles long, shared long")
+        part = written(_holding(rows, block, width, percent), "pairs")
+        del block
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, item_shingles long, shared long")
+    return out if out is not None else docs.sparkSession.createDataFrame([], PAIRS)
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **how) -> DataFrame:

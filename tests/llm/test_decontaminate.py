@@ -46,6 +46,31 @@ def test_equals_brute_force_in_one_block_and_in_many(spark, limit):
     assert sorted((tuple(x) for x in got), key=str) == brute(docs, items, 5, 80)
 
 
+def test_a_block_is_done_before_the_next_is_taken(spark, monkeypatch):
+    import gc
+    import weakref
+
+    class Block(list):
+        pass
+    seen, blocks, write = [], D.item_blocks, getattr(D, "written", None)
+
+    def watched(*how):
+        for block in blocks(*how):
+            gc.collect()
+            assert not [x for x in seen if x() is not None]
+            block = [Block(block)]
+            seen.append(weakref.ref(block[0]))
+            yield block.pop()
+            assert len(done) == len(seen)
+    done = []
+    monkeypatch.setattr(D, "item_blocks", watched)
+    monkeypatch.setattr(D, "written", lambda *how: done.append(1) or write(*how), raising=False)
+    docs = spark.createDataFrame([(k, f"one two three {k}", "x", "y") for k in range(6)], SCHEMA)
+    items = spark.createDataFrame([(k, f"two three {k}", "z") for k in range(6)], ITEMS)
+    got = D.contaminated(docs, items, max_item_bytes=40).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k in range(6)] and len(seen) == 6
+
+
 def test_clean_keeps_columns_and_null_keys(spark):
     docs = spark.createDataFrame([(1, "one two three four five six", "x", "y"), (2, "fine", "x", "y"), (None, "one two three four five six", "x", "y")], SCHEMA)
     items = spark.createDataFrame([(7, "One two three four five", "z")], ITEMS)
