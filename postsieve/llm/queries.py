@@ -151,3 +151,70 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def token_counts(spark, sf_dir):
     from postsieve.llm.token_counts import count_tokens
     return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, fields=("source", "lang", "text"), rule="start")
+
+
+SEARCH_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+d AS (SELECT r, doc_id, ts, len(ts)::BIGINT AS n FROM t WHERE len(ts) > 0),
+a AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM d),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+o AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM d) JOIN (SELECT DISTINCT term FROM i) USING (term) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM o, a GROUP BY term, docs),
+s AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM o JOIN d USING (r) JOIN w USING (term) JOIN i USING (term), a GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10
+"""
+
+
+@query("op11_ranked_search", SEARCH_SQL)
+def ranked_search(spark, sf_dir):
+    from postsieve.llm.ranked_search import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def _cluster_sql(clusters: int, rounds: int, size: int, scale: int, seed: int) -> str:
+    far = "SELECT e.r, k, sum((e.x - c.x) * (e.x - c.x))::BIGINT AS d FROM e JOIN c{n} c USING (j) GROUP BY e.r, k"
+    steps = "".join(f""",
+a{n} AS (SELECT r, (min(d * {clusters} + k) % {clusters})::INT AS k FROM ({far.format(n=n)}) GROUP BY r),
+m{n} AS (SELECT k, j, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM e JOIN a{n} USING (r) GROUP BY k, j),
+c{n + 1} AS (SELECT k, j, coalesce((s - ((s % n) + n) % n) // n, x)::BIGINT AS x FROM c{n} LEFT JOIN m{n} USING (k, j))""" for n in range(rounds))
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+g AS (SELECT r, vec_id, list_transform(v, lambda x: floor({scale} * x)::BIGINT) AS v FROM v WHERE len(v) = {size} AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT r, unnest(range(1, {size + 1})) AS j, unnest(v) AS x FROM g),
+f AS (SELECT r, (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR), v) - 1)::INT AS k FROM g),
+c0 AS (SELECT k, j, x FROM e JOIN f USING (r) WHERE k < {clusters}){steps},
+z AS (SELECT r, min(d * {clusters} + k) AS t FROM ({far.format(n=rounds)}) GROUP BY r),
+o AS (SELECT r, vec_id, (t % {clusters})::INT AS cluster, (t // {clusters})::BIGINT AS distance FROM z JOIN g USING (r)),
+h AS (SELECT k AS cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM o JOIN h USING (cluster)
+"""
+
+
+@query("op12_centroids", _cluster_sql(8, 10, 64, 1024, 3))
+def centroids(spark, sf_dir):
+    from postsieve.llm.centroids import cluster
+    return cluster(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, size=64, scale=1024, seed=3)
+
+
+NEAR_VECTORS_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+e AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT v.vec_id, coalesce(any_value(n_links), 0)::BIGINT AS n_links, min(r.b) AS component_id, v.vec_id = min(r.b) AS kept
+FROM v JOIN reach r ON r.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id GROUP BY v.vec_id
+"""
+
+
+@query("op13_near_vectors", NEAR_VECTORS_SQL)
+def near_vector_rows(spark, sf_dir):
+    from postsieve.llm.vector_dedup import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)

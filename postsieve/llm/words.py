@@ -44,16 +44,19 @@ def pieces(batches, *columns: str, limit: int = PIECE_BYTES) -> Iterator[pa.Reco
 
 
 class Words:
-    """Words of a slice of texts: `first[k]:first[k + 1]` are the word numbers of text k; `start`, `end` their byte places."""
+    """Words of a slice of texts: `first[k]:first[k + 1]` are the word numbers of text k; `start`, `end` their byte places.
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    `outside` marks the bytes that no word holds (the six blanks unless given).
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False, outside: np.ndarray = _BLANK):
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
         body = texts.buffers()[2]
         data = np.frombuffer(body, dtype=np.uint8)[offsets[0]:offsets[-1]] if body is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         self.data = _LOWER[data] if lower else data
         self.text_at = offsets - offsets[0]
-        inside = ~_BLANK[self.data]
+        inside = ~outside[self.data]
         begins, stops = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         stops[:-1] &= ~inside[1:]
