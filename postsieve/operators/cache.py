@@ -30,10 +30,18 @@ def with_key(posts: DataFrame, hazard: str, **kw) -> DataFrame:
     return posts.withColumn("key", settle(cache_key(F.col("text"), hazard, **kw)))
 
 
+def newest(cache: DataFrame) -> DataFrame:
+    """One entry per key: the newest; of equal times the later model version, then the larger digest of the entry."""
+    names = cache.columns
+    order = F.struct("ts", F.coalesce("model_version", F.lit("")), F.xxhash64(F.to_json(F.struct(*names))))
+    return cache.groupBy("key").agg(F.max_by(F.struct(*names), order).alias("e")).select("e.*")
+
+
 def lookup(keyed: DataFrame, cache: DataFrame) -> DataFrame:
-    """Every post with its cache entry in ``entry``, null for a miss. Blank posts have no key and stay out of the join, so they
-    never meet in one task; a hot key is copies of one text, which Spark can split."""
-    paid = cache.where(F.col("classifier") == V.MODEL_CLASSIFIER)
+    """Every post with its cache entry in ``entry``, null for a miss. Of several entries of one key the newest counts, so a post is one
+    row whatever the cache holds. Blank posts have no key and stay out of the join, so they never meet in one task; a hot key is
+    copies of one text, which Spark can split."""
+    paid = newest(cache.where(F.col("classifier") == V.MODEL_CLASSIFIER))
     entry = paid.select(F.col("key"), F.struct("labels", "model_version", "redacted_text").alias("entry"))
     blank = keyed.where("key IS NULL").withColumn("entry", F.lit(None).cast(entry.schema["entry"].dataType))
     return keyed.where("key IS NOT NULL").join(entry, "key", "left").select(*keyed.columns, "entry").unionByName(blank)
@@ -69,15 +77,12 @@ def entries(records: DataFrame, now: int) -> DataFrame:
 
 
 def store(cache: DataFrame, fresh: DataFrame, max_entries: int | None = None) -> DataFrame:
-    """The cache with the fresh entries, one per key (newest; of equal times the later model version, then the larger digest of
-    the entry). All are kept unless a number is given; then the oldest beyond it are taken out.
+    """The cache with the fresh entries, one per key (see ``newest``). All are kept unless a number is given; then the oldest beyond it are taken out.
 
     The result is a new snapshot, written once to the shared folder.
     """
-    names = cache.columns
-    order = F.struct("ts", F.coalesce("model_version", F.lit("")), F.xxhash64(F.to_json(F.struct(*names))))
-    newest = cache.unionByName(fresh).groupBy("key").agg(F.max_by(F.struct(*names), order).alias("e")).select("e.*")
-    return newest if max_entries is None else evict_oldest(materialize(newest, "entries"), max_entries)
+    merged = newest(cache.unionByName(fresh))
+    return merged if max_entries is None else evict_oldest(materialize(merged, "entries"), max_entries)
 
 
 def evict_oldest(cache: DataFrame, max_entries: int) -> DataFrame:

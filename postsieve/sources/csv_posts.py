@@ -1,8 +1,11 @@
 """Delimited files of unknown shape to posts, with every rejected row reported.
 
-A file whose quotes close on every line is read as splittable text lines; only a file with line ends inside
-quotes is read whole per file. Row numbers need no sort: rows of one input split are contiguous, so a small
-count per split gives the offset.
+All files are read as splittable text lines. Where a quoted field may go on over line ends, the quote state is found by a prefix
+scan: a line maps the state before it to the state after it, lines of one input split are composed in order, and so are the splits
+of a file. That fixes where each record begins, in any split; only the lines of records that span several meet again.
+Row numbers need no sort: rows of one input split are contiguous, so a small count per split gives the offset.
+
+Every file has its own header; columns are matched by name, and a file without the text column is rejected row by row.
 """
 
 from __future__ import annotations
@@ -18,8 +21,11 @@ from postsieve import values as V
 from postsieve.functions import text as T
 from postsieve.functions.settle import settle
 from postsieve.operators.geo import accepted_coordinates
+from postsieve.session import materialize
 
 _HEAD_LINES = 50
+#: Characters of a record that goes over line ends; a longer one is an unclosed quote, reported as such.
+MAX_RECORD = 64 << 20
 csv.field_size_limit(2**31 - 1)  # a cell of the first lines may be long
 
 
@@ -78,64 +84,162 @@ def pick_header(headers: list[str], candidates: list[str]) -> str | None:
 
 # --- rows --------------------------------------------------------------------------------------
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Adds ``part`` (file order by name), ``line`` (0-based in its file) and ``before`` (rows of earlier files)."""
-    marked = df.select("*", F.col("_metadata.file_path").alias("_file"),
-                       F.col("_metadata.file_block_start").alias("_block")).withColumn("_id", F.monotonically_increasing_id())
-    blocks = marked.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    # one row per input split: these windows run over a small table
-    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_size"))
-    by_name = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).alias("part"),
-                         F.coalesce(F.sum("_size").over(by_name), F.lit(0)).alias("before"))
-    blocks = blocks.withColumn("_skip", F.coalesce(F.sum("_n").over(in_file), F.lit(0))).join(files, "_file")
-    return (marked.join(blocks.select("_file", "_block", "_first", "_skip", "part", "before"), ["_file", "_block"])
-            .withColumn("line", F.col("_id") - F.col("_first") + F.col("_skip")).drop("_id", "_first", "_skip", "_block"))
-
-
-def _field_count(line: Column, delimiter: str) -> Column:
-    bare = F.regexp_replace(line, '"[^"]*"', "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
-
-
-def read_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[DataFrame | None, CsvReport]:
-    """(rows with ``f`` = array of fields, ``bad`` = field count when it is wrong, part, row, before) and the dialect."""
-    plain = encoding.upper() in ("UTF-8", "UTF8")
-    if plain:
+def _scanned(value: Column, delimiter: str, inside: bool) -> Column:
+    """What a line leaves behind, given whether it begins inside a quoted field: ``inside`` (again) and ``ends``, the delimiters outside quotes.
+
+    A quote opens a field only at its start; in a quoted field two quotes stand for one. State 2 means just closed.
+    """
+    segments, ends = F.split(value, F.lit('"'), F.lit(-1)), lambda x: F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit("")))
+
+    def at_quote(now: Column, segment: Column) -> Column:
+        opens = segment.endswith(delimiter) | (now["first"] & (segment == ""))
+        state = F.when(now["state"] == 1, 2).when((now["state"] == 2) & (segment == ""), 1).when(opens, 1).otherwise(0)
+        return F.struct(state.alias("state"), (now["ends"] + F.when(now["state"] == 1, 0).otherwise(ends(segment))).alias("ends"), F.lit(False).alias("first"))
+    begin = F.struct(F.lit(int(inside)).alias("state"), F.lit(0).alias("ends"), F.lit(not inside).alias("first"))
+    last = F.element_at(segments, -1)
+    return F.aggregate(F.slice(segments, F.lit(1), F.size(segments) - 1), begin, at_quote, lambda now: F.struct(
+        (now["state"] == 1).alias("inside"), (now["ends"] + F.when(now["state"] == 1, 0).otherwise(ends(last))).alias("ends")))
+
+
+def _after(value: Column, delimiter: str, inside: bool) -> Column:
+    return F.when(value.contains('"'), _scanned(value, delimiter, inside)["inside"]).otherwise(F.lit(inside))
+
+
+def _composed(df: DataFrame, by: list[str], order: str, out: Column, turn: Column, names: tuple[str, str, str, str]) -> DataFrame:
+    """Prefix composition of maps of a two-valued state, in order within groups.
+
+    ``out`` is the state that a row always leaves, or null where it keeps or (``turn``) flips what it finds. Adds the map of all rows
+    up to each one, as the two columns names[:2] in the same form, and that of the rows before it, as names[2:].
+    """
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("_out", out).withColumn("_turns", F.sum(F.when(F.col("_out").isNull() & turn, 1).otherwise(0)).over(upto))
+    df = df.withColumn("_last", F.last(F.when(F.col("_out").isNotNull(), F.struct("_out", "_turns")), ignorenulls=True).over(upto))
+    odd = F.pmod(F.col("_turns") - F.coalesce("_last._turns", F.lit(0)), F.lit(2)) == 1
+    df = df.withColumn(names[0], F.col("_last._out") != odd).withColumn(names[1], odd).drop("_out", "_turns", "_last")
+    before = Window.partitionBy(*by).orderBy(order)
+    return df.withColumn(names[2], F.lag(names[0]).over(before)).withColumn(names[3], F.coalesce(F.lag(names[1]).over(before), F.lit(False)))
+
+
+def _state(found: str, turn: str, entry: Column) -> Column:
+    return F.coalesce(F.col(found), F.col(turn) != entry)
+
+
+def _spanning_records(lines: DataFrame, delimiter: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(records: file, line, value, fault; files: file, size) of lines (value, file, block, id) whose quoted fields may hold line ends.
+
+    A record of more than ``limit`` characters comes out without its value and with a fault, as does, with its value, one whose quote
+    never closes.
+    """
+    split = ["file", "block"]
+    lines = lines.withColumn("a0", _after(F.col("value"), delimiter, False)).withColumn("a1", _after(F.col("value"), delimiter, True))
+    lines = _composed(lines, split, "id", F.when(F.col("a0") == F.col("a1"), F.col("a0")), F.col("a0"), ("after", "after_turn", "before", "before_turn"))
+    upto = Window.partitionBy(*split).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = lambda entry: (F.col("value") != "") & ~_state("before", "before_turn", F.lit(entry))
+    for name, entry in (("begun0", False), ("begun1", True)):  # records begun so far in the split, for either state at its start
+        lines = lines.withColumn(name, F.sum(begins(entry).cast("long")).over(upto))
+    lines = materialize(lines.drop("a0", "a1"), "lines")
+    blocks = lines.groupBy(*split).agg(F.max_by(F.struct("after", "after_turn", "begun0", "begun1"), "id").alias("s")).select(*split, "s.*")
+    blocks = _composed(blocks, ["file"], "block", F.col("after"), F.col("after_turn"), ("_a", "_b", "entered", "entered_turn"))  # a row per input split
+    blocks = blocks.select(*split, F.coalesce("entered", "entered_turn").alias("entry"), "begun0", "begun1")
+    blocks = blocks.withColumn("begun", F.when(F.col("entry"), F.col("begun1")).otherwise(F.col("begun0")))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy("file").agg(F.sum("begun").alias("size"))
+    blocks = blocks.withColumn("skip", F.coalesce(F.sum("begun").over(earlier), F.lit(0))).select(*split, "entry", "skip")
+    placed = lines.join(blocks, split).select("file", "id", "value", _state("before", "before_turn", F.col("entry")).alias("inside"), _state("after", "after_turn", F.col("entry")).alias("open"),
+                                              (F.col("skip") + F.when(F.col("entry"), F.col("begun1")).otherwise(F.col("begun0")) - 1).alias("line"))
+    single = placed.where("NOT inside AND NOT open AND value <> ''").select("file", "line", "value", F.lit(None).cast("string").alias("fault"))
+    shared = placed.where("inside OR open")
+    sizes = shared.groupBy("file", "line").agg((F.sum(F.length("value") + 1)).alias("chars"), F.min("open").alias("unclosed"))
+    fault = F.when(F.col("chars") > limit, F.lit(f"Quoted field of more than {limit} characters")).when(F.col("unclosed"), F.lit("Quoted field unterminated"))
+    sizes = materialize(sizes.withColumn("fault", fault), "sizes")
+    whole = shared.join(sizes.where(F.col("chars") <= limit).select("file", "line"), ["file", "line"])
+    joined = whole.groupBy("file", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    many = sizes.join(joined, ["file", "line"], "left").select("file", "line", "value", "fault")
+    return single.unionByName(many), files
+
+
+def _text_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    if encoding.upper() in ("UTF-8", "UTF8"):
         lines = spark.read.text(path)
     else:  # other encodings are only understood by the csv source
         lines = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
                  .option("multiLine", True).schema("value string").csv(path))
-    lines = lines.where("value <> ''")
-    head = [r[0] for r in lines.limit(_HEAD_LINES).collect()]
-    if not head:
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def _records_of(spark: SparkSession, path: str, encoding: str, delimiter: str, limit: int) -> tuple[DataFrame, int]:
+    """(value, fault, part, line, before) per record and the number of files: ``part`` (file order by name), ``line`` (0-based in its file, blank
+    lines not counted) and ``before`` (records of earlier files)."""
+    numbered = lambda df: df.withColumn("id", F.monotonically_increasing_id())
+    lines = numbered(_text_lines(spark, path, encoding).where("value <> ''"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max(_after(F.col("value"), delimiter, False)).alias("open"))
+    blocks = materialize(blocks, "splits")  # a row per input split: the windows below run over a small table
+    files = blocks.groupBy("file").agg(F.sum("n").alias("size"), F.max("open").alias("open"))
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    skips = blocks.withColumn("skip", F.coalesce(F.sum("n").over(in_file), F.lit(0)))
+    plain = lines.join(skips.join(files.where("NOT open").select("file"), "file").select("file", "block", "first", "skip"), ["file", "block"])
+    records = plain.select("file", (F.col("id") - F.col("first") + F.col("skip")).alias("line"), "value", F.lit(None).cast("string").alias("fault"))
+    sizes = files.where("NOT open").select("file", "size")
+    if not files.where("open").isEmpty():
+        spanning = numbered(_text_lines(spark, path, encoding)).join(files.where("open").select("file"), "file", "left_semi")
+        found, held = _spanning_records(spanning, delimiter, limit)
+        records, sizes = records.unionByName(found), sizes.unionByName(held)
+    by_name = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    sizes = sizes.select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("part"), F.coalesce(F.sum("size").over(by_name), F.lit(0)).alias("before"))
+    return records.join(sizes, "file").drop("file"), files.count()
+
+
+def _places(header: str, report: CsvReport, headers: list[str]) -> tuple[list[int], int]:
+    """Where a file with this header line keeps each column of the report (-1: nowhere), and its number of columns."""
+    names = [h.strip() for h in _records([header.lstrip("\ufeff")], report.delimiter)[0]]
+    keys = [header_key(n) for n in names]
+    roles = {pick_header(report.headers, c): c for c in reversed(V.COLUMN_CANDIDATES.values())}  # the first role of a column names it
+
+    def place(h: str) -> int:
+        if h in names or header_key(h) in keys:
+            return names.index(h) if h in names else keys.index(header_key(h))
+        other = pick_header(names, roles[h]) if h in roles else None
+        return -1 if other is None else names.index(other)
+    return [place(h) if h else -1 for h in headers], len(names)
+
+
+def read_rows(spark: SparkSession, path: str, encoding: str = "UTF-8", max_record: int = MAX_RECORD) -> tuple[DataFrame | None, CsvReport]:
+    """(rows with ``f`` = array of fields in the order of the report's columns, ``places`` = where the row's own file keeps them, ``bad`` = field
+    count when it is wrong for that file, ``width``, ``fault``, part, row, before) and the dialect, told from the first lines of the first file
+    by name. Row 1 of a file is its header, with ``f`` null."""
+    lines = _text_lines(spark, path, encoding).where("value <> ''")
+    first = min(lines.inputFiles(), default=None)
+    files = [r[0] for r in lines.agg(F.min("file")).collect()] if first is not None else [None]
+    if files[0] is None:
         return None, CsvReport()
+    head = [r[0] for r in lines.where(F.col("file") == files[0]).limit(_HEAD_LINES).collect()]
     head[0] = head[0].lstrip("\ufeff")
     delimiter = sniff_delimiter(head)
     headers = [h.strip() for h in _records(head, delimiter)[0]]
     named = list(dict.fromkeys(h for h in headers if h))  # the first of several equal names wins
     report = CsvReport(delimiter, named, positions={h: headers.index(h) for h in named}, width=len(headers))
-    quote_count = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    spans_lines = lines.where(quote_count % 2 == 1).limit(1).count() > 0
-    names = [f"c{i}" for i in range(len(headers))]
-    schema = ", ".join(f"{n} string" for n in names) + ", _bad string"
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    if plain and not spans_lines:
-        numbered = _numbered(spark.read.text(path).where("value <> ''").select("value", "_metadata"))
-        parsed = numbered.where("line > 0").withColumn("p", F.from_csv("value", schema, options))
-        fields, bad, shift = [F.col(f"p.{n}") for n in names], F.col("p._bad"), 1
+    records, many = _records_of(spark, path, encoding, delimiter, max_record)
+    own = ([h if headers.index(h) == i else "" for i, h in enumerate(headers)])
+    if many > 1:  # a row per distinct header line
+        said = [r[0] for r in records.where("line = 0").select("value").distinct().collect()]
+        layouts = [(h, *_places(h, report, own)) for h in said if h is not None]
+    else:
+        layouts = [(None, list(range(len(headers))), len(headers))]
+    width = max(w for _, _, w in layouts)
+    if len({(tuple(p), w) for _, p, w in layouts}) == 1:
+        records = records.withColumn("places", F.lit(layouts[0][1]).cast("array<int>")).withColumn("width", F.lit(layouts[0][2]))
     else:
-        raw = (spark.read.options(**options).option("header", True).option("multiLine", True).option("enforceSchema", True)
-               .option("encoding", encoding).schema(schema).csv(path))
-        # kept together, so that no plan reads the malformed-row column without the fields that decide it
-        whole = raw.select(settle(F.struct(*names, "_bad")).alias("p"), "_metadata")
-        parsed = _numbered(whole)
-        fields, bad, shift = [F.col(f"p.{n}") for n in names], F.col("p._bad"), 2
+        known = spark.createDataFrame(layouts, "value string, places array<int>, width int")
+        by_part = records.where("line = 0").select("part", "value").join(F.broadcast(known), "value").drop("value")
+        records = records.join(by_part, "part")
+    names = [f"c{i}" for i in range(width)]
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = records.withColumn("p", F.when(F.col("line") > 0, F.from_csv("value", ", ".join(f"{n} string" for n in names) + ", _bad string", options)))
+    fields = F.array(*[F.col(f"p.{n}") for n in names])
+    count = F.when(F.col("p._bad").isNotNull(), 1 + _scanned(F.col("value"), delimiter, False)["ends"]).otherwise(width)
     rows = parsed.select(
-        F.array(*fields).alias("f"), F.when(bad.isNotNull(), _field_count(bad, delimiter)).alias("parsed"),
-        "part", (F.col("line") + shift).alias("row"), "before")
-    rows = rows.withColumn("bad", F.when(F.col("parsed") != len(headers), F.col("parsed"))).drop("parsed")
+        F.when(F.col("p").isNotNull(), F.transform("places", lambda i: F.when(i >= 0, F.get(fields, i)))).alias("f"), "places", "width",
+        F.when((F.col("line") > 0) & F.col("value").isNotNull() & (count != F.col("width")), count).alias("bad"), "fault", "part", (F.col("line") + 1).alias("row"), "before")
     return rows, report
 
 
@@ -155,17 +259,21 @@ def _number(c: Column) -> Column:
 
 
 def read_posts_csv(spark: SparkSession, path: str, forced_column: str | None = None, parts: bool = False,
-                   encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame, CsvReport]:
-    """(posts, rejects, report). ``parts`` reads a directory of files with one header each, ids made unique."""
+                   encoding: str = "UTF-8", max_record: int = MAX_RECORD) -> tuple[DataFrame, DataFrame, CsvReport]:
+    """(posts, rejects, report). ``parts`` reads a directory of files with one header each, ids made unique.
+
+    Files may differ in the order and number of their columns; a column that a file lacks is empty there, and a file without the text
+    column gives a reject for every row.
+    """
     posts_schema = ("seq long, id string, source string, text string, lat double, lon double, place string, ts string, "
                     "author string, fetch_method string, part int, row long")
-    rows, report = read_rows(spark, path, encoding)
+    rows, report = read_rows(spark, path, encoding, max_record)
     if rows is None or not report.headers:
         rejects = spark.createDataFrame([(0, "no header row found — is this a CSV?")], "row long, reason string")
         return spark.createDataFrame([], posts_schema), rejects, report
     positions, headers = report.positions, report.headers
     chosen = forced_column if forced_column in headers else pick_header(headers, V.COLUMN_CANDIDATES["text"])
-    chosen = chosen or infer_text_column(rows, headers, positions)
+    chosen = chosen or infer_text_column(rows.where("f IS NOT NULL"), headers, positions)
     report.chosen_column = chosen
     report.mapped = {"text": chosen, **{r: pick_header(headers, V.COLUMN_CANDIDATES[r]) for r in ("lat", "lon", "ts", "author", "place")}}
 
@@ -174,7 +282,8 @@ def read_posts_csv(spark: SparkSession, path: str, forced_column: str | None = N
         return F.lit(None).cast("string") if header is None else F.nullif(F.col("f")[positions[header]], F.lit(""))
 
     df = rows.select(
-        T.trim_all(F.coalesce(F.col("f")[positions[chosen]], F.lit(""))).alias("text"), "bad", "part", "row", "before",
+        T.trim_all(F.coalesce(F.col("f")[positions[chosen]], F.lit(""))).alias("text"), "bad", "width", "fault", "part", "row", "before", F.col("f").isNotNull().alias("parsed"),
+        (F.col("places")[positions[chosen]] < 0).alias("foreign"),
         _number(role("lat")).alias("_lat"), _number(role("lon")).alias("_lon"), role("ts").alias("ts"),
         role("author").alias("author"), role("place").alias("place"))
     df = df.withColumn("text", settle(F.col("text")))
@@ -182,19 +291,20 @@ def read_posts_csv(spark: SparkSession, path: str, forced_column: str | None = N
     lat = F.when(ok, F.col("_lat"))
     label = F.concat(F.lit("c"), F.col("row").cast("string"))
     ident = F.concat(F.lit("k"), F.col("part").cast("string"), F.lit("_"), label) if parts else label
-    posts = df.where("text <> ''").select(
+    posts = df.where("row > 1 AND text <> ''").select(
         (F.col("before") + F.col("row")).cast("long").alias("seq"), ident.alias("id"), F.lit("csv").alias("source"), "text",
         lat.alias("lat"), F.when(ok, F.col("_lon")).alias("lon"), "place", "ts", "author",
         F.when(F.col("author").isNotNull() | ok, "manual").alias("fetch_method"),
         F.col("part").cast("int").alias("part"), F.col("row").cast("long").alias("row"))
     shown = F.col("row") + (F.col("before") - F.col("part") if parts else F.lit(0))
-    expected = F.lit(report.width)
-    counts = F.concat(F.lit("expected "), expected.cast("string"), F.lit(" fields but parsed "), F.col("bad").cast("string"))
-    blank = df.where("text = ''").select(shown.alias("row"), F.lit(f'column "{chosen}" was empty').alias("reason"))
-    ragged = df.where("bad is not null").select(shown.alias("row"), F.concat(
-        F.when(F.col("bad") < expected, "Too few fields: ").otherwise("Too many fields: "), counts).alias("reason"))
-    rejects = blank.unionByName(ragged)
-    if rows.limit(1).count() == 0:
+    expected = F.col("width").cast("string")
+    counts = F.concat(F.lit("expected "), expected, F.lit(" fields but parsed "), F.col("bad").cast("string"))
+    reject = lambda when, reason: df.where(when).select(shown.alias("row"), reason.alias("reason"))
+    absent = F.lit(f'column "{chosen}" is not in this file\'s header')
+    rejects = (reject("row > 1 AND text = '' AND NOT foreign AND (fault IS NULL OR parsed)", F.lit(f'column "{chosen}" was empty'))
+               .unionByName(reject("row > 1 AND foreign", absent)).unionByName(reject("NOT foreign AND fault IS NOT NULL", F.col("fault")))
+               .unionByName(reject("bad IS NOT NULL AND NOT foreign", F.concat(F.when(F.col("bad") < F.col("width"), "Too few fields: ").otherwise("Too many fields: "), counts))))
+    if rows.where("row > 1").isEmpty():
         rejects = spark.createDataFrame([(1, "header row found, but the file has no data rows")], "row long, reason string")
     return posts, rejects.select(F.col("row").cast("long").alias("row"), "reason"), report
 

@@ -40,12 +40,17 @@ def t5(spark, sf):
 
 
 @query("g2_hashtag_split", with_sql(
-    "SELECT id, CASE WHEN contains(text, '#yycflood') THEN 'yyc flood' ELSE '' END AS split FROM posts WHERE contains(text, '#')",
-    posts=posts_sql()))
+    """SELECT id, t.tag, coalesce(max_by(alias || ' ' || trim(regexp_replace(substr(lower(t.tag), length(alias) + 1), '[^a-z0-9]+', ' ', 'g')), length(alias)), '') AS split
+       FROM (SELECT id, unnest(list_distinct(regexp_extract_all(text, '#([A-Za-z0-9_]+)', 1))) AS tag FROM posts) t
+       LEFT JOIN (SELECT DISTINCT alias FROM gaz WHERE NOT contains(alias, ' ') AND length(alias) >= 3) ON starts_with(lower(tag), alias) AND length(tag) > length(alias) GROUP BY id, t.tag""",
+    posts=posts_sql(), gaz=gazetteer_sql()))
 def g2(spark, sf):
-    p = views.posts(spark, sf).where("text LIKE '%#%'").select("id", F.regexp_extract("text", "(#[A-Za-z0-9_]+)", 1).alias("tag"))
-    words = F.split(F.trim(geo.searchable(F.col("tag"), Places.of())), " ")
-    return p.select("id", F.array_join(F.slice(words, 2, 2), " ").alias("split"))
+    """Every hashtag of a post with what it is split into behind its own words; empty where no alias begins it."""
+    tags = F.array_distinct(F.regexp_extract_all("text", F.lit("#([A-Za-z0-9_]+)"), F.lit(1)))
+    p = views.posts(spark, sf).select("id", F.explode(tags).alias("tag"))
+    hay = F.trim(geo.searchable(F.concat(F.lit("#"), "tag"), Places.of()))
+    own = F.trim(F.regexp_replace(F.lower("tag"), "[^a-z0-9]+", " "))
+    return p.select("id", "tag", hay.alias("hay"), own.alias("own")).select("id", "tag", F.trim(F.substr("hay", F.length("own") + 1)).alias("split"))
 
 
 @query("g3_accepted_aliases", with_sql("SELECT id, array_to_string(hits, '; ') AS aliases FROM found",

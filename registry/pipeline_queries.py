@@ -9,6 +9,7 @@ from postsieve.session import materialize, scratch_path
 from postsieve.streaming import triage_stream as st
 from registry import views
 from registry.core import query
+from registry.geo_sql import gazetteer_sql
 from registry.decide_queries import _IMAGES
 from registry.dedupe_queries import kept_sql
 from registry.geo_sql import ok_sql, place_ctes
@@ -126,19 +127,19 @@ def j3(spark, sf):
 
 
 @query("j4_text_contains", with_sql(
-    """SELECT a.alias, count(*) AS posts FROM posts JOIN (SELECT * FROM (VALUES ('calgary'), ('siksika nation'), ('siksika'), ('high river'), ('peguis')) t(alias)) a
-       ON contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || alias || ' ') GROUP BY 1""", posts=posts_sql()))
+    """SELECT a.alias, count(*) AS posts FROM posts JOIN (SELECT DISTINCT alias FROM gaz WHERE length(alias) >= 3) a
+       ON contains(' ' || regexp_replace(lower(text), '[^a-z0-9 ]', ' | ', 'g') || ' ', ' ' || a.alias || ' ') GROUP BY 1""", posts=posts_sql(), gaz=gazetteer_sql()))
 def j4(spark, sf):
-    """Every alias a post contains, through word n-grams."""
+    """Every alias of the gazetteer that posts contain, nested ones included, and in how many."""
     from postsieve.operators.geo import named_aliases
     from postsieve.functions.settle import settle
     from postsieve.sources.gazetteer import Places
-    some = Places(tuple(r for r in Places.of().rows if r["name"].split(",")[0] in ("Calgary", "Siksika Nation 146", "High River", "Peguis First Nation")))
-    a = views.posts(spark, sf).select(settle(named_aliases(F.col("text"), some)).alias("a")).select(F.explode("a.alias").alias("alias"))
-    return a.where(F.col("alias").isin("calgary", "siksika nation", "siksika", "high river", "peguis")).groupBy("alias").agg(F.count("*").alias("posts"))
+    a = views.posts(spark, sf).select(settle(named_aliases(F.col("text"), Places.of())).alias("a")).select(F.explode("a.alias").alias("alias"))
+    return a.groupBy("alias").agg(F.count("*").alias("posts"))
 
 
-@query("j5_hashtag_prefix", with_sql("SELECT tag, 'yyc' AS alias, count(*) AS posts FROM (SELECT 'yycflood' AS tag FROM posts WHERE contains(text, '#yycflood')) GROUP BY 1", posts=posts_sql()))
+@query("j5_hashtag_prefix", with_sql("""SELECT tag, max_by(alias, length(alias)) AS alias, any_value(posts) AS posts FROM (SELECT tag, count(*) AS posts FROM (SELECT unnest(regexp_extract_all(lower(text), '#([a-z0-9_]+)', 1)) AS tag FROM posts) GROUP BY 1)
+       JOIN (SELECT DISTINCT alias FROM gaz WHERE NOT contains(alias, ' ') AND length(alias) >= 3) ON starts_with(tag, alias) AND length(tag) > length(alias) GROUP BY tag""", posts=posts_sql(), gaz=gazetteer_sql()))
 def j5(spark, sf):
     """Hashtags joined with the longest alias they start with."""
     from postsieve.sources.gazetteer import default_gazetteer

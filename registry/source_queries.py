@@ -43,6 +43,37 @@ def s1_semi(spark, sf):
     return posts.select("text", "lat", "lon", "author", "ts")
 
 
+NEXT = 'and on "the" next line, too'
+
+
+def _mixed_folder(spark, sf):
+    """Four kinds of files: three orders of columns, one of them with line ends inside quotes and one without times, and one without text."""
+    root, p = scratch_path(spark, "mixed"), views.posts(spark, sf).withColumn("more", F.concat("text", F.lit("\n" + NEXT)))
+    kinds = {"a": "seq AS `Nr`, text AS `Tweet Text`, lat AS `Lat`, lon AS `Geo-Lon`, author AS `User Name`, ts AS `Posted At`",
+             "b": "ts AS `Posted At`, more AS `tweet text`, author AS `User Name`, lat AS `Lat`, lon AS `Geo-Lon`",
+             "c": "lon AS `Longitude`, author AS `User Name`, text AS `Message`, lat AS `Latitude`", "d": "seq AS `Nr`, author AS `User Name`"}
+    for k, (name, columns) in enumerate(kinds.items()):
+        rows = p.where(F.col("seq") % 4 == k).selectExpr(*views._split(columns))
+        rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/{name}")
+    return root + "/*"
+
+
+MIXED = {"posts": posts_sql(), "up": f"SELECT *, CASE WHEN seq % 4 = 1 THEN text || chr(10) || '{NEXT}' ELSE text END AS t FROM posts WHERE seq % 4 <> 3"}
+
+
+@query("s1_mixed_headers", with_sql(f"SELECT t AS text, CASE WHEN {ok_sql()} THEN lat END AS lat, CASE WHEN {ok_sql()} THEN lon END AS lon, author, CASE WHEN seq % 4 <> 2 THEN ts END AS ts FROM up", **MIXED))
+def s1_mixed(spark, sf):
+    """A folder whose files differ in columns, their order and line ends inside quotes."""
+    posts, _, _ = csv_posts.read_parts(spark, _mixed_folder(spark, sf))
+    return posts.select("text", "lat", "lon", "author", "ts")
+
+
+@query("s5_foreign_header", with_sql("""SELECT 'column "Tweet Text" is not in this file''s header' AS reason, count(*) AS n FROM posts WHERE seq % 4 = 3""", posts=posts_sql()))
+def s5_foreign(spark, sf):
+    _, rejects, _ = csv_posts.read_parts(spark, _mixed_folder(spark, sf))
+    return rejects.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("s3_infer_text_column", with_sql("SELECT count(*) AS n, 'Notes' AS chosen FROM up WHERE t <> ''", **UP))
 def s3(spark, sf):
     posts, _, report = csv_posts.read_parts(spark, _upload(spark, sf, name="Notes", time="Date"))

@@ -104,6 +104,75 @@ def test_parts_number_rows_through(spark):
     assert sorted(r["row"] for r in rejects.collect()) == [3, 4]
 
 
+def folder_of(files):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for name, content in files.items():
+        with open(f"{folder}/{name}.csv", "w", newline="") as f:
+            f.write(content)
+    return folder
+
+
+def read_folder(spark, files, **kw):
+    posts, rejects, report = csv_posts.read_posts_csv(spark, folder_of(files), parts=True, **kw)
+    return posts.orderBy("seq").collect(), rejects.orderBy("row", "reason").collect(), report
+
+
+def test_every_file_has_its_own_header(spark):
+    posts, rejects, report = read_folder(spark, {
+        "a": "id,text,author\n1,alpha flood,ann\n", "b": "text,author,id\n\"gamma, flood here\",cat,3\n", "c": "Author,Id,Tweet,lat,lon\ndan,4,delta,51,-114\nshort,5\n",
+        "d": "name,price\nboat,3\nrope,4\n", "e": "TEXT,Id\nepsilon,6\n"})
+    assert [(p["text"], p["author"], p["id"]) for p in posts] == [("alpha flood", "ann", "k0_c2"), ("gamma, flood here", "cat", "k1_c2"), ("delta", "dan", "k2_c2"), ("epsilon", None, "k4_c2")]
+    reasons = [(r["row"], r["reason"]) for r in rejects]
+    assert [x for x in reasons if "header" in x[1]] == [(n, 'column "text" is not in this file\'s header') for n in (6, 7)]
+    assert sorted(x[1] for x in reasons if "header" not in x[1]) == ["Too few fields: expected 5 fields but parsed 2", 'column "text" was empty']
+    assert len(posts) + len({x[0] for x in reasons}) == 7 and report.width == 3
+
+
+def small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+
+
+def test_quoted_line_ends_over_many_splits(spark):
+    import csv
+    import io
+    import random
+    rng = random.Random(3)
+    pieces = ["flood", "a, b", 'he said "no"', "\n", "\n\n", "x" * 40, ",", '"', "end", "5\" pipe"]
+    rows = [[str(k), " ".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))), rng.choice(["ann", "bob", ""])] for k in range(600)]
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(["id", "text", "author"])
+    for k, r in enumerate(rows):
+        writer.writerow(r)
+        if k % 50 == 0:
+            out.write("\n")
+    plain = "author,text\n" + "".join(f"zed,plain row {k}\n" for k in range(80))
+    try:
+        small_splits(spark, 700)
+        posts, rejects, _ = read_folder(spark, {"a": out.getvalue(), "b": plain})
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    kept = [(k, r) for k, r in enumerate(rows) if r[1].strip()]
+    want = [(f"k0_c{k + 2}", r[1].strip(), r[2] or None) for k, r in kept] + [(f"k1_c{k + 2}", f"plain row {k}", "zed") for k in range(80)]
+    assert [(p["id"], p["text"], p["author"]) for p in posts] == want
+    assert [r["row"] for r in rejects] == [k + 2 for k, r in enumerate(rows) if not r[1].strip()]
+
+
+def test_stray_quotes_do_not_open_a_field(spark):
+    posts, rejects, _ = read(spark, 'id,text\n1,a 5" pipe\n2,b 6" and 7" pipe\n3,"whole, text"\n4,say ""x""\n')
+    assert [p["text"] for p in posts] == ['a 5" pipe', 'b 6" and 7" pipe', "whole, text", 'say ""x""'] and rejects == []
+
+
+def test_unclosed_quotes_are_reported(spark):
+    posts, rejects, _ = read(spark, 'id,text\n1,fine\n2,"open\n3,rest\n')
+    assert [p["text"] for p in posts][0] == "fine" and len(posts) == 2
+    assert (3, "Quoted field unterminated") in [(r["row"], r["reason"]) for r in rejects]
+    posts, rejects, _ = read(spark, 'id,text\n1,fine\n2,"open\n' + "3,rest of it\n" * 50, max_record=100)
+    assert [p["text"] for p in posts] == ["fine"] and [(r["row"], r["reason"]) for r in rejects] == [(3, "Quoted field of more than 100 characters")]
+
+
 def test_encodings(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     cases = {
