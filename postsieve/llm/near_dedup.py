@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postsieve.llm.shared import components, written
+from postsieve.llm.shared import components, text_mark, written
 from postsieve.llm.words import Words, pieces, shingle_sets
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -93,23 +93,24 @@ def hopeful(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray
 
 
 def sketches(docs: DataFrame, width: int, registers: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, sketch) for every row; digest and sketch are null where the set is empty."""
+    """(doc_id, mark, n_shingles, digest, sketch) for every row; digest and sketch are null where the set is empty, mark tells texts apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", limit=1 << 20):
             sets = shingle_sets(Words(batch.column(1), lower=True), width)
             sizes, full = np.array([len(s) for s in sets], dtype=np.int64), np.array([len(s) > 0 for s in sets])
             rows = iter(registers_of(sets, registers))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).cast(pa.int64()), pa.array(sizes),
+                batch.column(0).cast(pa.int64()), batch.column(2), pa.array(sizes),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([next(rows).tobytes() if f else None for f in full], pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary")
+                pa.array([next(rows).tobytes() if f else None for f in full], pa.binary())], ["doc_id", "mark", "n_shingles", "digest", "sketch"])
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), text_mark(F.col(text)).alias("mark"))
+    return rows.mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, sketch binary")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int, key: str, text: str) -> DataFrame:
     """(doc_id, shingles, halves) of the documents named in nodes (doc_id); halves are the digests' upper halves, sorted."""
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", limit=1 << 20):
             sets = shingle_sets(Words(batch.column(1), lower=True), width)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             flat = np.concatenate(sets).view(np.int64) if sizes.sum() else np.zeros(0, np.int64)
@@ -214,14 +215,8 @@ def _rest(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) ->
     return rows.groupBy("bucket", "block", "chunk").applyInArrow(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, registers: int = 128, band: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
-
-    Words are lower-cased in A-Z. A set holds the distinct shingles of `width` words; a text of fewer words is one shingle.
-    Documents are linked where 100 * intersection >= percent * union. A null or empty text has an empty set and no link; a
-    null doc_id takes part in no link, has a null component_id and is kept. Repeated rows give a row each; rows that
-    repeat a doc_id are judged by their own texts. Columns besides key and text are not read. An empty table gives no rows.
-    """
+def _judged(docs: DataFrame, width: int, percent: int, registers: int, band: int, key: str, text: str) -> DataFrame:
+    """near_duplicates() with `mark`, the digest of each row's text."""
     sk = written(sketches(docs, width, registers, key, text), "sketches")
     named = sk.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -247,6 +242,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, register
         if not likely.isEmpty():
             comp = components(links.unionByName(written(_confirmed(likely, sets, percent), "links")))
     joined = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    with_set = sk.where("n_shingles > 0").join(written(joined, "classes"), "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    without = sk.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    with_set = sk.where("n_shingles > 0").join(written(joined, "classes"), "digest", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    without = sk.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
     return with_set.unionByName(without).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, registers: int = 128, band: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
+
+    Words are lower-cased in A-Z. A set holds the distinct shingles of `width` words; a text of fewer words is one shingle.
+    Documents are linked where 100 * intersection >= percent * union. A null or empty text has an empty set and no link; a
+    null doc_id takes part in no link, has a null component_id and is kept. Repeated rows give a row each; rows that
+    repeat a doc_id are judged by their own texts. Columns besides key and text are not read. An empty table gives no rows.
+    """
+    return _judged(docs, width, percent, registers, band, key, text).drop("mark")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, registers: int = 128, band: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that stay when one of each group of near duplicates is kept, all columns: the one with the smallest key.
+
+    Rows are judged by key and text: of rows that share both one stays, rows that share a key with different texts stay or go by
+    their own text. Rows with a null key stay, as do null and empty texts, but for repeats of a key. Columns of any
+    other name are carried. An empty table gives no rows.
+    """
+    said = _judged(docs, width, percent, registers, band, key, text).where("doc_id IS NOT NULL")
+    said = said.groupBy("doc_id", "mark").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("doc_id"), text_mark(F.col(text)).alias("mark"))
+    rows = rows.join(written(said, "said"), ["doc_id", "mark"], "left").where(F.coalesce("kept", F.lit(True)))
+    alone = rows.where(F.coalesce("n", F.lit(1)) == 1).select("row")
+    repeated = rows.where("n > 1").groupBy("doc_id", "mark").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return alone.unionByName(repeated).select("row.*")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postsieve.llm.shared import written
+from postsieve.llm.shared import text_mark, written
 from postsieve.llm.words import Words, pieces
 
 #: Share of class covariance given to the pooled one, and of the pooled one given to its diagonal.
@@ -38,9 +38,12 @@ KIND = _kinds()
 NAMES = ("length", "word_length", "symbols", "upper", "digits", "stops", "lines", "short_words", "distinct_words", "distinct_lines", "symbol_words", "longest")
 
 
-def _per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return sums[at[1:]] - sums[at[:-1]]
+def _per_part(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of the values between neighbouring places; the places rise from 0 to the number of values. No running sum is held."""
+    out, full = np.zeros(len(at) - 1, dtype=np.int64), np.flatnonzero(at[1:] > at[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, at[full], dtype=np.int64)
+    return out
 
 
 def _distinct(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -55,16 +58,15 @@ def statistics(texts: pa.Array) -> np.ndarray:
     """A row of NAMES per text; null and empty texts have those of no words at all."""
     words = Words(texts, lower=False)
     n, at, kind = len(words.count), words.text_at, KIND[words.data]
-    count = lambda k: _per_text(kind == k, at).astype(float)
+    count = lambda k: _per_part(kind == k, at).astype(float)
     w, size = words.count.astype(float), words.end - words.start
-    chars = _per_text((words.data & 0xC0) != 0x80, at).astype(float)
-    solid = np.add.reduceat(np.concatenate([size, [0]]), words.first[:-1]).astype(float) * (words.count > 0) if len(size) else np.zeros(n)
-    symbol_at = np.concatenate([[0], np.cumsum(kind == _SYMBOL, dtype=np.int64)])
-    symbol_word = (symbol_at[words.end] > symbol_at[words.start]) if len(size) else np.zeros(0, bool)
+    chars = _per_part((words.data & 0xC0) != 0x80, at).astype(float)
+    solid = _per_part(size, words.first).astype(float)
+    symbol_word = np.logical_or.reduceat(kind == _SYMBOL, words.start) if len(size) else np.zeros(0, bool)  # blanks after a word are no symbols
     hashes, owner = words.hashes(), np.repeat(np.arange(n), words.count)
     distinct = _distinct(hashes, owner, n).astype(float)
     # a line's digest is the sum of its words' digests times their place in it
-    line_no = np.cumsum(kind == _LINE)[words.start] if len(size) else np.zeros(0, np.int64)
+    line_no = np.searchsorted(np.flatnonzero(kind == _LINE), words.start)
     starts = np.flatnonzero(np.diff(line_no, prepend=-1) | np.diff(owner, prepend=-1)) if len(size) else np.zeros(0, np.int64)
     if len(starts):
         place = np.arange(len(size)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(size)]])))
@@ -75,7 +77,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         full_lines = distinct_lines = np.zeros(n)
     longest = np.maximum.reduceat(np.concatenate([size, [0]]), words.first[:-1]) * (words.count > 0) if len(size) else np.zeros(n)
     drawn = lambda x, total, typical: np.log((x + _WEIGHT * typical) / (total + _WEIGHT))
-    per_text = lambda flags: _per_text(flags, words.first).astype(float)
+    per_text = lambda flags: _per_part(flags, words.first).astype(float)
     return np.stack([
         np.log1p(w), np.log((solid + 5 * 6.0) / (w + 5)), drawn(count(_SYMBOL), chars, 0.002), drawn(count(_UPPER), chars, 0.02), drawn(count(_DIGIT), chars, 0.002),
         drawn(count(_STOP), chars, 0.03), drawn(count(_LINE), w, 0.02), drawn(per_text(size <= 1), w, 0.03),
@@ -84,10 +86,14 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Per class: mean, lower Cholesky factor of the covariance, its log determinant, log prior. No classes: a constant score."""
+    """Per class: mean, lower Cholesky factor of the covariance, its log determinant, log prior. No classes: a constant score.
+
+    The factors' inverses are kept once they are needed, so a batch costs a product per class.
+    """
 
     classes: dict[int, tuple[np.ndarray, np.ndarray, float, float]] = field(default_factory=dict)
     constant: float = 0.5
+    inverses: dict[int, np.ndarray] = field(default_factory=dict)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The probability of class 1 for each row of statistics."""
@@ -95,7 +101,9 @@ class Model:
             return np.full(len(x), self.constant)
         density = {}
         for k, (mean, factor, log_det, prior) in self.classes.items():
-            z = np.linalg.solve(factor, (x - mean).T)
+            if k not in self.inverses:
+                self.inverses[k] = np.linalg.inv(factor)
+            z = self.inverses[k] @ (x - mean).T
             density[k] = prior - log_det / 2 - (z * z).sum(0) / 2
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -700, 700)))
 
@@ -105,14 +113,14 @@ def held_out(key: Column) -> Column:
 
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, x): the statistics of every row."""
+    """(doc_id, mark, x): the statistics of every row; mark is a digest of its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", limit=1 << 19):
             x = statistics(batch.column(1))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), rows], ["doc_id", "mark", "x"])
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), text_mark(F.col(text)).alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, x array<double>")
 
 
 def fit(features: DataFrame, labels: DataFrame, label: str = "quality", shrink: float = SHRINK, diagonal: float = DIAGONAL) -> Model:
@@ -151,6 +159,19 @@ def fit(features: DataFrame, labels: DataFrame, label: str = "quality", shrink:
     return model
 
 
+def _scored(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, cut: float) -> DataFrame:
+    """(doc_id, mark, score, predicted) of every row."""
+    rows = written(features(docs, key, text), "statistics")
+    model = fit(rows, labels.withColumnRenamed(key, "doc_id") if key != "doc_id" else labels, label)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            x = np.array(batch.column(2).flatten()).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x))], ["doc_id", "mark", "score"])
+    return rows.mapInArrow(run, f"doc_id {kind}, mark long, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", cut: float = 0.3) -> DataFrame:
     """One row per document: key, held_out, score (0 to 1, of its text alone), predicted (1 from `cut` on).
 
@@ -158,19 +179,17 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     scored each, and learnt from each where labelled; repeated labels count once, contradictory ones both. Other columns
     are not read. An empty table gives no rows; without labels of both classes the score is constant (see fit).
     """
-    rows = written(features(docs, key, text), "statistics")
-    model = fit(rows, labels.withColumnRenamed(key, "doc_id") if key != "doc_id" else labels, label)
-    kind = docs.schema[key].dataType.simpleString()
+    scored = _scored(docs, labels, key, text, label, cut)
+    return scored.select(F.col("doc_id").alias(key), held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
-    def run(batches):
-        for batch in batches:
-            x = np.array(batch.column(1).flatten()).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select(F.col("doc_id").alias(key), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", cut: float = 0.3) -> DataFrame:
+    """The documents the model accepts, all columns; documents with a null key stay.
 
-def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """The documents the model accepts, all columns; documents with a null key stay."""
-    bad = quality(docs, labels, key=key, **how).where("predicted = 0").select(key).where(F.col(key).isNotNull()).distinct()
-    return docs.join(bad, key, "left_anti")
+    Each row is judged by its own text, also where rows repeat a key; equal rows stay or go together. Null and empty texts are scored
+    as texts of no words. An empty table gives no rows; without labels of both classes the score is constant and judges all alike.
+    Columns of any other name are carried.
+    """
+    bad = _scored(docs, labels, key, text, label, cut).where((F.col("predicted") == 0) & F.col("doc_id").isNotNull()).select("doc_id", "mark").distinct()
+    rows = docs.alias("d")
+    return rows.join(bad.alias("b"), (F.col(f"d.`{key}`") == F.col("b.doc_id")) & (text_mark(F.col(f"d.`{text}`")) == F.col("b.mark")), "left_anti")

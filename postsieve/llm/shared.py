@@ -1,8 +1,8 @@
-"""Tables written once to the folder all executors share, and connected components."""
+"""Tables written once to the folder all executors share, digests of texts, and connected components."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postsieve.session import materialize
 
@@ -14,6 +14,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def text_mark(text: Column) -> Column:
+    """A 64-bit digest that tells the texts of rows with one key apart; null is a text of its own."""
+    return F.xxhash64(text, text.isNull())
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links (a, b), where component is the smallest node reachable.
 

@@ -27,6 +27,8 @@ from postsieve.llm.words import Words, mix, pieces
 BLANKS = r"[\x20\x09-\x0D]+"
 ROWS = "part long, slice long, kind int, a binary, b binary"
 SEND, DOCS, HITS = 0, 1, 2
+#: Words whose probes meet in one part, some 14 MB packed.
+PART_WORDS = 2 << 20
 
 
 def joined_words(text: Column) -> Column:
@@ -152,8 +154,9 @@ def _slices(batches, work) -> Iterator[pa.RecordBatch]:
                                           pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary())], ["part", "slice", "kind", "a", "b"])
 
 
-def _parts(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _parts(df: DataFrame, words: int) -> int:
+    """Parts of at most about PART_WORDS entries, so that a part's size does not follow the input."""
+    return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // PART_WORDS))
 
 
 def _by_text(rows: DataFrame, width: int, wide: bool, need_flag: bool, name: str) -> DataFrame:
@@ -161,9 +164,9 @@ def _by_text(rows: DataFrame, width: int, wide: bool, need_flag: bool, name: str
     return written(met.groupBy("slice").applyInArrow(_to_texts, "digest binary, hits binary"), name)
 
 
-def anchors(texts: DataFrame, window: int) -> DataFrame:
-    """(digest, hits): word numbers where a probe meets an indexed block, for texts (digest, text)."""
-    block, parts = (window + 1) // 2, _parts(texts)
+def anchors(texts: DataFrame, window: int, total: int) -> DataFrame:
+    """(digest, hits): word numbers where a probe meets an indexed block, for texts (digest, text) of so many words in total."""
+    block, parts = (window + 1) // 2, _parts(texts, total)
 
     def work(batch):
         words = Words(batch.column(1))
@@ -173,9 +176,9 @@ def anchors(texts: DataFrame, window: int) -> DataFrame:
     return _by_text(texts.mapInArrow(lambda it: _slices(it, work), ROWS), 5, False, True, "anchors")
 
 
-def extended(texts: DataFrame, window: int) -> DataFrame:
+def extended(texts: DataFrame, window: int, total: int) -> DataFrame:
     """(digest, hits): starts of windows that occur elsewhere, for texts (digest, text, hits, copies) with anchors as hits."""
-    block, parts = (window + 1) // 2, _parts(texts)
+    block, parts = (window + 1) // 2, _parts(texts, total)
 
     def work(batch):
         words = Words(batch.column(1))
@@ -229,14 +232,15 @@ def repeated_passages(docs: DataFrame, window: int = 35, key: str = "doc_id", te
         "id", F.unhex(F.sha2(F.col("line").cast("binary"), 256)).alias("digest"),
         F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"))
     rows = written(rows, "rows")
-    hits = anchors(docs.select(digest.alias("digest"), F.col(text).alias("text")), window)
+    total = rows.agg(F.sum("n_words")).first()[0] or 0
+    hits = anchors(docs.select(digest.alias("digest"), F.col(text).alias("text")), window, total)
     chosen = (hits.groupBy("digest").agg(F.first("hits").alias("hits"))
               .join(rows.groupBy("digest").agg(F.min(F.coalesce(F.col("id"), F.lit(-1))).alias("one"), F.count("*").alias("n")), "digest"))
     chosen = written(chosen.select(F.col("digest").alias("wanted"), "hits", "one", (F.col("n") > 1).alias("copied")), "chosen")
     texts = (docs.select(F.coalesce(F.col(key), F.lit(-1)).alias("one"), F.col(text).alias("text")).join(chosen, "one")
              .where(F.unhex(F.sha2(joined_words(F.col("text")).cast("binary"), 256)) == F.col("wanted")))
     texts = written(texts.select(F.col("wanted").alias("digest"), "text", "hits", "copied"), "texts")
-    starts = extended(texts, window).groupBy("digest").agg(F.first("hits").alias("starts"))
+    starts = extended(texts, window, total).groupBy("digest").agg(F.first("hits").alias("starts"))
     cut = texts.select("digest", "text").join(starts, "digest").select("digest", "text", "starts").mapInArrow(
         lambda it: _strip(it, window), "digest binary, n_removed long, kept_sha256 string, spans array<struct<first: long, end: long>>")
     cut = written(cut, "cut").dropDuplicates(["digest"])

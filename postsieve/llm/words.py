@@ -31,12 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(batches, *columns: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of record batches in slices of about `limit` bytes of the named columns, one row at least."""
+def pieces(batches, *columns: str | int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of record batches in slices of about `limit` bytes of the named (or numbered) columns, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = sum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(c))), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(c if isinstance(c, int) else batch.schema.get_field_index(c))), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
         slot = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
@@ -57,13 +57,15 @@ class Words:
         self.data = _LOWER[data] if lower else data
         self.text_at = offsets - offsets[0]
         inside = ~outside[self.data]
-        begins, stops = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        stops[:-1] &= ~inside[1:]
         edges = self.text_at[1:-1][(self.text_at[1:-1] > 0) & (self.text_at[1:-1] < len(self.data))]
-        begins[edges] = inside[edges]
-        stops[edges - 1] = inside[edges - 1]
-        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        at = inside.copy()
+        at[1:] &= ~inside[:-1]
+        at[edges] = inside[edges]
+        self.start = np.flatnonzero(at)
+        at[:] = inside
+        at[:-1] &= ~inside[1:]
+        at[edges - 1] = inside[edges - 1]
+        self.end = np.flatnonzero(at) + 1
         self.first = np.searchsorted(self.start, self.text_at)
         self.count = np.diff(self.first)
 

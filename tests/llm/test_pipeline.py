@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 def test_registered_with_one_query_per_operator():
     names = [n for n in entry.queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert sorted({n.split("_")[0] for n in names}, key=lambda n: int(n[2:]) if n[2:].isdigit() else 99) == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert sorted({n.split("_")[0] for n in names}, key=lambda n: int(n[2:]) if n[2:].isdigit() else 99) == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
     assert len(corpus_pipeline.STAGES) == 5
 
 
