@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 documents. Every stage's result is written to the shared folder and read again.
+
+Decisions go by a row's key and its own text, never by the key alone: rows that repeat a doc_id with another text stay or go by that
+text, and of rows that share both one stays. Rows with a null doc_id are not dropped by the first three stages. Null and empty texts are
+texts of no words. An empty table stays empty. Columns of other names are carried, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,13 +27,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates (five words, similarity 0.8)."""
-    gone = near_dedup.near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return near_dedup.one_of_each(docs, width=5, percent=80)
 
 
 def keep_clear_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (five words, containment 0.8)."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=5, percent=80).select(docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
