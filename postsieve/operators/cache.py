@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postsieve import schema as S, values as V
 from postsieve.functions import text as T
 from postsieve.functions.settle import settle
 from postsieve.operators import decide, geo
-from postsieve.operators.spatial import kth_smallest
+from postsieve.operators.quantile import order_statistics
 from postsieve.session import materialize
 from postsieve.sources.gazetteer import Places
 
-CACHE = ("key string, labels " + S.LABELS + ", classifier string, model_version string, redacted_text string, ts long")
+CACHE_COLUMNS = ("key string", "labels " + S.LABELS, "classifier string", "model_version string", "redacted_text string", "ts long")
+CACHE = ", ".join(CACHE_COLUMNS)
 
 
 def question_version(questions: Column | str = "", version: str = V.CACHE_VERSION) -> Column:
@@ -32,9 +35,9 @@ def with_key(posts: DataFrame, hazard: str, **kw) -> DataFrame:
 
 def newest(cache: DataFrame) -> DataFrame:
     """One entry per key: the newest; of equal times the later model version, then the larger digest of the entry."""
-    names = cache.columns
-    order = F.struct("ts", F.coalesce("model_version", F.lit("")), F.xxhash64(F.to_json(F.struct(*names))))
-    return cache.groupBy("key").agg(F.max_by(F.struct(*names), order).alias("e")).select("e.*")
+    rest = [c for c in cache.columns if c != "key"]
+    order = F.struct("ts", F.coalesce("model_version", F.lit("")), F.xxhash64(F.to_json(F.struct(*rest))))
+    return cache.groupBy("key").agg(F.max_by(F.struct(*rest), order).alias("e")).select("key", "e.*")  # the key stays as it is, and so does a partitioning by it
 
 
 def lookup(keyed: DataFrame, cache: DataFrame) -> DataFrame:
@@ -47,6 +50,45 @@ def lookup(keyed: DataFrame, cache: DataFrame) -> DataFrame:
     return keyed.where("key IS NOT NULL").join(entry, "key", "left").select(*keyed.columns, "entry").unionByName(blank)
 
 
+@dataclass(frozen=True)
+class CacheTable:
+    """A cache kept as a table bucketed by key: a write adds files to the buckets, a read merges them, one entry per key.
+
+    Entries of a key lie in one bucket, so reading, merging and joining them moves no entry; only posts are shuffled. ``compact``
+    writes a new version of the table and drops the older one; its entries are then one file per bucket.
+    """
+
+    spark: SparkSession
+    name: str
+    folder: str
+    buckets: int = 64
+
+    def _versions(self) -> list[int]:
+        prefix = f"{self.name}_v"
+        return sorted(int(t.name[len(prefix):]) for t in self.spark.catalog.listTables(pattern=f"{prefix}*") if t.name[len(prefix):].isdigit())
+
+    def _write(self, entries: DataFrame, version: int, mode: str) -> None:
+        (entries.select([c.split(" ")[0] for c in CACHE_COLUMNS]).repartition(self.buckets, "key").write.mode(mode).format("parquet")
+         .bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.folder}/{self.name}_v{version}").saveAsTable(f"{self.name}_v{version}"))
+
+    def append(self, fresh: DataFrame) -> None:
+        """Adds entries; nothing that is there is read or written again."""
+        self._write(fresh, (self._versions() or [0])[-1], "append")
+
+    def entries(self) -> DataFrame:
+        """One entry per key, the newest."""
+        versions = self._versions()
+        return newest(self.spark.table(f"{self.name}_v{versions[-1]}")) if versions else self.spark.createDataFrame([], CACHE)
+
+    def compact(self, max_entries: int | None = None) -> None:
+        """Rewrites the table with one entry per key, without the oldest beyond ``max_entries``."""
+        versions = self._versions()
+        kept = self.entries() if max_entries is None else evict_oldest(materialize(self.entries(), "entries"), max_entries)
+        self._write(kept, (versions or [0])[-1] + 1, "overwrite")
+        for v in versions:
+            self.spark.sql(f"DROP TABLE {self.name}_v{v}")
+
+
 def hits(found: DataFrame, gazetteer: Places | DataFrame | None = None, countries: list[str] | None = None) -> DataFrame:
     """Records as a fresh model call would have made them: cached labels, places searched anew."""
     df = found.where("entry is not null").withColumn("labels", F.col("entry.labels"))
@@ -88,19 +130,19 @@ def store(cache: DataFrame, fresh: DataFrame, max_entries: int | None = None) ->
 def evict_oldest(cache: DataFrame, max_entries: int) -> DataFrame:
     """Keeps the newest ``max_entries``. Entries of one write share a time, so a digest of the key breaks ties.
 
-    The cut is found as order statistics; the entries themselves are only filtered.
+    The cut is found as order statistics, in two passes and two more over the entries at the cut; the entries themselves are only filtered.
     """
     n = cache.count()
     if n <= max_entries:
         return cache
     tie = F.shiftrightunsigned(F.xxhash64("key"), 12)  # 52 bits, exact as a double
     marked = cache.withColumn("_tie", tie)
-    cut = kth_smallest(marked, "ts", n - max_entries)
-    newer = marked.where(F.col("ts") > cut).count()
-    level = marked.where(F.col("ts") == cut)
-    size = level.count()
-    tie_cut = kth_smallest(level, "_tie", size - (max_entries - newer))
-    return marked.where((F.col("ts") > cut) | ((F.col("ts") == cut) & (F.col("_tie") >= tie_cut))).drop("_tie")
+    gone = n - max_entries
+    cut = order_statistics(marked, {"ts": [gone / n]}, lambda *_: gone)["ts", gone / n]
+    level, spare = marked.where(F.col("ts") == F.lit(cut.value)), gone - cut.below  # of the entries at the cut, so many go
+    share = spare / cut.equal
+    least = order_statistics(level, {"_tie": [share]}, lambda *_: spare)["_tie", share]
+    return marked.where((F.col("ts") > F.lit(cut.value)) | ((F.col("ts") == F.lit(cut.value)) & (F.col("_tie") >= F.lit(least.value)))).drop("_tie")
 
 
 def funnel_delta(hit_records: DataFrame) -> DataFrame:

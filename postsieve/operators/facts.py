@@ -1,10 +1,7 @@
-"""Exact figures over all records: funnel, breakdowns, explorer filters, pages, throughput, separation."""
+"""Exact figures over all records: funnel, breakdowns, explorer filters, pages, separation."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postsieve import schema as S, values as V
@@ -152,34 +149,7 @@ def share_view(records: DataFrame) -> DataFrame:
     return records.drop("raw_text", "image_ref")
 
 
-# --- throughput and separation ----------------------------------------------------------------
-
-def throughput(progress: DataFrame) -> DataFrame:
-    """(run, t, done, rate, ema) from (run, t in ms, done): smoothed rate, readings under 50 ms apart skipped.
-
-    A smoothed rate follows its predecessor, so a run is read in order: sorted by Spark (spilling as needed) and
-    streamed through with three numbers of state, never held in memory.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, t, done, ema = None, 0.0, 0.0, 0.0
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if r.run != key:
-                    key, t, done, ema = r.run, float(r.t), float(r.done), 0.0
-                    continue
-                dt = (r.t - t) / 1000
-                if dt < 0.05:
-                    continue
-                rate = max(0.0, r.done - done) / dt
-                ema = ema * 0.7 + rate * 0.3 if ema > 0 else rate
-                t, done = float(r.t), float(r.done)
-                out.append((r.run, r.t, r.done, rate, ema))
-            yield pd.DataFrame(out, columns=["run", "t", "done", "rate", "ema"])
-
-    ordered = progress.select("run", "t", "done").repartition("run").sortWithinPartitions("run", "t")
-    return ordered.mapInPandas(run, "run long, t long, done long, rate double, ema double")
-
+# --- separation -------------------------------------------------------------------------------
 
 def separation(scored_labels: DataFrame, gate: float = V.CONFIDENCE_GATES["relevant"]) -> DataFrame:
     """Per phrasing of a question: lowest positive minus highest negative, and how many need review."""

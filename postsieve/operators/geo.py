@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -91,17 +92,40 @@ def named_aliases(text: Column, places: Places, min_length: int = 3) -> Column:
     return F.array_distinct(F.filter(found, lambda c: F.length(c["alias"]) >= min_length))
 
 
-def named_aliases_joined(posts: DataFrame, gazetteer: DataFrame, min_length: int = 3) -> DataFrame:
-    """(seq, alias, first) of ``named_aliases`` for a gazetteer of any size.
+#: Bits of a bitmap of words; one of this size is a constant of 256 kB in the plan.
+MAX_BITS = 1 << 21
+
 
-    Only n-grams that begin with the first word of some alias can match, so first words are met before n-grams are made.
+def bitmap_of(words: DataFrame) -> Callable[[Column], Column]:
+    """A test of whether a value may be among ``words`` (one column): a bit per digest, built once, read inside the row.
+
+    It never misses a word; with up to a sixteenth of its bits set it lets one in sixteen others pass, more for very many words.
     """
+    bits = 1 << min(MAX_BITS.bit_length() - 1, max(10, (16 * words.count()).bit_length()))
+    bit = lambda value: F.pmod(F.xxhash64(value), F.lit(bits))
+    cells = (words.select(bit(F.col(words.columns[0])).alias("b")).groupBy(F.shiftright("b", 6).alias("cell"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("bits")).collect())  # MAX_BITS / 64 rows at most
+    held = [0] * (bits >> 6)
+    for r in cells:
+        held[r["cell"]] = r["bits"]
+    table = F.from_json(F.lit(json.dumps(held)), "array<bigint>")
+    return lambda value: F.getbit(F.get(table, F.shiftright(bit(value), 6).cast("int")), F.pmod(bit(value), F.lit(64)).cast("int")) == 1
+
+
+def _likely_grams(words: Column, aliases: DataFrame, longest: int) -> Column:
+    """The n-grams of ``words`` that may be aliases: their first word and they themselves pass bitmaps of those of the aliases."""
+    first = bitmap_of(aliases.select(F.split("alias", " ")[0].alias("word")).distinct())
+    whole = bitmap_of(aliases.select("alias"))
+    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: first(F.get(words, i)))
+    return F.filter(_grams(words, starts, longest), lambda g: whole(g["alias"]))
+
+
+def named_aliases_joined(posts: DataFrame, gazetteer: DataFrame, min_length: int = 3) -> DataFrame:
+    """(seq, alias, first) of ``named_aliases`` for a gazetteer of any size; only n-grams that may be aliases leave their row."""
     aliases = alias_table(gazetteer).where(F.length("alias") >= min_length).select("alias", "rank.first")
     words = posts.select("seq", F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", " | "), " ").alias("w"))
-    starts = words.select("seq", "w", F.posexplode("w").alias("pos", "word"))
-    sized = aliases.select("alias", "first", F.split("alias", " ")[0].alias("word"), F.size(F.split("alias", " ")).alias("n"))
-    found = starts.select("seq", "word", F.slice("w", F.col("pos") + 1, F.lit(longest_alias(gazetteer))).alias("rest")).join(sized, "word")
-    return found.where(F.array_join(F.slice("rest", F.lit(1), F.col("n")), " ") == F.col("alias")).select("seq", "alias", "first").distinct()
+    grams = F.array_distinct(F.transform(_likely_grams(F.col("w"), aliases, longest_alias(gazetteer)), lambda g: g["alias"]))
+    return words.select("seq", F.explode(settle(grams)).alias("alias")).join(aliases, "alias").select("seq", "alias", "first")
 
 
 def longest_alias(gazetteer: DataFrame) -> int:
@@ -200,7 +224,7 @@ def find_aliases(posts: DataFrame, gazetteer: Places | DataFrame | None, text: C
 
 
 def _joined_candidates(posts: DataFrame, text: Column, gazetteer: DataFrame) -> DataFrame:
-    """Candidates for a gazetteer of any size: n-grams of every post meet the alias table in an equi-join.
+    """Candidates for a gazetteer of any size: the n-grams that bitmaps of the aliases let pass meet the alias table in an equi-join.
 
     Spark picks the join by the table's size; a post's candidates are collected again per ``seq``, which its own
     length bounds.
@@ -210,7 +234,7 @@ def _joined_candidates(posts: DataFrame, text: Column, gazetteer: DataFrame) ->
     singles = aliases.where(~F.col("alias").contains(" ") & (F.length("alias") >= 3))
     df = _searchable_joined(posts, text, singles)
     words = df.select("seq", F.split("_hay", " ").alias("w"))
-    grams = words.select("seq", F.explode(_grams(F.col("w"), F.sequence(F.lit(0), F.size("w") - 1), longest)).alias("g")).select("seq", "g.*")
+    grams = words.select("seq", F.explode(settle(_likely_grams(F.col("w"), aliases, longest))).alias("g")).select("seq", "g.*")
     found = (grams.join(aliases, "alias")
              .groupBy("seq").agg(F.collect_list(F.struct("rank", "pos", "n", "alias", "entries")).alias("_cands")))
     empty = found.schema["_cands"].dataType.simpleString()

@@ -10,11 +10,12 @@ from postsieve.session import materialize
 
 
 def meter(ledger: DataFrame, budget: float = V.SESSION_BUDGET, prior_used: float = 0.0, unlimited: bool = False,
-          breaker: int = V.BREAKER_FAILURES, rows_per_bucket: int = 1_000_000) -> DataFrame:
+          breaker: int = V.BREAKER_FAILURES, rows_per_bucket: int = 1_000_000, prior_failures: int = 0, stopped: str | None = None) -> DataFrame:
     """Adds ``running_cost``, ``classifier`` and ``trip_reason`` to (pos, status, cost, own_key).
 
     The call that reaches the budget is still the model's; later rows are labelled by rules. A 402, or a run of
-    ``breaker`` failures, stops the model as well. Running sums come per bucket of ``pos``; a run of failures is
+    ``breaker`` failures, stops the model as well. A ledger may go on from an earlier one: with what that one used, the
+    failures it ended with, and the reason why it had stopped, if it had. Running sums come per bucket of ``pos``; a run of failures is
     told by the number of successes before it, and its length is a difference of running sums, so even one run
     over a third of the ledger is never gathered.
     """
@@ -26,12 +27,14 @@ def meter(ledger: DataFrame, budget: float = V.SESSION_BUDGET, prior_used: float
     over = F.min(F.when(ok & ~F.col("own_key") & (spent >= budget) & F.lit(not unlimited), F.col("pos")))
     first = run.agg(over.alias("over"), F.min(F.when(F.col("status") == 402, F.col("pos"))).alias("refused")).first()
     failures = run.where(~ok).select("pos", "_ok", "_bad")
-    starts = failures.groupBy("_ok").agg((F.min("_bad") + (breaker - 1)).alias("_bad"))
+    earlier = F.when(F.col("_ok") == 0, min(prior_failures, breaker - 1)).otherwise(0)  # a run that began in the earlier ledger
+    starts = failures.groupBy("_ok").agg((F.min("_bad") + (breaker - 1)).alias("_bad")).withColumn("_bad", F.col("_bad") - earlier)
     tripped = failures.join(starts, ["_ok", "_bad"]).agg(F.min("pos").alias("failing")).first()
     stops = {"over_budget": first["over"], "402": first["refused"], "429": tripped["failing"]}
     found = [(name, at) for name, at in stops.items() if at is not None]  # three values
     reason, stop = min(found, key=lambda f: f[1]) if found else (None, None)
-    by_model = ok & (F.lit(True) if stop is None else F.col("pos") <= stop)
+    by_model = ok & F.lit(stopped is None) & (F.lit(True) if stop is None else F.col("pos") <= stop)
+    reason = stopped or reason
     return run.drop("_ok", "_bad", "position").select(
         "*", F.when(by_model, V.MODEL_CLASSIFIER).otherwise(V.RULE_CLASSIFIER).alias("classifier"),
         F.lit(reason).cast("string").alias("trip_reason"))

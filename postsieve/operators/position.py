@@ -1,77 +1,48 @@
 """Global row positions and running sums without putting all rows into one task.
 
-Rows are cut into ordered buckets by a function of the sort key alone, so a retried task puts a row into the
-same bucket. Each bucket is counted (a small aggregate), offsets are running totals over the buckets, and only
-the rank inside a bucket needs a window. ``rank`` is an optional leading descending sort value with many
-ties (a score); ties never pile up in one bucket because ``seq`` cuts them further.
+Rows are range-partitioned by their sort key: Spark samples the key and picks splitters, so ranges come out even whatever the
+values are, all distinct or a few with many ties (``seq`` cuts those). Ranges are sorted and written once, with each row's place in
+its range; range counts and sums are prefixed over the ranges alone. A position is a range's offset plus a place.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ROWS_PER_BUCKET = 1_000_000
+from postsieve.session import materialize
 
+ROWS_PER_RANGE = 1_000_000
+#: Spark's driver samples some keys per range; beyond this number of ranges they get larger and sorts spill.
+MAX_RANGES = 4096
+_PLACE = (1 << 33) - 1
 
-def _span(df: DataFrame, seq: str) -> tuple[int, int, int]:
-    row = df.agg(F.count("*"), F.min(seq), F.max(seq)).first()
-    return row[0], row[1] or 0, row[2] or 0
 
-
-def _split_heavy(marked: DataFrame, seq: str, rows_per_bucket: int) -> tuple[DataFrame, list[str]]:
-    """Cuts buckets that came out far too large (uneven keys) by their own range, again and again if need be.
-
-    Even keys need no extra pass beyond one count per bucket.
-    """
-    keys = ["_rank", "_cut0"]
-    while len(keys) < 12:
-        heavy = (marked.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(seq).alias("_lo"), F.max(seq).alias("_hi"))
-                 .where((F.col("_n") > 4 * rows_per_bucket) & (F.col("_hi") > F.col("_lo"))).collect())  # a few rows per n / rows_per_bucket
-        if not heavy:
-            break
-        level = f"_cut{len(keys) - 1}"
-        table = marked.sparkSession.createDataFrame(
-            [(*[r[k] for k in keys], r["_lo"], max(1, -(-(r["_hi"] - r["_lo"] + 1) // (2 * -(-r["_n"] // rows_per_bucket)))))
-             for r in heavy], "_rank double, " + ", ".join(f"{k} long" for k in keys[1:]) + ", _lo long, _w long")
-        marked = (marked.join(F.broadcast(table), keys, "left")  # at most n / (4 * rows_per_bucket) rows
-                  .withColumn(level, F.coalesce(F.floor((F.col(seq) - F.col("_lo")) / F.col("_w")).cast("long"), F.lit(0).cast("long")))
-                  .drop("_lo", "_w"))
-        keys = [*keys, level]
-    return marked, keys
+def ranged(df: DataFrame, order: list[Column], n: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """The rows with ``_range`` and ``_place`` (0-based inside it) in the given order, as a table in the shared folder."""
+    ranges = max(1, min(MAX_RANGES, -(-n // rows_per_range)))
+    rows = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.withColumn("_range", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit(_PLACE)))
+    return materialize(rows.drop("_id"), "ranges")
 
 
 def with_position(df: DataFrame, seq: str = "seq", rank: str | None = None, sums: dict[str, Column] | None = None,
-                  rows_per_bucket: int = ROWS_PER_BUCKET, total: tuple[int, int, int] | None = None) -> DataFrame:
+                  rows_per_bucket: int = ROWS_PER_RANGE, total: int | None = None) -> DataFrame:
     """Adds ``position`` (0-based in ``rank`` desc, ``seq`` order) and the named running sums (inclusive).
 
     ``seq`` must be unique.
     """
     sums = sums or {}
-    n, low, high = total or _span(df, seq)
-    buckets = max(1, -(-n // rows_per_bucket))
-    width = max(1, -(-(high - low + 1) // buckets))
-    rank_col = F.col(rank) if rank else F.lit(0.0)
-    marked = df.withColumn("_rank", rank_col.cast("double")).withColumn(
-        "_cut0", F.floor((F.col(seq) - F.lit(low)) / F.lit(width)).cast("long"))
-    for name, value in sums.items():
-        marked = marked.withColumn(f"_v_{name}", value)
-    marked, keys = _split_heavy(marked, seq, rows_per_bucket)
-    sizes = marked.groupBy(*keys).agg(
-        F.count("*").alias("_n"), *[F.sum(f"_v_{s}").alias(f"_t_{s}") for s in sums])
-    # one row per bucket: a window over all of them is small
-    before = Window.orderBy(F.col("_rank").desc(), *keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0.0)).alias(f"_b_{s}") for s in sums])
-    inside = Window.partitionBy(*keys).orderBy(seq)
-    running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    joined = marked.join(offsets, keys)
-    out = joined.select(
-        *df.columns,
-        (F.row_number().over(inside) - 1 + F.col("_before")).cast("long").alias("position"),
+    marked = df.withColumns({f"_v_{name}": value for name, value in sums.items()}) if sums else df
+    order = [F.col(rank).desc(), F.col(seq)] if rank else [F.col(seq)]
+    rows = ranged(marked, order, df.count() if total is None else total, rows_per_bucket)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(f"_v_{s}").alias(f"_t_{s}") for s in sums])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # MAX_RANGES rows at most
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                           *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0.0)).alias(f"_b_{s}") for s in sums])
+    running = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(F.broadcast(offsets), "_range").select(
+        *df.columns, (F.col("_place") + F.col("_before")).cast("long").alias("position"),
         *[(F.sum(f"_v_{s}").over(running) + F.col(f"_b_{s}")).alias(s) for s in sums])
-    return out
 
 
 def stride_for(n: int, limit: int) -> int:
@@ -83,12 +54,12 @@ def systematic_sample(df: DataFrame, limit: int, seq: str = "seq") -> tuple[Data
 
     Only the ``seq`` column is ranked; the chosen keys (at most ``limit``) are joined back.
     """
-    total = _span(df, seq)
-    stride = stride_for(total[0], limit)
+    total = df.count()
+    stride = stride_for(total, limit)
     if stride == 1:
-        return df, total[0]
+        return df, total
     chosen = (with_position(df.select(seq), seq, total=total)
               .where(F.col("position") % stride == 0).select(F.col(seq).alias("_chosen")))
     # at most `limit` keys by construction
     sample = df.join(F.broadcast(chosen), df[seq] == chosen["_chosen"], "left_semi")
-    return sample, -(-total[0] // stride)
+    return sample, -(-total // stride)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from postsieve import schema as S, values as V
 from postsieve.operators import geo
 from postsieve.operators.geo import community_rollup
+from postsieve.operators.quantile import ACCURACY, order_statistics
 from postsieve.sources.gazetteer import GAZETTEER_SCHEMA, Places
 
 
@@ -78,32 +79,21 @@ def stack_listing(pts: DataFrame, limit: int = V.STACK_LIST_MAX) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def kth_smallest(df: DataFrame, column: str, k: int, buckets: int = 4096) -> float | None:
-    """Exact order statistic by narrowing a histogram: each pass brings at most ``buckets`` rows to the driver."""
-    lo, hi = df.agg(F.min(column), F.max(column)).first()
-    c = F.col(column)
-    while lo is not None and lo < hi:
-        width = (hi - lo) / buckets
-        if lo + width <= lo:  # neighbouring floats: the few values left are counted one by one
-            cell = c
-        else:
-            cell = F.least(F.floor((c - lo) / width), F.lit(buckets - 1))
-        rows = (df.where(c.between(lo, hi)).groupBy(cell.alias("cell"))
-                .agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).orderBy("cell").collect())
-        for r in rows:
-            if k < r["n"]:
-                lo, hi = r["lo"], r["hi"]
-                break
-            k -= r["n"]
-    return lo
+def kth_smallest(df: DataFrame, column: str, k: int, buckets: int = ACCURACY) -> float | None:
+    """Exact order statistic; ``buckets`` is the accuracy of the sketch that brackets it."""
+    n = df.where(F.col(column).isNotNull()).count()
+    found = order_statistics(df, {column: [k / max(1, n - 1)]}, lambda *_: k, buckets)
+    return next((f.value for f in found.values() if f), None)
 
 
 def trimmed_bounds(pts: DataFrame) -> DataFrame:
-    """The central 90 percent per axis when there are more than 50 points, else everything. One row."""
-    n = pts.count()
-    low = math.floor(n * 0.05) if n > 50 else 0
-    high = math.ceil(n * 0.95) - 1 if n > 50 else n - 1
-    row = [kth_smallest(pts, axis, k) if n else None for k in (low, high) for axis in ("lon", "lat")]
+    """The central 90 percent per axis when there are more than 50 points, else everything. One row, from two passes over the points."""
+    def rank(n: int, share: float) -> int:
+        if n <= 50:
+            return 0 if share < 0.5 else n - 1
+        return math.floor(n * 0.05) if share < 0.5 else math.ceil(n * 0.95) - 1
+    found = order_statistics(pts, {"lon": [0.05, 0.95], "lat": [0.05, 0.95]}, rank)
+    row = [found[axis, share] and found[axis, share].value for share in (0.05, 0.95) for axis in ("lon", "lat")]
     return pts.sparkSession.createDataFrame([tuple(row)], "min_lon double, min_lat double, max_lon double, max_lat double")
 
 

@@ -22,6 +22,7 @@ from postsieve.functions import text as T
 from postsieve.functions.settle import settle
 from postsieve.operators.geo import accepted_coordinates
 from postsieve.session import materialize
+from postsieve.sources import files as files_source
 
 _HEAD_LINES = 50
 #: Characters of a record that goes over line ends; a longer one is an unclosed quote, reported as such.
@@ -158,20 +159,18 @@ def _spanning_records(lines: DataFrame, delimiter: str, limit: int) -> tuple[Dat
     return single.unionByName(many), files
 
 
-def _text_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    if encoding.upper() in ("UTF-8", "UTF8"):
-        lines = spark.read.text(path)
-    else:  # other encodings are only understood by the csv source
-        lines = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
-                 .option("multiLine", True).schema("value string").csv(path))
-    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+def _text_lines(spark: SparkSession, path: str, encoding: str, blanks: bool = False) -> DataFrame:
+    """(value, file, block, id): the lines of the files; ids rise within a split, and by one without blank lines."""
+    if encoding.upper() not in ("UTF-8", "UTF8"):
+        return files_source.range_lines(spark, path, encoding, blanks)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return (lines if blanks else lines.where("value <> ''")).withColumn("id", F.monotonically_increasing_id())
 
 
 def _records_of(spark: SparkSession, path: str, encoding: str, delimiter: str, limit: int) -> tuple[DataFrame, int]:
     """(value, fault, part, line, before) per record and the number of files: ``part`` (file order by name), ``line`` (0-based in its file, blank
     lines not counted) and ``before`` (records of earlier files)."""
-    numbered = lambda df: df.withColumn("id", F.monotonically_increasing_id())
-    lines = numbered(_text_lines(spark, path, encoding).where("value <> ''"))
+    lines = _text_lines(spark, path, encoding)
     blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max(_after(F.col("value"), delimiter, False)).alias("open"))
     blocks = materialize(blocks, "splits")  # a row per input split: the windows below run over a small table
     files = blocks.groupBy("file").agg(F.sum("n").alias("size"), F.max("open").alias("open"))
@@ -181,7 +180,7 @@ def _records_of(spark: SparkSession, path: str, encoding: str, delimiter: str, l
     records = plain.select("file", (F.col("id") - F.col("first") + F.col("skip")).alias("line"), "value", F.lit(None).cast("string").alias("fault"))
     sizes = files.where("NOT open").select("file", "size")
     if not files.where("open").isEmpty():
-        spanning = numbered(_text_lines(spark, path, encoding)).join(files.where("open").select("file"), "file", "left_semi")
+        spanning = _text_lines(spark, path, encoding, blanks=True).join(files.where("open").select("file"), "file", "left_semi")
         found, held = _spanning_records(spanning, delimiter, limit)
         records, sizes = records.unionByName(found), sizes.unionByName(held)
     by_name = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
@@ -207,12 +206,11 @@ def read_rows(spark: SparkSession, path: str, encoding: str = "UTF-8", max_recor
     """(rows with ``f`` = array of fields in the order of the report's columns, ``places`` = where the row's own file keeps them, ``bad`` = field
     count when it is wrong for that file, ``width``, ``fault``, part, row, before) and the dialect, told from the first lines of the first file
     by name. Row 1 of a file is its header, with ``f`` null."""
-    lines = _text_lines(spark, path, encoding).where("value <> ''")
-    first = min(lines.inputFiles(), default=None)
-    files = [r[0] for r in lines.agg(F.min("file")).collect()] if first is not None else [None]
-    if files[0] is None:
+    lines = _text_lines(spark, path, encoding)
+    first = lines.agg(F.min("file")).first()[0]
+    if first is None:
         return None, CsvReport()
-    head = [r[0] for r in lines.where(F.col("file") == files[0]).limit(_HEAD_LINES).collect()]
+    head = [r[0] for r in lines.where((F.col("file") == first) & (F.col("block") == 0)).orderBy("id").limit(_HEAD_LINES).collect()]
     head[0] = head[0].lstrip("\ufeff")
     delimiter = sniff_delimiter(head)
     headers = [h.strip() for h in _records(head, delimiter)[0]]

@@ -206,3 +206,22 @@ def k6(spark, sf):
 def k6_delta(spark, sf):
     h = cache.hits(cache.lookup(_keyed(spark, sf), _old_cache(spark, sf)))
     return cache.funnel_delta(h).select("prefiltered", "relevant")
+
+
+@query("k6_cache_table", with_sql(
+    """SELECT k.id, relevant, CASE WHEN k.key IN (SELECT key FROM keyed WHERE seq % 5 = 1) THEN 'm1' ELSE 'm0' END AS model_version
+       FROM keyed k JOIN (SELECT key, max_by(relevant, seq) AS relevant FROM (
+         SELECT key, relevant, seq FROM keyed JOIN lab USING (id) WHERE seq % 3 = 0 AND seq % 30 <> 0
+         UNION ALL SELECT key, relevant, 1000000000 + seq FROM keyed JOIN lab USING (id) WHERE seq % 5 = 1) GROUP BY key) USING (key)""", **CACHED))
+def k6_table(spark, sf):
+    """A table of cached labels, written in two goes and made compact once, against every post."""
+    keyed = _keyed(spark, sf)
+    fresh = keyed.where("seq % 5 = 1").join(labels(spark, sf), "id").select(
+        "key", "labels", F.lit(V.MODEL_CLASSIFIER).alias("classifier"), F.lit("m1").alias("model_version"), F.lit(None).cast("string").alias("redacted_text"), (F.col("seq") + 1000000000).alias("ts"))
+    folder = scratch_path(spark, "cache")
+    table = cache.CacheTable(spark, "labels_" + folder[-16:], folder, buckets=16)
+    table.append(_old_cache(spark, sf))
+    table.append(fresh)
+    table.compact()
+    found = cache.lookup(keyed, table.entries()).where("entry IS NOT NULL")
+    return found.select("id", F.col("entry.labels.relevant.value").alias("relevant"), F.col("entry.model_version").alias("model_version"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postsieve import schema as S, values as V
 from postsieve.functions import text as T
-from postsieve.operators import ask, facts, themes
+from postsieve.operators import ask, facts, recurrence, themes
 from postsieve.sources.gazetteer import default_rows
 from registry import views
 from registry.core import query
@@ -289,7 +289,7 @@ def a26(spark, sf):
   SELECT run, t, done, CAST(round(rate, 6) AS DOUBLE) AS rate, CAST(round(ema, 6) AS DOUBLE) AS ema FROM fold WHERE emit""")
 def a25(spark, sf):
     p = views.table(spark, sf, "events").selectExpr("event_id % 20 AS run", "event_id * 23 + event_id * event_id % 31 AS t", "event_id AS done")
-    t = facts.throughput(p)
+    t = recurrence.throughput(p)
     return t.select("run", "t", "done", F.round("rate", 6).alias("rate"), F.round("ema", 6).alias("ema"))
 
 

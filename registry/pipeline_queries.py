@@ -10,7 +10,7 @@ from postsieve.streaming import triage_stream as st
 from registry import views
 from registry.core import query
 from registry.geo_sql import gazetteer_sql
-from registry.decide_queries import _IMAGES
+from registry.decide_queries import METER_SQL, _IMAGES, meter_ctes
 from registry.dedupe_queries import kept_sql
 from registry.geo_sql import ok_sql, place_ctes
 from registry.profile_queries import kept_table, profile_of
@@ -174,16 +174,59 @@ def _run(q, seconds=600):
 STREAM_SQL = {**SC}
 
 
+SCOPE = "SELECT DISTINCT country FROM gaz WHERE (SELECT mixed FROM verdict) OR NOT EXISTS (SELECT 1 FROM pplaces) OR country IN (SELECT country FROM gaz JOIN pplaces USING (alias))"
+_PLACED = place_ctes("filtered", "NOT is_candidate", countries="SELECT country FROM scope")
+FILTERED_PLACES = {**SC, "gaz": _PLACED["gaz"], "scope": SCOPE, **_PLACED}
+
+
 @query("st1_stream_triage", with_sql(
-    """SELECT id, is_candidate, CASE WHEN is_candidate THEN least(0.95, score) >= 0.3 AND NOT spam ELSE false END AS relevant FROM filtered""", **SC))
+    """SELECT id, is_candidate, is_candidate AND least(0.95, score) >= 0.3 AND NOT spam AS relevant, CAST(CASE WHEN is_candidate THEN 0.3 ELSE 0.4 END AS DOUBLE) AS confidence, spam AS is_spam,
+       CASE WHEN NOT is_candidate THEN NULL WHEN own THEN (SELECT h FROM target) ELSE 'other' END AS hazard, coalesce((SELECT string_agg(name, '; ' ORDER BY pos) FROM placed p WHERE p.id = f.id), '') AS places FROM filtered f""", **FILTERED_PLACES))
 def st1(spark, sf):
-    """A stream of posts under the fixed profile, labelled by rules."""
+    """A stream of posts under the fixed profile, labelled by rules: labels and places of every record."""
     kept = kept_table(spark, sf)
     profile = profile_of(kept)
     out, check = scratch_path(spark, "out"), scratch_path(spark, "check")
     r = st.triage_stream(_stream_of(spark, kept.select("seq", "id", "text", "lat", "lon"), "in"), profile)
     _run(st.write_append(r.select("id", "is_candidate", "labels", "places"), out, check))
-    return spark.read.parquet(out).select("id", "is_candidate", F.col("labels.relevant.value").alias("relevant"))
+    return spark.read.parquet(out).select("id", "is_candidate", F.col("labels.relevant.value").alias("relevant"), F.round("labels.relevant.confidence", 6).alias("confidence"), F.col("labels.is_spam.value").alias("is_spam"),
+                                          F.col("labels.hazard.value").alias("hazard"), F.array_join("places.name", "; ").alias("places"))
+
+
+@query("st1_late_answers", with_sql(
+    "SELECT id, relevant FROM posts LEFT JOIN (SELECT id, relevant FROM lab JOIN posts USING (id) WHERE seq % 7 <> 0 AND seq % 11 <> 0) USING (id)",
+    posts=posts_sql(), ans=answers_sql(), lab=LABELS_SQL))
+def st1_answers(spark, sf):
+    """Answers arrive on a stream of their own: some late, some twice, some never (seq % 7) and some too late (seq % 11)."""
+    at = lambda seconds: (F.lit("2024-01-01").cast("timestamp").cast("long") + seconds).cast("timestamp")
+    posts = views.posts(spark, sf).select("seq", "id", at(F.col("seq") % 600).alias("at"))
+    late = F.when(F.col("seq") % 11 == 0, 7200).otherwise(F.col("seq") % 13 * 60)
+    answers = labels(spark, sf).join(posts, "id").where("seq % 7 <> 0").withColumn("answered_at", at(F.col("seq") % 600 + late)).select("seq", "id", "labels", "answered_at")
+    again = answers.where("seq % 3 = 0").withColumn("labels", F.col("labels").withField("relevant", S.decision(F.lit(None).cast("boolean"), 0.0))).withColumn("answered_at", F.col("answered_at") + F.expr("INTERVAL 1 SECOND"))
+    last = at(F.lit(90000))
+    end = lambda df, time: df.limit(1).withColumn("id", F.lit("end")).withColumn("seq", F.lit(-1).cast("long")).withColumn(time, last)
+    said, asked = scratch_path(spark, "answers"), scratch_path(spark, "asked")
+    for k, part in enumerate((answers, again, end(answers, "answered_at"), end(answers, "answered_at"))):
+        part.drop("seq").coalesce(1).write.mode("append").parquet(said) if k else part.drop("seq").coalesce(1).write.parquet(said)
+    for k, part in enumerate((posts, end(posts, "at"), end(posts, "at"))):
+        part.drop("seq").coalesce(1).write.mode("append").parquet(asked) if k else part.drop("seq").coalesce(1).write.parquet(asked)
+    stream = lambda path: spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = scratch_path(spark, "out")
+    _run(st.write_append(st.labelled_stream(stream(asked), stream(said), "1 hour"), out, scratch_path(spark, "check")))
+    return spark.read.parquet(out).where("id <> 'end'").select("id", F.col("labels.relevant.value").alias("relevant"))
+
+
+@query("st2_metered_ledger", with_sql(METER_SQL, **meter_ctes(0.15001, None)))
+def st2_meter(spark, sf):
+    """The meter inside a stream of calls in several batches, equal to one pass over the ledger."""
+    path, source = scratch_path(spark, "meter"), scratch_path(spark, "calls")
+    calls = views.ledger(spark, sf).select("pos", "status", "cost", "own_key")
+    size = max(1, -(-calls.count() // 4))
+    for k in range(4):
+        calls.where(F.floor(F.col("pos") / size) == k).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    _run(st.write_metered(stream, path, scratch_path(spark, "check"), budget=0.15001))
+    return st.metered(spark, path).select("pos", F.round("running_cost", 8).alias("running_cost"), "classifier")
 
 
 @query("st2_running_funnel", with_sql(
@@ -211,7 +254,7 @@ def st3(spark, sf):
     p = views.posts(spark, sf).select("id", "text", F.lit(1).alias("version"))
     s = _stream_of(spark, p.unionByName(p.select("id", F.concat(F.lit("new "), "text").alias("text"), F.lit(2).alias("version"))), "twice")
     log = scratch_path(spark, "changes")
-    _run(st.write_changes(s, log, scratch_path(spark, "check"), "append"))
+    _run(st.write_changes(s, log, scratch_path(spark, "check"), "append", key="id", order="version", snapshot_every=2))
     return st.latest(spark, log, "id", "version").select("id", "text")
 
 
@@ -220,7 +263,7 @@ def st5(spark, sf):
     s = _stream_of(spark, views.posts(spark, sf).select("seq", "id", "text"), "posts")
     log = scratch_path(spark, "copies")
     _run(st.write_changes(st.running_copies(s), log, scratch_path(spark, "check"), "update"))
-    return st.latest(spark, log, "digest").select("seq", "id", "text", "duplicate_count")
+    return st.latest_copies(spark, log).select("seq", "id", "text", "duplicate_count")
 
 
 @query("st6_fresh_urls", with_sql("SELECT url, 1 AS n FROM u GROUP BY url", u=views.URLS_SQL))

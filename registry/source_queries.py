@@ -136,12 +136,21 @@ def s9_merged(spark, sf):
     return m.agg(F.sum("duplicate_count").alias("rows"), F.count("*").alias("kept"))
 
 
-@query("s11_audit_files", "SELECT 'utf-8' AS encoding, 'certain' AS confidence, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM (SELECT regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text FROM documents)")
+_LINE = {"spark": "concat('é ', regexp_replace(regexp_replace(text, '[\\\\r\\\\n\"\\\\\\\\]+', ' '), '[^\\\\x00-\\\\x7F\\\\xA0-\\\\xFF]', '?'))",
+         "sql": "'é ' || regexp_replace(regexp_replace(text, '[\\r\\n\"\\\\]+', ' ', 'g'), '[^\\x00-\\x7F\\xA0-\\xFF]', '?', 'g')"}
+_AUDITED = [("UTF-8", "utf-8", "certain"), ("UTF-16LE", "utf-16le", "guessed"), ("UTF-16", "utf-16be", "certain"), ("windows-1252", "windows-1252", "guessed")]
+
+
+@query("s11_audit_files", "SELECT ['utf-8', 'utf-16le', 'utf-16be', 'windows-1252'][doc_id % 4 + 1] AS encoding, ['certain', 'guessed', 'certain', 'guessed'][doc_id % 4 + 1] AS confidence, "
+       f"CAST(sum(length(line) + 1) AS BIGINT) AS chars, CAST(sum(length(line) - length(replace(line, 'e', ''))) AS BIGINT) AS es FROM (SELECT doc_id, {_LINE['sql']} AS line FROM documents) GROUP BY 1, 2")
 def s11(spark, sf):
-    path = scratch_path(spark, "texts")
-    views.widen(views.table(spark, sf, "documents").select(F.regexp_replace("text", r"[\r\n]+", " ").alias("text"))).write.text(path)
-    a = files.audit_files(spark, path + "/*.txt")
-    return a.groupBy("encoding", "confidence").agg(F.sum(F.length("text")).cast("long").alias("chars"))
+    """Texts written in four encodings, told apart and read back by ranges of 64 kB."""
+    root = scratch_path(spark, "texts")
+    texts = views.widen(views.table(spark, sf, "documents").selectExpr("doc_id", _LINE["spark"] + " AS line"))
+    for k, (charset, _, _) in enumerate(_AUDITED):
+        texts.where(F.col("doc_id") % 4 == k).select("line").write.options(encoding=charset, sep="\u0001", quote="\u0000", escape="\u0000", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{root}/{k}")
+    a = files.audit_files(spark, root + "/*/*.csv", 1 << 16)
+    return a.groupBy("encoding", "confidence").agg(F.sum(F.length("text")).cast("long").alias("chars"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))).cast("long").alias("es"))
 
 
 @query("s12_image_rows_kept", with_sql(

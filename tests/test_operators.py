@@ -41,8 +41,38 @@ def test_position_with_uneven_keys(spark):
     df = spark.createDataFrame([(q,) for q in seqs], "seq long")
     got = {r["seq"]: r["position"] for r in position.with_position(df, rows_per_bucket=50).collect()}
     assert got == {q: i for i, q in enumerate(seqs)}
-    marked, keys = position._split_heavy(df.withColumn("_rank", F.lit(0.0)).withColumn("_cut0", F.lit(0).cast("long")), "seq", 50)
-    assert marked.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 200
+    sizes = [r["count"] for r in position.ranged(df, [F.col("seq")], len(seqs), 50).groupBy("_range").count().collect()]
+    assert len(sizes) > 30 and max(sizes) <= 200
+
+
+def test_position_with_all_scores_distinct(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.random()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "seq long, s double").repartition(8)
+    got = {r["seq"]: r["position"] for r in position.with_position(df, rank="s", rows_per_bucket=100).collect()}
+    assert got == {q: i for i, (q, _) in enumerate(sorted(rows, key=lambda r: -r[1]))}
+    ranges = position.ranged(df, [F.col("s").desc(), F.col("seq")], 4000, 100).groupBy("_range").count().collect()
+    assert 30 <= len(ranges) <= 40 and max(r["count"] for r in ranges) <= 400  # prefixed over the ranges, not over 4,000 scores
+
+
+def test_order_statistics_take_two_passes(spark):
+    from postsieve.operators import quantile
+    rng = random.Random(6)
+    values = [(rng.gauss(0, 1), float(rng.choice([1, 1, 1, 2, 3])), rng.randrange(10**6)) for _ in range(5000)] + [(None, None, None)] * 5
+    df = spark.createDataFrame(values, "a double, b double, c long").repartition(6)
+    settled, runs = quantile._settled, []
+    quantile._settled = lambda *how: runs.append(how[1]) or settled(*how)
+    try:
+        found = quantile.order_statistics(df, {c: [0.05, 0.5, 0.95] for c in "abc"}, lambda n, f: int(n * f), accuracy=200)
+    finally:
+        quantile._settled = settled
+    for i, c in enumerate("abc"):
+        column = sorted(v[i] for v in values if v[i] is not None)
+        for f in (0.05, 0.5, 0.95):
+            want = column[int(5000 * f)]
+            assert found[c, f] == quantile.Found(want, sum(v < want for v in column), column.count(want))
+    assert [len(r) for r in runs] == [9, 0]
+    assert quantile.order_statistics(df.where("a IS NULL"), {"a": [0.5]}, lambda n, f: 0) == {("a", 0.5): None}
 
 
 def test_gazetteer_file(spark, tmp_path):
@@ -249,3 +279,60 @@ def test_phrases_match_alike_in_place_and_joined(spark, monkeypatch):
         got.append(sorted((r["label"], r["seq"], r["rel"]) for r in ask.term_matches(terms, p, ("rel",)).collect()))
     assert got[0] == got[1] and len(got[0]) == len(set(got[0])) and ("dam", 5, False) in got[0]
     assert ask.term_matches(terms.limit(0), p, ("rel",)).count() == 0
+
+
+def test_throughput_equals_a_loop_over_any_chunks(spark):
+    from postsieve.operators import recurrence
+    rng = random.Random(8)
+    rows = [(run, t, done) for run, n in ((1, 400), (2, 1), (3, 60), (9, 90)) for t, done in zip(
+        sorted(rng.randrange(n * 30) for _ in range(n)), (sorted(rng.randrange(200) for _ in range(n)) if run != 9 else [0] * 50 + list(range(40))))]
+    want = []
+    for run in (1, 2, 3, 9):
+        (t, done), *rest = [r[1:] for r in sorted(rows) if r[0] == run]
+        ema = 0.0
+        for a, b in rest:
+            if a - t >= 50:
+                rate = max(0.0, b - done) / ((a - t) / 1000)
+                ema = 0.7 * ema + 0.3 * rate if ema > 0 else rate
+                t, done = a, b
+                want.append((run, a, b, round(rate, 6), round(ema, 6)))
+    df = spark.createDataFrame(rows, "run long, t long, done long")
+    for size in (7, 100, 10**6):
+        got = sorted((r["run"], r["t"], r["done"], round(r["rate"], 6), round(r["ema"], 6)) for r in recurrence.throughput(df, size).collect())
+        assert got == sorted(want)
+    assert recurrence.throughput(df.limit(0)).count() == 0
+
+
+def entry_rows(spark, rows):
+    df = spark.createDataFrame(rows, "key string, model_version string, ts long")
+    from postsieve.schema import LABELS
+    return df.select("key", F.lit(None).cast(LABELS).alias("labels"), F.lit(V.MODEL_CLASSIFIER).alias("classifier"), "model_version", F.lit(None).cast("string").alias("redacted_text"), "ts")
+
+
+def test_a_key_twice_in_the_cache_does_not_double_posts(spark):
+    keyed = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "seq long, key string")
+    found = cache.lookup(keyed, entry_rows(spark, [("a", "m0", 1), ("a", "m1", 2), ("a", "m0", 2)])).orderBy("seq").collect()
+    assert [r["entry"] and r["entry"]["model_version"] for r in found] == ["m1", None, None]
+
+
+def test_cache_table_moves_posts_only(spark, tmp_path):
+    name = f"t{tmp_path.name.replace('-', '_')}"
+    table = cache.CacheTable(spark, name, str(tmp_path), buckets=8)
+    assert table.entries().count() == 0
+    table.append(entry_rows(spark, [(f"k{i}", "m0", i) for i in range(200)]))
+    table.append(entry_rows(spark, [(f"k{i}", "m1", 1000 + i) for i in range(50)]))
+    keyed = spark.createDataFrame([(i, f"k{i}") for i in range(0, 400, 2)], "seq long, key string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        found = cache.lookup(keyed, table.entries())
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in final
+    said = {r["seq"]: r["entry"] and r["entry"]["model_version"] for r in found.collect()}
+    assert len(said) == 200 and said[10] == "m1" and said[60] == "m0" and said[300] is None
+    table.compact(max_entries=120)
+    assert {r["key"] for r in table.entries().collect()} == {f"k{i}" for i in [*range(50), *range(130, 200)]} and table._versions() == [1]

@@ -187,6 +187,38 @@ def test_encodings(spark):
     assert got == {k: v[1:] for k, v in cases.items()}
 
 
+def test_ranges_cut_no_character_and_no_line(spark):
+    body = "tweet,n\r\n" + "".join(f"Café \U0001f30a — 水 {k},{k}\r\n" for k in range(40)) + 'last "one\ntwo",9'
+    wide, late = body.encode("utf-16le"), ("plain line\n" * 30).encode() + b"isn\x92t\n"
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    cases = {"u": body.encode(), "l": b"\xff\xfe" + wide, "b": b"\xfe\xff" + body.encode("utf-16be"), "w": late}
+    for name, content in cases.items():
+        with open(f"{folder}/{name}.csv", "wb") as f:
+            f.write(content)
+    for size in (8, 10, 66, 1 << 20):
+        rows = files.audit_files(spark, folder + "/*.csv", size).orderBy("path", "start").collect()
+        text, said = {}, {}
+        for r in rows:
+            name = r["path"].rsplit("/", 1)[1][0]
+            text[name] = text.get(name, "") + r["text"]
+            said[name] = (r["encoding"], r["confidence"])
+        assert text == {"u": body, "l": body, "b": body, "w": "plain line\n" * 30 + "isn’t\n"} and len(rows) == sum(-(-len(c) // size) for c in cases.values())
+        assert said == {"u": ("utf-8", "certain"), "l": ("utf-16le", "certain"), "b": ("utf-16be", "certain"), "w": ("windows-1252", "guessed")}
+        for name, encoding in (("l", "UTF-16"), ("b", "UTF-16"), ("w", "windows-1252")):
+            lines = files.range_lines(spark, f"{folder}/{name}.csv", encoding, True, size).orderBy("block", "id").collect()
+            assert [r["value"] for r in lines] == [x.rstrip("\r") for x in text[name].split("\n") if x or name != "w"]
+
+
+@pytest.mark.parametrize("size", [34, 4 << 20])
+def test_other_encodings_are_read_by_ranges_too(spark, monkeypatch, size):
+    monkeypatch.setattr(files.range_lines, "__defaults__", (size,))
+    rows = ["Gate shut", 'Öl "spill"\n\nin two lines', "\r\nodd, start", "plain"] * 9
+    body = "tweet,n\r\n" + "".join('"' + r.replace('"', '""') + f'",{k}\r\n' for k, r in enumerate(rows))
+    for encoding, content in (("UTF-16", b"\xff\xfe" + body.encode("utf-16le")), ("UTF-16BE", body.encode("utf-16be")), ("windows-1252", body.encode("cp1252"))):
+        posts, rejects, _ = read(spark, content, encoding=encoding)
+        assert [p["text"] for p in posts] == [r.replace("\r\n", "\n").strip() for r in rows] and rejects == []
+
+
 @pytest.mark.parametrize("url,outcome,route", [
     ("https://twitter.com/a/status/1", "ok", "x"), ("https://bsky.app/profile/a/post/k1", "ok", "bluesky"), ("https://bsky.app/about", "blocked", "bluesky"),
     ("https://m.example/@u/123", "ok", "mastodon"), ("https://e.org/p.PNG?x=1", "ok", "image"), ("http://localhost/x", "invalid", None),
