@@ -6,7 +6,8 @@ vector of projected distance below p and whose k-th neighbour is at distance r m
 `sure` or more, as any one true neighbour is then missed with probability 1 - sure at most.
 
 A top kd-tree, fitted on a bounded sample, deals all vectors into cells. Each query first searches its own cell, then only
-cells that the test can't rule out by their projected distance. In a task, a kd-tree of small leaves is walked outward from the
+cells that the test can't rule out by their projected distance. Queries meet a cell in blocks of their own number there, so a cell's
+vectors travel once per block of the queries that reach it, and not at all where none does. In a task, a kd-tree of small leaves is walked outward from the
 query and the leaves' vectors verified on the originals. Largest inner product is nearest distance once every vector gets one
 more coordinate that makes all lengths equal.
 """
@@ -181,10 +182,11 @@ def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", dims: int = DIMS, sure: float = SURE) -> DataFrame:
     """(query_id, rank, <key>, score): each query's k nearest found by inner product in double precision, best first.
 
-    A row of the query's own id is no candidate. Null ids, null and zero vectors, vectors with null or non-finite components and
-    those of another length than the most common one (ties: the longest) take no part on either side. Repeated rows of an id
-    count as rows each; a query id is answered once per distinct vector row. Fewer candidates than k are all returned, as the
-    test never holds before k are found. Ties go to the smaller id. Other columns are not read. Empty tables give no rows.
+    Rows of the query's own id are the query's own and no candidates. Null ids, null and zero vectors, vectors with null or non-finite
+    components and those of another length than the most common one (ties: the longest) take no part on either side. Repeated
+    candidate rows count as rows each. Equal query rows are one query; rows that share an id with different vectors are
+    queries of their own under that id, with ranks of their own. Fewer candidates than k are all returned, as the test never holds
+    before k are found. Ties go to the smaller id. Other columns are not read. Empty tables give no rows.
     """
     spark, schema = vectors.sparkSession, f"query_id long, rank int, {key} long, score double"
     usable, asked = _usable(vectors, key, vector), _usable(queries, key, vector)
@@ -194,9 +196,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         return spark.createDataFrame([], schema)
     d, n, m = max(((r["d"], r["n"], r["m"]) for r in lengths), key=lambda r: (r[1], r[0]))
     radius, ratio, matrix = float(np.sqrt(max(m, longest[0]))) * (1 + 1e-12), stop_ratio(dims, sure), projection(d, dims)
-    usable, asked = usable.where(F.size("v") == d), asked.where(F.size("v") == d)
-    share = min(1.0, 1.5 * SAMPLE / n)
-    chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(SAMPLE)
+    usable, asked = usable.where(F.size("v") == d), asked.where(F.size("v") == d).distinct()
+    share, turn = min(1.0, 1.5 * SAMPLE / n), F.xxhash64("id", "v")
+    chosen = usable.where(F.pmod(turn, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(turn, "id").select("v").limit(SAMPLE)  # the same on every run
 
     def project(batches):
         for batch in batches:
@@ -213,43 +215,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tree.leaf_of(points)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in points], pa.binary())], ["id", "cell", "v", "p"])
     shape = "id long, cell long, v binary, p binary"
     data = written(usable.mapInArrow(place, shape), "placed")
-    ask = written(asked.mapInArrow(place, shape), "asked")
-    asks = max(1, -(-ask.count() // QUERY_ROWS))
-    blocks = {r["cell"]: -(-r["n"] // (2 * CELL_ROWS)) for r in data.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row per cell
-    blocks = spark.createDataFrame([(int(c), int(b)) for c, b in blocks.items()], "cell long, blocks long")
-    data = data.join(F.broadcast(blocks), "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("turn"), "id", "v", "p")
-    ask = ask.withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(asks)).cast("int"))
+    ask = written(asked.mapInArrow(place, shape).withColumn("query", F.monotonically_increasing_id()), "asked")
+    sizes = spark.createDataFrame([(int(r["cell"]), -(-r["n"] // (2 * CELL_ROWS))) for r in data.groupBy("cell").agg(F.count("*").alias("n")).collect()], "cell long, blocks long")  # a row per cell, SAMPLE / 8 at most
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         q = i = np.zeros(0, np.int64)
-        s = np.zeros(0)
+        s, ids, number = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if left.num_rows and right.num_rows:
             cell = Cell(left.column("id").to_numpy(), _matrix(left.column("v"), d), _matrix(left.column("p"), dims))
-            ids = right.column("id").to_numpy()
+            ids, number = right.column("id").to_numpy(), right.column("query").to_numpy()
             q, i, s = cell.search(ids, _matrix(right.column("v"), d), _matrix(right.column("p"), dims), right.column("bound").to_numpy().copy(), radius, k, ratio)
-            q = ids[q]
-        return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    def visit(rows: DataFrame) -> DataFrame:
-        rows = rows.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-        return data.groupBy("cell", "block", "turn").cogroup(rows.groupBy("cell", "block", "turn")).applyInArrow(meet, "query_id long, id long, score double")
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    home = written(visit(ask.withColumn("bound", F.lit(float("-inf")))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "home")
-    bound = home.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+        return pa.table({"query": pa.array(number[q], pa.int64()), "query_id": pa.array(ids[q], pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    def visit(goals: DataFrame) -> DataFrame:
+        """What queries find in the cells of goals (query, cell, bound)."""
+        plan = F.broadcast(goals.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("turns")).join(sizes, "cell"))
+        each = lambda number: F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1))
+        mine = data.join(plan, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("turn", each("turns")).select("cell", "block", "turn", "id", "v", "p")
+        rows = goals.join(ask.drop("cell"), "query").join(plan, "cell").withColumn("turn", F.pmod(F.xxhash64("query"), "turns")).withColumn("block", each("blocks"))
+        rows = rows.select("cell", "block", "turn", "query", "id", "v", "p", "bound")
+        return mine.groupBy("cell", "block", "turn").cogroup(rows.groupBy("cell", "block", "turn")).applyInArrow(meet, "query long, query_id long, id long, score double")
+
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    home = written(best(visit(ask.select("query", "cell", F.lit(float("-inf")).alias("bound")))), "home")
+    bound = home.where(F.col("rank") == k).select("query", F.col("score").alias("bound"))
 
     def reach(batches):
         for batch in batches:
-            names = batch.schema.names
-            col = {c: batch.column(j) for j, c in enumerate(names)}
-            best, own = col["bound"].to_numpy(zero_copy_only=False), col["cell"].to_numpy()
-            far = np.maximum(2 * radius * radius - 2 * best, 0)
-            go = ~(box_distance(_matrix(col["p"], dims), low, high) >= ratio * far[:, None]) if len(own) else np.zeros((0, len(low)), bool)
-            go[np.arange(len(own)), own] = False
+            number, own, points, least = (batch.column(j) for j in range(4))
+            far = np.maximum(2 * radius * radius - 2 * least.to_numpy(zero_copy_only=False), 0)
+            go = ~(box_distance(_matrix(points, dims), low, high) >= ratio * far[:, None]) if len(own) else np.zeros((0, len(low)), bool)
+            go[np.arange(len(own)), own.to_numpy()] = False
             row, cell = np.nonzero(go)
-            out = batch.take(pa.array(row))
-            yield out.set_column(names.index("cell"), "cell", pa.array(cell, pa.int64()))
-    far = ask.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))).select("id", "cell", "v", "p", "turn", "bound")
-    away = visit(far.mapInArrow(reach, far.schema))
-    out = home.drop("rank").unionByName(away).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            yield pa.RecordBatch.from_arrays([number.take(pa.array(row)), pa.array(cell, pa.int64()), least.take(pa.array(row))], ["query", "cell", "bound"])
+    far = ask.join(bound, "query", "left").select("query", "cell", "p", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    away = visit(written(far.mapInArrow(reach, "query long, cell long, bound double"), "goals"))
+    out = best(home.drop("rank").unionByName(away))
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")

@@ -8,6 +8,7 @@ search, and a token that crosses a border goes where an explicit rule puts it. S
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,10 @@ from postsieve.llm.words import pieces
 
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the characters that the pattern's \\s stands for.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: From this many blanks on a run is cut out before the pattern sees it.
+LONG_RUN = 100_000
 RULES = ("start", "end", "most")
 MAX_VOCABULARY_BYTES = 64 << 20
 _loaded: dict[int, tuple] = {}
@@ -36,6 +41,25 @@ def encoder(ranks: bytes, pattern: str):
     return _loaded[key]
 
 
+def encode(text: str, ranks: bytes, pattern: str) -> np.ndarray:
+    """The ids of a text.
+
+    The default pattern tries every length of a run of blanks before it gives up, and fails on very long ones. What it does with a run
+    is known: one piece of all blanks but the last, or of all at the text's end, and the last one begins what follows. A piece
+    never holds a blank behind another character, so long runs are cut out by that rule and the rest is encoded as it is.
+    """
+    encoding = encoder(ranks, pattern)[0]
+    plain = lambda t: encoding.encode_to_numpy(t, disallowed_special=())
+    if pattern != PATTERN or len(text) < LONG_RUN:
+        return plain(text)
+    out, at = [], 0
+    for run in re.finditer(f"[{BLANKS}]{{{LONG_RUN},}}", text):
+        whole, end = encoder(ranks, r"(?s).+")[0], run.end() - (run.end() < len(text))
+        out += [plain(text[at:run.start()]), whole.encode_to_numpy(text[run.start():end], disallowed_special=())]
+        at = end
+    return np.concatenate([*out, plain(text[at:])]) if out else plain(text)
+
+
 def attribute(ends: np.ndarray, borders: np.ndarray, rule: str) -> np.ndarray:
     """The section of each token. ends: byte ends of consecutive tokens; borders: byte ends of consecutive sections.
 
@@ -66,7 +90,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, fields: tuple[str, ...] = ("t
     vocabulary: path of a file of ranks on the driver, of at most 64 MB; it is sent to the tasks once. Fields are joined by a
     line end that counts with the field before it; section numbers, start and end (characters, end exclusive) are within the
     field. A null or empty field is one section without characters of its own. Repeated rows give rows each, null keys are
-    carried, special tokens' strings are ordinary text, and only the named columns are read. An empty table gives no rows.
+    carried, special tokens' strings are ordinary text, runs of any length are encoded in full, and only the named columns are read. An empty table gives no rows.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -78,14 +102,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, fields: tuple[str, ...] = ("t
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, lengths = encoder(ranks.value, pattern)
+        _, lengths = encoder(ranks.value, pattern)
         for batch in pieces(batches, *(f"f{i}" for i in range(len(fields)))):
             rows, owner = [], []
             columns = [c.to_pylist() for c in batch.columns[1:]]
             for i, values in enumerate(zip(*columns)):
                 whole = "\n".join(v or "" for v in values)
                 data = whole.encode()
-                ends = np.cumsum(lengths[encoding.encode_to_numpy(whole, disallowed_special=())])
+                ends = np.cumsum(lengths[encode(whole, ranks.value, pattern)])
                 if len(data) != (ends[-1] if len(ends) else 0):
                     raise ValueError("tokens do not cover the text")
                 borders, names, at = [], [], 0

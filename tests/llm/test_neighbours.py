@@ -56,3 +56,32 @@ def test_many_copies_of_one_vector(spark, monkeypatch):
 
 def test_chi_square_law():
     assert abs(A.chi_square(np.array(15.5073), 8) - 0.95) < 1e-4 and abs(A.stop_ratio(8, 0.95) - 15.5073) < 1e-3
+
+
+def test_repeated_query_rows_are_one_query_and_ids_with_two_vectors_are_two(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=6).tolist()) for i in range(60)]
+    plain = frame(spark, rows)
+    want = [tuple(x) for x in A.nearest(plain, plain.where("vec_id = 20"), k=5).orderBy("rank").collect()]
+    df = frame(spark, [*rows, rows[20], rows[20], rows[46]])
+    got = [tuple(x) for x in A.nearest(df, df.where("vec_id = 20"), k=5).orderBy("rank", "vec_id").collect()]
+    twice = [w for w in want for _ in range(2 if w[2] == 46 else 1)][:5]
+    assert [g[2:] for g in got] == [w[2:] for w in twice] and [g[1] for g in got] == [1, 2, 3, 4, 5]
+    other = [-x for x in rows[20][1]]
+    two = frame(spark, [*rows, (20, other)])
+    got = A.nearest(two, two.where("vec_id = 20"), k=5).collect()
+    assert sorted(x["rank"] for x in got) == sorted([1, 2, 3, 4, 5] * 2) and not [x for x in got if x["vec_id"] == 20]
+
+
+def test_a_cell_travels_once_per_block_of_its_own_queries(spark, monkeypatch):
+    monkeypatch.setattr(A, "CELL_ROWS", 64)
+    monkeypatch.setattr(A, "QUERY_ROWS", 8)
+    r = np.random.default_rng(3)
+    centres = 40 * r.normal(size=(8, 12))
+    rows = [(i, (centres[i % 8] + r.normal(size=12)).tolist()) for i in range(800)]
+    df = frame(spark, rows)
+    for every in (40, 20):
+        asked = df.where(f"vec_id % {every} = 0")
+        got = A.nearest(df, asked, k=3)
+        got_rows = got.collect()
+        assert len(got_rows) == asked.count() * 3 and recall(got_rows, rows, 3) >= 0.9

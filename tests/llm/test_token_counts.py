@@ -37,6 +37,27 @@ def test_sections_sum_to_whole_documents_and_follow_the_rule(spark, rule):
     assert len([r for r in got if r["doc_id"] is None]) == 3
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", "\t ", "\r\n"])
+def test_long_runs_of_blanks_are_encoded_as_the_encoder_does(monkeypatch, blank):
+    ranks = open(VOCABULARY, "rb").read()
+    encoding, _ = K.encoder(ranks, K.PATTERN)
+    monkeypatch.setattr(K, "LONG_RUN", 5)
+    for n in (3, 5, 6, 50, 400):
+        run = blank * n
+        for text in (run, "a" + run, run + "b", f"one{run}two {run}'s{run}9{run}\x1c{run}!{run}", f"x{run}\n{run}y{run} "):
+            assert K.encode(text, ranks, K.PATTERN).tolist() == encoding.encode_ordinary(text)
+
+
+def test_runs_of_millions(spark):
+    n = 3_000_000
+    rows = [(1, " " * n + "a"), (2, "!" * n), (3, "x" * n), (4, "b" + "\n " * 700_000)]
+    got = K.count_tokens(spark.createDataFrame([(i, t, "", "x", "y") for i, t in rows], SCHEMA), VOCABULARY, fields=("text",))
+    total = {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
+    encoding, _ = K.encoder(open(VOCABULARY, "rb").read(), K.PATTERN)
+    assert total[2] == len(encoding.encode_ordinary("!" * n)) and total[3] == len(encoding.encode_ordinary("x" * n))
+    assert total[1] == len(K.encode(" " * n + "a", open(VOCABULARY, "rb").read(), K.PATTERN)) and set(total) == {1, 2, 3, 4}
+
+
 def test_no_rows_and_a_wrong_rule(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert K.count_tokens(empty, VOCABULARY).count() == 0
