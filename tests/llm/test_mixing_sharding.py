@@ -120,3 +120,31 @@ def test_packing_takes_the_shard_with_the_highest_dot_product():
     got = sharding.pack(items, 2)
     load = np.array([items[got == k].sum(0) for k in range(2)])
     assert (load.max(0) <= [12, 12, 3]).all() and len(set(got)) == 2
+
+
+def test_whole_assignment_equals_an_independent_packer(spark):
+    import hashlib
+    import zlib
+    rng = __import__("random").Random(11)
+    texts = [" ".join(rng.choice(["sea", "harbour", "é", "a", "light", "水"]) for _ in range(rng.randint(20, 90))) + f" {k}" for k in range(90)]
+    rows = [(k, t, "s") for k, t in enumerate(t for t in texts for _ in range(rng.choice([1, 1, 1, 2, 4])))]
+    out = {r["doc_id"]: r for r in sharding.assign_shards(frame(spark, rows), shards=4).collect()}
+    groups = {}
+    for _, t, _ in rows:
+        g = groups.setdefault(t, [0, 0, 0])
+        for j, x in enumerate((len(t.encode()) + 16, len(t.split()), 1)):
+            g[j] += x
+    total = [sum(g[j] for g in groups.values()) for j in range(3)]
+    share = {t: [4 * x / y for x, y in zip(g, total)] for t, g in groups.items()}
+    assert all(1 / sharding.LARGE < max(s) <= 0.5 for s in share.values())  # every group is an item of its own
+    left, where = [[1.0] * 3 for _ in range(4)], {}
+    by_digest = sorted(groups, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    for t in sorted(by_digest, key=lambda t: (-max(share[t]), -sum(share[t]))):
+        fit = [sum(a * b for a, b in zip(room, share[t])) for room in left]
+        where[t] = fit.index(max(fit))
+        left[where[t]] = [a - b for a, b in zip(left[where[t]], share[t])]
+    for k, t, _ in rows:
+        assert (out[k]["shard"], out[k]["size"], out[k]["text_crc32"]) == (where[t], len(t.encode()) + 16, zlib.crc32(t.encode()))
+    for s in range(4):
+        slots = sorted(r["slot"] for r in out.values() if r["shard"] == s)
+        assert slots == list(range(len(slots)))

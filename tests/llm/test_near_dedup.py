@@ -97,3 +97,16 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 5: 5, **{x: 5 for x in range(200, 260)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each_judges_rows_by_key_and_text(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, base), (5, base), (5, "a text that nobody else has in this table at all"), (7, base + " thirteen"), (3, base), (3, base), (None, base), (8, None), (8, None), (9, ""), (10, "x"), (11, "x")]
+    df = frame(spark, rows)
+    out = N.one_of_each(df, width=5)
+    assert out.columns == df.columns
+    want = [(3, base), (5, "a text that nobody else has in this table at all"), (None, base), (8, None), (9, ""), (10, "x")]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert N.one_of_each(frame(spark, [])).count() == 0
+    clash = df.withColumnRenamed("n_shingles", "mark").withColumnRenamed("bucket", "kept")
+    assert N.one_of_each(clash, width=5).columns == clash.columns and N.one_of_each(clash, width=5).count() == 6

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__ as entry
 
@@ -37,3 +39,41 @@ def test_each_stage_works_on_what_its_predecessor_kept(spark, sf):
     for k in {r["shard"] for r in shards}:
         assert sorted(r["slot"] for r in shards if r["shard"] == k) == list(range(sum(r["shard"] == k for r in shards)))
     assert hashlib.sha256(str(sorted((r["doc_id"], r["shard"]) for r in shards)).encode()).hexdigest() == hashlib.sha256(str(sorted((r["doc_id"], r["shard"]) for r in corpus_pipeline.STAGES[-1][1](spark, seen[4], sf).collect())).encode()).hexdigest()
+
+
+def odd_rows(spark, sf):
+    """Documents with repeated keys, null keys and texts, and columns whose names operators use themselves."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    extra = ["mark", "row", "kept", "n", "item", "score", "x", "size"]
+    first = docs.orderBy("doc_id").limit(3)
+    odd = (first.unionByName(first).unionByName(first.withColumn("text", F.concat(F.lit("Quite another text under an old number: "), F.reverse("text"))))
+           .unionByName(first.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(first.withColumn("doc_id", F.col("doc_id") + 10**6).withColumn("text", F.lit(None).cast("string")))
+           .unionByName(first.withColumn("doc_id", F.col("doc_id") + 2 * 10**6).withColumn("text", F.lit(""))))
+    return docs.unionByName(odd).withColumns({c: F.lit(c) for c in extra})
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, sf):
+    docs = corpus_pipeline.materialize(odd_rows(spark, sf), "odd")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        before = {(r["doc_id"], r["text"]) for r in docs.collect()}
+        assert {(r["doc_id"], r["text"]) for r in out.collect()} <= before
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    shards = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert shards.count() == docs.count() and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
+    once = corpus_pipeline.keep_one_of_each_group(spark, docs, sf).where("doc_id IS NOT NULL").groupBy("doc_id", "text").count()
+    assert once.where("count > 1").count() == 0
+    quality = corpus_pipeline.keep_quality(spark, docs, sf)
+    assert quality.where("doc_id IS NULL").count() == docs.where("doc_id IS NULL").count()
+
+
+def test_repeated_keys_lose_no_text_that_nobody_else_has(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    copied = "the quick brown fox jumps over the lazy dog and runs away from the old barn"
+    own = "a quiet harbour town keeps its lights on through the long winter nights by the sea"
+    docs = spark.createDataFrame([(1, copied, "en", "s", 1), (2, copied, "en", "s", 1), (2, own, "en", "s", 1), (4, own + " again", "en", "t", 1), (4, own + " again", "en", "t", 1)], schema)
+    kept = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, sf).collect())
+    assert kept == [(1, copied), (2, own)]
+    lone = docs.where("doc_id = 4")
+    assert [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each_group(spark, lone, sf).collect()] == [(4, own + " again")]

@@ -55,3 +55,32 @@ def test_statistics_count_what_they_say():
     assert np.isclose(row["symbols"], np.log((2 + 60 * 0.002) / (chars + 60))) and np.isclose(row["upper"], np.log((2 + 60 * 0.02) / (chars + 60)))
     assert np.isclose(row["distinct_lines"], np.log((2 + 5) / (3 + 5))) and np.isclose(row["short_words"], np.log((1 + 60 * 0.03) / (w + 60)))
     assert np.isfinite(Q.statistics(pa.array(["", None, "\n", "é"]))).all()
+
+
+def test_fit_equals_a_direct_computation(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet"), spark.read.parquet(f"{sf}/../sf0.01/labels.parquet")
+    model = Q.fit(Q.features(docs), labels)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = [(r["doc_id"], r["quality"]) for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    x, y = Q.statistics(pa.array([text[d] for d, _ in known])), np.array([q for _, q in known])
+    d = x.shape[1]
+    pooled = sum((np.cov(x[y == k].T) * ((y == k).sum() - 1) for k in (0, 1)), np.zeros((d, d))) / (len(y) - 2)
+    pooled = (1 - Q.DIAGONAL) * pooled + Q.DIAGONAL * np.diag(np.diag(pooled)) + 1e-6 * np.eye(d)
+    for k in (0, 1):
+        mean, factor, log_det, prior = model.classes[k]
+        cov = (1 - Q.SHRINK) * np.cov(x[y == k].T) + Q.SHRINK * pooled
+        assert np.allclose(mean, x[y == k].mean(0)) and np.allclose(factor @ factor.T, cov, rtol=1e-6, atol=1e-9)
+        assert np.isclose(log_det, np.linalg.slogdet(cov)[1]) and np.isclose(prior, np.log((y == k).mean()))
+
+
+def test_accepted_judges_rows_by_their_own_text(spark):
+    good, bad = "Plain words in a row, as they come. They go on for a while. ", "## $$ %% @@ "
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = [(i, (good if i % 2 else bad) * 9 + str(i), "a", "b", "c") for i in range(60)]
+    rows += [(500, bad * 9, "a", "b", "c"), (500, good * 9, "a", "b", "c"), (500, good * 9, "a", "b", "c"), (None, bad * 9, "a", "b", "c")]
+    out = Q.accepted(spark.createDataFrame(rows, SCHEMA), labels)
+    assert out.columns == ["doc_id", "text", "quality", "score", "x"]
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert (500, bad * 9) not in kept and kept.count((500, good * 9)) == 2 and (None, bad * 9) in kept and (1, good * 9 + "1") in kept
+    assert all(t.startswith("Plain") for d, t in kept if d is not None)
+    assert Q.accepted(spark.createDataFrame([], SCHEMA), labels).count() == 0
