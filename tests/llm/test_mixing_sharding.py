@@ -65,6 +65,21 @@ def test_mixed_repeats_whole_documents_and_keeps_columns(spark, rows):
     assert {k: v for k, v in taken.items() if v} == {k: v for k, v in got.items() if k != 7}
 
 
+def test_many_rows_of_one_key_are_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
+    seen, cut = [], mixing._cut_again
+    monkeypatch.setattr(mixing, "_cut_again", lambda *how: seen.append(cut(*how)) or seen[-1])
+    rows = [(i, f"w {i} " * (1 + i % 5), "a") for i in range(600)] + [(None, "same text here", "a")] * 500 + [(None, f"null {i} " * (i % 4), "a") for i in range(400)] + [(7, f"seven {i}", "b") for i in range(300)]
+    one, two = (sorted(map(str, mixing.mix(frame(spark, rows).repartition(n)).collect())) for n in (2, 5))
+    assert one == two and len(one) == len(rows)
+    out = mixing.mix(frame(spark, rows)).collect()
+    largest = seen[-1].groupBy("part").count().agg({"count": "max"}).first()[0]
+    assert largest <= 4 * mixing.HOT * 16
+    for source, target in {(r["source_size"], r["target"]) for r in out}:
+        assert sum(r["taken"] for r in out if r["source_size"] == source) == int(target)
+    assert all(r["taken"] <= 2 * r["size"] for r in out)
+
+
 def test_main_path_is_native(spark, rows):
     plan = mixing.mix(frame(spark, rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
