@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from postsieve import schema as S, values as V
 from postsieve.functions import text as T
@@ -17,16 +17,25 @@ def placed() -> Column:
     return F.size("places") > 0
 
 
-def funnel(records: DataFrame, raw: int | None = None, prefiltered: Column | None = None) -> DataFrame:
-    """One row of stage counts in one pass. ``raw`` defaults to the copies behind the records."""
+def _stages(records: DataFrame, raw: int | None = None, prefiltered: Column | None = None) -> list[Column]:
     rel = S.relevant()
     copies = F.coalesce("duplicate_count", F.lit(1)) if "duplicate_count" in records.columns else F.lit(1)
     passed = F.col("is_candidate") if prefiltered is None else prefiltered
-    df = records.agg(
-        (F.coalesce(F.sum(copies), F.lit(0)) if raw is None else F.lit(raw)).cast("long").alias("raw"),
-        F.count("*").alias("deduped"), F.count_if(passed).alias("prefiltered"), F.count_if(rel).alias("relevant"),
-        F.count_if(rel & placed()).alias("mappable"), F.count_if(rel & ~placed()).alias("no_place"))
-    return df
+    counted = F.coalesce(F.sum(copies), F.lit(0)) if raw is None else F.max(F.lit(raw))
+    return [counted.cast("long").alias("raw"), F.count("*").alias("deduped"), F.count_if(passed).alias("prefiltered"), F.count_if(rel).alias("relevant"),
+            F.count_if(rel & placed()).alias("mappable"), F.count_if(rel & ~placed()).alias("no_place")]
+
+
+def funnel(records: DataFrame, raw: int | None = None, prefiltered: Column | None = None) -> DataFrame:
+    """One row of stage counts in one pass. ``raw`` defaults to the copies behind the records."""
+    row = records.agg(*_stages(records, raw, prefiltered))
+    return row if raw is None else row.withColumn("raw", F.lit(raw).cast("long"))
+
+
+def observed_funnel(records: DataFrame, prefiltered: Column | None = None) -> tuple[DataFrame, Observation]:
+    """The records, and an observation that has the stage counts once they have been written or read in full: no pass of its own."""
+    seen = Observation()
+    return records.observe(seen, *_stages(records, None, prefiltered)), seen
 
 
 def funnel_shares(funnel_row: DataFrame) -> DataFrame:

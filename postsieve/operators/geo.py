@@ -173,20 +173,23 @@ def _resolve(df: DataFrame, hits: str, out: str) -> DataFrame:
           .withColumn("_nations", F.transform(single, lambda m: F.get(m["entries"], 0)["country"])))
 
     def score(e):
-        vote = F.when(F.array_contains(F.col("_admins"), e["admin"]), 3.0).otherwise(0.0)
-        vote = vote + F.when(F.array_contains(F.col("_nations"), e["country"]), 1.0).otherwise(0.0)
-        return vote + F.coalesce(F.least(F.lit(1.0), e["population"] / 2_000_000), F.lit(0.0))
+        vote = F.when(F.array_contains(F.col("_admins"), e["admin"]), V.ADMIN_VOTE).otherwise(0.0)
+        vote = vote + F.when(F.array_contains(F.col("_nations"), e["country"]), V.COUNTRY_VOTE).otherwise(0.0)
+        return vote + F.coalesce(F.least(F.lit(1.0), e["population"] / V.FULL_POPULATION), F.lit(0.0))
 
     df = df.withColumn("_ranked", F.transform(F.col(hits), lambda m: F.array_sort(F.transform(
         m["entries"], lambda e, i: F.struct((-score(e)).alias("neg"), i.alias("i"), e.alias("e"))))))
 
     def pick(r, i):
         margin = F.get(r, 1)["neg"] - F.get(r, 0)["neg"]
-        sure = (F.when(F.size(r) == 1, 0.85).when(margin >= 3, 0.8).when(margin >= 1, 0.55).otherwise(0.35))
+        sure = F.when(F.size(r) == 1, V.SURE_ALONE)
+        for lead, confidence in V.SURE_BY_LEAD:
+            sure = sure.when(margin >= lead, confidence)
+        sure = sure.otherwise(V.SURE_OTHERWISE)
         e = F.get(r, 0)["e"]
         others = F.transform(F.slice(r, F.lit(2), F.size(r)), lambda x: F.struct(
             x["e"]["name"].alias("name"), x["e"]["lat"].alias("lat"), x["e"]["lon"].alias("lon")))
-        conf = F.when(e["kind"] == "region", F.least(sure, F.lit(0.4))).otherwise(sure)
+        conf = F.when(e["kind"] == "region", F.least(sure, F.lit(V.SURE_REGION))).otherwise(sure)
         hit = F.struct(
             e["name"].alias("name"), e["kind"].alias("kind"), e["lat"].alias("lat"), e["lon"].alias("lon"),
             conf.alias("confidence"), F.lit("gazetteer").alias("method"),

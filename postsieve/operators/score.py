@@ -45,10 +45,10 @@ def score_relevance(posts: DataFrame, profile: EventProfile, text: str = "text")
         own.alias("own"), F.when(~own, other).alias("other"), is_emergency(t).alias("emergency"), near.alias("near"),
         shared.alias("shared"), is_spam(t).alias("spam"))))
     s = {k: F.col(f"_sig.{k}") for k in ("own", "other", "emergency", "near", "shared", "spam")}
-    score = F.when(s["own"], 0.5).when(s["other"].isNotNull(), 0.3).otherwise(0.0)
-    score = score + F.when(s["emergency"], 0.25).otherwise(0.0)
-    score = score + F.when(s["near"], 0.15).otherwise(0.0)
-    score = score + F.least(F.lit(0.2), s["shared"] * F.lit(0.04))
+    score = F.when(s["own"], V.SCORE_OWN).when(s["other"].isNotNull(), V.SCORE_OTHER).otherwise(0.0)
+    score = score + F.when(s["emergency"], V.SCORE_EMERGENCY).otherwise(0.0)
+    score = score + F.when(s["near"], V.SCORE_NEAR).otherwise(0.0)
+    score = score + F.least(F.lit(V.SCORE_TERMS_MAX), s["shared"] * F.lit(V.SCORE_TERM))
     reasons = F.array_compact(F.array(
         F.when(s["spam"], "matches spam pattern"),
         F.when(s["own"], f"mentions {profile.hazard}")

@@ -112,8 +112,10 @@ def grid(stack_rows: DataFrame, max_zoom: int = V.CLUSTER_MAX_ZOOM, radius_px: i
             .agg(F.count("*").alias("stacks"), F.sum("n").alias("total")))
 
 
-def reserve_table(spark, places: Places | None = None) -> DataFrame:
-    """Reserve points of the gazetteer; one row per reserve."""
+def reserve_table(spark, places: Places | DataFrame | None = None) -> DataFrame:
+    """Reserve points of the gazetteer, of any size; one row per reserve."""
+    if isinstance(places, DataFrame):
+        return places.where("kind = 'reserve'").select("name", F.coalesce("community", "name").alias("community"), "lat", "lon")
     rows = [r for r in (places or Places.of()).rows if r["kind"] == "reserve"]
     return spark.createDataFrame(rows, GAZETTEER_SCHEMA).select(
         "name", F.coalesce("community", "name").alias("community"), "lat", "lon")

@@ -23,6 +23,9 @@ def local_session(cpus: str = "8", app: str = "postsieve") -> SparkSession:
     return spark
 
 
+_scratch: dict[str, str] = {}  # of an application where spark.checkpoint.dir is unset
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: spark.checkpoint.dir, or a scratch one where that is unset and all runs in one process (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,9 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    application = spark.sparkContext.applicationId
+    if application not in _scratch:
+        _scratch[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _scratch[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

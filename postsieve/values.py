@@ -115,7 +115,6 @@ BOOLEAN_QUESTIONS = ("has_place", "is_request", "has_pii", "is_spam", "firsthand
 # --- fixed values: image description enums -----------------------------------------------------
 SUBMERGED = ("road", "bridge", "house", "vehicle", "farmland", "business", "railway", "sidewalk", "none")
 WATER_DEPTHS = ("none", "ankle", "knee", "waist", "above-waist", "unclear")
-IMAGE_TEXT_MAX = 200
 
 # --- fixed values: thresholds ------------------------------------------------------------------
 SAMPLE_SIZE = 2000
@@ -128,12 +127,9 @@ BREAKER_FAILURES = 30
 COMMUNITY_RADIUS_KM, EARTH_KM, KM_PER_DEGREE = 25.0, 6371.0, 111.32
 STACK_LIST_MAX = 100
 PAGE_ROWS = 200
-CACHE_MAX_ENTRIES = 200_000
-REJECTS_SHOWN = 200
-ASK_TERMS, ASK_PLACES, ASK_EVIDENCE = 4, 8, 60
+ASK_PLACES, ASK_EVIDENCE = 8, 60
 SMS_MAX_CHARS, SMS_SNIPPET = 480, 80
 CLUSTER_RADIUS_PX, CLUSTER_MAX_ZOOM = 45, 11
-READABLE_TEXT_CAP = 4000
 URL_TTL = "10 minutes"
 SPECIFICITY = {
     "road": 0, "landmark": 0, "neighbourhood": 1, "river": 1,
@@ -145,6 +141,12 @@ UNCERTAINTY_M = {
     "town": 3000, "reserve": 4000, "township": 5000, "city": 8000, "region": 25000,
 }
 UNCERTAINTY_DEFAULT_M = 3000
+# points of a namesake for sharing an admin region or a country with a sure place, population worth one point, and
+# (lead over the next namesake, confidence) of a choice
+ADMIN_VOTE, COUNTRY_VOTE, FULL_POPULATION = 3.0, 1.0, 2_000_000
+SURE_ALONE, SURE_BY_LEAD, SURE_OTHERWISE, SURE_REGION = 0.85, ((3, 0.8), (1, 0.55)), 0.35, 0.4
+# parts of the relevance score
+SCORE_OWN, SCORE_OTHER, SCORE_EMERGENCY, SCORE_NEAR, SCORE_TERM, SCORE_TERMS_MAX = 0.5, 0.3, 0.25, 0.15, 0.04, 0.2
 
 # --- fixed values: column name candidates of delimited uploads, best first ---------------------
 COLUMN_CANDIDATES = {
@@ -156,7 +158,6 @@ COLUMN_CANDIDATES = {
     "place": "place location place_name city region geo".split(),
 }
 DELIMITERS = (",", "\t", "|", ";")
-INFER_ROWS = 200
 
 # --- fixed values: link triage -----------------------------------------------------------------
 BLOCKED_DOMAINS = (

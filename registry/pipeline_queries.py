@@ -90,6 +90,15 @@ def a9(spark, sf):
     return _funnel(spark, sf)
 
 
+@query("a9_funnel_observed", with_sql(FUNNEL_SQL, **full_ctes()))
+def a9_observed(spark, sf):
+    """The stage counts observed while the records are written: no pass of their own."""
+    kept = kept_table(spark, sf)
+    records, seen = facts.observed_funnel(plan.triage(kept, profile_of(kept), labels(spark, sf)))
+    records.select("id", "labels", "places").write.parquet(scratch_path(spark, "records"))
+    return spark.createDataFrame([tuple(seen.get[c] for c in facts.FUNNEL)], ", ".join(f"{c} long" for c in facts.FUNNEL))
+
+
 @query("a9_funnel_shares", with_sql(
     """SELECT CAST(round(mappable * 100.0 / greatest(raw, 1), 6) AS DOUBLE) AS mapped_pct, CAST(round(no_place * 100.0 / greatest(raw, 1), 6) AS DOUBLE) AS unplaced_pct,
        CAST(round(greatest(0, 100 - (mappable + no_place) * 100.0 / greatest(raw, 1)), 6) AS DOUBLE) AS remainder_pct FROM fun""", **full_ctes(), fun=FUNNEL_SQL))

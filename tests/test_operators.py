@@ -209,6 +209,42 @@ def test_sms_stops_at_the_first_line_that_does_not_fit(spark):
     assert export.sms_digest(none).first()["digest"] == "No relevant reports in this set."
 
 
+def watched(df, folder):
+    """The rows, and a function that tells how many have been read in all: each leaves a file."""
+    import os
+    import uuid
+    folder.mkdir()
+
+    def run(batches):
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+            yield batch
+    return df.mapInArrow(run, df.schema), lambda: len(os.listdir(folder))
+
+
+def test_exports_run_the_records_once(spark, tmp_path):
+    r = labelled(spark, [(0, "a", "first", "rescue_request", 2, False, [place()]), (1, "b", "second", "access_blocked", 2, False, []), (2, "c", "x", "aid", 0, False, [place()])])
+    for k, use in enumerate((lambda df: export.write_geojson(df, str(tmp_path / "g")), lambda df: export.sms_digest(df).collect(), lambda df: export.write_csv(df, str(tmp_path / "c")))):
+        rows, seen = watched(r, tmp_path / f"seen{k}")
+        use(rows)
+        assert seen() == 3
+    rows, seen = watched(r.withColumn("is_candidate", F.lit(True)), tmp_path / "funnel")
+    observed, funnel = facts.observed_funnel(rows)
+    observed.write.mode("overwrite").parquet(str(tmp_path / "r"))
+    assert seen() == 3 and funnel.get == {"raw": 3, "deduped": 3, "prefiltered": 3, "relevant": 3, "mappable": 2, "no_place": 1}
+    assert export.write_geojson(r, str(tmp_path / "g")) == {"bbox": [-114.0, 51.0, -114.0, 51.0], "omitted_no_place": 1}
+
+
+def test_exports_of_nothing_are_complete_files(spark, tmp_path):
+    none = labelled(spark, [(0, "a", "first", "aid", 0, False, [])])
+    assert export.write_geojson(none, str(tmp_path / "g")) == {"bbox": None, "omitted_no_place": 1}
+    text = "".join(x["value"] for x in spark.read.text(str(tmp_path / "g")).collect())
+    assert text == '{"type":"FeatureCollection","features":[]}'
+    assert export.write_csv(none.where("seq > 9"), str(tmp_path / "c")) == 0
+    assert [x["value"].lstrip("\ufeff") for x in spark.read.text(str(tmp_path / "c")).collect()] == [export.csv_header()]
+
+
 def test_cache_rules(spark):
     df = spark.createDataFrame([("Road  closed at\nBow River",), ("  Road closed at Bow River ",), ("road closed at bow river",), (" ",)], "text string")
     k = [r[0] for r in df.select(cache.cache_key(F.col("text"), "flood")).collect()]
