@@ -232,6 +232,7 @@ def _judged(docs: DataFrame, width: int, percent: int, registers: int, band: int
     facts = written(facts.groupBy("rep").agg(F.max("n").alias("n"), own.alias("own")).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "facts")
     members = written(members.join(facts, "rep"), "members")
     heads = members.groupBy("bucket").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "rep")).alias("h"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("h.rep").alias("head"))
+    heads = written(heads, "heads")  # so that Spark may split a large bucket in the join
     star = members.join(heads, "bucket").where("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
     pairs = written(star.distinct(), "pairs")
     links = written(_confirmed(written(_likely(pairs, reps, facts, percent), "likely"), sets, percent), "links")

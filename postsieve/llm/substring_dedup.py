@@ -243,7 +243,7 @@ def repeated_passages(docs: DataFrame, window: int = 35, key: str = "doc_id", te
     starts = extended(texts, window, total).groupBy("digest").agg(F.first("hits").alias("starts"))
     cut = texts.select("digest", "text").join(starts, "digest").select("digest", "text", "starts").mapInArrow(
         lambda it: _strip(it, window), "digest binary, n_removed long, kept_sha256 string, spans array<struct<first: long, end: long>>")
-    cut = written(cut, "cut").dropDuplicates(["digest"])
+    cut = written(written(cut, "cut").dropDuplicates(["digest"]), "once")  # so that Spark may split the copies of one text in the join
     out = rows.join(cut, "digest", "left")
     return out.select(F.col("id").alias(key), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
                       F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"), "spans")
