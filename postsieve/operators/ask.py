@@ -14,8 +14,9 @@ from postsieve import schema as S, values as V
 from postsieve.functions import text as T
 from postsieve.functions.regex import java
 from postsieve.functions.settle import settle
-from postsieve.operators.geo import named_aliases
-from postsieve.sources.gazetteer import Places
+from postsieve.operators.geo import named_aliases, named_aliases_joined
+from postsieve.session import materialize
+from postsieve.sources.gazetteer import Places, fits_inline
 
 _TERM = "array<struct<ord:int,label:string,phrases:array<string>>>"
 
@@ -24,16 +25,29 @@ def is_count_question(question: Column) -> Column:
     return T.matches(question, V.COUNT_QUESTION_PATTERN)
 
 
-def extract_terms(questions: DataFrame, places: Places | None = None, limit: int | None = None) -> DataFrame:
-    """(qid, rank, label, phrases): places named, then quoted phrases of any length, then capitalised words; all of them unless limited."""
+def _named_terms(questions: DataFrame, places: Places | DataFrame | None) -> DataFrame:
+    """The questions with ``_named``: the places they name, in the gazetteer's order. A large gazetteer is joined."""
+    if isinstance(places, DataFrame) and fits_inline(places):
+        places = Places.of(places)
+    if isinstance(places, DataFrame):
+        asked = questions.select(F.col("qid").alias("seq"), T.collapse(F.col("question")).alias("text"))
+        term = F.struct("ord", F.col("name").alias("label"), F.col("aliases").alias("phrases"))
+        entries = places.select(F.explode("aliases").alias("alias"), term.alias("term")).withColumn("alias", F.lower("alias"))
+        named = named_aliases_joined(asked, places).join(entries, "alias")
+        named = named.groupBy(F.col("seq").alias("qid")).agg(F.array_sort(F.collect_set("term")).alias("_named"))  # bounded by one question
+        return questions.select("qid", "question").join(named, "qid", "left").withColumn("_named", F.coalesce("_named", F.array().cast(_TERM)))
     places = places or Places.of()
     by_alias = {a: [{"ord": r["ord"], "label": r["name"], "phrases": list(r["aliases"])} for r in rows]
                 for a, rows in places.alias_entries().items()}
     constant = F.from_json(F.lit(json.dumps(by_alias)), f"map<string,{_TERM}>")
-    q = F.col("question")
-    df = questions.select("qid", "question", settle(named_aliases(T.collapse(q), places)).alias("_a"))
+    df = questions.select("qid", "question", settle(named_aliases(T.collapse(F.col("question")), places)).alias("_a"))
     named = F.array_sort(F.array_distinct(F.flatten(F.transform("_a", lambda a: F.element_at(constant, a["alias"])))))
-    df = df.withColumn("_named", settle(named))
+    return df.withColumn("_named", settle(named)).drop("_a")
+
+
+def extract_terms(questions: DataFrame, places: Places | DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(qid, rank, label, phrases): places named, then quoted phrases of any length, then capitalised words; all of them unless limited."""
+    q, df = F.col("question"), _named_terms(questions, places)
     quoted = F.transform(F.regexp_extract_all(q, F.lit('["\u201c]([^"\u201d]+)["\u201d]'), F.lit(1)), T.trim_all)
     words = F.filter(F.split(F.regexp_replace(q, java(r"[^A-Za-z0-9'\s-]"), " "), java(r"\s+")), lambda w: w != "")
     capitals = F.filter(words, lambda w, i: (i > 0) & w.rlike("^[A-Z][a-z]{2,}"))
@@ -140,35 +154,75 @@ def most_named_places(records: DataFrame, limit: int = V.ASK_PLACES) -> DataFram
             .orderBy(F.desc("count"), "first").limit(limit))
 
 
+def _asked(questions: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, f, times, first): what a question asks for: its keywords and its named terms, as one kind of feature."""
+    keys = questions.select("qid", F.explode(F.array_distinct(T.tokenize(F.col("question")))).alias("word")).where("length(word) > 3")
+    words = keys.select("qid", F.concat(F.lit("w:"), "word").alias("f"), F.lit(False).alias("first"))
+    named = terms.select("qid", _term_key().alias("f"), (F.col("rank") == 0).alias("first"))
+    return words.unionByName(named).groupBy("qid", "f").agg(F.count("*").alias("times"), F.max("first").alias("first"))
+
+
+def _term_key() -> Column:
+    return F.concat(F.lit("t:"), F.sha2(F.to_json(F.struct("label", "phrases")), 256))
+
+
+def _postings(asked: DataFrame, terms: DataFrame, rel: DataFrame) -> DataFrame:
+    """(f, seq, points, severity, confidence): a keyword's occurrences in a post, two points for a named term; asked features only."""
+    wanted = asked.where(F.col("f").startswith("w:")).select(F.substring("f", 3, 1 << 20).alias("word")).distinct()
+    spoken = rel.select("seq", "severity", "confidence", F.explode(F.split(T.normalize(F.col("text")), " ")).alias("word"))
+    few = _few(wanted, "word")
+    spoken = spoken.join(wanted, "word", "left_semi") if few is None else spoken.where(F.col("word").isin(few))  # other words are not shuffled
+    spoken = spoken.groupBy("word", "seq", "severity", "confidence").agg(F.count("*").alias("points"))
+    hits = term_matches(terms, rel.select("seq", "text", "severity", "confidence"), ("severity", "confidence"))
+    hits = hits.select(_term_key().alias("f"), "seq", F.lit(2).cast("long").alias("points"), "severity", "confidence").distinct()
+    return spoken.select(F.concat(F.lit("w:"), "word").alias("f"), "seq", "points", "severity", "confidence").unionByName(hits)
+
+
+_BEST = (F.desc, "severity"), (F.desc, "confidence"), (F.asc, "seq")
+
+
 def evidence(questions: DataFrame, terms: DataFrame, records: DataFrame, limit: int = V.ASK_EVIDENCE) -> DataFrame:
     """(qid, rank, seq, id, overlap, first_term): the relevant records that serve a question best.
 
     Ranked by shared keywords plus two per named term, then severity, then confidence. Records that share
-    nothing can only fill up from the best ``limit`` overall, so those few are added to every question.
+    nothing can only fill up from the best ``limit`` overall.
+
+    Questions that ask for the same are one search. Each keyword and term has a list of its posts by impact, of which the first
+    ``limit`` are tried in full; the last of them bounds what any other post can get there. A search whose last hit is not below the sum of
+    these bounds, ties included, is complete. Only the others take all posts of their lists.
     """
     rel = records.where(S.relevant()).select(
         "seq", "id", "text", F.coalesce("labels.severity.value", F.lit(0.0)).alias("severity"),
         F.coalesce("labels.relevant.confidence", F.lit(0.0)).alias("confidence"))
-    keys = questions.select("qid", F.explode(F.array_distinct(T.tokenize(F.col("question")))).alias("word")).where("length(word) > 3")
-    spoken = rel.select("seq", F.explode(F.split(T.normalize(F.col("text")), " ")).alias("word"))
-    wanted = _few(keys, "word")
-    if wanted is not None:  # words no question asks for are not shuffled
-        spoken = spoken.where(F.col("word").isin(wanted))
-    spoken = spoken.groupBy("seq", "word").agg(F.count("*").alias("n"))
-    by_word = spoken.join(keys, "word").select("qid", "seq", F.col("n").alias("points"), F.lit(False).alias("first_term"))
-    named = term_matches(terms, rel.select("seq", "text")).join(terms, ["label", "phrases"])
-    by_term = named.select("qid", "seq", F.lit(2).cast("long").alias("points"), (F.col("rank") == 0).alias("first_term"))
-    order = (F.desc("severity"), F.desc("confidence"), F.asc("seq"))
-    best = rel.orderBy(*order).limit(limit).agg(F.collect_list("seq").alias("seqs"))  # at most 60 numbers
-    seqs = best.first()["seqs"]
-    filler = questions.select("qid", F.explode(F.array(*[F.lit(s) for s in seqs]).cast("array<bigint>")).alias("seq")).select(
-        "qid", "seq", F.lit(0).cast("long").alias("points"), F.lit(False).alias("first_term"))
-    points = by_word.unionByName(by_term).unionByName(filler).groupBy("qid", "seq").agg(
-        F.sum("points").alias("overlap"), F.max("first_term").alias("first_term"))
-    ranked = points.join(rel.select("seq", "id", "severity", "confidence"), "seq")
-    window = Window.partitionBy("qid").orderBy(F.desc("overlap"), *order)
-    return (ranked.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
-            .select("qid", "rank", "seq", "id", "overlap", "first_term"))
+    asked = _asked(questions, terms)
+    sets = questions.select("qid").join(asked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("f", "times", "first"))).alias("fs")), "qid", "left")
+    sets = materialize(sets.withColumn("fs", F.coalesce("fs", F.array().cast(sets.schema["fs"].dataType))).withColumn("search", F.xxhash64(F.to_json("fs"))), "questions")
+    searches = sets.groupBy("search").agg(F.first("fs").alias("fs"))
+    wants = materialize(searches.select("search", F.explode("fs").alias("x")).select("search", "x.*"), "searches")
+    postings = materialize(_postings(asked, terms, rel), "postings")
+    impact = Window.partitionBy("f").orderBy(F.desc("points"), *[o(c) for o, c in _BEST])
+    lists = materialize(postings.withColumn("place", F.row_number().over(impact)).where(F.col("place") <= limit), "lists")
+    best = rel.orderBy(*[o(c) for o, c in _BEST]).limit(limit).agg(F.collect_list("seq").alias("seqs")).first()["seqs"]  # at most 60 numbers
+    filler = searches.select("search", F.explode(F.array(*[F.lit(s) for s in best]).cast("array<bigint>")).alias("seq"))
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        """The first ``limit`` of each search among pairs (search, seq), each of them scored in full."""
+        points = pairs.join(wants, "search").join(postings.select("f", "seq", "points"), ["f", "seq"]).groupBy("search", "seq").agg(
+            F.sum(F.col("points") * F.col("times")).alias("overlap"), F.max("first").alias("first_term"))
+        full = pairs.join(points, ["search", "seq"], "left").fillna(0, ["overlap"]).fillna(False, ["first_term"]).join(rel.drop("text"), "seq")
+        order = Window.partitionBy("search").orderBy(F.desc("overlap"), *[o(c) for o, c in _BEST])
+        return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+    found = materialize(ranked(wants.join(lists.select("f", "seq"), "f").select("search", "seq").unionByName(filler).distinct()), "found")
+    key = F.struct((-F.col("severity")).alias("s"), (-F.col("confidence")).alias("c"), "seq")
+    bounds = wants.join(lists.where(F.col("place") == limit), "f").groupBy("search").agg(F.sum(F.col("points") * F.col("times")).alias("most"), F.max(key).alias("last"))
+    ends = found.where(F.col("rank") == limit).select("search", "overlap", key.alias("end"))
+    open_ = bounds.join(ends, "search").where((F.col("most") > F.col("overlap")) | ((F.col("most") == F.col("overlap")) & (F.col("end") > F.col("last")))).select("search")
+    open_ = materialize(open_, "open")
+    if not open_.isEmpty():
+        every = wants.join(open_, "search").join(postings.select("f", "seq"), "f").select("search", "seq").unionByName(filler.join(open_, "search")).distinct()
+        found = found.join(open_, "search", "left_anti").unionByName(ranked(every))
+    return sets.select("qid", "search").join(found, "search").select("qid", "rank", "seq", "id", "overlap", "first_term")
 
 
 def answer_counts(questions: DataFrame, facts: DataFrame, proof: DataFrame, total_loaded: int) -> DataFrame:

@@ -372,3 +372,36 @@ def test_cache_table_moves_posts_only(spark, tmp_path):
     assert len(said) == 200 and said[10] == "m1" and said[60] == "m0" and said[300] is None
     table.compact(max_entries=120)
     assert {r["key"] for r in table.entries().collect()} == {f"k{i}" for i in [*range(50), *range(130, 200)]} and table._versions() == [1]
+
+
+def test_evidence_equals_scoring_every_post(spark):
+    rng = random.Random(12)
+    words = ["water", "bridge", "road", "shelter", "dinner", "school", "hospital", "harbour"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 6))), rng.choice([0.0, 1.0, 2.0]), rng.choice([0.5, 0.9])) for k in range(700)]
+    r = labelled(spark, [(k, f"e{k}", text, "damage", severity, False, []) for k, text, severity, _ in rows])
+    r = r.withColumn("labels", F.col("labels").withField("relevant", S.relevance(True, 0.9)))
+    asked = [(1, "water on the bridge"), (2, "Is the \"harbour road\" open?"), (3, "bridge water on it"), (4, "water water dinner school hospital"), (5, "nothing at all matches this"), (6, "harbour")]
+    q = spark.createDataFrame(asked, "qid long, question string")
+    terms = ask.extract_terms(q)
+    got = {}
+    for x in ask.evidence(q, terms, r, limit=7).collect():
+        got.setdefault(x["qid"], []).append((x["rank"], x["seq"], x["overlap"], x["first_term"]))
+    named = {}
+    for t in terms.collect():
+        named.setdefault(t["qid"], []).append((t["rank"], t["phrases"]))
+    tokens = {k: {w for w in q0 if len(w) > 3} for k, q0 in q.select("qid", ask.T.tokenize(F.col("question"))).rdd.map(tuple).collect()}
+    for qid, _ in asked:
+        scored = []
+        for k, text, severity, _ in rows:
+            hit = [rank for rank, phrases in named.get(qid, []) if any(f" {p.lower()} " in f" {text} " for p in phrases)]
+            scored.append((-(sum(text.split().count(w) for w in tokens[qid]) + 2 * len(hit)), -severity, k, 0 in hit))
+        want = [(i + 1, k, -p, first) for i, (p, _, k, first) in enumerate(sorted(scored)[:7])]
+        assert sorted(got[qid]) == want, qid
+
+
+def test_question_terms_with_a_joined_gazetteer(spark, monkeypatch):
+    from postsieve.sources import gazetteer
+    q = spark.createDataFrame([(1, "How many posts mention Calgary or London?"), (2, "Siksika Nation and \"High River\" today"), (3, "no place")], "qid long, question string")
+    inline = sorted(map(str, ask.extract_terms(q).collect()))
+    monkeypatch.setattr(gazetteer, "MAX_INLINE_ALIASES", 10)
+    assert sorted(map(str, ask.extract_terms(q, gazetteer.default_gazetteer(spark)).collect())) == inline
