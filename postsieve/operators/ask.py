@@ -14,7 +14,7 @@ from postsieve import schema as S, values as V
 from postsieve.functions import text as T
 from postsieve.functions.regex import java
 from postsieve.functions.settle import settle
-from postsieve.operators.geo import named_aliases, named_aliases_joined
+from postsieve.operators.geo import named_aliases_joined, with_named_aliases
 from postsieve.session import materialize
 from postsieve.sources.gazetteer import Places, fits_inline
 
@@ -40,8 +40,8 @@ def _named_terms(questions: DataFrame, places: Places | DataFrame | None) -> Dat
     by_alias = {a: [{"ord": r["ord"], "label": r["name"], "phrases": list(r["aliases"])} for r in rows]
                 for a, rows in places.alias_entries().items()}
     constant = F.from_json(F.lit(json.dumps(by_alias)), f"map<string,{_TERM}>")
-    df = questions.select("qid", "question", settle(named_aliases(T.collapse(F.col("question")), places)).alias("_a"))
-    named = F.array_sort(F.array_distinct(F.flatten(F.transform("_a", lambda a: F.element_at(constant, a["alias"])))))
+    df = with_named_aliases(questions.select("qid", "question"), T.collapse(F.col("question")), places, "_a")
+    named = F.array_sort(F.array_distinct(F.flatten(F.transform("_a", lambda a: F.element_at(constant, a)))))
     return df.withColumn("_named", settle(named)).drop("_a")
 
 

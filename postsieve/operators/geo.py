@@ -81,15 +81,25 @@ def _inline_candidates(words: Column, places: Places) -> Column:
         g["alias"].alias("alias"), F.element_at(constant, g["alias"])["entries"].alias("entries")))
 
 
-def named_aliases(text: Column, places: Places, min_length: int = 3) -> Column:
-    """Distinct aliases a text names letter for letter between non-alphanumerics, as (rank, alias).
+def _exact_words(text: Column) -> Column:
+    """Lower-case words letter for letter. Punctuation stays a word of its own so that it separates: "high-river" does not name
+    "high river"."""
+    return F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " | "), " ")
 
-    Nested aliases all count, unlike ``geoparse``. Punctuation stays a word of its own so that it
-    separates: "high-river" does not name "high river".
+
+def with_named_aliases(df: DataFrame, text: Column, places: Places, out: str, min_length: int = 3) -> DataFrame:
+    """Adds the distinct aliases a text names letter for letter between non-alphanumerics, as an array of strings.
+
+    Nested aliases all count, unlike ``geoparse``. The words are settled first: a lambda that is given an expression works it out
+    again for every element.
     """
-    words = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " | "), " ")
-    found = F.transform(_inline_candidates(words, places), lambda c: F.struct(c["rank"].alias("rank"), c["alias"].alias("alias")))
-    return F.array_distinct(F.filter(found, lambda c: F.length(c["alias"]) >= min_length))
+    aliases = [a for a in places.aliases() if len(a) >= min_length]
+    firsts, longest = sorted({a.split(" ")[0] for a in aliases}), max((len(a.split(" ")) for a in aliases), default=1)
+    starts = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.get("_w", i).isin(firsts))
+    grams = F.flatten(F.transform("_s", lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - i)), lambda n: F.array_join(F.slice("_w", i + 1, n), " "))))
+    named = df.withColumn("_w", settle(_exact_words(text))).withColumn("_s", settle(starts))
+    return named.withColumn(out, settle(F.array_distinct(F.filter(grams, lambda g: g.isin(aliases))))).drop("_w", "_s")
 
 
 #: Bits of a bitmap of words; one of this size is a constant of 256 kB in the plan.
@@ -121,9 +131,9 @@ def _likely_grams(words: Column, aliases: DataFrame, longest: int) -> Column:
 
 
 def named_aliases_joined(posts: DataFrame, gazetteer: DataFrame, min_length: int = 3) -> DataFrame:
-    """(seq, alias, first) of ``named_aliases`` for a gazetteer of any size; only n-grams that may be aliases leave their row."""
+    """(seq, alias, first) of ``with_named_aliases`` for a gazetteer of any size; only n-grams that may be aliases leave their row."""
     aliases = alias_table(gazetteer).where(F.length("alias") >= min_length).select("alias", "rank.first")
-    words = posts.select("seq", F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", " | "), " ").alias("w"))
+    words = posts.select("seq", settle(_exact_words(F.col("text"))).alias("w"))
     grams = F.array_distinct(F.transform(_likely_grams(F.col("w"), aliases, longest_alias(gazetteer)), lambda g: g["alias"]))
     return words.select("seq", F.explode(settle(grams)).alias("alias")).join(aliases, "alias").select("seq", "alias", "first")
 
@@ -215,7 +225,7 @@ def find_aliases(posts: DataFrame, gazetteer: Places | DataFrame | None, text: C
         df = _joined_candidates(posts, text, gazetteer)
     else:
         places = gazetteer or Places.of()
-        df = posts.withColumn("_words", F.split(F.trim(searchable(text, places)), " "))
+        df = posts.withColumn("_words", settle(F.split(F.trim(searchable(text, places)), " ")))
         df = df.withColumn("_cands", _inline_candidates(F.col("_words"), places)).drop("_words")
     empty = F.array().cast(f"array<struct<alias:string,entries:array<{_ENTRY}>>>")
     df = df.withColumn(out, F.when(F.size("_cands") > 0, _accept(F.col("_cands"))).otherwise(empty)).drop("_cands")
@@ -236,7 +246,7 @@ def _joined_candidates(posts: DataFrame, text: Column, gazetteer: DataFrame) ->
     longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     singles = aliases.where(~F.col("alias").contains(" ") & (F.length("alias") >= 3))
     df = _searchable_joined(posts, text, singles)
-    words = df.select("seq", F.split("_hay", " ").alias("w"))
+    words = df.select("seq", settle(F.split("_hay", " ")).alias("w"))
     grams = words.select("seq", F.explode(settle(_likely_grams(F.col("w"), aliases, longest))).alias("g")).select("seq", "g.*")
     found = (grams.join(aliases, "alias")
              .groupBy("seq").agg(F.collect_list(F.struct("rank", "pos", "n", "alias", "entries")).alias("_cands")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from postsieve import values as V
 from postsieve.functions import text as T
 from postsieve.functions.settle import settle
-from postsieve.operators.geo import named_aliases, named_aliases_joined
+from postsieve.operators.geo import named_aliases_joined, with_named_aliases
 from postsieve.operators.position import systematic_sample
 from postsieve.sources.gazetteer import Places, fits_inline
 
@@ -76,11 +76,11 @@ def hazard_profile(sample: DataFrame) -> DataFrame:
 def term_counts(sample: DataFrame, n: int) -> DataFrame:
     """Words of at least three posts and fewer than 60 % of them, 40 most frequent; ties go to the first seen, then by word.
 
-    Counted before the shuffle, so a word costs one row per input partition. The first place is one number (post, then
+    Counted before the shuffle, so a word costs one row per input partition. The first place is one decimal number (any post, then
     word up to 2**20), which keeps the aggregation in a hash table.
     """
     words = F.array_distinct(F.split(T.normalize(F.col("text")), " "))
-    first = F.col("seq") * (1 << 20) + F.least(F.col("pos"), F.lit((1 << 20) - 1))
+    first = F.col("seq").cast("decimal(19,0)") * F.lit(1 << 20) + F.least(F.col("pos"), F.lit((1 << 20) - 1))
     seen = (sample.select("seq", F.posexplode(words).alias("pos", "term")).where(T.is_token(F.col("term")))
             .groupBy("term").agg(F.count("*").alias("n"), F.min(first).alias("first")))
     kept = seen.where((F.col("n") >= V.TERM_MIN_DF) & (F.col("n") < n * V.TERM_MAX_SHARE))
@@ -94,9 +94,10 @@ def place_counts(sample: DataFrame, places: Places | DataFrame, limit: int = V.P
     if isinstance(places, DataFrame):
         named = named_aliases_joined(sample, places).withColumn("rank", F.struct(-F.length("alias"), "first"))
         return named.groupBy("alias", "rank").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rank").limit(limit)
-    named = sample.select("seq", settle(named_aliases(F.col("text"), places)).alias("a"))
-    return (named.select("seq", F.explode("a").alias("a")).groupBy("a.alias", "a.rank").agg(F.count("*").alias("n"))
-            .orderBy(F.desc("n"), "rank").limit(limit))
+    ranks = sample.sparkSession.createDataFrame(list(enumerate(places.aliases())) or [(0, "")], "rank int, alias string")
+    named = with_named_aliases(sample.select("text"), F.col("text"), places, "a").select(F.explode("a").alias("alias"))
+    counts = named.groupBy("alias").agg(F.count("*").alias("n")).join(F.broadcast(ranks), "alias")  # as many rows as fit a plan
+    return counts.orderBy(F.desc("n"), "rank").limit(limit)
 
 
 def _ranked_names(df: DataFrame, name: str, order: list) -> list[str]:

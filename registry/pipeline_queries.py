@@ -140,10 +140,9 @@ def j3(spark, sf):
        ON contains(' ' || regexp_replace(lower(text), '[^a-z0-9 ]', ' | ', 'g') || ' ', ' ' || a.alias || ' ') GROUP BY 1""", posts=posts_sql(), gaz=gazetteer_sql()))
 def j4(spark, sf):
     """Every alias of the gazetteer that posts contain, nested ones included, and in how many."""
-    from postsieve.operators.geo import named_aliases
-    from postsieve.functions.settle import settle
+    from postsieve.operators.geo import with_named_aliases
     from postsieve.sources.gazetteer import Places
-    a = views.posts(spark, sf).select(settle(named_aliases(F.col("text"), Places.of())).alias("a")).select(F.explode("a.alias").alias("alias"))
+    a = with_named_aliases(views.posts(spark, sf).select("text"), F.col("text"), Places.of(), "a").select(F.explode("a").alias("alias"))
     return a.groupBy("alias").agg(F.count("*").alias("posts"))
 
 
