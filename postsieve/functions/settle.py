@@ -10,3 +10,10 @@ from pyspark.sql import Column, functions as F
 
 def settle(column: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, column)
+
+
+def place_number(seq: Column | str, pos: Column | str) -> Column:
+    """A post's number and a place in it (up to 2**20) as one decimal: its minimum is the first place, kept in a hash table, where the
+    minimum of a struct would need a sort."""
+    seq, pos = (F.col(c) if isinstance(c, str) else c for c in (seq, pos))
+    return seq.cast("decimal(19,0)") * F.lit(1 << 20) + F.least(pos, F.lit((1 << 20) - 1))

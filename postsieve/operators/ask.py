@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from postsieve import schema as S, values as V
 from postsieve.functions import text as T
 from postsieve.functions.regex import java
-from postsieve.functions.settle import settle
+from postsieve.functions.settle import place_number, settle
 from postsieve.operators.geo import named_aliases_joined, with_named_aliases
 from postsieve.session import materialize
 from postsieve.sources.gazetteer import Places, fits_inline
@@ -79,8 +79,10 @@ def _few(df: DataFrame, column: str) -> list[str] | None:
     return [r[0] for r in rows] if len(rows) <= MAX_INLINE_WORDS else None
 
 
-def _grams_of(n: int) -> Column:
-    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: i + n <= F.size("w"))
+def _grams_of(n: int, starts: str | None = None) -> Column:
+    """The runs of n words of ``w``, or those that begin at the places in ``starts``."""
+    places = F.sequence(F.lit(0), F.size("w") - 1) if starts is None else F.col(starts)
+    starts = F.filter(places, lambda i: i + n <= F.size("w"))
     return F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, n), " "))
 
 
@@ -114,7 +116,9 @@ def _matched_in_place(some: list, words: DataFrame, carry: tuple[str, ...]) -> D
     """Matches of a bounded number of phrases: each post finds its terms, every one once, before any row leaves it."""
     terms = sorted({(r["label"], tuple(r["phrases"])) for r in some}, key=str)
     number = {t: i for i, t in enumerate(terms)}
-    grams = F.flatten(F.array(*[_grams_of(n) for n in sorted({r["n"] for r in some})]))
+    firsts = sorted({r["gram"].split(" ")[0] for r in some})
+    words = words.withColumn("_s", settle(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(firsts))))
+    grams = F.flatten(F.array(*[_grams_of(n, "_s") for n in sorted({r["n"] for r in some})]))
 
     def found(doubtful: bool) -> Column:
         of: dict[str, list[int]] = {}
@@ -122,8 +126,9 @@ def _matched_in_place(some: list, words: DataFrame, carry: tuple[str, ...]) -> D
             if r["doubtful"] == doubtful:
                 of.setdefault(r["gram"], []).append(number[r["label"], tuple(r["phrases"])])
         table = F.from_json(F.lit(json.dumps(of)), "map<string,array<int>>")
-        return F.array_distinct(F.flatten(F.transform(F.filter(grams, lambda g: g.isin(list(of))), lambda g: F.element_at(table, g))))
+        return F.array_distinct(F.flatten(F.transform(F.filter("_g", lambda g: g.isin(list(of))), lambda g: F.element_at(table, g))))
 
+    words = words.withColumn("_g", settle(grams))
     rows = words.select("seq", "text", *carry, settle(found(False)).alias("sure"), settle(found(True)).alias("doubt"))
     each = F.concat(F.transform("sure", lambda i: F.struct(i.alias("i"), F.lit(True).alias("sure"))),
                     F.transform(F.array_except("doubt", "sure"), lambda i: F.struct(i.alias("i"), F.lit(False).alias("sure"))))
@@ -150,7 +155,7 @@ def totals(records: DataFrame) -> DataFrame:
 def most_named_places(records: DataFrame, limit: int = V.ASK_PLACES) -> DataFrame:
     """Places by number of records that name them; the first seen goes first among equals."""
     rows = records.select("seq", F.posexplode(F.array_distinct("places.name")).alias("pos", "name"))
-    return (rows.groupBy("name").agg(F.count("*").alias("count"), F.min(F.struct("seq", "pos")).alias("first"))
+    return (rows.groupBy("name").agg(F.count("*").alias("count"), F.min(place_number("seq", "pos")).alias("first"))
             .orderBy(F.desc("count"), "first").limit(limit))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from postsieve import values as V
 from postsieve.functions import text as T
-from postsieve.functions.settle import settle
+from postsieve.functions.settle import place_number
 from postsieve.operators.geo import named_aliases_joined, with_named_aliases
 from postsieve.operators.position import systematic_sample
 from postsieve.sources.gazetteer import Places, fits_inline
@@ -80,9 +80,8 @@ def term_counts(sample: DataFrame, n: int) -> DataFrame:
     word up to 2**20), which keeps the aggregation in a hash table.
     """
     words = F.array_distinct(F.split(T.normalize(F.col("text")), " "))
-    first = F.col("seq").cast("decimal(19,0)") * F.lit(1 << 20) + F.least(F.col("pos"), F.lit((1 << 20) - 1))
     seen = (sample.select("seq", F.posexplode(words).alias("pos", "term")).where(T.is_token(F.col("term")))
-            .groupBy("term").agg(F.count("*").alias("n"), F.min(first).alias("first")))
+            .groupBy("term").agg(F.count("*").alias("n"), F.min(place_number("seq", "pos")).alias("first")))
     kept = seen.where((F.col("n") >= V.TERM_MIN_DF) & (F.col("n") < n * V.TERM_MAX_SHARE))
     return kept.orderBy(F.desc("n"), "first", "term").limit(V.TERM_LIMIT)
 
