@@ -228,7 +228,8 @@ def read_rows(spark: SparkSession, path: str, encoding: str = "UTF-8", max_recor
         records = records.withColumn("places", F.lit(layouts[0][1]).cast("array<int>")).withColumn("width", F.lit(layouts[0][2]))
     else:
         known = spark.createDataFrame(layouts, "value string, places array<int>, width int")
-        by_part = records.where("line = 0").select("part", "value").join(F.broadcast(known), "value").drop("value")
+        nowhere = F.lit([-1] * len(headers)).cast("array<int>")  # a file whose header can't be read
+        by_part = records.where("line = 0").select("part", "value").join(F.broadcast(known), "value", "left").select("part", F.coalesce("places", nowhere).alias("places"), F.coalesce("width", F.lit(width)).alias("width"))
         records = records.join(by_part, "part")
     names = [f"c{i}" for i in range(width)]
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
@@ -300,7 +301,7 @@ def read_posts_csv(spark: SparkSession, path: str, forced_column: str | None = N
     reject = lambda when, reason: df.where(when).select(shown.alias("row"), reason.alias("reason"))
     absent = F.lit(f'column "{chosen}" is not in this file\'s header')
     rejects = (reject("row > 1 AND text = '' AND NOT foreign AND (fault IS NULL OR parsed)", F.lit(f'column "{chosen}" was empty'))
-               .unionByName(reject("row > 1 AND foreign", absent)).unionByName(reject("NOT foreign AND fault IS NOT NULL", F.col("fault")))
+               .unionByName(reject("row > 1 AND foreign", absent)).unionByName(reject("fault IS NOT NULL AND (row = 1 OR NOT foreign)", F.col("fault")))
                .unionByName(reject("bad IS NOT NULL AND NOT foreign", F.concat(F.when(F.col("bad") < F.col("width"), "Too few fields: ").otherwise("Too many fields: "), counts))))
     if rows.where("row > 1").isEmpty():
         rejects = spark.createDataFrame([(1, "header row found, but the file has no data rows")], "row long, reason string")

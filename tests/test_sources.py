@@ -128,6 +128,12 @@ def test_every_file_has_its_own_header(spark):
     assert len(posts) + len({x[0] for x in reasons}) == 7 and report.width == 3
 
 
+def test_a_header_that_does_not_end_is_reported(spark):
+    posts, rejects, _ = read_folder(spark, {"a": "id,text\n1,fine\n2,too\n", "b": 'id,"text\n' + "3,lost\n" * 40, "c": "text,id\nlast,4\n"}, max_record=100)
+    assert [p["text"] for p in posts] == ["fine", "too", "last"]
+    assert [r["reason"] for r in rejects] == ["Quoted field of more than 100 characters"]
+
+
 def small_splits(spark, size):
     spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     spark.conf.set("spark.sql.files.openCostInBytes", 0)
