@@ -182,12 +182,13 @@ def _rest(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) ->
     Sets travel as halves of their digests here: an intersection can only come out too large by that, so no link is lost, and
     what is found is confirmed on whole digests afterwards.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 2")
+    sizes = written(members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 2"), "sizes")
     rows = (members.join(sizes, "bucket").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
             .select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component")))
     rows = written(rows, "members")
     parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    main = written(main, "main")  # a join with a table, not with the aggregation itself, may be split at a large bucket
     spread = written(rows.join(main.select("bucket", F.col("m.component").alias("main"), F.col("m.c").alias("held")), "bucket"), "spread")
     if spread.isEmpty():
         return None

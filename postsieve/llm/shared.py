@@ -8,9 +8,15 @@ from postsieve.session import materialize
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder; the driver then lets go of shuffle files that no plan needs any more."""
+    """The rows as a table in the shared folder; the driver then lets go of shuffle files that no plan needs any more.
+
+    Spark removes them when the driver's objects that stand for them are collected, which a driver with little to do puts off. Without a JVM
+    handle, as on Spark Connect, they go when the server collects its garbage.
+    """
     out = materialize(df, name)
-    df.sparkSession._jvm.System.gc()
+    jvm = getattr(df.sparkSession, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
     return out
 
 
