@@ -146,7 +146,7 @@ def _spanning_records(lines: DataFrame, delimiter: str, limit: int) -> tuple[Dat
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     files = blocks.groupBy("file").agg(F.sum("begun").alias("size"))
     blocks = blocks.withColumn("skip", F.coalesce(F.sum("begun").over(earlier), F.lit(0))).select(*split, "entry", "skip")
-    placed = lines.join(blocks, split).select("file", "id", "value", _state("before", "before_turn", F.col("entry")).alias("inside"), _state("after", "after_turn", F.col("entry")).alias("open"),
+    placed = lines.join(blocks, split).select("file", "block", "id", "value", _state("before", "before_turn", F.col("entry")).alias("inside"), _state("after", "after_turn", F.col("entry")).alias("open"),
                                               (F.col("skip") + F.when(F.col("entry"), F.col("begun1")).otherwise(F.col("begun0")) - 1).alias("line"))
     single = placed.where("NOT inside AND NOT open AND value <> ''").select("file", "line", "value", F.lit(None).cast("string").alias("fault"))
     shared = placed.where("inside OR open")
@@ -154,7 +154,7 @@ def _spanning_records(lines: DataFrame, delimiter: str, limit: int) -> tuple[Dat
     fault = F.when(F.col("chars") > limit, F.lit(f"Quoted field of more than {limit} characters")).when(F.col("unclosed"), F.lit("Quoted field unterminated"))
     sizes = materialize(sizes.withColumn("fault", fault), "sizes")
     whole = shared.join(sizes.where(F.col("chars") <= limit).select("file", "line"), ["file", "line"])
-    joined = whole.groupBy("file", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    joined = whole.groupBy("file", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "id", "value"))), lambda x: x["value"]), "\n").alias("value"))
     many = sizes.join(joined, ["file", "line"], "left").select("file", "line", "value", "fault")
     return single.unionByName(many), files
 
