@@ -166,17 +166,24 @@ def j7(spark, sf):
 
 # --- streams ----------------------------------------------------------------------------------
 
-def _stream_of(spark, df, name, files=4):
-    """A file stream over several files, one micro-batch each."""
-    path = scratch_path(spark, name)
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+#: Rows of a file of a stream; a micro-batch has as many files as its rows need, so that its tasks grow in number and not in length.
+ROWS_PER_FILE = 25_000
 
 
-def _run(q, seconds=600):
-    if not q.awaitTermination(seconds):
-        q.stop()
-        raise TimeoutError("stream did not finish")
+def _files_for(rows, batches=1):
+    return max(1, -(-rows // (batches * ROWS_PER_FILE)))
+
+
+def _stream_of(spark, df, name, batches=4):
+    """A file stream of several micro-batches of equally many files."""
+    path, files = scratch_path(spark, name), _files_for(df.count(), batches)
+    df.repartition(batches * files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _run(q):
+    """Waits until the stream has taken all that is there, however long that is; its failure is raised here."""
+    q.awaitTermination()
 
 
 STREAM_SQL = {**SC}
