@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postsieve import schema as S, values as V
 from postsieve.functions import text as T
-from postsieve.functions.settle import settle
+from postsieve.functions.settle import settle, worked_out
 from postsieve.operators.profile import EventProfile, hazard_match
 
 
@@ -92,13 +92,22 @@ def unusable_labels() -> Column:
 
 
 def rule_labels(text: Column, has_place: Column) -> Column:
-    """Offline keyword classifier: the first matching rule gives category and severity."""
-    c = V.RULE_CONFIDENCE
-    spam = T.matches(text, V.RULE_SPAM_PATTERN)
-    flood = T.matches(text, V.RULE_FLOOD_PATTERN)
+    """Offline keyword classifier: the first matching rule gives category and severity.
+
+    Every pattern is tried once per text at most: the answers are read many times below, so they are worked out first.
+    """
     rule = F.lit(None).cast("int")
     for i in reversed(range(len(V.CATEGORY_RULES))):
         rule = F.when(T.matches(text, V.CATEGORY_RULES[i][0]), i).otherwise(rule)
+    found = F.struct(
+        rule.alias("rule"), T.matches(text, V.RULE_SPAM_PATTERN).alias("spam"), T.matches(text, V.RULE_FLOOD_PATTERN).alias("flood"),
+        T.matches(text, V.RULE_REQUEST_PATTERN).alias("request"), T.matches(text, V.RULE_RESHARE_PATTERN).alias("reshare"), has_place.alias("place"))
+    return worked_out(found, _labels_of_rules)
+
+
+def _labels_of_rules(found: Column) -> Column:
+    c = V.RULE_CONFIDENCE
+    rule, spam, flood, place = found["rule"], found["spam"], found["flood"], found["place"]
     category, severity = F.lit("sentiment"), F.lit(0.0)
     for i, (_, name, level) in enumerate(V.CATEGORY_RULES):
         category = F.when(rule == i, name).otherwise(category)
@@ -108,8 +117,8 @@ def rule_labels(text: Column, has_place: Column) -> Column:
         hazard=S.decision(F.when(flood, "flood").otherwise("other"), F.when(flood, c["hazard_hit"]).otherwise(c["hazard_miss"])),
         category=S.decision(category, F.when(category == "sentiment", c["category_sentiment"]).otherwise(c["category_hit"])),
         severity=S.decision(severity, c["severity"]),
-        has_place=S.decision(has_place, F.when(has_place, c["has_place_hit"]).otherwise(c["has_place_miss"])),
-        is_request=S.decision(T.matches(text, V.RULE_REQUEST_PATTERN), c["is_request"]),
+        has_place=S.decision(place, F.when(place, c["has_place_hit"]).otherwise(c["has_place_miss"])),
+        is_request=S.decision(found["request"], c["is_request"]),
         has_pii=S.decision(False, c["has_pii"]),
         is_spam=S.decision(spam, F.when(spam, c["is_spam_hit"]).otherwise(c["is_spam_miss"])),
-        firsthand=S.decision(~T.matches(text, V.RULE_RESHARE_PATTERN), c["firsthand"]))
+        firsthand=S.decision(~found["reshare"], c["firsthand"]))

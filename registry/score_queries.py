@@ -5,6 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from postsieve import values as V
+from postsieve.functions.settle import settle
 from postsieve.operators import profile, score
 from registry import views
 from registry.core import query
@@ -141,7 +142,7 @@ def _rule_sql():
 
 @query("r6_rule_classifier", with_sql(_rule_sql(), posts=posts_sql()))
 def r6(spark, sf):
-    p = views.posts(spark, sf).select("seq", score.rule_labels(F.col("text"), F.lit(True)).alias("l"))
+    p = views.posts(spark, sf).select("seq", settle(score.rule_labels(F.col("text"), F.lit(True))).alias("l"))
     v = lambda k: F.col(f"l.{k}.value").alias(k)
     return p.select("seq", v("relevant"), F.col("l.relevant.confidence").alias("confidence"), v("category"), v("severity"),
                     v("is_request"), v("firsthand"), v("is_spam"), v("hazard"))

@@ -1,5 +1,11 @@
 """Work that must grow in number of tasks and not in their length, and work that must be done once per row."""
 
+import re
+
+from pyspark.sql import functions as F
+
+from postsieve import values as V
+from postsieve.operators import score
 from registry import pipeline_queries as P
 
 
@@ -26,3 +32,9 @@ def test_a_micro_batch_has_as_many_files_as_its_rows_need(spark, monkeypatch):
     P._run(stream.writeStream.foreachBatch(lambda b, _: batches.append(b.count())).option(
         "checkpointLocation", P.scratch_path(spark, "check")).trigger(availableNow=True).start())
     assert len(batches) == 4 and sum(batches) == 200 and len(spark.read.parquet(path).inputFiles()) == 20
+
+
+def test_rules_try_each_pattern_once_per_text(spark):
+    labels = spark.createDataFrame([("flood",)], "text string").select(score.rule_labels(F.col("text"), F.lit(True)).alias("l"))
+    plan = labels.selectExpr("l.category", "l.severity", "l.relevant", "l.hazard")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RLIKE", plan)) <= len(V.CATEGORY_RULES) + 4
