@@ -63,10 +63,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a narrow input that one task reads. What is derived from them is up to a hundred times as wide, so tasks go by rows, not by bytes.
+ROWS_PER_TASK = 100_000
+
+
 def widen(df: DataFrame) -> DataFrame:
-    """Spreads a small input that sits in fewer partitions than there are cores; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Spreads an input over as many partitions as its rows ask for, and as there are cores at least; one that has them stays as it is.
+
+    Files are split by bytes, and never inside a row group: a narrow table of many rows is few tasks.
+    """
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def posts(spark: SparkSession, sf_dir: str, single_hazard: bool = False) -> DataFrame:

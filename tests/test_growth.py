@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postsieve import values as V
 from postsieve.operators import score
-from registry import pipeline_queries as P
+from registry import pipeline_queries as P, views
 
 
 class _Slow:
@@ -38,3 +38,9 @@ def test_rules_try_each_pattern_once_per_text(spark):
     labels = spark.createDataFrame([("flood",)], "text string").select(score.rule_labels(F.col("text"), F.lit(True)).alias("l"))
     plan = labels.selectExpr("l.category", "l.severity", "l.relevant", "l.hazard")._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"RLIKE", plan)) <= len(V.CATEGORY_RULES) + 4
+
+
+def test_narrow_rows_are_spread_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 100)
+    assert views.widen(spark.range(0, 2000, 1, 8)).rdd.getNumPartitions() == 20
+    assert views.widen(spark.range(0, 700, 1, 8)).rdd.getNumPartitions() == 8
