@@ -88,9 +88,10 @@ def pick_header(headers: list[str], candidates: list[str]) -> str | None:
 def _scanned(value: Column, delimiter: str, inside: bool) -> Column:
     """What a line leaves behind, given whether it begins inside a quoted field: ``inside`` (again) and ``ends``, the delimiters outside quotes.
 
-    A quote opens a field only at its start; in a quoted field two quotes stand for one. State 2 means just closed.
+    A quote opens a field only at its start; in a quoted field two quotes stand for one. State 2 means just closed. Pairs of quotes are left out
+    first: inside a field they change nothing, and elsewhere they are an empty field or plain text, so a long cell full of them is one step.
     """
-    segments, ends = F.split(value, F.lit('"'), F.lit(-1)), lambda x: F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit("")))
+    segments, ends = F.split(F.replace(value, F.lit('""'), F.lit("")), F.lit('"'), F.lit(-1)), lambda x: F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit("")))
 
     def at_quote(now: Column, segment: Column) -> Column:
         opens = segment.endswith(delimiter) | (now["first"] & (segment == ""))
@@ -236,9 +237,10 @@ def read_rows(spark: SparkSession, path: str, encoding: str = "UTF-8", max_recor
     parsed = records.withColumn("p", F.when(F.col("line") > 0, F.from_csv("value", ", ".join(f"{n} string" for n in names) + ", _bad string", options)))
     fields = F.array(*[F.col(f"p.{n}") for n in names])
     count = F.when(F.col("p._bad").isNotNull(), 1 + _scanned(F.col("value"), delimiter, False)["ends"]).otherwise(width)
+    parsed = parsed.withColumn("_n", settle(F.when((F.col("line") > 0) & F.col("value").isNotNull(), count)))
     rows = parsed.select(
         F.when(F.col("p").isNotNull(), F.transform("places", lambda i: F.when(i >= 0, F.get(fields, i)))).alias("f"), "places", "width",
-        F.when((F.col("line") > 0) & F.col("value").isNotNull() & (count != F.col("width")), count).alias("bad"), "fault", "part", (F.col("line") + 1).alias("row"), "before")
+        F.when(F.col("_n") != F.col("width"), F.col("_n")).alias("bad"), "fault", "part", (F.col("line") + 1).alias("row"), "before")
     return rows, report
 
 
@@ -298,11 +300,12 @@ def read_posts_csv(spark: SparkSession, path: str, forced_column: str | None = N
     shown = F.col("row") + (F.col("before") - F.col("part") if parts else F.lit(0))
     expected = F.col("width").cast("string")
     counts = F.concat(F.lit("expected "), expected, F.lit(" fields but parsed "), F.col("bad").cast("string"))
-    reject = lambda when, reason: df.where(when).select(shown.alias("row"), reason.alias("reason"))
     absent = F.lit(f'column "{chosen}" is not in this file\'s header')
-    rejects = (reject("row > 1 AND text = '' AND NOT foreign AND (fault IS NULL OR parsed)", F.lit(f'column "{chosen}" was empty'))
-               .unionByName(reject("row > 1 AND foreign", absent)).unionByName(reject("fault IS NOT NULL AND (row = 1 OR NOT foreign)", F.col("fault")))
-               .unionByName(reject("bad IS NOT NULL AND NOT foreign", F.concat(F.when(F.col("bad") < F.col("width"), "Too few fields: ").otherwise("Too many fields: "), counts))))
+    reasons = F.array_compact(F.array(*[F.when(F.expr(when), reason) for when, reason in (
+        ("row > 1 AND text = '' AND NOT foreign AND (fault IS NULL OR parsed)", F.lit(f'column "{chosen}" was empty')),
+        ("row > 1 AND foreign", absent), ("fault IS NOT NULL AND (row = 1 OR NOT foreign)", F.col("fault")),
+        ("bad IS NOT NULL AND NOT foreign", F.concat(F.when(F.col("bad") < F.col("width"), "Too few fields: ").otherwise("Too many fields: "), counts)))]))
+    rejects = df.select(shown.alias("row"), F.explode(settle(reasons)).alias("reason"))  # all reasons of a row in one pass over the files
     if rows.where("row > 1").isEmpty():
         rejects = spark.createDataFrame([(1, "header row found, but the file has no data rows")], "row long, reason string")
     return posts, rejects.select(F.col("row").cast("long").alias("row"), "reason"), report

@@ -1,11 +1,13 @@
 """Work that must grow in number of tasks and not in their length, and work that must be done once per row."""
 
+import itertools
 import re
 
 from pyspark.sql import functions as F
 
 from postsieve import values as V
 from postsieve.operators import score
+from postsieve.sources import csv_posts
 from registry import pipeline_queries as P, views
 
 
@@ -44,3 +46,32 @@ def test_narrow_rows_are_spread_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(views, "ROWS_PER_TASK", 100)
     assert views.widen(spark.range(0, 2000, 1, 8)).rdd.getNumPartitions() == 20
     assert views.widen(spark.range(0, 700, 1, 8)).rdd.getNumPartitions() == 8
+
+
+def test_reasons_of_a_row_come_from_one_pass(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Nr,text,c\n1,"' + 'x ""y"" ' * 50 + '",z,more\n2,\n3,t,u\n')
+    _, rejects, _ = csv_posts.read_parts(spark, str(tmp_path))
+    assert sorted(r["reason"] for r in rejects.collect()) == [
+        'Too few fields: expected 3 fields but parsed 2', 'Too many fields: expected 3 fields but parsed 4', 'column "text" was empty']
+    assert rejects._jdf.queryExecution().optimizedPlan().toString().count("from_csv") + rejects._jdf.queryExecution().optimizedPlan().toString().count("csvtostructs") == 1
+
+
+def test_pairs_of_quotes_change_no_scan(spark):
+    rows = [("".join(x), inside) for n in range(6) for x in itertools.product('a,"', repeat=n) for inside in (False, True)]
+    df = spark.createDataFrame(rows, "value string, inside boolean")
+    scan = F.when(F.col("inside"), csv_posts._scanned(F.col("value"), ",", True)).otherwise(csv_posts._scanned(F.col("value"), ",", False))
+    for value, inside, found in df.select("value", "inside", scan.alias("s")).collect():
+        assert (found["inside"], found["ends"]) == _scan(value, inside), (value, inside)
+
+
+def _scan(value, inside):
+    """The same, letter by letter and with every quote."""
+    state, ends, segment, first = int(inside), 0, "", not inside
+    for c in value:
+        if c == '"':
+            state = 2 if state == 1 else 1 if (state == 2 and not segment) or segment.endswith(",") or (first and not segment) else 0
+            segment, first = "", False
+        else:
+            segment += c
+            ends += c == "," and state != 1
+    return state == 1, ends
