@@ -34,7 +34,10 @@ def with_position(df: DataFrame, seq: str = "seq", rank: str | None = None, sums
     sums = sums or {}
     marked = df.withColumns({f"_v_{name}": value for name, value in sums.items()}) if sums else df
     order = [F.col(rank).desc(), F.col(seq)] if rank else [F.col(seq)]
-    rows = ranged(marked, order, df.count() if total is None else total, rows_per_bucket)
+    if total is None:  # counted, sampled and dealt out: three passes, so whatever the rows are made of is worked out before
+        marked = materialize(marked, "unranked")
+        total = marked.count()
+    rows = ranged(marked, order, total, rows_per_bucket)
     sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(f"_v_{s}").alias(f"_t_{s}") for s in sums])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # MAX_RANGES rows at most
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postsieve import values as V
 from postsieve.operators import score
+from postsieve.operators.position import with_position
 from postsieve.sources import csv_posts
 from registry import pipeline_queries as P, views
 
@@ -48,6 +49,19 @@ def test_narrow_rows_are_spread_by_their_number(spark, monkeypatch):
     assert views.widen(spark.range(0, 700, 1, 8)).rdd.getNumPartitions() == 8
 
 
+def test_the_rows_to_be_ranked_are_worked_out_once(spark):
+    tried = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        tried.add(1)
+        return x
+
+    rows = spark.range(0, 1000, 1, 4).select("id", counted("id").alias("s"))
+    assert with_position(rows, "id", rank="s").where("position = 0").first()["id"] == 999
+    assert tried.value == 1000
+
+
 def test_reasons_of_a_row_come_from_one_pass(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Nr,text,c\n1,"' + 'x ""y"" ' * 50 + '",z,more\n2,\n3,t,u\n')
     _, rejects, _ = csv_posts.read_parts(spark, str(tmp_path))
