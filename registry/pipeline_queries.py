@@ -181,6 +181,17 @@ def _stream_of(spark, df, name, batches=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def _batches(spark, name, files, *parts):
+    """A file stream of a micro-batch per part, in order; each part has so many partitions with rows, or one."""
+    path = scratch_path(spark, name)
+    for k, part in enumerate(parts):
+        part.drop("seq").write.mode("append").parquet(path)
+        written = len(spark.read.parquet(path).inputFiles())
+        if written != (k + 1) * files:  # a part of fewer files would share its micro-batch with the next one
+            raise ValueError(f"part {k} of {name}: {written - k * files} files instead of {files}")
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def _run(q):
     """Waits until the stream has taken all that is there, however long that is; its failure is raised here."""
     q.awaitTermination()
@@ -217,17 +228,15 @@ def st1_answers(spark, sf):
     posts = views.posts(spark, sf).select("seq", "id", at(F.col("seq") % 600).alias("at"))
     late = F.when(F.col("seq") % 11 == 0, 7200).otherwise(F.col("seq") % 13 * 60)
     answers = labels(spark, sf).join(posts, "id").where("seq % 7 <> 0").withColumn("answered_at", at(F.col("seq") % 600 + late)).select("seq", "id", "labels", "answered_at")
+    answers = materialize(answers, "labels")  # read once for each part
     again = answers.where("seq % 3 = 0").withColumn("labels", F.col("labels").withField("relevant", S.decision(F.lit(None).cast("boolean"), 0.0))).withColumn("answered_at", F.col("answered_at") + F.expr("INTERVAL 1 SECOND"))
-    last = at(F.lit(90000))
-    end = lambda df, time: df.limit(1).withColumn("id", F.lit("end")).withColumn("seq", F.lit(-1).cast("long")).withColumn(time, last)
-    said, asked = scratch_path(spark, "answers"), scratch_path(spark, "asked")
-    for k, part in enumerate((answers, again, end(answers, "answered_at"), end(answers, "answered_at"))):
-        part.drop("seq").coalesce(1).write.mode("append").parquet(said) if k else part.drop("seq").coalesce(1).write.parquet(said)
-    for k, part in enumerate((posts, end(posts, "at"), end(posts, "at"))):
-        part.drop("seq").coalesce(1).write.mode("append").parquet(asked) if k else part.drop("seq").coalesce(1).write.parquet(asked)
-    stream = lambda path: spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    last, files = at(F.lit(90000)), _files_for(answers.count())
+    end = lambda df, time: spark.range(0, files, 1, files).select("id").crossJoin(F.broadcast(df.limit(1).drop("id"))).withColumns(
+        {"id": F.lit("end"), "seq": F.lit(-1).cast("long"), time: last})
+    asked = _batches(spark, "asked", files, posts.repartition(files), end(posts, "at"), end(posts, "at"))
+    said = _batches(spark, "answers", files, answers.repartition(files), again.repartition(files), end(answers, "answered_at"), end(answers, "answered_at"))
     out = scratch_path(spark, "out")
-    _run(st.write_append(st.labelled_stream(stream(asked), stream(said), "1 hour"), out, scratch_path(spark, "check")))
+    _run(st.write_append(st.labelled_stream(asked, said, "1 hour"), out, scratch_path(spark, "check")))
     return spark.read.parquet(out).where("id <> 'end'").select("id", F.col("labels.relevant.value").alias("relevant"))
 
 

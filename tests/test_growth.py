@@ -9,7 +9,8 @@ from postsieve import values as V
 from postsieve.operators import score
 from postsieve.operators.position import with_position
 from postsieve.sources import csv_posts
-from registry import pipeline_queries as P, views
+from registry import all_sql, pipeline_queries as P, views
+from registry.check import compare, connect
 
 
 class _Slow:
@@ -89,3 +90,9 @@ def _scan(value, inside):
             segment += c
             ends += c == "," and state != 1
     return state == 1, ends
+
+
+def test_late_answers_in_several_files_a_batch(spark, sf, monkeypatch):
+    monkeypatch.setattr(P, "ROWS_PER_FILE", 10)
+    note, ok, _ = compare(spark, connect(sf), sf, P.st1_answers, all_sql()["st1_late_answers"])
+    assert ok, note
