@@ -114,9 +114,10 @@ def a9_shares(spark, sf):
 def o7_budget(spark, sf):
     """Hits, misses, and a budget that ends the calls after the four hundredth."""
     kept = kept_table(spark, sf)
-    profile, lab = profile_of(kept), labels(spark, sf)
+    profile, lab = profile_of(kept), materialize(labels(spark, sf), "labels")  # labels and cache are read several times each
     old = cache.with_key(kept.where("seq % 3 = 0"), profile.hazard).join(lab, "id").select(
         "key", "labels", F.lit(V.MODEL_CLASSIFIER).alias("classifier"), F.lit("m0").alias("model_version"), F.lit(None).cast("string").alias("redacted_text"), F.lit(1).cast("long").alias("ts"))
+    old = materialize(old, "cache")
     calls = kept.select("id", F.lit(200).alias("status"), F.lit(0.25).alias("cost"), F.lit(False).alias("own_key"))
     paid = materialize(plan.paid_labels(kept, profile, lab, calls, old, budget=100.0), "paid")
     r = plan.triage(kept, profile, paid.select("id", "labels")).join(paid.select("id", "cached"), "id", "left")
