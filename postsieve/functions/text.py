@@ -39,7 +39,7 @@ def normalize(col: Column) -> Column:
     A run of anything else, the hash sign included, is one separator, so a single pass does it.
     """
     lowered = F.regexp_replace(F.lower(col), _URL, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(lowered, "@[A-Za-z0-9_]+", " "), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(lowered, java(r"@\w+"), " "), "[^a-z0-9]+", " "))
 
 
 def is_token(word: Column) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postsieve import schema as S, values as V
+from postsieve.functions.regex import java
 from postsieve.functions.settle import settle
 from postsieve.sources.gazetteer import Places, alias_table, fits_inline, reserves_of
 
@@ -32,14 +33,14 @@ def searchable(text: Column, places: Places) -> Column:
     lowered = F.lower(text)
     if singles:
         alternatives = "|".join(re.escape(a) for a in singles)
-        lowered = F.regexp_replace(lowered, f"#(({alternatives})([A-Za-z0-9_]+))", " $1 $2 $3 ")
+        lowered = F.regexp_replace(lowered, rf"#(({alternatives})({java(r"\w")}+))", " $1 $2 $3 ")
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " ")), F.lit(" "))
 
 
 def _searchable_joined(posts: DataFrame, text: Column, aliases: DataFrame) -> DataFrame:
     """``searchable`` for a gazetteer that is joined: distinct hashtags meet aliases on their prefixes."""
     tagged = posts.withColumn("_lower", F.lower(text)).withColumn(
-        "_tags", F.array_distinct(F.regexp_extract_all("_lower", F.lit("#([A-Za-z0-9_]+)"), F.lit(1))))
+        "_tags", F.array_distinct(F.regexp_extract_all("_lower", F.lit(java(r"#(\w+)")), F.lit(1))))
     tags = tagged.select(F.explode("_tags").alias("tag")).where("length(tag) > 3").distinct()
     prefixes = tags.select("tag", F.explode(F.expr(
         "transform(sequence(3, length(tag) - 1), n -> substring(tag, 1, n))")).alias("prefix"))
@@ -83,8 +84,8 @@ def _inline_candidates(words: Column, places: Places) -> Column:
 
 def _exact_words(text: Column) -> Column:
     """Lower-case words letter for letter. Punctuation stays a word of its own so that it separates: "high-river" does not name
-    "high river"."""
-    return F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " | "), " ")
+    "high river". The pattern is not one class, see ``functions.regex``."""
+    return F.split(F.regexp_replace(F.lower(text), "(?! )[^a-z0-9]", " | "), " ")
 
 
 def with_named_aliases(df: DataFrame, text: Column, places: Places, out: str, min_length: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from postsieve import values as V
+from postsieve.functions.regex import java
 from postsieve.operators import score
 from postsieve.operators.position import with_position
 from postsieve.sources import csv_posts
@@ -96,3 +97,21 @@ def test_late_answers_in_several_files_a_batch(spark, sf, monkeypatch):
     monkeypatch.setattr(P, "ROWS_PER_FILE", 10)
     note, ok, _ = compare(spark, connect(sf), sf, P.st1_answers, all_sql()["st1_late_answers"])
     assert ok, note
+
+
+SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def test_words_and_white_space_are_predefined_classes(spark):
+    assert "A-Z" not in java(r"\b\w[\w.]\b") and "2028" not in java(r"\s\S[^\s]")
+    chars = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000] + ["\U0001F30A", "\U00010400"]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    for pattern, expected in ((r"\w", lambda c: c.isascii() and (c.isalnum() or c == "_")), (r"[\w.+-]", lambda c: c.isascii() and (c.isalnum() or c in "_.+-")),
+                              (r"\s", lambda c: c in SPACES), (r"[-.\s]", lambda c: c in SPACES + "-."), (r"\S", lambda c: c not in SPACES),
+                              (r"[^a-z\s]", lambda c: c not in SPACES + "abcdefghijklmnopqrstuvwxyz")):
+        found = {r["c"] for r in df.where(F.col("c").rlike("^(?:" + java(pattern) + ")$")).collect()} - {"\n"}
+        assert found == {c for c in chars if expected(c)} - {"\n"}, pattern
+    edges = df.select("c", F.concat("c", F.lit("a")).rlike(java(r"(?s)^.\ba$")).alias("before"), F.concat(F.lit("a"), "c").rlike(java(r"(?s)^a\b.$")).alias("after"))
+    word = lambda c: c.isascii() and (c.isalnum() or c == "_")
+    for c, before, after in edges.collect():
+        assert before == after == (not word(c)), c
