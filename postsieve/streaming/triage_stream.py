@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postsieve import schema as S, values as V
 from postsieve.functions import text as T
+from postsieve.functions.settle import settle
 from postsieve.operators.meter import meter
 from postsieve.operators.profile import EventProfile
 from postsieve.plans import triage as plan
@@ -42,15 +43,19 @@ def running_copies(posts: DataFrame, strip_retweets: bool = True, lifetime: str
     """
     key = T.copy_key(F.col("text"), strip_retweets)
     first = F.struct("seq", "id", "text")
-    arrived = posts.withColumn("_key", key).where("_key <> ''").withColumn("_at", F.current_timestamp()).withWatermark("_at", "0 seconds")
+    arrived = posts.withColumn("_key", settle(key)).where("_key <> ''").withColumn("_at", F.current_timestamp()).withWatermark("_at", "0 seconds")
     return (arrived.groupBy(F.sha2("_key", 256).alias("digest"), F.window("_at", lifetime).alias("_period"))
             .agg(F.min_by(first, "seq").alias("first"), F.count("*").alias("duplicate_count"))
             .select("digest", F.col("_period.start").alias("since"), "first.*", "duplicate_count"))
 
 
 def latest_copies(spark: SparkSession, path: str) -> DataFrame:
-    """(digest, seq, id, text, duplicate_count) of a change log of ``running_copies``: all periods together."""
-    held = latest(spark, path, ["digest", "since"])
+    """(digest, seq, id, text, duplicate_count) of a change log of ``running_copies``: all periods together.
+
+    The log is dealt out by digest once, which serves both groupings; a digest has a row per batch that changed it at most.
+    """
+    rows = _log(spark, path).repartition("digest")
+    held = rows.groupBy("digest", "since").agg(F.max_by(F.struct("seq", "id", "text", "duplicate_count"), "batch_id").alias("r")).select("digest", "r.*")
     return held.groupBy("digest").agg(F.min_by(F.struct("seq", "id", "text"), "seq").alias("first"), F.sum("duplicate_count").alias("duplicate_count")).select("digest", "first.*", "duplicate_count")
 
 

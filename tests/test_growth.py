@@ -10,6 +10,7 @@ from postsieve.functions.regex import java
 from postsieve.operators import score
 from postsieve.operators.position import with_position
 from postsieve.sources import csv_posts
+from postsieve.streaming import triage_stream as st
 from registry import all_sql, pipeline_queries as P, views
 from registry.check import compare, connect
 
@@ -115,3 +116,15 @@ def test_words_and_white_space_are_predefined_classes(spark):
     word = lambda c: c.isascii() and (c.isalnum() or c == "_")
     for c, before, after in edges.collect():
         assert before == after == (not word(c)), c
+
+
+def test_copies_of_a_stream_are_keyed_once_and_dealt_out_once(spark):
+    posts = spark.createDataFrame([(i, f"e{i}", f"post {i % 7}") for i in range(40)], "seq long, id string, text string")
+    copies = st.running_copies(posts)
+    assert copies._jdf.queryExecution().optimizedPlan().toString().count("https?://") == 1
+    path = P.scratch_path(spark, "copies")
+    for k, part in enumerate((posts.where("seq < 20"), posts)):
+        st.running_copies(part).withColumn("batch_id", F.lit(k).cast("long")).withColumn("since", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{path}/batch={k:012d}")
+    held = st.latest_copies(spark, path)
+    assert sorted((r["seq"], r["duplicate_count"]) for r in held.collect()) == [(i, 6 if i < 5 else 5) for i in range(7)]
+    assert st.latest_copies(spark, path)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
