@@ -67,7 +67,7 @@ def extract_terms(questions: DataFrame, places: Places | DataFrame | None = None
 
 def _spaced(text: Column) -> Column:
     """Words and single marks between blanks; marks keep words apart as the phrase pattern does."""
-    return T.collapse(F.regexp_replace(F.lower(text), java(r"([^a-z0-9\s])"), " $1 "))
+    return T.collapse(F.regexp_replace(F.lower(text), java(r"((?!\s)[^a-z0-9])"), " $1 "))
 
 
 MAX_INLINE_WORDS = 5000

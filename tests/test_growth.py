@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postsieve import values as V
 from postsieve.functions.regex import java
-from postsieve.operators import score
+from postsieve.operators import ask, geo, score
 from postsieve.operators.position import with_position
 from postsieve.sources import csv_posts
 from postsieve.streaming import triage_stream as st
@@ -118,6 +118,17 @@ def test_words_and_white_space_are_predefined_classes(spark):
         assert before == after == (not word(c)), c
 
 
+def test_marks_are_set_apart_without_a_class_of_many_parts(spark):
+    texts = [("".join(x),) for n in range(5) for x in itertools.product("aZ \t.\u00e9\u00a0", repeat=n)]
+    df = spark.createDataFrame(texts, "t string")
+    both = df.select("t", ask._spaced(F.col("t")).alias("spaced"), geo._exact_words(F.col("t")).alias("words"))
+    for t, spaced, words in both.collect():
+        assert spaced == " ".join(re.sub(r"([^a-z0-9\s])", r" \1 ", t.lower()).split()), repr(t)
+        assert words == re.sub("[^a-z0-9 ]", " | ", t.lower()).split(" "), repr(t)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-z0-9 ]" not in plan and "2028" not in plan
+
+
 def test_copies_of_a_stream_are_keyed_once_and_dealt_out_once(spark):
     posts = spark.createDataFrame([(i, f"e{i}", f"post {i % 7}") for i in range(40)], "seq long, id string, text string")
     copies = st.running_copies(posts)
