@@ -5,7 +5,7 @@ The fixed patterns assume ASCII word characters and the wider Unicode white spac
 derived from the same text here.
 
 Java 17 tests a class that unites three or more ranges or characters of the first 65,536 several times slower than a predefined
-one, the more threads the worse, so its dialect is written with predefined classes.
+one (measured with 8 threads; the cause was not looked into), so its dialect is written with predefined classes.
 """
 
 from __future__ import annotations
