@@ -5,8 +5,9 @@ r squared follows a chi-square law with `dims` degrees of freedom; that is the s
 vector of projected distance below p and whose k-th neighbour is at distance r may stop once the law's value at p^2 / r^2 is
 `sure` or more, as any one true neighbour is then missed with probability 1 - sure at most.
 
-A top kd-tree, fitted on a bounded sample, deals all vectors into cells. Each query first searches its own cell, then only
-cells that the test can't rule out by their projected distance. Queries meet a cell in blocks of their own number there, so a cell's
+A top kd-tree, fitted on a bounded sample, deals all vectors into cells, and neighbouring cells make up a part. Each query first searches the
+part of its own cell, then only parts with a cell that the test can't rule out by its projected distance. A query travels once to each of these
+parts, whatever the number of their cells; queries meet a part in blocks of their own number there, so a part's
 vectors travel once per block of the queries that reach it, and not at all where none does. In a task, a kd-tree of small leaves is walked outward from the
 query and the leaves' vectors verified on the originals. Largest inner product is nearest distance once every vector gets one
 more coordinate that makes all lengths equal.
@@ -17,11 +18,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import FloatType
 
 from postsieve.llm.shared import written
 
 #: Sampled vectors the top tree is fitted on; mean vectors of a cell, queries of a block, vectors of a leaf.
-SAMPLE, CELL_ROWS, QUERY_ROWS, LEAF = 20_000, 1_024, 4_096, 64
+SAMPLE, CELL_ROWS, QUERY_ROWS, LEAF = 20_000, 1_024, 32_768, 64
+#: Parts of a table, as long as a part has 2 * CELL_ROWS to PART_ROWS vectors; queries of a block that walk their leaves together.
+PARTS, PART_ROWS, WALK_ROWS = 32, 65_536, 2_048
 DIMS, SURE = 8, 0.97
 
 
@@ -116,9 +120,9 @@ class Cell:
         tree = Tree(points, leaves)
         leaf = tree.leaf_of(points)
         order = np.argsort(leaf, kind="stable")
-        self.ids, self.vectors, leaf = ids[order], vectors[order], leaf[order]
+        self.ids, self.vectors, points, leaf = ids[order], vectors[order], points[order], leaf[order]
         self.first = np.searchsorted(leaf, np.arange(len(tree.boxes[0]) + 1))
-        rows = [points[order][a:b] for a, b in zip(self.first, self.first[1:]) if b > a]
+        rows = [points[a:b] for a, b in zip(self.first, self.first[1:]) if b > a]
         full = np.flatnonzero(np.diff(self.first))
         self.first = np.concatenate([self.first[full], [len(ids)]]).astype(np.int64)
         self.low, self.high = np.array([r.min(0) for r in rows]), np.array([r.max(0) for r in rows])
@@ -148,7 +152,9 @@ class Cell:
                 lo, hi = self.first[where[a]], self.first[where[a] + 1]
                 rows = who[a:b]
                 score = queries[rows] @ self.vectors[lo:hi].T
-                q, c = np.nonzero((score >= worst[rows, None]) & (self.ids[None, lo:hi] != query_ids[rows, None]))
+                q, c = np.nonzero(score >= worst[rows, None])
+                other = self.ids[lo:hi][c] != query_ids[rows[q]]
+                q, c = q[other], c[other]
                 found.append((rows[q], self.ids[lo:hi][c], score[q, c]))
             best = top(*(np.concatenate(x) for x in zip(*found)), k)
             count = np.bincount(best[0], minlength=n)
@@ -168,8 +174,23 @@ def top(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.n
     return q[keep], ids[keep], score[keep]
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, width)
+def parts_of(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """(cell, first part, blocks) for cells with their numbers of vectors, in the order of the cells; parts are numbered from 0 without gaps.
+
+    Neighbouring cells make up a part of `most` vectors at most; a cell that has more is cut into blocks, each a part of its own.
+    """
+    out, part, filled = [], -1, most
+    for cell, n in sizes:
+        blocks = -(-n // most)
+        if filled + n > most:
+            part, filled = part + 1, 0
+        out.append((cell, part, blocks))
+        part, filled = part + blocks - 1, filled + n
+    return out
+
+
+def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width).astype(np.float64)
 
 
 def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -208,48 +229,62 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     tree = Tree(sample, int(max(1, min(n // CELL_ROWS, len(sample) // 8))))
     low, high = tree.boxes
 
+    kind = "f4" if all(isinstance(df.select(vector).schema[0].dataType.elementType, FloatType) for df in (vectors, queries)) else "f8"  # as given
+
     def place(batches):
         for batch in batches:
             x = np.array(batch.column(1).flatten(), dtype=np.float64).reshape(-1, d)
-            points = lifted(x, radius) @ matrix
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tree.leaf_of(points)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in points], pa.binary())], ["id", "cell", "v", "p"])
-    shape = "id long, cell long, v binary, p binary"
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tree.leaf_of(lifted(x, radius) @ matrix)), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())], ["id", "cell", "v"])
+    shape = "id long, cell long, v binary"
     data = written(usable.mapInArrow(place, shape), "placed")
     ask = written(asked.mapInArrow(place, shape).withColumn("query", F.monotonically_increasing_id()), "asked")
-    sizes = spark.createDataFrame([(int(r["cell"]), -(-r["n"] // (2 * CELL_ROWS))) for r in data.groupBy("cell").agg(F.count("*").alias("n")).collect()], "cell long, blocks long")  # a row per cell, SAMPLE / 8 at most
+    sizes = sorted((int(r["cell"]), r["n"]) for r in data.groupBy("cell").agg(F.count("*").alias("n")).collect())  # a row per cell, SAMPLE / 8 at most
+    layout = parts_of(sizes, min(PART_ROWS, max(2 * CELL_ROWS, -(-n // PARTS))))
+    parts = F.broadcast(spark.createDataFrame(layout, "cell long, first long, blocks long"))
+    data = data.join(parts, "cell").withColumn("part", F.col("first") + F.pmod(F.xxhash64("id"), "blocks")).select("part", "id", "v")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        q = i = np.zeros(0, np.int64)
-        s, ids, number = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        ids, number = right.column("id").to_numpy(), right.column("query").to_numpy()
         if left.num_rows and right.num_rows:
-            cell = Cell(left.column("id").to_numpy(), _matrix(left.column("v"), d), _matrix(left.column("p"), dims))
-            ids, number = right.column("id").to_numpy(), right.column("query").to_numpy()
-            q, i, s = cell.search(ids, _matrix(right.column("v"), d), _matrix(right.column("p"), dims), right.column("bound").to_numpy().copy(), radius, k, ratio)
+            x, y, bound = _matrix(left.column("v"), d, kind), _matrix(right.column("v"), d, kind), right.column("bound").to_numpy()
+            part, points = Cell(left.column("id").to_numpy(), x, lifted(x, radius) @ matrix), lifted(y, radius) @ matrix
+            for a in range(0, len(ids), WALK_ROWS):
+                q, i, s = part.search(*(z[a:a + WALK_ROWS] for z in (ids, y, points, bound)), radius, k, ratio)
+                found.append((q + a, i, s))
+        q, i, s = (np.concatenate(z) for z in zip(*found))
         return pa.table({"query": pa.array(number[q], pa.int64()), "query_id": pa.array(ids[q], pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    def visit(goals: DataFrame) -> DataFrame:
-        """What queries find in the cells of goals (query, cell, bound)."""
-        plan = F.broadcast(goals.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("turns")).join(sizes, "cell"))
-        each = lambda number: F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1))
-        mine = data.join(plan, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("turn", each("turns")).select("cell", "block", "turn", "id", "v", "p")
-        rows = goals.join(ask.drop("cell"), "query").join(plan, "cell").withColumn("turn", F.pmod(F.xxhash64("query"), "turns")).withColumn("block", each("blocks"))
-        rows = rows.select("cell", "block", "turn", "query", "id", "v", "p", "bound")
-        return mine.groupBy("cell", "block", "turn").cogroup(rows.groupBy("cell", "block", "turn")).applyInArrow(meet, "query long, query_id long, id long, score double")
+    def visit(rows: DataFrame) -> DataFrame:
+        """What queries find in the parts of rows (part, query, id, v, bound)."""
+        turns = F.broadcast(rows.groupBy("part").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("turns")))  # a row per part
+        mine = data.join(turns, "part").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).select("part", "turn", "id", "v")
+        rows = rows.join(turns, "part").withColumn("turn", F.pmod(F.xxhash64("query"), "turns")).select("part", "turn", "query", "id", "v", "bound")
+        return mine.groupBy("part", "turn").cogroup(rows.groupBy("part", "turn")).applyInArrow(meet, "query long, query_id long, id long, score double")
 
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    home = written(best(visit(ask.select("query", "cell", F.lit(float("-inf")).alias("bound")))), "home")
-    bound = home.where(F.col("rank") == k).select("query", F.col("score").alias("bound"))
+    own = ask.join(parts, "cell").withColumn("part", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)))
+    home = written(best(visit(own.select("part", "query", "id", "v", F.lit(float("-inf")).alias("bound")))), "home")
+    # a row per query on both sides: files of many like values are small, and Spark would take such a table for one to broadcast
+    bound = home.where(F.col("rank") == k).select("query", F.col("score").alias("bound")).hint("merge")
+    cells, first, blocks = (np.array(x) for x in zip(*layout))
+    starts = np.flatnonzero(np.diff(first, prepend=-1))
+    run = np.full(len(low), -1)
+    run[cells] = np.searchsorted(first[starts], first)
 
     def reach(batches):
-        for batch in batches:
-            number, own, points, least = (batch.column(j) for j in range(4))
-            far = np.maximum(2 * radius * radius - 2 * least.to_numpy(zero_copy_only=False), 0)
-            go = ~(box_distance(_matrix(points, dims), low, high) >= ratio * far[:, None]) if len(own) else np.zeros((0, len(low)), bool)
-            go[np.arange(len(own)), own.to_numpy()] = False
-            row, cell = np.nonzero(go)
-            yield pa.RecordBatch.from_arrays([number.take(pa.array(row)), pa.array(cell, pa.int64()), least.take(pa.array(row))], ["query", "cell", "bound"])
-    far = ask.join(bound, "query", "left").select("query", "cell", "p", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-    away = visit(written(far.mapInArrow(reach, "query long, cell long, bound double"), "goals"))
+        for batch in (b.slice(a, WALK_ROWS) for b in batches for a in range(0, b.num_rows, WALK_ROWS)):
+            cell, least = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            points = lifted(_matrix(batch.column(3), d, kind), radius) @ matrix
+            go = ~(box_distance(points, low, high) >= ratio * np.maximum(2 * radius * radius - 2 * least, 0)[:, None])
+            go = np.logical_or.reduceat(go[:, cells], starts, axis=1)  # of cells that share a part
+            go[np.flatnonzero(run[cell] >= 0), run[cell][run[cell] >= 0]] = False
+            go = np.repeat(go, blocks[starts], axis=1)
+            goals = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], go.sum(1).cumsum()]), pa.int32()), pa.array(np.nonzero(go)[1], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), goals], ["query", "id", "v", "bound", "parts"])
+    far = ask.join(bound, "query", "left").select("query", "id", "cell", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    goals = written(far.mapInArrow(reach, "query long, id long, v binary, bound double, parts array<long>"), "goals")
+    away = visit(goals.withColumn("part", F.explode("parts")).drop("parts"))
     out = best(home.drop("rank").unionByName(away))
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")

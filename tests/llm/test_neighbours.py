@@ -85,3 +85,53 @@ def test_a_cell_travels_once_per_block_of_its_own_queries(spark, monkeypatch):
         got = A.nearest(df, asked, k=3)
         got_rows = got.collect()
         assert len(got_rows) == asked.count() * 3 and recall(got_rows, rows, 3) >= 0.9
+
+
+def unit_vectors(n, size=16):
+    x = np.random.default_rng(8).normal(size=(n, size))
+    return [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])]
+
+
+def test_steps_have_a_row_per_vector_or_query_and_none_is_broadcast_by_query(spark, monkeypatch):
+    """Vectors without structure: nearly every query reaches every cell, which must not become a row each, nor a table to broadcast."""
+    monkeypatch.setattr(A, "CELL_ROWS", 16)
+    counts, plans, kept = {}, [], A.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = kept(df, name)
+        counts[name] = out.count()
+        return out
+    monkeypatch.setattr(A, "written", written)
+    rows = unit_vectors(1600)
+    df = frame(spark, rows)
+    got = A.nearest(df, df.where("vec_id % 20 = 0"), k=5)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert recall(got.collect(), rows, 5) >= 0.9
+    assert len(counts) == 4 and max(counts.values()) <= 1600, counts
+    assert not [p for p in plans if "BroadcastHashJoin [query#" in p]
+
+
+def test_parts_blocks_and_walks_lose_nothing(spark, monkeypatch):
+    for name, value in (("CELL_ROWS", 16), ("PART_ROWS", 40), ("QUERY_ROWS", 9), ("WALK_ROWS", 4)):
+        monkeypatch.setattr(A, name, value)
+    rows = unit_vectors(500) + [(1000 + i, unit_vectors(1)[0][1]) for i in range(120)]  # equal vectors fill parts of their own
+    df, far = frame(spark, rows), frame(spark, [(5000 + i, [-3.0 * z for z in v]) for i, v in unit_vectors(30)])
+    got = A.nearest(df, df.where("vec_id % 20 = 0"), k=20).collect()
+    assert len(got) == 31 * 20 and recall(got, rows, 20) >= 0.9
+    other = A.nearest(df, far, k=7).collect()
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(float)
+    best = {5000 + i: np.sort(x @ np.array(v, dtype=np.float32).astype(float) * -3)[::-1][:7] for i, v in unit_vectors(30)}
+    assert len(other) == 30 * 7
+    assert sum(abs(r["score"] - best[r["query_id"]][r["rank"] - 1]) < 1e-6 for r in other) >= 0.9 * len(other)
+
+
+def test_parts_of_cells():
+    assert A.parts_of([(0, 5), (2, 5), (3, 25), (7, 1), (8, 9), (9, 1)], 10) == [(0, 0, 1), (2, 0, 1), (3, 1, 3), (7, 4, 1), (8, 4, 1), (9, 5, 1)]
+
+
+def test_components_in_double_precision_are_kept(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1 / 3, 1.0]), (2, [1 / 3 + 1e-12, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in A.nearest(df, df.where("vec_id = 0"), k=2).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 1 / 3 + 1e-12), (0, 2, 1, 1 / 3)]
