@@ -24,8 +24,9 @@ from postsieve.llm.shared import written
 
 #: Sampled vectors the top tree is fitted on; mean vectors of a cell, queries of a block, vectors of a leaf.
 SAMPLE, CELL_ROWS, QUERY_ROWS, LEAF = 20_000, 1_024, 32_768, 64
-#: Parts of a table, as long as a part has 2 * CELL_ROWS to PART_ROWS vectors; queries of a block that walk their leaves together.
-PARTS, PART_ROWS, WALK_ROWS = 32, 65_536, 2_048
+#: Parts of a table, as long as a part has 2 * CELL_ROWS to PART_ROWS vectors; queries of a block that walk their leaves together; rows that
+#: these find before the best are kept and the others dropped.
+PARTS, PART_ROWS, WALK_ROWS, HITS = 32, 65_536, 2_048, 1 << 20
 DIMS, SURE = 8, 0.97
 
 
@@ -113,7 +114,7 @@ def box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
 
 
 class Cell:
-    """A block of vectors with a kd-tree of leaves of about LEAF points over their projections."""
+    """A block of vectors with a kd-tree of leaves of about LEAF points over their projections; leaves of equal points are cut by number."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray):
         leaves = max(1, len(ids) // LEAF)
@@ -121,10 +122,9 @@ class Cell:
         leaf = tree.leaf_of(points)
         order = np.argsort(leaf, kind="stable")
         self.ids, self.vectors, points, leaf = ids[order], vectors[order], points[order], leaf[order]
-        self.first = np.searchsorted(leaf, np.arange(len(tree.boxes[0]) + 1))
-        rows = [points[a:b] for a, b in zip(self.first, self.first[1:]) if b > a]
-        full = np.flatnonzero(np.diff(self.first))
-        self.first = np.concatenate([self.first[full], [len(ids)]]).astype(np.int64)
+        first = np.searchsorted(leaf, np.arange(len(tree.boxes[0]) + 1))
+        self.first = np.concatenate([*(np.arange(a, b, 2 * LEAF) for a, b in zip(first, first[1:])), [len(ids)]]).astype(np.int64)
+        rows = [points[a:b] for a, b in zip(self.first, self.first[1:])]
         self.low, self.high = np.array([r.min(0) for r in rows]), np.array([r.max(0) for r in rows])
 
     def search(self, query_ids, queries, points, bound, radius: float, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ class Cell:
         reach = box_distance(points, self.low, self.high)
         order = np.argsort(reach, axis=1)
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        worst, active, done, step = bound.copy(), np.arange(n), 0, 4
+        worst, last_id, active, done, step = bound.copy(), np.full(n, np.iinfo(np.int64).max), np.arange(n), 0, 4
         while done < leaves and len(active):
             far = np.maximum(2 * radius * radius - 2 * worst[active], 0)
             active = active[~(reach[active, order[active, done]] >= ratio * far)]
@@ -147,20 +147,22 @@ class Cell:
             turn = np.argsort(where, kind="stable")
             where, who = where[turn], who[turn]
             cuts = np.flatnonzero(np.diff(where, prepend=-1))
-            found = [best]
+            found, held = [best], 0
             for a, b in zip(cuts, [*cuts[1:], len(where)]):
                 lo, hi = self.first[where[a]], self.first[where[a] + 1]
                 rows = who[a:b]
                 score = queries[rows] @ self.vectors[lo:hi].T
                 q, c = np.nonzero(score >= worst[rows, None])
-                other = self.ids[lo:hi][c] != query_ids[rows[q]]
-                q, c = q[other], c[other]
-                found.append((rows[q], self.ids[lo:hi][c], score[q, c]))
-            best = top(*(np.concatenate(x) for x in zip(*found)), k)
-            count = np.bincount(best[0], minlength=n)
-            last = np.cumsum(count) - 1
-            full = count >= k
-            worst[full] = np.maximum(worst[full], best[2][last[full]])
+                q, i, s = rows[q], self.ids[lo:hi][c], score[q, c]
+                keep = (i != query_ids[q]) & ((s > worst[q]) | (i < last_id[q]))
+                found.append((q[keep], i[keep], s[keep]))
+                held += len(found[-1][0])
+                if held > HITS or b == len(where):
+                    best = top(*(np.concatenate(x) for x in zip(*found)), k)
+                    count = np.bincount(best[0], minlength=n)
+                    last, full = np.cumsum(count) - 1, count >= k
+                    worst[full], last_id[full] = best[2][last[full]], best[1][last[full]]
+                    found, held = [best], 0
             done, step = done + step, step * 2
         return best
 

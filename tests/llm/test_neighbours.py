@@ -135,3 +135,20 @@ def test_components_in_double_precision_are_kept(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in A.nearest(df, df.where("vec_id = 0"), k=2).orderBy("rank").collect()]
     assert got == [(0, 1, 2, 1 / 3 + 1e-12), (0, 2, 1, 1 / 3)]
+
+
+def test_copies_of_one_vector_are_searched_a_bounded_number_at_a_time(monkeypatch):
+    monkeypatch.setattr(A, "HITS", 1000, raising=False)
+    seen, kept = [], A.top
+
+    def top(q, ids, score, k):
+        seen.append(len(q))
+        return kept(q, ids, score, k)
+    monkeypatch.setattr(A, "top", top)
+    x, ids = np.tile([0.6, 0.8], (20_000, 1)), np.random.default_rng(4).permutation(20_000)
+    points = A.lifted(x, 1.0) @ A.projection(2, 8)
+    cell = A.Cell(ids, x, points)
+    q, i, _ = cell.search(np.arange(30), x[:30], points[:30], np.full(30, -np.inf), 1.0 + 1e-9, 5, A.stop_ratio(8, 0.97))
+    assert np.diff(cell.first).max() <= 2 * A.LEAF and cell.first[-1] == 20_000
+    assert max(seen) <= 1000 + 30 * 2 * A.LEAF + 30 * 5
+    assert [list(i[q == n]) for n in range(30)] == [[m for m in range(6) if m != n][:5] for n in range(30)]
